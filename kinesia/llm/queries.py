@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinesia.llm import mixing, sharding
+from kinesia.llm import mixing, secrets, sharding
 from kinesia.llm._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,8 @@ SELECT doc_id, domain, lang, source, tokens, leaf_budget,
   (full_epochs + CASE WHEN need > 0 AND upto <= need THEN 1 ELSE 0 END)::BIGINT AS copies
 FROM summed WHERE full_epochs + CASE WHEN need > 0 AND upto <= need THEN 1 ELSE 0 END > 0
 """
+
+
+@query
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
