@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +34,20 @@ def stored(df: DataFrame) -> DataFrame:
 def plain(name: str) -> str:
     """A column name quoted for expressions."""
     return "`" + name.replace("`", "``") + "`"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_kinesia_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-package-"), "kinesia.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._kinesia_shipped = True
