@@ -17,12 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded for comparison, without negative zeros."""
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+    """Doubles rounded for comparison, without negative zeros; what lies halfway is moved up first."""
+    return df.select(*[(F.round(F.col(c) + 1e-9, digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
 def rounded_sql(names: str, digits: int = 6) -> str:
-    return ", ".join(f"round({n}, {digits}) + 0.0 AS {n}" for n in names.split())
+    return ", ".join(f"round({n} + 1e-9, {digits}) + 0.0 AS {n}" for n in names.split())
 
 
 def micros(ts: str):

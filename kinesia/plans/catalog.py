@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinesia.plans import q_gesture  # noqa: F401
+from kinesia.plans import q_align, q_gesture, q_quality  # noqa: F401
 from kinesia.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "seq_summary"
