@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 
 from kinesia.schema import LABEL_FIELDS
 
-# Forms that stand for null, and for the two truth values.
-NULLISH = ("", "null", "none", "n/a", "na", "nan", "unknown", "unclear", "undetermined", "not visible", "not applicable", "indeterminate", "uncertain", "unsure", "cannot tell", "-", "?")
-TRUE, FALSE = ("true", "yes", "1"), ("false", "no", "0")
+# Forms that stand for null, those of the two truth values, and the words of the other labels.
+NULLISH = (
+    "", "null", "none", "n/a", "na", "unknown", "uncertain", "not sure", "cannot tell", "can't tell", "cant tell", "unclear",
+    "i don't know", "i dont know", "i do not know", "no se", "no sé",
+)
+TRUE, FALSE = ("true", "yes", "si", "1"), ("false", "no", "0")
 ENUMS = {
-    "indoor_outdoor": ("indoor", "outdoor"), "show_type": ("news", "talk", "interview", "other"), "sitting_standing": ("sitting", "standing"),
+    "indoor_outdoor": ("indoor", "outdoor"),
+    "show_type": ("news anchor", "monologue", "weather report", "interview"),
+    "sitting_standing": ("sitting", "standing"),
     "sex": ("male", "female"),
-}
+}
 FLAGS = ("hands_free", "screen_interaction")
 
 
@@ -49,8 +54,8 @@ def validated(text: Column) -> Column:
         elif f in FLAGS:
             ok, values[f] = v.isNull() | v.isin([*TRUE, *FALSE]), F.when(v.isin(list(TRUE)), True).when(v.isin(list(FALSE)), False)
         else:
-            age = v.try_cast("int")
-            ok, values[f] = v.isNull() | (v.rlike("^[0-9]+$") & age.between(0, 120)), age
+            age = F.regexp_replace(v, r"\.0+$", "").try_cast("int")
+            ok, values[f] = v.isNull() | (v.rlike(r"^[0-9]{1,3}(\.0+)?$") & age.between(0, 120)), age
         bad = F.coalesce(bad, F.when(~F.coalesce(ok, F.lit(False)), F.lit(f"{f}: value not allowed")))
     error = F.when(bag.isNull(), "no object").when(~F.coalesce(keys == F.lit(sorted(LABEL_FIELDS)), F.lit(False)), "keys differ").otherwise(bad)
     return F.struct(*[F.when(error.isNull(), values[f]).alias(f) for f in LABEL_FIELDS], error.alias("error"))
@@ -85,9 +90,9 @@ def merge_parts(scene: DataFrame, speaker: DataFrame, fields: tuple[str, ...]) -
 
 def frame_picks(n: Column) -> Column:
     """Five evenly spaced frames of ``n``, whole numbers downwards, each once."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.floor(i * (n - 1) / 4)))
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.floor(i * (n - 1) / 4)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def spaced_picks(n: Column, k: int) -> Column:
     """``k`` evenly spaced frames, rounded half to even, each once."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (n - 1) / (k - 1), 0).cast("long")))
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (n - 1) / (k - 1), 0).cast("long")))).otherwise(F.array().cast("array<bigint>"))
