@@ -33,8 +33,13 @@ def complete(wide: DataFrame) -> DataFrame:
 def gesture_frames(wide: DataFrame, config: GestureConfig = DEFAULT, extended: bool = False) -> DataFrame:
     """``schema.FRAME_COLUMNS`` (and jerk, if ``extended``) for each frame of each sequence's span."""
     d = Q.infer_clock(Q.expand_grid(complete(wide)), config.max_gap)
+    d = d.withColumns({f"{h}_observed": Q.trusted(F.col(f"nx_{p}"), F.col(f"ny_{p}"), F.col(f"c_{p}"), config.min_confidence) for h, p in S.HANDS.items()})
+    d = Q.fill_coordinates(d, {h: (f"nx_{p}", f"ny_{p}", f"{h}_observed") for h, p in S.HANDS.items()}, config.max_gap)
+    d = d.withColumns({f"_{h}_ok": F.col(f"{h}_valid") & F.col("clock_known") for h in S.HANDS} | {f"{h}_{a}_smooth": F.col(f"{h}_{a}") for h in S.HANDS for a in ("nx", "ny")})
+    d = Q.with_runs(d, {f"_{h}_ok": f"_{h}_run" for h in S.HANDS})
     for hand in S.HANDS:
-        d = _hand(d, hand, config)
+        d = _motion(d, hand, config, extended)
+    d = d.withColumns({k: v for hand in S.HANDS for k, v in _geometry(hand).items()})
     both = F.col("right_valid") & F.col("left_valid")
     rx, ry, lx, ly = (F.col(f"{h}_{a}_smooth") for h in ("right", "left") for a in ("nx", "ny"))
     apart = F.hypot(rx - lx, ry - ly)
@@ -43,35 +48,38 @@ def gesture_frames(wide: DataFrame, config: GestureConfig = DEFAULT, extended: b
         "centroid_x": F.when(both, (rx + lx) / 2), "centroid_y": F.when(both, (ry + ly) / 2),
         "mirror_error_x": F.when(both, F.abs(rx + lx)), "mirror_error_y": F.when(both, F.abs(ry - ly)),
     }
-    d = d.withColumns(pair)
-    return d.select(*(S.EXTENDED_FRAME_COLUMNS if extended else S.FRAME_COLUMNS))
+    names = S.EXTENDED_FRAME_COLUMNS if extended else S.FRAME_COLUMNS
+    pair |= {f"{h}_confidence": F.col(f"c_{p}") for h, p in S.HANDS.items()}
+    return d.select(*[pair[c].alias(c) if c in pair else F.col(c) for c in names])
 
 
-def _hand(d: DataFrame, hand: str, config: GestureConfig) -> DataFrame:
-    p = S.HANDS[hand]
+def _motion(d: DataFrame, hand: str, config: GestureConfig, extended: bool) -> DataFrame:
+    """Smoothed coordinates and their derivatives, within the runs of frames that are valid and timed."""
+    ok, run = f"_{hand}_ok", f"_{hand}_run"
     name = lambda m: f"{hand}_{m}"
-    d = d.withColumn("_use", Q.trusted(F.col(f"nx_{p}"), F.col(f"ny_{p}"), F.col(f"c_{p}"), config.min_confidence))
-    d = Q.fill_coordinates(d, f"nx_{p}", f"ny_{p}", "_use", config.max_gap)
-    d = d.withColumns({name("confidence"): F.col(f"c_{p}"), name("nx"): F.col("_x"), name("ny"): F.col("_y"), name("valid"): F.col("_valid"), name("observed"): F.col("_use"), name("interpolated"): F.col("_interp"), "_ok": F.col("_valid") & F.col("clock_known")})
-    d = Q.with_run(d, "_ok", "_run")
-    d = d.withColumns({name("nx_smooth"): F.col("_x"), name("ny_smooth"): F.col("_y")}).drop("_x", "_y", "_valid", "_use", "_interp")
-    d = Q.smooth(d, [name("nx_smooth"), name("ny_smooth")], "_ok", "_run", config.window, config.order)
-    source = {"x": name("nx_smooth"), "y": name("ny_smooth")}
-    for least, kind, length in ((2, "velocity", "speed"), (3, "accel", "accel_magnitude"), (4, "jerk", "jerk_magnitude")):
+    source = {a: name(f"n{a}_smooth") for a in ("x", "y")}
+    d = d.withColumns(Q.run_places(ok, run))
+    d = Q.smooth(d, list(source.values()), ok, run, config.window, config.order)
+    n, out, raw = F.col("_n"), {}, []
+    for least, kind in ((2, "velocity"), (3, "accel"), (4, "jerk"))[: 3 if extended else 2]:
         # Deeper derivatives are of the unrestricted ones, which two rows have already.
-        raw = {f"_{kind}_{a}": Q.derivative(source[a], "_ok", "_run", 2) for a in source}
-        d = d.withColumns(raw)
-        n = F.count(F.lit(1)).over(Q.in_run("_ok", "_run"))
-        d = d.withColumns({name(f"{kind}_{a}"): F.when(n >= least, F.col(f"_{kind}_{a}")) for a in source})
-        d = d.withColumn(name(length), F.hypot(name(f"{kind}_x"), name(f"{kind}_y")))
-        source = {a: f"_{kind}_{a}" for a in source}
-    d = d.drop("_ok", "_run", *[f"_{k}_{a}" for k in ("velocity", "accel", "jerk") for a in "xy"])
+        deeper = {a: f"_{hand}_{kind}_{a}" for a in source}
+        d = d.withColumns({deeper[a]: Q.derivative(source[a], ok, run) for a in source})
+        out |= {name(f"{kind}_{a}"): F.when(n >= least, F.col(c)) for a, c in deeper.items()}
+        out[name({"velocity": "speed"}.get(kind, f"{kind}_magnitude"))] = F.when(n >= least, F.hypot(*deeper.values()))
+        source = deeper
+        raw += deeper.values()
+    return d.withColumns(out).drop("_n", "_t1", "_t2", "_u1", "_u2", *raw)
+
+
+def _geometry(hand: str) -> dict[str, Column]:
+    name = lambda m: f"{hand}_{m}"
     x, y, w = F.col(name("nx_smooth")), F.col(name("ny_smooth")), Q.by_frame()
     distance = F.hypot(x, y)
-    return d.withColumns({
+    return {
         name("step_distance"): F.when(F.col(name("valid")) & F.lag(name("valid")).over(w), F.hypot(x - F.lag(x).over(w), y - F.lag(y).over(w))),
         name("neck_distance"): distance, name("neck_angle"): F.when(distance > 0, F.atan2(y, x)), name("above_neck"): y > 0,
-    })
+    }
 
 
 def gesture_sequences(frames: DataFrame, extended: bool = False) -> DataFrame:

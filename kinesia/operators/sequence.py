@@ -22,13 +22,16 @@ def by_frame():
     return W.partitionBy(*KEYS).orderBy("frame")
 
 
-def known_before(ok: Column, value: Column) -> Column:
-    """The value of the nearest earlier row where ``ok`` holds."""
-    return F.last(F.when(ok, value), ignorenulls=True).over(by_frame().rowsBetween(W.unboundedPreceding, -1))
+def known_before(ok: Column, value: Column, reach: int) -> Column:
+    """The value of the nearest of the ``reach`` rows before where ``ok`` holds.
+
+    Frames are dense and gaps bounded, so a bounded window finds all that matters, in time linear in the rows.
+    """
+    return F.last(F.when(ok, value), ignorenulls=True).over(by_frame().rowsBetween(-reach, -1))
 
 
-def known_after(ok: Column, value: Column) -> Column:
-    return F.first(F.when(ok, value), ignorenulls=True).over(by_frame().rowsBetween(1, W.unboundedFollowing))
+def known_after(ok: Column, value: Column, reach: int) -> Column:
+    return F.first(F.when(ok, value), ignorenulls=True).over(by_frame().rowsBetween(1, reach))
 
 
 def expand_grid(wide: DataFrame) -> DataFrame:
@@ -45,12 +48,13 @@ def expand_grid(wide: DataFrame) -> DataFrame:
 def infer_clock(frames: DataFrame, max_gap: int) -> DataFrame:
     """Fill interior clock gaps of at most ``max_gap`` frames, linearly in the frame number."""
     t = F.col("frame_timestamp")
-    x = frames.withColumn("_p", known_before(t.isNotNull(), F.struct("frame", t.alias("t")))).withColumn("_n", known_after(t.isNotNull(), F.struct("frame", t.alias("t"))))
-    bounded = t.isNull() & F.col("_p").isNotNull() & F.col("_n").isNotNull() & (F.col("_n.frame") - F.col("_p.frame") - 1 <= max_gap)
+    mark = F.struct("frame", t.alias("t"))
+    x = frames.withColumns({"_p": known_before(t.isNotNull(), mark, max_gap + 1), "_n": known_after(t.isNotNull(), mark, max_gap + 1)})
+    inferred = F.coalesce(t.isNull() & (F.col("_n.frame") - F.col("_p.frame") - 1 <= max_gap), F.lit(False))
     share = (F.col("frame") - F.col("_p.frame")) / (F.col("_n.frame") - F.col("_p.frame"))
-    inferred = F.coalesce(bounded, F.lit(False))
     value = F.when(inferred, F.col("_p.t") + share * (F.col("_n.t") - F.col("_p.t"))).otherwise(t)
-    return x.withColumn("timestamp_inferred", inferred).withColumn("frame_timestamp", value).withColumn("clock_known", value.isNotNull()).drop("_p", "_n")
+    rest = [c for c in frames.columns if c != "frame_timestamp"]
+    return x.select(*rest, inferred.alias("timestamp_inferred"), value.alias("frame_timestamp"), value.isNotNull().alias("clock_known"))
 
 
 def trusted(x: Column, y: Column, c: Column, least: float) -> Column:
@@ -58,28 +62,35 @@ def trusted(x: Column, y: Column, c: Column, least: float) -> Column:
     return F.coalesce(x.isNotNull() & y.isNotNull() & (c > 0) & (c >= least), F.lit(False))
 
 
-def fill_coordinates(frames: DataFrame, x: str, y: str, usable: str, max_gap: int) -> DataFrame:
-    """Add ``_x``, ``_y``, ``_interp`` and ``_valid``: gaps of usable frames filled linearly in elapsed time.
+def fill_coordinates(frames: DataFrame, hands: dict[str, tuple[str, str, str]], max_gap: int) -> DataFrame:
+    """For each hand (x, y and usable columns) add ``{hand}_nx``, ``_ny``, ``_interpolated`` and ``_valid``.
 
-    Only interior gaps of at most ``max_gap`` frames whose ends are timed and apart; a filled frame without a clock is valid but
-    has no coordinate.
+    Gaps of usable frames are filled linearly in elapsed time: only interior ones of at most ``max_gap`` frames whose ends are timed
+    and apart.  A filled frame without a clock is valid but has no coordinate.
     """
-    mark = F.struct("frame", F.col("frame_timestamp").alias("t"), F.col(x).alias("x"), F.col(y).alias("y"))
-    ok = F.col(usable)
-    d = frames.withColumn("_p", known_before(ok, mark)).withColumn("_n", known_after(ok, mark))
-    bounded = ~ok & (F.col("_n.frame") - F.col("_p.frame") - 1 <= max_gap) & (F.col("_n.t") - F.col("_p.t") > 0)
-    d = d.withColumn("_interp", F.coalesce(bounded, F.lit(False)))
-    share = (F.col("frame_timestamp") - F.col("_p.t")) / (F.col("_n.t") - F.col("_p.t"))
-    for out, name, axis in (("_x", x, "x"), ("_y", y, "y")):
-        d = d.withColumn(out, F.when(ok, F.col(name)).when(F.col("_interp"), F.col(f"_p.{axis}") + share * (F.col(f"_n.{axis}") - F.col(f"_p.{axis}"))))
-    return d.withColumn("_valid", ok | F.col("_interp")).drop("_p", "_n")
+    near, out = {}, {}
+    for hand, (x, y, ok) in hands.items():
+        mark = F.struct("frame", F.col("frame_timestamp").alias("t"), F.col(x).alias("x"), F.col(y).alias("y"))
+        near |= {f"_{hand}_p": known_before(F.col(ok), mark, max_gap + 1), f"_{hand}_n": known_after(F.col(ok), mark, max_gap + 1)}
+        p, n = (lambda f, h=hand: F.col(f"_{h}_p.{f}")), (lambda f, h=hand: F.col(f"_{h}_n.{f}"))
+        filled = F.coalesce(~F.col(ok) & (n("frame") - p("frame") - 1 <= max_gap) & (n("t") - p("t") > 0), F.lit(False))
+        share = (F.col("frame_timestamp") - p("t")) / (n("t") - p("t"))
+        for name, c, axis in ((f"{hand}_nx", x, "x"), (f"{hand}_ny", y, "y")):
+            out[name] = F.when(F.col(ok), F.col(c)).when(filled, p(axis) + share * (n(axis) - p(axis)))
+        out |= {f"{hand}_interpolated": filled, f"{hand}_valid": F.col(ok) | filled}
+    return frames.withColumns(near).withColumns(out).drop(*near)
+
+
+def with_runs(frames: DataFrame, runs: dict[str, str]) -> DataFrame:
+    """Number the maximal stretches of rows where each flag (key) holds, as a column (value); the frames must be dense."""
+    w = by_frame()
+    begins = {f"_b_{run}": (F.col(ok) & ~F.coalesce(F.lag(ok).over(w), F.lit(False))).cast("int") for ok, run in runs.items()}
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    return frames.withColumns(begins).withColumns({run: F.sum(f"_b_{run}").over(upto) for run in runs.values()}).drop(*begins)
 
 
 def with_run(frames: DataFrame, ok: str, run: str) -> DataFrame:
-    """Number the maximal stretches of rows where ``ok`` holds; the frames must be dense."""
-    begins = F.col(ok) & ~F.coalesce(F.lag(ok).over(by_frame()), F.lit(False))
-    d = frames.withColumn("_b", begins.cast("int"))
-    return d.withColumn(run, F.sum("_b").over(by_frame().rowsBetween(W.unboundedPreceding, 0))).drop("_b")
+    return with_runs(frames, {ok: run})
 
 
 def in_run(ok: str, run: str):
@@ -94,19 +105,16 @@ def smooth(frames: DataFrame, xs: list[str], ok: str, run: str, window: int, ord
     """
     if order > 2:
         return _smooth_grouped(frames, xs, ok, run, window, order)
-    part = in_run(ok, run)
-    n = F.count(F.lit(1)).over(part)
-    d = frames.withColumn("_n", n).withColumn("_i", F.row_number().over(part.orderBy("frame")) - 1)
-    d = d.withColumn("_w", F.least(F.lit(window), F.when(F.col("_n") % 2 == 1, F.col("_n")).otherwise(F.col("_n") - 1)).cast("int"))
-    around = part.orderBy("frame").rowsBetween(-(window - 1), window - 1)
-    d = d.withColumn("_near", F.collect_list(F.struct(F.col("frame_timestamp").alias("t"), *xs)).over(around))
-    low = F.least(F.greatest(F.col("_i") - F.floor(F.col("_w") / 2), F.lit(0)), F.col("_n") - F.col("_w"))
+    part = in_run(ok, run).orderBy("frame")
+    around = part.rowsBetween(-(window - 1), window - 1)
+    place = {} if "_n" in frames.columns else run_places(ok, run)
+    d = frames.withColumns(place | {"_i": F.row_number().over(part) - 1, "_near": F.collect_list(F.struct(F.col("frame_timestamp").alias("t"), *xs)).over(around)})
+    w = F.least(F.lit(window), F.when(F.col("_n") % 2 == 1, F.col("_n")).otherwise(F.col("_n") - 1)).cast("int")
+    low = F.least(F.greatest(F.col("_i") - F.floor(w / 2), F.lit(0)), F.col("_n") - w)
     first = (low - F.col("_i") + F.least(F.col("_i"), F.lit(window - 1)) + 1).cast("int")
-    fits = F.col(ok) & (F.col("_w") >= 3) & (F.lit(order + 1) < F.col("_w"))
-    d = d.withColumn("_near", F.when(fits, F.slice("_near", first, F.col("_w"))))
-    for x in xs:
-        d = d.withColumn(x, F.when(fits, _fit(F.col("_near"), F.col("frame_timestamp"), x, order)).otherwise(F.col(x)))
-    return d.drop("_n", "_i", "_w", "_near")
+    fits = F.col(ok) & (w >= 3) & (F.lit(order + 1) < w)
+    d = d.withColumn("_near", F.when(fits, F.slice("_near", first, w)))
+    return d.withColumns({x: F.when(F.col("_near").isNotNull(), _fit(F.col("_near"), F.col("frame_timestamp"), x, order)).otherwise(F.col(x)) for x in xs}).drop("_i", "_near", *place)
 
 
 def _fit(points: Column, at: Column, x: str, order: int) -> Column:
@@ -152,23 +160,27 @@ def _smooth_grouped(frames: DataFrame, xs: list[str], ok: str, run: str, window:
     return frames.groupBy(*KEYS).applyInPandas(kernel, frames.schema)
 
 
-def derivative(x: str, ok: str, run: str, least: int) -> Column:
-    """d/dt within a run by second-order differences on uneven times; null in runs of fewer than ``least`` rows.
+def run_places(ok: str, run: str) -> dict[str, Column]:
+    """``_n``, the run's length, and the times of the two rows before (``_t1``, ``_t2``) and after (``_u1``, ``_u2``) in it."""
+    part = in_run(ok, run).orderBy("frame")
+    t = F.col("frame_timestamp")
+    return {"_n": F.count(F.lit(1)).over(in_run(ok, run)), "_t1": F.lag(t, 1).over(part), "_t2": F.lag(t, 2).over(part), "_u1": F.lead(t, 1).over(part), "_u2": F.lead(t, 2).over(part)}
+
+
+def derivative(x: str, ok: str, run: str) -> Column:
+    """d/dt within a run by second-order differences on uneven times; needs ``run_places``' columns.
 
-    Two rows give the plain slope; at the ends of longer runs the one-sided second-order form serves.
+    Two rows give the plain slope; at the ends of longer runs the one-sided second-order form serves.  A single row has none.
     """
     part = in_run(ok, run).orderBy("frame")
-    n = F.count(F.lit(1)).over(in_run(ok, run))
     v, t = F.col(x), F.col("frame_timestamp")
-    at = lambda c, k: F.lag(c, k).over(part) if k > 0 else F.lead(c, -k).over(part)
-    v1, t1, v2, t2 = at(v, 1), at(t, 1), at(v, 2), at(t, 2)
-    w1, u1, w2, u2 = at(v, -1), at(t, -1), at(v, -2), at(t, -2)
+    n, t1, t2, u1, u2 = (F.col(c) for c in ("_n", "_t1", "_t2", "_u1", "_u2"))
+    v1, v2, w1, w2 = F.lag(v, 1).over(part), F.lag(v, 2).over(part), F.lead(v, 1).over(part), F.lead(v, 2).over(part)
     a, b = t - t1, u1 - t
     middle = (a * a * w1 + (b * b - a * a) * v - b * b * v1) / (a * b * (a + b))
-    c, d = u1 - t, u2 - u1
-    first = -(c * 2 + d) / (c * (c + d)) * v + (c + d) / (c * d) * w1 - c / (d * (c + d)) * w2
-    e, f = t - t1, t1 - t2
-    last = e / (f * (e + f)) * v2 - (e + f) / (e * f) * v1 + (e * 2 + f) / (e * (e + f)) * v
-    slope = F.when(t1.isNotNull(), (v - v1) / (t - t1)).otherwise((w1 - v) / (u1 - t))
+    d, f = u2 - u1, t1 - t2
+    first = -(b * 2 + d) / (b * (b + d)) * v + (b + d) / (b * d) * w1 - b / (d * (b + d)) * w2
+    last = a / (f * (a + f)) * v2 - (a + f) / (a * f) * v1 + (a * 2 + f) / (a * (a + f)) * v
+    slope = F.when(t1.isNotNull(), (v - v1) / a).otherwise((w1 - v) / b)
     value = F.when(n == 2, slope).when(t1.isNull(), first).when(u1.isNull(), last).otherwise(middle)
-    return F.when(F.col(ok) & (n >= least), value)
+    return F.when(F.col(ok) & (n >= 2), value)
