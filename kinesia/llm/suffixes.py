@@ -10,7 +10,8 @@ rest are sorted by their words (a range partitioning whose key ends in the id, s
 a common passage spreads over many tasks), neighbours are compared, and matches
 are extended left and right.  A suffix carries as many words on either side as
 can decide whether a match reaches ``LEAST`` words; longer passages are the union
-of the matches of the positions in them.
+of the matches of the positions in them.  An exact check of the windows around a
+position that neighbours leave open follows, so no passage is missed.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ WINDOW = 24
 HEAD = 24
 #: How many rows on either side a suffix is compared with; rows of its own document don't help.
 NEIGHBOURS = 3
+#: Rows of a partition that are compared at once, or those of one head.
+PIECE = 50_000
 SIDE = LEAST - HEAD
 _U64 = np.uint64
 
@@ -143,7 +146,6 @@ def suffix_rows(df: DataFrame) -> DataFrame:
 
 
 ROW = "head long, after binary, before binary, id long, at array<int>, words long"
-MATCH = "id long, words long, s int, e int"
 
 
 def _sides(column: pa.Array) -> np.ndarray:
@@ -155,79 +157,119 @@ def _sides(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, ">u4", n * SIDE, int(first)).reshape(n, SIDE)
 
 
-def matches(rows: pa.Table | pa.RecordBatch, fresh: int = 0) -> pa.RecordBatch:
-    """Matches of neighbouring rows, of which one at least has an index of ``fresh`` or more."""
-    head, ids = rows.column(0).to_numpy(zero_copy_only=False), rows.column(3).to_numpy(zero_copy_only=False)
-    after, before = _sides(rows.column(1)), _sides(rows.column(2))
+BOTH = "id long, words long, s int, e int, key long, o int, at array<int>"
+
+
+def _ids(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return part.column(0).to_numpy(), part.column(3).to_numpy()
+
+
+def extended(head: np.ndarray, ids: np.ndarray, after: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, and how far they match a neighbour of another document to the left and to the right, if that makes ``LEAST`` words."""
     n = len(head)
     run = lambda x, y: np.where((x == y).all(1) & (x != 0).all(1), SIDE, ((x != y) | (x == 0)).argmax(1))
-    who, left, right = [], [], []
+    who, left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s in range(1, NEIGHBOURS + 1):
-        i = np.arange(max(0, fresh - s), n - s)
-        i = i[(head[i] == head[i + s]) & (ids[i] != ids[i + s])]
+        i = np.flatnonzero((head[: n - s] == head[s:]) & (ids[: n - s] != ids[s:])) if n > s else np.zeros(0, np.int64)
         r, m = run(after[i], after[i + s]) + HEAD, run(before[i], before[i + s])
         ok = r + m >= LEAST
         for shift in (0, s):
             who.append(i[ok] + shift)
             left.append(m[ok])
             right.append(r[ok])
-    who, left, right = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (who, left, right))
-    # Of each row the match that reaches farthest left and the one that reaches farthest right.
-    picked = []
-    for key in ((right, left), (left, right)):
-        order = np.lexsort((*key, who))
-        last = np.ones(len(order), bool)
-        last[:-1] = who[order[1:]] != who[order[:-1]]
-        picked.append(order[last])
-    pick = np.unique(np.concatenate(picked))
-    at = rows.column(4)
-    if isinstance(at, pa.ChunkedArray):
-        at = at.combine_chunks()
-    chosen = at.take(pa.array(who[pick]))
-    count = chosen.value_lengths().to_numpy(zero_copy_only=False)
-    p = chosen.flatten().to_numpy(zero_copy_only=False)
-    row = np.repeat(pick, count)
-    words = rows.column(5).to_numpy(zero_copy_only=False)
+    return np.concatenate(who), np.concatenate(left), np.concatenate(right)
+
+
+def window_keys(head: np.ndarray, after: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each o, a key of the ``LEAST`` words that begin o words left of each row's position, and whether the text has them all."""
+    step = lambda total, column: _text.mix(total * _U64(0x9E3779B97F4A7C15) + column.astype(_U64) + _U64(1))
+    tails = [np.zeros(len(head), _U64)]
+    for k in range(SIDE):
+        tails.append(step(tails[-1], after[:, k]))
+    front = head.view(_U64).copy()
+    for o in range(SIDE + 1):
+        if o:
+            front = step(front, before[:, o - 1])
+        inside = (before[:, :o] != 0).all(1) & (after[:, : SIDE - o] != 0).all(1)
+        yield o, _text.mix(front ^ _text.mix(tails[SIDE - o] + _U64(o))), inside
+
+
+def _spread(part: pa.Table, who: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+    """A match for each position of each row of ``who``."""
+    at = part.column(4).combine_chunks().take(pa.array(who))
+    count = at.value_lengths().to_numpy(zero_copy_only=False)
+    p, row = at.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(who)), count)
+    ids, words = part.column(3).to_numpy()[who][row], part.column(5).to_numpy()[who][row]
+    null = lambda t: pa.nulls(len(row), t)
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids[who[row]], pa.int64()), pa.array(words[who[row]], pa.int64()), pa.array((p - left[row]).astype(np.int32)), pa.array((p + right[row]).astype(np.int32))],
-        ["id", "words", "s", "e"],
+        [pa.array(ids, pa.int64()), pa.array(words, pa.int64()), pa.array((p - left[row]).astype(np.int32)), pa.array((p + right[row]).astype(np.int32)), null(pa.int64()), null(pa.int32()), null(pa.list_(pa.int32()))],
+        [c.split()[0] for c in BOTH.split(", ")],
     )
 
 
-BOTH = f"{ROW}, m_id long, m_words long, s int, e int"
+def _keyed(part: pa.Table, rows: np.ndarray, o: int, keys: np.ndarray, with_places: bool) -> pa.RecordBatch:
+    take = lambda c: part.column(c).combine_chunks().take(pa.array(rows))
+    null, kind = pa.nulls(len(rows), pa.int32()), pa.list_(pa.int32())
+    at = take(4).cast(kind) if with_places else pa.nulls(len(rows), kind)
+    return pa.RecordBatch.from_arrays([take(3), take(5), null, null, pa.array(keys[rows].view(np.int64)), pa.array(np.full(len(rows), o, np.int32)), at], [c.split()[0] for c in BOTH.split(", ")])
 
 
-def _joined(part: pa.RecordBatch, matched: bool) -> pa.RecordBatch:
-    """Rows, or matches, with nulls in the other's columns."""
-    names = [c.split()[0] for c in BOTH.split(", ")]
-    types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    have = [None] * 6 + part.columns if matched else part.columns + [None] * 4
-    return pa.RecordBatch.from_arrays([pa.nulls(part.num_rows, t) if c is None else c.cast(t) for c, t in zip(have, types, strict=True)], names)
+def _compared(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches within a sorted partition, taken in pieces of whole heads.
 
+    Neighbours are compared and extended first.  A row's best partner to the right need not be its best one to the left, so
+    windows of ``LEAST`` words around a position that this leaves open are compared among all rows of the head.  The first and the
+    last head of a partition may go on in another one: their windows' keys are returned.
+    """
+    held: list[pa.RecordBatch] = []
+    n, first = 0, None
+
+    def piece(part: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal first
+        head, ids = _ids(part)
+        after, before = _sides(part.column(1).combine_chunks()), _sides(part.column(2).combine_chunks())
+        if first is None:
+            first = head[0]
+        who, left, right = extended(head, ids, after, before)
+        yield _spread(part, who, left, right)
+        known = np.zeros((len(head), SIDE + 1), bool)
+        for o in range(SIDE + 1):
+            known[who[(left >= o) & (right >= LEAST - o)], o] = True
+        edge = (head == first) | (head == head[-1] if last else np.zeros(len(head), bool))
+        group = np.concatenate([[0], np.cumsum(head[1:] != head[:-1])])
+        for o, keys, inside in window_keys(head, after, before):
+            # Heads that have an open row, or that may go on elsewhere; a head's rows lie together.
+            unsure = np.bincount(group, inside & ~known[:, o]) > 0
+            rows = np.flatnonzero(inside & (unsure[group] | edge))
+            rows = rows[np.lexsort((ids[rows], keys[rows]))]
+            if len(rows) == 0:
+                continue
+            k, d = keys[rows], ids[rows]
+            start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            stop = np.append(start[1:], len(k))
+            several = d[start] != d[stop - 1]
+            shared = np.repeat(several, stop - start)
+            hit = rows[shared & ~known[rows, o]]
+            if len(hit):
+                yield _spread(part, hit, np.full(len(hit), o), np.full(len(hit), LEAST - o))
+            # What is shared here already needs one row to speak for it elsewhere.
+            yield _keyed(part, rows[~shared & edge[rows]], o, keys, True)
+            yield _keyed(part, rows[start[several & edge[rows[start]]]], o, keys, False)
 
-def _compared(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The matches within a sorted partition, and its first and last rows, which may match those of the partitions beside it."""
-    first = tail = None
     for batch in source:
-        for k in range(0, batch.num_rows, 50_000):
-            part = batch.slice(k, 50_000)
-            rows = pa.Table.from_batches([part] if tail is None else [tail, part]).combine_chunks().to_batches()[0]
-            yield _joined(matches(rows, rows.num_rows - part.num_rows), True)
-            if first is None or first.num_rows < NEIGHBOURS:
-                first = rows.slice(0, NEIGHBOURS)
-            tail = rows.slice(max(0, rows.num_rows - NEIGHBOURS))
-    if first is not None:
-        yield _joined(first, False)
-        yield _joined(tail, False)
-
-
-def _compared_edges(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tail = None
-    for part in source:
-        if part.num_rows:
-            rows = pa.Table.from_batches([part] if tail is None else [tail, part]).combine_chunks().to_batches()[0]
-            yield matches(rows, rows.num_rows - part.num_rows)
-            tail = rows.slice(max(0, rows.num_rows - 2 * NEIGHBOURS))
+        if batch.num_rows == 0:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n >= PIECE:
+            part = pa.Table.from_batches(held).combine_chunks()
+            head = part.column(0).to_numpy()
+            cut = int(np.searchsorted(head, head[-1]))
+            if cut:
+                yield from piece(part.slice(0, cut).combine_chunks(), False)
+                held, n = part.slice(cut).to_batches(), len(head) - cut
+    if held:
+        yield from piece(pa.Table.from_batches(held).combine_chunks(), True)
 
 
 def repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,10 +286,11 @@ def repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = stored(suffix_rows(docs.join(listed, "id")))
     order = ["head", "after", "before", "id"]
     compared = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compared, BOTH))
-    inner = compared.where("s IS NOT NULL").select(F.col("m_id").alias("id"), F.col("m_words").alias("words"), "s", "e")
-    # A few rows of each partition.
-    edges = compared.where("s IS NULL").select("head", "after", "before", "id", "at", "words").distinct()
-    spans = inner.union(edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(_compared_edges, MATCH))
+    inner = compared.where("s IS NOT NULL").select("id", "words", "s", "e")
+    keyed = compared.where("key IS NOT NULL")
+    over = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    edges = keyed.where("at IS NOT NULL").join(over, "key").select("id", "words", "o", F.explode("at").alias("p")).select("id", "words", (F.col("p") - F.col("o")).alias("s"), (F.col("p") - F.col("o") + LEAST).alias("e"))
+    spans = inner.union(edges)
 
     in_doc = W.partitionBy("id").orderBy("s", "e")
     reach = F.max("e").over(in_doc.rowsBetween(W.unboundedPreceding, -1))
