@@ -64,7 +64,8 @@ def voice_sanity(frames: DataFrame) -> DataFrame:
         p, q = F.when(on, F.col("pitch")), F.when(on, F.col("intensity"))
         both = p.isNotNull() & q.isNotNull()
         p, q = F.when(both, p), F.when(both, q)
-        return F.when((F.count_if(both) > 2) & (F.stddev_pop(p) > 0) & (F.stddev_pop(q) > 0), F.corr(p, q))
+        # corr() itself fails where there is no spread.
+        return F.when(F.count_if(both) > 2, F.covar_pop(p, q) / F.nullif(F.stddev_pop(p) * F.stddev_pop(q), F.lit(0.0)))
 
     formants = [c for c in frames.columns if c.startswith("formant")]
     outside = reduce(lambda a, b: a + b, [F.count_if(~F.col(c).between(0, FORMANT_HIGH)) for c in formants], F.lit(0))
