@@ -14,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed masks; 1: the word counts.
-MASKS = ("110110101101", "111000110111")
+#: Fixed masks; 1: the word counts.  Their ignored words lie 5, 6, 7 or more apart too, so a passage in which every fifth or
+#: later word was substituted keeps a seed at some position.
+MASKS = ("110110101101", "111000110111", "110101110111")
 SPAN = len(MASKS[0])
 SUBSTITUTION = 2
 LEAST_SCORE = 12

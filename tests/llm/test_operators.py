@@ -175,12 +175,14 @@ def test_decontamination(spark, monkeypatch, broadcast):
     swap = lambda t, at: " ".join("zz" if i in at else w for i, w in enumerate(t.split(" ")))
     t = [prose(r, 80), prose(r, 10) + " " + items[0] + " " + prose(r, 9), swap(items[1], {4, 13}), "(" + items[2].upper() + ")", " ".join(items[2].split(" ")[20:45]), items[3], "", None]
     t.append(swap(items[0], set(range(0, 40, 3))))
+    regular = [(n, k) for n in (5, 6, 7, 8, 9, 11, 12) for k in (0, 2, n - 1)]
+    t += [swap(items[2], set(range(k, 60, n))) for n, k in regular]
     docs = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
     bench = spark.createDataFrame([*enumerate(items), (9, None), (0, items[0])], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(docs, bench).collect()}
     expect = {(i, k): overlaps(x, y) for i, x in enumerate(t) for k, y in enumerate(items) if len(y.split(" ")) >= decontam.SPAN}
     assert got == {k: v for k, v in expect.items() if v >= decontam.LEAST_SCORE}
-    assert {k[0] for k in got} == {1, 2, 3, 4}
+    assert {k[0] for k in got} == {1, 2, 3, 4} | set(range(9, 9 + len(regular)))
     assert decontam.contaminated(docs.limit(0), bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
