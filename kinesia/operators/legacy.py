@@ -100,6 +100,30 @@ def quartile_bins(v: str, by: list[str]) -> tuple[Column, Column]:
     return above + 1, reduce(lambda a, b: a & b, [p[i] < p[i + 1] for i in range(4)])
 
 
+def table_quartiles(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
+    """Add ``{c}_qbin``: each value's quartile (1-4) in the whole table; null where the edges don't differ.
+
+    The edges are exact, which needs all different values in one task; ``accuracy`` takes approximate ones instead.
+    """
+    shares = F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)])
+    edge = lambda c: F.percentile(F.col(c), shares) if accuracy is None else F.percentile_approx(F.col(c), shares, accuracy)
+    x = df.join(F.broadcast(df.agg(*[edge(c).alias(f"_e_{c}") for c in columns])))
+    bins = {}
+    for c in columns:
+        e, v = F.col(f"_e_{c}"), F.col(c)
+        above = reduce(lambda a, b: a + b, [(v > e[i]).cast("int") for i in (1, 2, 3)])
+        bins[f"{c}_qbin"] = F.when(reduce(lambda a, b: a & b, [e[i] < e[i + 1] for i in range(4)]), above + 1)
+    return x.withColumns(bins).drop(*[f"_e_{c}" for c in columns])
+
+
+def fixed_bins(v: Column, edges: list[float]) -> Column:
+    """bin1, bin2, ... by right-closed edges, the lowest edge belonging to bin1; null outside."""
+    out = F.when(v.between(edges[0], edges[1]), F.lit("bin1"))
+    for k in range(1, len(edges) - 1):
+        out = out.when((v > edges[k]) & (v <= edges[k + 1]), F.lit(f"bin{k + 1}"))
+    return out
+
+
 def quartile_histograms(frames: DataFrame, columns: list[str]) -> DataFrame:
     """Counts of each clip's frames by the quartile of each column; equal edges give zeros."""
     d = frames

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinesia.config import VisibilityConfig
+from kinesia.functions.ranks import with_place
 from kinesia.schema import KEYS, NECK_TOLERANCE
 
 FRAME = (*KEYS, "frame")
@@ -139,8 +140,8 @@ def prescreen(detections: DataFrame, least: float = 0.5) -> DataFrame:
 def rank_clips(scores: DataFrame) -> DataFrame:
     """Best first: sp_any, sp_both, name; a missing score comes after 0."""
     key = lambda c: -F.coalesce(F.when(~F.isnan(c), F.col(c)), F.lit(-1.0))
-    order = W.partitionBy(F.lit(0)).orderBy(key("sp_any"), key("sp_both"), "video")
-    return scores.withColumn("rank", F.row_number().over(order).cast("long"))
+    x = with_place(scores, "rank", key("sp_any"), key("sp_both"), F.col("video"))
+    return x.withColumn("rank", F.col("rank") + 1)
 
 
 def admit(scores: DataFrame, any_least: float = 0.6) -> DataFrame:
@@ -158,7 +159,7 @@ def systematic_sample(ranked: DataFrame, n: int, order: list[Column], total: int
 
     Places are i * (total - 1) / (n - 1), rounded half to even; with n <= total no two places are equal.
     """
-    x = ranked.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)) - 1)
+    x = with_place(ranked, "place", *order)
     if n >= total:
         return x
     if n == 1:

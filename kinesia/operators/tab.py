@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinesia.functions.ranks import with_place
 from kinesia.operators.qc import DataError, require_none
 
 FIELDS = ("program", "clip", "start_sec", "start_frac", "end_sec", "end_frac", "context")
@@ -100,7 +100,7 @@ def paddings(matched: DataFrame) -> DataFrame:
 
 def first_by_name(files: DataFrame, n: int, total: int) -> DataFrame:
     """``n`` files, evenly spaced in the order of their names."""
-    x = files.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("name")) - 1)
+    x = with_place(files, "place", F.col("name"))
     if n >= total:
         return x
     return x.where(F.col("place").isin([i * total // n for i in range(n)]))

@@ -123,3 +123,11 @@ def minmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"), "c_acctbal")
     return L.rank_quartiles(c, "c_acctbal", "label").select("id", "label", "quartile")
+
+
+@register("cog_quartiles", f"""WITH {LEGACY_SQL}, e AS (SELECT quantile_cont(right_cog_distance, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q FROM frames)
+SELECT id, frame, 1 + (right_cog_distance > q[2])::INT + (right_cog_distance > q[3])::INT + (right_cog_distance > q[4])::INT AS right_cog_distance_qbin,
+  CASE WHEN right_cog_distance <= 1 THEN 'bin1' WHEN right_cog_distance <= 2 THEN 'bin2' WHEN right_cog_distance <= 3 THEN 'bin3' END AS bin FROM frames, e""")
+def cog_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = L.table_quartiles(frames(spark, sf_dir), ["right_cog_distance"])
+    return x.select("id", "frame", "right_cog_distance_qbin", L.fixed_bins(F.col("right_cog_distance"), [0.0, 1.0, 2.0, 3.0]).alias("bin"))

@@ -124,34 +124,44 @@ def test_pair(spark):
     assert r.mirror_error_x == pytest.approx(0.2) and r.mirror_error_y == 0
 
 
-def extended(spark, *args, **kw):
-    return gesture_sequences(gesture_frames(wide(spark, *args, **kw), extended=True), extended=True).first().asDict()
-
-
-def test_circle_areas(spark):
-    pts = [(math.cos(4 * math.pi * i / 60), math.sin(4 * math.pi * i / 60)) for i in range(61)]
-    s = extended(spark, pts)
+@pytest.fixture(scope="module")
+def extended(spark):
+    """Extended features of several clips, computed together."""
+    few = [(0.1 * i, 0) for i in range(8)]
+    clips = [
+        wide(spark, [(math.cos(4 * math.pi * i / 60), math.sin(4 * math.pi * i / 60)) for i in range(61)], name="circle"),
+        wide(spark, [(1 + abs((i % 40) - 20) * 0.05, 1) for i in range(61)], name="back and forth"),
+        wide(spark, [(1, 1)] * 61, name="stationary"),
+        wide(spark, few, left=few, name="few"),
+        wide(spark, [None] * 20, name="none"),
+    ]
+    every = clips[0]
+    for c in clips[1:]:
+        every = every.union(c)
+    return {r.id: r.asDict() for r in gesture_sequences(gesture_frames(every, extended=True), extended=True).collect()}
+
+
+def test_circle_areas(extended):
+    s = extended["circle"]
     assert s["right_hull_area"] == pytest.approx(math.pi, rel=0.05) and s["right_ellipse_area"] == pytest.approx(2 * math.pi, rel=0.05) and s["right_bbox_area"] == pytest.approx(4, rel=0.05)
 
 
-def test_back_and_forth(spark):
-    pts = [(1 + abs((i % 40) - 20) * 0.05, 1) for i in range(61)]
-    s = extended(spark, pts, [i / 30 for i in range(61)])
+def test_back_and_forth(extended):
+    s = extended["back and forth"]
     assert s["right_reversals_x"] == 2 and s["right_reversals_y"] is None and s["right_reversals_radial"] == 2
     assert s["right_reversals_per_s"] == pytest.approx(1.0)
 
 
-def test_stationary(spark):
-    s = extended(spark, [(1, 1)] * 61)
+def test_stationary(extended):
+    s = extended["stationary"]
     assert s["right_cv_speed"] is None and s["right_speed_skew"] is None and s["right_frac_speed_gt_0p5"] == 0
     assert s["right_hull_area"] == 0 and s["right_ellipse_area"] == 0
 
 
-def test_few_samples_and_none(spark):
-    pts = [(0.1 * i, 0) for i in range(8)]
-    s = extended(spark, pts, left=pts)
+def test_few_samples_and_none(extended):
+    s = extended["few"]
     assert s["right_speed_p50"] is None and s["right_n_speed"] == 8 and s["n_cos_phase"] == 8 and s["coactivity_bout_n"] == 1
-    s = extended(spark, [None] * 20)
+    s = extended["none"]
     counters = {"right_n_speed", "left_n_speed", "n_cos_phase", "coactivity_bout_n"}
     names = set(S.EXTENDED_SEQUENCE_COLUMNS) - set(S.SEQUENCE_COLUMNS)
     assert {k for k in names if s[k] is not None} == counters and all(s[k] == 0 for k in counters)
