@@ -17,9 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = getattr(context, "_kinesia_folder", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        context._kinesia_folder = folder
     return folder.rstrip("/")
 
 
