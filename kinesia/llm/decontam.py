@@ -4,7 +4,7 @@ A seed is a window of ``SPAN`` words of which a fixed mask ignores some, so a
 substituted word spoils only the windows in which the mask reads it.  Seeds of
 the documents are joined with those of the benchmark; around each hit the item is
 laid along the document, and the best stretch of words, where a match counts 1
-and a substitution -2, decides.
+and a substitution -2, decides, or the share of the item's words that match there.
 
 Words are runs of letters and digits, lower-cased.
 """
@@ -14,19 +14,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed masks; 1: the word counts.  Their ignored words lie 5, 6, 7 or more apart too, so a passage in which every fifth or
-#: later word was substituted keeps a seed at some position.
-MASKS = ("110110101101", "111000110111", "110101110111")
+#: Fixed masks; 1: the word counts.  Their ignored words lie 5, 6, 7 or more apart too, so a passage of 15 words or more in which
+#: every fifth or later word was substituted keeps a seed at some position; one of 12 to 14 words may have none.
+MASKS = ("110110101101", "111000110111", "110101110111", "010111011011")
 SPAN = len(MASKS[0])
 SUBSTITUTION = 2
 LEAST_SCORE = 12
+#: Percent of an item's words that match where it is laid; so many are a copy of the whole item, however short it is.
+LEAST_SHARE = 75
 MAX_BROADCAST_SEEDS = 2_000_000
 SEPARATOR = r"[^\p{L}\p{N}]+"
 
 
+def no_word() -> Column:
+    return F.xxhash64(F.lit(None).cast("string"), F.lit(0))
+
+
 def word_hashes(text: Column) -> Column:
     """A leading or trailing separator leaves an empty word at that edge, which shifts positions and matches nothing."""
-    return F.transform(F.split(F.lower(text), SEPARATOR), lambda w: F.when(w == "", F.xxhash64(F.lit(None).cast("string"), F.lit(0))).otherwise(F.xxhash64(w)))
+    return F.transform(F.split(F.lower(text), SEPARATOR), lambda w: F.when(w == "", no_word()).otherwise(F.xxhash64(w)))
+
+
+def real_words(h: str) -> Column:
+    return F.filter(h, lambda w: w != no_word())
 
 
 def seed_hash(words: Column, at: Column, mask: int) -> Column:
@@ -56,11 +66,13 @@ def best_stretch(flags: Column) -> Column:
     return F.aggregate(flags, start, step, lambda s: F.struct(s["score"].alias("score"), s["words"].alias("words")))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", least_score: int = LEAST_SCORE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", least_score: int = LEAST_SCORE, short_items: bool = False) -> DataFrame:
     """(doc_id, item_id, score, matched_words, item_words, at_word): a row for each document and item that overlap.
 
-    at_word is where in the document the item would begin, for the best alignment (the smallest of equals).  Null or empty texts
-    overlap with nothing, nor do items of fewer than ``SPAN`` words.  Rows of one id are one document; a null id is reported as
+    A pair overlaps if the best stretch scores ``least_score``, or if ``LEAST_SHARE`` percent of the item's words match where it is
+    laid; then all of these are the matched words.  at_word is where in the document the item would begin, for the best alignment
+    (the smallest of equals).  Null or empty texts overlap with nothing.  Items of fewer than ``SPAN`` words, down to a single one,
+    overlap under ``short_items`` with documents that hold all their words in a row, and otherwise with nothing.  Rows of one id are one document; a null id is reported as
     such.  Items of one id are one item.  The benchmark's seeds are broadcast if they are ``MAX_BROADCAST_SEEDS`` or fewer;
     beyond that they are joined by a shuffle of positions, without the texts.
     """
@@ -81,9 +93,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     lead = F.least(F.col("offset"), F.lit(0))
     flags = F.transform(F.col("h"), lambda w, j: F.coalesce(F.when(j + F.col("lead") >= 0, F.get(F.col("part"), (j + F.col("lead")).cast("int")) == w), F.lit(False)))
     laid = part.withColumn("lead", lead).join(items.select("item", "item_id", "h"), "item")
-    scored = laid.select("doc_id", "item_id", "offset", F.size("h").alias("item_words"), best_stretch(flags).alias("s")).where(F.col("s.score") >= least_score)
+    laid = laid.withColumn("_ok", flags).withColumn("_all", F.size(F.filter("_ok", lambda x: x)))
+    whole = F.col("_all") * 100 >= F.size(real_words("h")) * LEAST_SHARE
+    scored = laid.select("doc_id", "item_id", "offset", F.size("h").alias("item_words"), "_all", whole.alias("_whole"), best_stretch(F.col("_ok")).alias("s"))
+    scored = scored.where(F.col("_whole") | (F.col("s.score") >= least_score))
+    scored = scored.withColumn("s", F.struct("s.score", F.when(F.col("s.score") >= least_score, F.col("s.words")).otherwise(F.col("_all")).alias("words")))
+    scored = scored.select("doc_id", "item_id", "offset", "item_words", "s")
+    if short_items:
+        scored = scored.unionByName(whole_items(mine, items))
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("s.score", "s.words", (-F.col("offset")).alias("_o"), "item_words")).alias("b"))
     return best.select(
         "doc_id", "item_id", F.col("b.score").cast("long").alias("score"), F.col("b.words").cast("long").alias("matched_words"),
         F.col("b.item_words").cast("long").alias("item_words"), (-F.col("b._o")).cast("long").alias("at_word"),
     )
+
+
+def whole_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, offset, item_words, s): where items(item_id, h) of fewer than ``SPAN`` words lie word by word in docs(doc_id, h)."""
+    short = items.select("item_id", F.size("h").alias("item_words"), (F.get("h", F.lit(0)) == no_word()).cast("int").alias("_lead"), real_words("h").alias("_b"))
+    short = short.where((F.size("_b") > 0) & (F.size("_b") < SPAN)).withColumn("_key", F.xxhash64("_b"))
+    lengths = [r[0] for r in short.groupBy(F.size("_b").alias("n")).count().collect()]
+    if lengths and short.count() <= MAX_BROADCAST_SEEDS:
+        short = F.broadcast(short)
+    rows = docs.select("doc_id", "h", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("_n")).where(F.size("h") >= F.col("_n"))
+    rows = rows.select("doc_id", F.col("_n"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("h") - F.col("_n") + 1), lambda i: F.slice("h", i, F.col("_n")))).alias("_at", "_a"))
+    met = rows.withColumn("_key", F.xxhash64("_a")).join(short, "_key").where(F.col("_a") == F.col("_b"))
+    return met.select("doc_id", "item_id", (F.col("_at") - F.col("_lead")).alias("offset"), "item_words", F.struct(F.col("_n").alias("score"), F.col("_n").alias("words")).alias("s"))

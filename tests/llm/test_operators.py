@@ -186,6 +186,25 @@ def test_decontamination(spark, monkeypatch, broadcast):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_of_whole_short_items(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(decontam, "MAX_BROADCAST_SEEDS", 0)
+    made = lambda k, n: [f"w{k}x{i}" for i in range(n)]
+    swap = lambda w, at: " ".join("zz" if i in at else x for i, x in enumerate(w))
+    cases = [(n, set(range(k, n, every))) for n in range(15, 31) for every in (5, 6, 7) for k in (1, every // 2, every - 1)] + [(16, {6, 11})]
+    items = [made(k, n) for k, (n, _) in enumerate(cases)] + [made(900 + n, n) for n in (1, 3, 11)]
+    t = ["so it says " + swap(items[k], at) + " and more" for k, (_, at) in enumerate(cases)]
+    t += ["before (" + " ".join(x).upper() + ") after" for x in items[-3:]] + [swap(items[-1], {5})]
+    docs = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x) + ".") for k, x in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.contaminated(docs, bench, short_items=True).collect()}
+    assert all(r.doc_id == r.item_id for r in got.values()) and set(got) == set(range(len(items)))
+    assert any(r.score < decontam.LEAST_SCORE <= r.matched_words for r in got.values())
+    assert all(got[k].at_word == (3 if k < len(cases) else 1) for k in got)
+    assert got[len(cases) - 1].matched_words == 14 and got[len(cases) - 1].score == 10
+
+
 # ---------------------------------------------------------------- op3
 
 
