@@ -39,6 +39,7 @@ LOOKALIKES = {
     ".": "․。", "-": "‐‑‒–—−", "@": "＠﹫",
 }
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Spelled digits that a run needs in the second reading; the first one undoes all of them.
 LEAST_SPELLED = 4
 _INVISIBLE = "­​‌‍⁠﻿"
 
@@ -62,14 +63,18 @@ _RULES = re.compile(
     rf"(?P<gone>[{_INVISIBLE}]+)"
     r"|(?P<at>\s*[\[({<]\s*at\s*[\])}>]\s*|(?<=[A-Za-z0-9_])\s+at\s+(?=[A-Za-z0-9-]++(?:(?:\s+dot\s+|\s*[\[({<]\s*dot\s*[\])}>]\s*)[A-Za-z0-9-]++)++(?!\s+at\s)))"
     r"|(?P<dot>\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9]))"
-    rf"|(?P<digits>(?:\bplus[\s-]+)?\b(?:{_WORD}|[0-9]+)(?:[\s,-]+(?:{_WORD}|[0-9]+))+\b)",
+    rf"|(?P<digits>(?:\bplus[\s-]+)?\b(?:{_WORD}|[0-9]+)(?:[\s,-]+(?:{_WORD}|[0-9]+))*\b)",
     re.IGNORECASE,
 )
+_PIECE_WORD = re.compile(_WORD, re.IGNORECASE)
 _PIECE = re.compile(rf"{_WORD}|plus|[0-9]", re.IGNORECASE)
 
 
-def undisguised(text: str) -> tuple[str, np.ndarray, np.ndarray]:
-    """The normalised text, and for each of its characters the source range (start, end) that it stands for."""
+def undisguised(text: str, least: int = LEAST_SPELLED) -> tuple[str, np.ndarray, np.ndarray]:
+    """The normalised text, and for each of its characters the source range (start, end) that it stands for.
+
+    Runs of fewer than ``least`` spelled digits stay as they are.
+    """
     flat = text.translate(_one_to_one())
     parts: list[str] = []
     starts: list[np.ndarray] = []
@@ -91,7 +96,7 @@ def undisguised(text: str) -> tuple[str, np.ndarray, np.ndarray]:
         kind = m.lastgroup
         if kind == "digits":
             pieces = list(_PIECE.finditer(m[0]))
-            if sum(p[0].lower() in DIGIT_WORDS for p in pieces) < LEAST_SPELLED:
+            if sum(p[0].lower() in DIGIT_WORDS for p in pieces) < least:
                 continue
             copy(at, m.start())
             for p in pieces:
@@ -149,15 +154,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """What is found only after the disguises are undone, in source positions; what overlaps a fixed match of any kind is not added."""
-    plain, starts, ends = undisguised(text)
-    if plain == text:
-        return []
-    out = []
-    for kind, s, e in base_spans(plain):
-        p, q = int(starts[s]), int(ends[e - 1])
-        if text[p:q] != plain[s:e] and all(q <= bs or p >= be for _, bs, be in base):
-            out.append((kind, p, q))
+    """What is found only after the disguises are undone, in source positions; what overlaps a fixed match of any kind is not added.
+
+    All spelled digits are undone first, and the patterns decide.  A number word beside an identifier may spoil it then, so what
+    is found while short runs of them stay as they are is added where nothing else was.
+    """
+    first = undisguised(text, 1)
+    readings = [first]
+    if _PIECE_WORD.search(text):
+        second = undisguised(text)
+        if second[0] != first[0]:
+            readings.append(second)
+    out, taken = [], [(s, e) for _, s, e in base]
+    for plain, starts, ends in readings:
+        if plain == text:
+            continue
+        new = []
+        for kind, s, e in base_spans(plain):
+            p, q = int(starts[s]), int(ends[e - 1])
+            if text[p:q] != plain[s:e] and all(q <= bs or p >= be for bs, be in taken):
+                new.append((kind, p, q))
+        out += new
+        taken += [(p, q) for _, p, q in new]
     return out
 
 
@@ -174,6 +192,27 @@ def _hash_of(word: str) -> np.uint64:
     return _text.span_hash(data, np.array([0]), np.array([len(data)]), True)[0]
 
 
+def spelled_numbers(data: np.ndarray, offs: np.ndarray, a: np.ndarray, own: np.ndarray, h: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+    """Which texts hold a stretch, without words other than those of numbers, that has spelled digits and enough digits for an identifier.
+
+    a, own, h: start, text and hash of each run of letters.  An IP address has 4 digits and 3 dots at least, a number 9 digits.
+    """
+    dot = h == _hash_of("dot")
+    ends = np.cumsum(~(spelled | dot | (h == _hash_of("plus"))))
+    of_words = ends + own
+    # A stretch ends at each other word and at the end of a text; both numbers only grow, so their sum names it.
+    def of(at):
+        return np.concatenate([[0], ends])[np.searchsorted(a, at)] + _text.owner(at, offs)
+
+    n = int(ends[-1]) + len(offs)
+    count = lambda x: np.bincount(x, minlength=n)
+    words = count(of_words[spelled])
+    digits = words + count(of(np.flatnonzero(_DIGIT[data])))
+    dots = count(of_words[dot]) + count(of(np.flatnonzero(data == 46)))
+    found = (words > 0) & ((digits >= 9) | ((digits >= 4) & (dots >= 3)))
+    return np.bincount(own[spelled & found[of_words]], minlength=len(offs) - 1) > 0
+
+
 def suspects(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which texts can hold a fixed match, and which can hold a disguise; neither test misses a text."""
     has = lambda flags: _text.count_in(flags[data], offs)
@@ -181,11 +220,15 @@ def suspects(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     odd = has(_STRANGE) > 0
     soft = np.flatnonzero((data[:-1] == 0xC2) & (data[1:] == 0xAD))
     odd[_text.owner(soft, offs)] = True
-    a, b = _text.spans(_LETTER[data], offs)
+    # Whitespace of two bytes: U+0085 and U+00A0.
+    wide = np.flatnonzero((data[:-1] == 0xC2) & np.isin(data[1:], (0x85, 0xA0)))
+    letter = _LETTER[data]
+    letter[wide] = letter[wide + 1] = False
+    a, b = _text.spans(letter, offs)
     if len(a):
         own, h = _text.owner(a, offs), _text.span_hash(data, a, b, True)
         spelled = np.isin(h, np.array([_hash_of(w) for w in DIGIT_WORDS]))
-        few = np.bincount(own[spelled], minlength=len(offs) - 1) >= LEAST_SPELLED
+        few = spelled_numbers(data, offs, a, own, h, spelled) if spelled.any() else False
         at = np.bincount(own[h == _hash_of("at")], minlength=len(offs) - 1) > 0
         # A "(.)" or a spelled one; a bracketed "at" needs neither.
         opened = np.isin(data[np.maximum(a - 1, 0)], np.frombuffer(b"[({< \n\t", np.uint8))

@@ -471,6 +471,25 @@ def test_pii_offsets_are_those_of_the_source():
     assert pii.added_spans("the two of them sat at one table, and a dot on the map", []) == []
 
 
+@pytest.mark.parametrize(
+    "text,kind,found",
+    [
+        ("ip one nine two dot one six eight dot one dot five ok", "ip", "one nine two dot one six eight dot one dot five"),
+        ("ip 10 [.] zero [dot] 0 dot 1 ok", "ip", "10 [.] zero [dot] 0 dot 1"),
+        ("ip 10.0.0.seven ok", "ip", "10.0.0.seven"),
+        ("call plus four nine 170 1234567 ok", "phone", "plus four nine 170 1234567"),
+        ("call +49 one two three 4567890 ok", "phone", "+49 one two three 4567890"),
+        ("card 4111 1111 1111 one 111 ok", "card", "4111 1111 1111 one 111"),
+        ("card 4111\u00a01111\u00a01111\u00a0one\u00a0one\u00a011 ok", "card", "4111\u00a01111\u00a01111\u00a0one\u00a0one\u00a011"),
+        ("call ＋491701234567890, two of us", "phone", "＋491701234567890"),
+    ],
+)
+def test_pii_few_spelled_digits(text, kind, found):
+    test_pii_disguises(text, kind, found)
+    around = ["in 1998 one of nine. Or two.", text, "at one. Then two. three. four."]
+    assert pii.suspects(*_text.texts(pa.array(around)))[1].tolist() == [False, True, False]
+
+
 # ---------------------------------------------------------------- op9
 
 
