@@ -59,13 +59,19 @@ def _one_to_one() -> dict[int, str]:
 
 
 _WORD = "(?:" + "|".join(DIGIT_WORDS) + ")"
+_LABEL = "[A-Za-z0-9-]++"
+_DOT = r"(?:\s+dot\s+|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*)"
+# The separators of a domain may be plain, spelled or bracketed.  Of "x at y.com at z.com" the last "at" counts.
 _RULES = re.compile(
     rf"(?P<gone>[{_INVISIBLE}]+)"
-    r"|(?P<at>\s*[\[({<]\s*at\s*[\])}>]\s*|(?<=[A-Za-z0-9_])\s+at\s+(?=[A-Za-z0-9-]++(?:(?:\s+dot\s+|\s*[\[({<]\s*dot\s*[\])}>]\s*)[A-Za-z0-9-]++)++(?!\s+at\s)))"
+    rf"|(?P<at>\s*[\[({{<]\s*at\s*[\])}}>]\s*|(?<=[A-Za-z0-9_])\s+at\s+(?=(?P<domain>{_LABEL}(?:(?:\.|{_DOT}){_LABEL})++)(?!\s+at\s+{_LABEL}(?:{_DOT}[A-Za-z0-9]|(?:\.{_LABEL})*\.[A-Za-z]{{2,}}\b))))"
     r"|(?P<dot>\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9]))"
     rf"|(?P<digits>(?:\bplus[\s-]+)?\b(?:{_WORD}|[0-9]+)(?:[\s,-]+(?:{_WORD}|[0-9]+))*\b)",
     re.IGNORECASE,
 )
+#: A domain without any disguise; it ends in letters, so that "at 10.30" is a time.
+_PLAIN_DOMAIN = re.compile(r"[A-Za-z0-9.-]+")
+_PLAIN_END = re.compile(r"\.[A-Za-z]{2,}\Z")
 _PIECE_WORD = re.compile(_WORD, re.IGNORECASE)
 _PIECE = re.compile(rf"{_WORD}|plus|[0-9]", re.IGNORECASE)
 
@@ -102,6 +108,8 @@ def undisguised(text: str, least: int = LEAST_SPELLED) -> tuple[str, np.ndarray,
             for p in pieces:
                 write(DIGIT_WORDS.get(p[0].lower(), "+" if p[0].lower() == "plus" else p[0]), m.start() + p.start(), m.start() + p.end())
         else:
+            if m["domain"] and _PLAIN_DOMAIN.fullmatch(m["domain"]) and not _PLAIN_END.search(m["domain"]):
+                continue
             copy(at, m.start())
             if kind != "gone":
                 write("@" if kind == "at" else ".", m.start(), m.end())
@@ -213,6 +221,25 @@ def spelled_numbers(data: np.ndarray, offs: np.ndarray, a: np.ndarray, own: np.n
     return np.bincount(own[spelled & found[of_words]], minlength=len(offs) - 1) > 0
 
 
+def plain_domains(data: np.ndarray, offs: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Which texts hold a word "at" before a word with a dot inside, or before any word if a dot stands behind a bracket or whitespace.
+
+    wide: where whitespace of two bytes begins.
+    """
+    blank = _text.IS_SPACE[data] | ((data >= 0x1C) & (data <= 0x1F))
+    blank[wide] = blank[wide + 1] = True
+    a, b = _text.spans(~blank, offs)
+    own = _text.owner(a, offs)
+    dot = np.flatnonzero(data == 46)
+    apart = blank[np.maximum(dot - 1, 0)] | np.isin(data[np.maximum(dot - 1, 0)], np.frombuffer(b"[({<", np.uint8))
+    loose = np.bincount(_text.owner(dot[apart], offs), minlength=len(offs) - 1) > 0
+    inner = np.searchsorted(dot, b - 1) > np.searchsorted(dot, a, side="right")
+    at = np.flatnonzero((b - a == 2) & (data[a] | 32 == 97) & (data[np.minimum(a + 1, len(data) - 1)] | 32 == 116))
+    at = at[at + 1 < len(a)]
+    at = at[(own[at + 1] == own[at]) & (inner[at + 1] | loose[own[at]])]
+    return np.bincount(own[at], minlength=len(offs) - 1) > 0
+
+
 def suspects(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which texts can hold a fixed match, and which can hold a disguise; neither test misses a text."""
     has = lambda flags: _text.count_in(flags[data], offs)
@@ -220,6 +247,7 @@ def suspects(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     odd = has(_STRANGE) > 0
     soft = np.flatnonzero((data[:-1] == 0xC2) & (data[1:] == 0xAD))
     odd[_text.owner(soft, offs)] = True
+    odd |= (has(np.isin(_B, (40, 60, 91, 123))) > 0) & (has(_DIGIT) > 0)
     # Whitespace of two bytes: U+0085 and U+00A0.
     wide = np.flatnonzero((data[:-1] == 0xC2) & np.isin(data[1:], (0x85, 0xA0)))
     letter = _LETTER[data]
@@ -230,14 +258,15 @@ def suspects(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
         spelled = np.isin(h, np.array([_hash_of(w) for w in DIGIT_WORDS]))
         few = spelled_numbers(data, offs, a, own, h, spelled) if spelled.any() else False
         at = np.bincount(own[h == _hash_of("at")], minlength=len(offs) - 1) > 0
-        # A "(.)" or a spelled one; a bracketed "at" needs neither.
+        # A plain or bracketed dot, or a spelled one; a bracketed "at" needs none.
         opened = np.isin(data[np.maximum(a - 1, 0)], np.frombuffer(b"[({< \n\t", np.uint8))
         bracket = np.isin(data[np.maximum(a - 1, 0)], np.frombuffer(b"[({<", np.uint8)) | ((data[np.maximum(a - 1, 0)] == 32) & np.isin(data[np.maximum(a - 2, 0)], np.frombuffer(b"[({<", np.uint8)))
         closed_at = np.bincount(own[(h == _hash_of("at")) & opened & bracket], minlength=len(offs) - 1) > 0
+        at_domain = plain_domains(data, offs, wide) if at.any() else False
         dots = np.bincount(own[h == _hash_of("dot")], minlength=len(offs) - 1) > 0
         signs = (has(_B == 64) > 0) & (has(np.isin(_B, (40, 60, 91, 123))) > 0)
         digits = has(_DIGIT) > 0
-        odd |= few | closed_at | (at & dots) | (dots & ((has(_B == 64) > 0) | digits)) | signs | ((has(np.isin(_B, (40, 60, 91, 123))) > 0) & digits)
+        odd |= few | closed_at | at_domain | (at & dots) | (dots & ((has(_B == 64) > 0) | digits)) | signs
     return base, odd
 
 

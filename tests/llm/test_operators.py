@@ -490,6 +490,26 @@ def test_pii_few_spelled_digits(text, kind, found):
     assert pii.suspects(*_text.texts(pa.array(around)))[1].tolist() == [False, True, False]
 
 
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ("mail anna at example.com now", "anna at example.com"),
+        ("mail anna AT mail.example dot com.", "anna AT mail.example dot com"),
+        ("mail anna at example(.)com now", "anna at example(.)com"),
+        ("mail anna at example dot com at noon", "anna at example dot com"),
+        ("mail anna at example.com at 10.30 or so", "anna at example.com"),
+        ("mail anna\u00a0at\u00a0mail.example.com", "anna\u00a0at\u00a0mail.example.com"),
+        ("mail anna at mail [ . ] example.org", "anna at mail [ . ] example.org"),
+        ("from x at y.com at z.com now", "y.com at z.com"),
+    ],
+)
+def test_pii_spelled_at(text, found):
+    test_pii_disguises(text, "email", found)
+    around = ["They met at noon. All of them.", text, "Look at it. at"]
+    assert pii.suspects(*_text.texts(pa.array(around)))[1].tolist() == [False, True, False]
+    assert pii.added_spans("It starts at 10.30 and is sold at 12.99. Be at home.", []) == []
+
+
 # ---------------------------------------------------------------- op9
 
 
