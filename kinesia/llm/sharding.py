@@ -1,7 +1,7 @@
 """Two-pass external shuffle into shards (native: DataFrame functions only).
 
-Pass one scatters the rows into buckets that fit in memory, by seeded hashes of
-the id; pass two gathers each bucket as an array, shuffles it by Fisher-Yates
+Pass one scatters the rows into buckets that fit in memory: the shard by the id,
+the bucket in it by a seeded hash of id and text, so that one id may have any number of rows; pass two gathers each bucket as an array, shuffles it by Fisher-Yates
 (``shuffle`` with a seed) and writes it in that order.  A shard is made of whole
 buckets, so it needs no task that holds all of it.
 
@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from kinesia.llm._shared import plain, stored
+
 ROW_BYTES = 16
+#: A bucket beyond so many times its size, its largest row aside, holds many equal rows.
+OVERFULL = 4
 MAX_PARTITIONS = 20_000
 RESULT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
@@ -45,19 +49,31 @@ def external_shuffle(
     size: UTF-8 bytes of the text plus 16 (null text: 16); text_crc32: unsigned, null for a null text; slot: from 0, without
     gaps, in each shard; grown_shard: the shard among ``n_shards + 1``.  A row with a null id goes to the shard of null.
     Repeated rows are kept, each with a slot of its own.  Input columns named like a result column are replaced.
-    A bucket holds ``bucket_bytes`` on average, by one sum over the sizes; rows of one id share a bucket.
+    A bucket holds ``bucket_bytes`` on average, by one sum over the sizes of each shard, however many rows an id has.  Only equal
+    rows of an id share a bucket; if these overfill one, the table is written once with a number for each row that deals them too.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be 1 or more")
     names = [c for c in (df.columns if keep is None else keep) if c not in RESULT]
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + F.lit(ROW_BYTES)
-    total = df.agg(F.sum(size)).first()[0] or 0
-    per_shard = max(1, min(MAX_PARTITIONS // n_shards or 1, -(-total // (n_shards * bucket_bytes))))
-
-    key = F.col(id_col)
+    key, crc = F.col(id_col), F.crc32(F.col(text_col).cast("binary"))
     best = shard_of(key, n_shards, seed)
-    place = (best["s"].alias("_shard"), F.pmod(weight(seed, -1, key), F.lit(per_shard)).cast("int").alias("_bucket"))
-    counts = df.select(key).select(*place).groupBy("_shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    shard = best["s"]
+    sums = dict(df.select(shard.alias("_shard"), size.alias("_size")).groupBy("_shard").agg(F.sum("_size")).collect())
+    n_buckets = [-(-sums.get(s, 1) // bucket_bytes) for s in range(n_shards)]
+    of_shard = F.get(F.array(*[F.lit(n) for n in n_buckets]), shard)
+
+    def placed(*salt: Column) -> tuple[list[Column], DataFrame]:
+        """The columns _shard and _bucket, and the rows and bytes in each."""
+        place = [shard.alias("_shard"), F.pmod(F.xxhash64(F.lit(seed), F.lit(-1), key, crc, *salt), of_shard).cast("int").alias("_bucket")]
+        n = df.select(*place, size.alias("_size")).groupBy("_shard", "_bucket")
+        return place, stored(n.agg(F.count(F.lit(1)).alias("_n"), (F.sum("_size") - F.max("_size")).alias("_rest")))
+
+    place, counts = placed()
+    if counts.where(F.col("_rest") > OVERFULL * bucket_bytes).limit(1).count():
+        salt = max(["_salt", *df.columns], key=len) + "_"
+        df = stored(df.withColumn(salt, F.monotonically_increasing_id()))
+        place, counts = placed(F.col(plain(salt)))
     before = W.partitionBy("_shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     first = counts.select("_shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
 
@@ -65,11 +81,11 @@ def external_shuffle(
     rows = df.select(
         *place,
         F.struct(
-            key.alias("_id"), size.alias("size"), F.crc32(F.col(text_col).cast("binary")).alias("text_crc32"), grown.alias("grown_shard"),
+            key.alias("_id"), size.alias("size"), crc.alias("text_crc32"), grown.alias("grown_shard"),
             F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
         ).alias("_row"),
     )
-    partitions = n_shards * per_shard
+    partitions = min(MAX_PARTITIONS, sum(n_buckets))
     buckets = (
         rows.repartition(partitions, "_shard", "_bucket")
         .groupBy("_shard", "_bucket")

@@ -543,6 +543,16 @@ def test_sharding_keeps_rows_and_balances(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "shards")).count() == 20_000
 
 
+@pytest.mark.parametrize("key,text", [(None, "concat('t', id)"), (7, "'same'")])
+def test_sharding_spreads_rows_of_one_id(spark, key, text):
+    """A third of the rows have one id, with different texts or one."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 != 0, F.col("id") + 10).otherwise(F.lit(key)).cast("long").alias("doc_id"), F.expr(text).alias("text"))
+    out = sharding.external_shuffle(df, 1, bucket_bytes=1000).collect()
+    assert sorted(r.slot for r in out) == list(range(3000))
+    slots = sorted(r.slot for r in out if r.doc_id == key)
+    assert len(slots) == 1000 and slots[0] < 150 and slots[-1] > 2850 and np.max(np.diff(slots)) < 150
+
+
 # ---------------------------------------------------------------- op10
 
 
