@@ -64,9 +64,10 @@ def align_track(samples: DataFrame, grid: DataFrame, largest_gap: float = LARGES
     s = s.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("id", "_run"))).where("_n >= 2")
     mark = F.struct("t", "v", "_run")
     both = s.select("id", "t", F.lit(None).cast("long").alias("frame"), mark.alias("m")).unionByName(grid.select("id", "t", "frame", F.lit(None).alias("m")), allowMissingColumns=True)
-    near = W.partitionBy("id").orderBy("t")
-    # RANGE frames take in the samples at the very time of a frame.
-    both = both.withColumn("_p", F.last("m", ignorenulls=True).over(near.rangeBetween(W.unboundedPreceding, W.currentRow))).withColumn("_q", F.first("m", ignorenulls=True).over(near.rangeBetween(W.currentRow, W.unboundedFollowing)))
+    # Both look back, one from each side, so a row costs the same however long the clip is.  RANGE frames take in the samples at the
+    # very time of a frame.
+    near = lambda order: F.last("m", ignorenulls=True).over(W.partitionBy("id").orderBy(order).rangeBetween(W.unboundedPreceding, W.currentRow))
+    both = both.withColumn("_p", near(F.asc("t"))).withColumn("_q", near(F.desc("t")))
     inside = F.col("_p._run") == F.col("_q._run")
     span = F.col("_q.t") - F.col("_p.t")
     value = F.when(inside & (span == 0), F.col("_p.v")).when(inside, F.col("_p.v") + (F.col("t") - F.col("_p.t")) / F.nullif(span, F.lit(0.0)) * (F.col("_q.v") - F.col("_p.v")))

@@ -14,25 +14,19 @@ from pyspark.sql import types as T
 from kinesia import schema as S
 from kinesia.config import GestureConfig
 from kinesia.operators import sequence as Q
+from kinesia.operators.guards import checked
 
 DEFAULT = GestureConfig()
-
-
-def not_nan(df: DataFrame) -> DataFrame:
-    """NaN stands for null in some sources; Spark would count it as the largest number."""
-    kinds = dict(df.dtypes)
-    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in df.columns])
-
-
-def complete(wide: DataFrame) -> DataFrame:
-    """The columns of ``schema.WIDE``; a wrist that the source lacks is null."""
-    kinds = {"id": "string", "frame": "long"}
-    return not_nan(wide.select(*[(F.col(c) if c in wide.columns else F.lit(None)).cast(kinds.get(c, "double")).alias(c) for c in S.WIDE]))
+#: Measures whose whole distribution is described.
+SPREAD = ("speed", "accel_magnitude", "jerk_magnitude", "neck_distance")
 
 
 def gesture_frames(wide: DataFrame, config: GestureConfig = DEFAULT, extended: bool = False) -> DataFrame:
-    """``schema.FRAME_COLUMNS`` (and jerk, if ``extended``) for each frame of each sequence's span."""
-    d = Q.infer_clock(Q.expand_grid(complete(wide)), config.max_gap)
+    """``schema.FRAME_COLUMNS`` (and jerk, if ``extended``) for each frame of each sequence's span.
+
+    Equal rows count once; what ``guards.problems`` lists raises when the frames are computed.
+    """
+    d = Q.infer_clock(Q.expand_grid(checked(wide)), config.max_gap)
     d = d.withColumns({f"{h}_observed": Q.trusted(F.col(f"nx_{p}"), F.col(f"ny_{p}"), F.col(f"c_{p}"), config.min_confidence) for h, p in S.HANDS.items()})
     d = Q.fill_coordinates(d, {h: (f"nx_{p}", f"ny_{p}", f"{h}_observed") for h, p in S.HANDS.items()}, config.max_gap)
     d = d.withColumns({f"_{h}_ok": F.col(f"{h}_valid") & F.col("clock_known") for h in S.HANDS} | {f"{h}_{a}_smooth": F.col(f"{h}_{a}") for h in S.HANDS for a in ("nx", "ny")})
@@ -189,12 +183,12 @@ def _extended(d: DataFrame) -> tuple[DataFrame, dict[str, Column], list[dict[str
         o = lambda m, hand=hand: f"{hand}_{m}"
         speed, n = c("speed"), F.count(c("speed"))
         moved = F.coalesce(F.max(speed) > S.MOVEMENT_SPEED, F.lit(False))
-        for m in S.DISTRIBUTION:
+        for m in SPREAD:
             v = c(m)
             k = F.count(v)
             p = F.percentile(v, F.array(*[F.lit(q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-            values = [F.min(v), *[p[i] for i in range(5)], F.max(v), F.stddev_samp(v)]
-            more |= {o(f"{m}_{s}"): enough(k, x) for s, x in zip(S.STATISTICS, values, strict=True)}
+            values = {"min": F.min(v), "p05": p[0], "p25": p[1], "p50": p[2], "p75": p[3], "p95": p[4], "max": F.max(v), "std": F.stddev_samp(v)}
+            more |= {o(f"{m}_{s}"): enough(k, x) for s, x in values.items()}
         for axis in ("nx", "ny"):
             v = c(f"{axis}_smooth")
             more |= {o(f"{axis}_{s}"): enough(F.count(v), f(v)) for s, f in (("min", F.min), ("max", F.max), ("std", F.stddev_samp))}
@@ -218,8 +212,8 @@ def _extended(d: DataFrame) -> tuple[DataFrame, dict[str, Column], list[dict[str
         varied = F.var_pop(speed) > 0
         more[o("speed_skew")] = enough(n, F.when(moved & varied, F.skewness(speed)))
         more[o("speed_kurtosis")] = enough(n, F.when(moved & varied, F.kurtosis(speed)))
-        for threshold in S.SPEED_THRESHOLDS:
-            more[o(f"frac_speed_gt_{str(threshold).replace('.', 'p')}")] = enough(n, F.avg((speed > threshold).cast("int")))
+        for label, threshold in S.SPEED_THRESHOLDS.items():
+            more[o(f"frac_speed_gt_{label}")] = enough(n, F.avg((speed > threshold).cast("int")))
         more[o("speed_sq_mean")], more[o("speed_sq_sum")] = enough(n, F.avg(speed * speed)), enough(n, F.sum(speed * speed))
         more[o("n_speed")] = n.cast("double")
         d, span = bouts(d, speed > S.MOVEMENT_SPEED, f"move_{hand}")

@@ -13,15 +13,12 @@ from pyspark.sql import types as T
 
 from kinesia.config import VisibilityConfig
 from kinesia.functions.ranks import with_place
+from kinesia.operators.guards import DataError, require_columns
 from kinesia.schema import KEYS, NECK_TOLERANCE
 
 FRAME = (*KEYS, "frame")
 
 
-class DataError(ValueError):
-    """Input that cannot be trusted."""
-
-
 def body(long: DataFrame, points: tuple[int, ...] = (1, 4, 7)) -> DataFrame:
     """The body keypoints; face and hand models number their points from 0 too."""
     return long.where((F.col("type_points") == "pose_keypoints") & F.col("points").isin(list(points)))
@@ -84,14 +81,31 @@ def origin_check(long: DataFrame, least: float = 0.2, tolerance: float = NECK_TO
     neck = (F.col("points") == 1) & trusted(least)
     off = neck & ((F.abs("nx") > tolerance) | (F.abs("ny") > tolerance))
     bad = F.col("c").isNotNull() & ~F.col("c").between(0, 1)
-    x = body(long).groupBy(*KEYS).agg(F.count_if(neck).alias("n_neck"), F.count_if(off).alias("n_off_origin"), F.count_if(bad).alias("n_bad_confidence"))
+    wrist = F.col("points").isin(4, 7) & F.col("nx").isNotNull() & F.col("ny").isNotNull() & (F.col("c") > 0)
+    x = body(long).groupBy(*KEYS).agg(F.count_if(neck).alias("n_neck"), F.count_if(off).alias("n_off_origin"), F.count_if(bad).alias("n_bad_confidence"), F.count_if(wrist).alias("n_wrists"))
     return x.withColumn("verdict", F.when(F.col("n_bad_confidence") > 0, "bad confidence").when(F.col("n_off_origin") > 0, "off origin").when(F.col("n_neck") == 0, "unverifiable").otherwise("verified"))
 
 
+def require_origin(long: DataFrame) -> None:
+    """Raise for a sequence with wrists whose origin is not verified to be the neck."""
+    require_none(origin_check(long).where("verdict <> 'verified' AND (n_wrists > 0 OR verdict <> 'unverifiable')"), "the coordinates are not those from the neck")
+
+
+LONG = ("id", "people_id", "frame", "frame_timestamp", "type_points", "points", "nx", "ny", "c")
+
+
 def pivot_wide(long: DataFrame) -> DataFrame:
-    """Long rows to one row a frame; a point that is missing gives nulls, a null clock stays one."""
-    at = lambda p, c: F.max(F.when(F.col("points") == p, F.col(c))).alias(f"{c}_{p}")
-    return body(long, (4, 7)).groupBy(*FRAME, "frame_timestamp").agg(*[at(p, c) for p in (4, 7) for c in ("nx", "ny", "c")])
+    """Long rows to one row a frame; a point that is missing gives nulls, a null clock stays one.
+
+    Equal rows count once.  Rows of one point that differ, and a frame with two clocks or with and without one, raise when reached.
+    """
+    require_columns(long, LONG, "the keypoint table")
+    value, clock = F.struct("nx", "ny", "c"), F.struct("frame_timestamp")
+    low, high = ({p: f(F.when(F.col("points") == p, value)) for p in (4, 7)} for f in (F.min, F.max))
+    differ = (low[4] != high[4]) | (low[7] != high[7]) | (F.min(clock) != F.max(clock))
+    x = body(long).groupBy(*FRAME).agg(F.min(clock)["frame_timestamp"].alias("frame_timestamp"), *[low[p][c].alias(f"{c}_{p}") for p in (4, 7) for c in ("nx", "ny", "c")], F.coalesce(differ, F.lit(False)).alias("_differ"))
+    stop = F.raise_error(F.concat(F.lit("conflicting rows for one frame: "), F.concat_ws(" / ", "id", F.col("people_id").cast("string"), F.col("frame").cast("string")))).cast("boolean")
+    return x.where(F.when(F.col("_differ"), stop).otherwise(F.lit(True))).drop("_differ")
 
 
 def visibility_gate(long: DataFrame, expected: DataFrame, config: VisibilityConfig = VisibilityConfig()) -> DataFrame:

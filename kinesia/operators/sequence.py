@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from kinesia.schema import KEYS
 
-LARGEST_SPAN = 10_000_000
-
 
 def by_frame():
     return W.partitionBy(*KEYS).orderBy("frame")
@@ -37,7 +35,7 @@ def known_after(ok: Column, value: Column, reach: int) -> Column:
 def expand_grid(wide: DataFrame) -> DataFrame:
     """A row for each frame between a sequence's first and last; values are null where no row was observed.
 
-    A row makes the missing frames that follow it, so no join is needed.
+    A row makes the missing frames that follow it, so no join is needed.  A frame has one row at most (``guards.checked``).
     """
     last = wide.withColumn("_to", F.coalesce(F.lead("frame").over(by_frame()) - 1, F.col("frame")))
     rows = last.withColumn("_f", F.explode(F.sequence("frame", "_to"))).withColumn("source_observed", F.col("_f") == F.col("frame"))

@@ -1,8 +1,9 @@
 """The driver's tables seen as sequences of keypoints, in Spark and as the same SQL text.
 
-``events`` make one sequence for each user: the frame is the event's number, the
-clock counts hours since the first event, and rules on the event's number drop
-frames, clocks and confidences, so every rule on nulls is met.
+``events`` make one sequence for each user: the frame is the event's place, with
+gaps of one and of five frames, and the clock counts hours since the first event.
+Rules on the event's number take clocks and confidences away, so every rule on
+nulls is met; every event is a frame.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     user = W.partitionBy("user_id")
     k = F.get_json_object("props", "$.k").cast("int")
-    e = e.withColumn("frame", F.row_number().over(user.orderBy("ts", "event_id")).cast("long")).withColumn("_h", (micros("ts") - F.min(micros("ts")).over(user)) / 3.6e9)
-    return e.where("event_id % 17 <> 0").select(
+    place = F.row_number().over(user.orderBy("ts", "event_id")).cast("long")
+    e = e.withColumn("frame", place + F.floor(place / 16) + F.floor(place / 60) * 4).withColumn("_h", (micros("ts") - F.min(micros("ts")).over(user)) / 3.6e9)
+    return e.select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"), F.lit(1.0).alias("people_id"), "frame",
         F.when(F.col("event_id") % 13 != 0, F.col("_h")).alias("frame_timestamp"),
         (F.col("value") / 10).alias("nx_4"), (k / 10).alias("ny_4"), F.when(F.col("event_id") % 7 == 0, 0.1).otherwise(0.9).alias("c_4"),
@@ -43,12 +45,12 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WIDE_SQL = """
-numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame,
-  (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 3.6e9 AS h, json_extract(props, '$.k')::INT AS k FROM events),
+placed_events AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events),
+numbered AS (SELECT *, place + place // 16 + (place // 60) * 4 AS frame, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 3.6e9 AS h, json_extract(props, '$.k')::INT AS k FROM placed_events),
 wide AS (SELECT 'u' || user_id AS id, 1.0::DOUBLE AS people_id, frame, CASE WHEN event_id % 13 <> 0 THEN h END AS frame_timestamp,
   value / 10 AS nx_4, k / 10 AS ny_4, CASE WHEN event_id % 7 = 0 THEN 0.1 ELSE 0.9 END::DOUBLE AS c_4,
   (30 - value) / 10 AS nx_7, (100 - k) / 10 AS ny_7, CASE WHEN event_id % 11 <> 0 THEN 0.8 END::DOUBLE AS c_7
-  FROM numbered WHERE event_id % 17 <> 0)"""
+  FROM numbered)"""
 
 
 def pose_long(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from kinesia.plans.adapters import micros, rounded, table
 from kinesia.plans.registry import register
 
 HOURS_SQL = "hours AS (SELECT *, 'u' || user_id AS id, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 3.6e9 AS h FROM events)"
-CLIPS_SQL = "clips AS (SELECT DISTINCT id FROM hours), frames AS (SELECT id, unnest(range(1, 201)) AS frame FROM clips)"
+CLIPS_SQL = "clips AS (SELECT id, greatest(1, ceil(2 * max(h + value / 10)))::BIGINT AS n FROM hours GROUP BY id), frames AS (SELECT id, unnest(range(1, n + 1)) AS frame FROM clips)"
 
 
 def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,9 @@ def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clips = hours(spark, sf_dir).select("id").distinct().select("id", F.lit(200).alias("n_frames"), F.lit(2.0).alias("fps"))
+    """Two frames an hour, up to the end of the last event."""
+    last = F.greatest(F.lit(1), F.ceil(F.max(F.col("h") + F.col("value") / 10) * 2))
+    clips = hours(spark, sf_dir).groupBy("id").agg(last.alias("n_frames")).withColumn("fps", F.lit(2.0))
     return align.frame_intervals(clips)
 
 

@@ -172,7 +172,8 @@ VOICE_SQL = "v AS (SELECT CASE WHEN event_type <> 'error' THEN value * 20 END AS
 
 
 @register("voice_sanity", f"""WITH {VOICE_SQL} SELECT count(*) AS n_frames, count(pitch) AS n_pitch, count(*) FILTER (WHERE pitch = 0) AS n_zero, count(*) FILTER (WHERE pitch < 60 OR pitch > 600) AS n_pitch_outside, count(*) FILTER (WHERE harmonicity <= -200) AS n_harmonicity_low,
-  count(*) FILTER (WHERE formant1 > 5500) + count(*) FILTER (WHERE formant2 > 5500) AS n_formant_outside, count(*) FILTER (WHERE pitch IS NOT NULL AND NOT voice_present) AS n_stray, 'segments with leftovers' AS regime,
+  count(*) FILTER (WHERE formant1 > 5500) + count(*) FILTER (WHERE formant2 > 5500) AS n_formant_outside, count(*) FILTER (WHERE pitch IS NOT NULL AND NOT voice_present) AS n_stray, CASE WHEN count(pitch) = 0 THEN 'no voice' WHEN count(*) FILTER (WHERE pitch = 0) = 0 AND count(*) FILTER (WHERE pitch IS NOT NULL AND NOT voice_present) = 0 THEN 'segments'
+  WHEN count(*) FILTER (WHERE pitch = 0) > count(pitch) / 10 THEN 'spline' ELSE 'segments with leftovers' END AS regime,
   round(min(pitch) + 1e-9, 6) + 0.0 AS pitch_low, round(max(pitch) + 1e-9, 6) + 0.0 AS pitch_high, round(corr(pitch, intensity) + 1e-9, 6) + 0.0 AS r_all, round(corr(pitch, intensity) FILTER (WHERE voice_present) + 1e-9, 6) + 0.0 AS r_voiced FROM v""")
 def voice_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, k = F.col("value"), F.col("event_id")
@@ -190,11 +191,16 @@ def outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.outliers(pose_long(spark, sf_dir))
 
 
-@register("documentation", """SELECT * FROM (VALUES ('right_speed_p50', 'speed_p*', 'quantile'), ('left_speed', 'speed', 'speed'), ('n_frames', 'n_*', 'count'), ('nx_std', '*_std', 'spread'), ('age', 'age', 'age'), ('other', NULL, NULL)) t("column", pattern, text)""")
+_COLUMNS = ("right_speed_p50", "left_speed", "n_frames", "nx_std", "age", "other", "left_speed_p95", "right_n_speed", "speed_std")
+_RULES = (("speed", "speed"), ("speed_*", "any speed"), ("speed_p*", "quantile"), ("n_*", "count"), ("*_std", "spread"), ("age", "age"))
+
+
+@register("documentation", f"""WITH c AS (SELECT unnest({list(_COLUMNS)}) AS "column"), b AS (SELECT *, regexp_replace("column", '^(right|left)_', '') AS bare FROM c), r AS (SELECT * FROM (VALUES {", ".join(map(str, _RULES))}) v(pattern, text)),
+hits AS (SELECT "column", pattern, text, CASE WHEN pattern IN ("column", bare) THEN 3 WHEN pattern LIKE '%*' AND starts_with(bare, rtrim(pattern, '*')) THEN 2 WHEN pattern LIKE '*%' AND ends_with(bare, ltrim(pattern, '*')) THEN 1 END AS k FROM b, r)
+SELECT "column", arg_max(pattern, k * 1000 + length(pattern)) FILTER (WHERE k IS NOT NULL) AS pattern, arg_max(text, k * 1000 + length(pattern)) FILTER (WHERE k IS NOT NULL) AS text FROM hits GROUP BY ALL""")
 def documentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = spark.createDataFrame([(c,) for c in ("right_speed_p50", "left_speed", "n_frames", "nx_std", "age", "other")], "column string")
-    rules = [("speed", "speed"), ("speed_*", "any speed"), ("speed_p*", "quantile"), ("n_*", "count"), ("*_std", "spread"), ("age", "age")]
-    return delivery.documented(columns, spark.createDataFrame(rules, "pattern string, text string"))
+    columns = spark.createDataFrame([(c,) for c in _COLUMNS], "column string")
+    return delivery.documented(columns, spark.createDataFrame(list(_RULES), "pattern string, text string"))
 
 
 CLIPS_SQL = "kept AS (SELECT DISTINCT id, 'pr' || (length(id) % 3) AS programme FROM wide WHERE id NOT LIKE '%5')"
@@ -231,7 +237,9 @@ def clock_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(delivery.clock_disagreements(f, m))
 
 
-@register("sample_facts")
+@register("sample_facts", f"""WITH {SUMMARY_SQL}, speeds AS (SELECT id, people_id, count(right_speed) AS r, count(left_speed) AS l FROM frames GROUP BY id, people_id),
+top AS (SELECT id, greatest(right_max_speed, left_max_speed) AS speed FROM summary WHERE coalesce(right_max_speed, left_max_speed) IS NOT NULL ORDER BY speed DESC, id DESC LIMIT 1)
+SELECT count(*) FILTER (WHERE r >= 30 AND l >= 30) AS n_both, (SELECT id FROM top) AS fastest, (SELECT round(speed + 1e-9, 4) + 0.0 FROM top) AS fastest_speed FROM speeds""")
 def sample_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = G.gesture_sequences(G.gesture_frames(wide(spark, sf_dir), extended=True), extended=True)
     return rounded(delivery.sample_facts(s), 4)

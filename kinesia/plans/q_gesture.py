@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from kinesia import schema as S
 from kinesia.operators import gestures as G
+from kinesia.operators import guards
 from kinesia.operators import sequence as Q
 from kinesia.plans.adapters import WIDE_SQL, rounded, rounded_sql, wide
-from kinesia.plans.frames_sql import FRAMES_SQL
+from kinesia.plans.frames_sql import CLOCK_SQL, COORDINATES_SQL, FRAMES_SQL, SMOOTH_SQL
 from kinesia.plans.registry import register
 
 HANDS = ("right", "left")
@@ -19,11 +20,11 @@ def frames(spark: SparkSession, sf_dir: str, extended: bool = True) -> DataFrame
     return G.gesture_frames(wide(spark, sf_dir), extended=extended)
 
 
-def of_frames(name: str, plain: str, doubles: str, where: str = "true", digits: int = 6):
-    """A query for some columns of the frame table."""
+def of_frames(name: str, plain: str, doubles: str, where: str = "true", digits: int = 6, base: str = FRAMES_SQL):
+    """A query for some columns of the frame table; ``base`` is the SQL that makes them."""
     expand = lambda names: " ".join(x for n in names.split() for x in ([n.replace("*", h) for h in HANDS] if "*" in n else [n]))
     plain, doubles = expand(plain), expand(doubles)
-    sql = f"WITH {FRAMES_SQL} SELECT id, {', '.join([*plain.split()])}{', ' if plain else ''}{rounded_sql(doubles, digits)} FROM frames WHERE {where}"
+    sql = f"WITH {base} SELECT id, {', '.join([*plain.split()])}{', ' if plain else ''}{rounded_sql(doubles, digits)} FROM frames WHERE {where}"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rounded(frames(spark, sf_dir).where(where).select("id", *plain.split(), *doubles.split()), digits)
@@ -31,24 +32,25 @@ def of_frames(name: str, plain: str, doubles: str, where: str = "true", digits:
     register(name, sql)(run)
 
 
-of_frames("grid", "frame source_observed frame_inferred", "frame_timestamp")
-of_frames("clock_fill", "frame clock_known timestamp_inferred", "frame_timestamp", "timestamp_inferred OR NOT clock_known")
-of_frames("coord_fill", "frame *_valid *_observed *_interpolated", "*_confidence *_nx *_ny")
-of_frames("smooth", "frame", "*_nx_smooth *_ny_smooth")
+of_frames("grid", "frame source_observed frame_inferred", "frame_timestamp", base=CLOCK_SQL)
+of_frames("clock_fill", "frame clock_known timestamp_inferred", "frame_timestamp", "timestamp_inferred OR NOT clock_known", base=CLOCK_SQL)
+of_frames("coord_fill", "frame *_valid *_observed *_interpolated", "*_confidence *_nx *_ny", base=COORDINATES_SQL)
+of_frames("smooth", "frame", "*_nx_smooth *_ny_smooth", base=SMOOTH_SQL)
 of_frames("velocity", "frame", "*_velocity_x *_velocity_y *_speed", digits=5)
 of_frames("acceleration", "frame", "*_accel_x *_accel_y *_accel_magnitude", digits=4)
 of_frames("jerk", "frame", "*_jerk_x *_jerk_y *_jerk_magnitude", digits=3)
-of_frames("step_path", "frame", "*_step_distance")
-of_frames("neck_geometry", "frame *_above_neck", "*_neck_distance *_neck_angle")
-of_frames("pair_geometry", "frame both_hands_valid", "pair_separation pair_angle centroid_x centroid_y mirror_error_x mirror_error_y")
+of_frames("step_path", "frame", "*_step_distance", base=SMOOTH_SQL)
+of_frames("neck_geometry", "frame *_above_neck", "*_neck_distance *_neck_angle", base=SMOOTH_SQL)
+of_frames("pair_geometry", "frame both_hands_valid", "pair_separation pair_angle centroid_x centroid_y mirror_error_x mirror_error_y", base=SMOOTH_SQL)
 
 
-@register("runs", f"WITH {FRAMES_SQL}, r AS (SELECT id, right_run AS run, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n_frames FROM frames WHERE right_run IS NOT NULL GROUP BY id, right_run) SELECT id, first_frame, last_frame, n_frames FROM r")
+@register("runs", f"WITH {SMOOTH_SQL}, r AS (" + " UNION ALL ".join(f"SELECT id, '{h}' AS hand, {h}_run AS run, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n_frames FROM frames WHERE {h}_run IS NOT NULL GROUP BY id, {h}_run" for h in HANDS) + ") SELECT id, hand, first_frame, last_frame, n_frames FROM r")
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maximal stretches of frames where the right wrist is valid and timed."""
-    d = frames(spark, sf_dir, False).withColumn("ok", F.col("right_valid") & F.col("clock_known"))
-    d = Q.with_run(d, "ok", "run").where("ok")
-    return d.groupBy("id", "run").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.count(F.lit(1)).alias("n_frames")).drop("run")
+    """Maximal stretches of frames where a wrist is valid and timed."""
+    d = frames(spark, sf_dir, False).withColumns({f"{h}_ok": F.col(f"{h}_valid") & F.col("clock_known") for h in HANDS})
+    d = Q.with_runs(d, {f"{h}_ok": f"{h}_run" for h in HANDS})
+    d = d.select("id", "frame", F.explode(F.array(*[F.struct(F.lit(h).alias("hand"), F.col(f"{h}_ok").alias("ok"), F.col(f"{h}_run").alias("run")) for h in HANDS])).alias("r")).where("r.ok")
+    return d.groupBy("id", "r.hand", "r.run").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.count(F.lit(1)).alias("n_frames")).drop("run")
 
 
 def _peak(v: str) -> str:
@@ -93,7 +95,7 @@ def of_sequences(name: str, columns: list[str], sql: str, digits: int = 4):
 def _distribution_sql() -> str:
     out = []
     for h in HANDS:
-        for m in S.DISTRIBUTION:
+        for m in G.SPREAD:
             v = f"{h}_{m}"
             stats = {"min": f"min({v})", "max": f"max({v})", "std": f"stddev_samp({v})"} | {f"p{q:02d}": f"quantile_cont({v}, {q / 100})" for q in (5, 25, 50, 75, 95)}
             out += [f"CASE WHEN count({v}) >= 10 THEN {e} END AS {v}_{s}" for s, e in stats.items()]
@@ -103,7 +105,7 @@ def _distribution_sql() -> str:
     return f"{FRAMES_SQL}, x AS (SELECT id, {', '.join(out)} FROM frames GROUP BY id, people_id)"
 
 
-of_sequences("distribution", [f"{h}_{m}_{s}" for h in HANDS for m in S.DISTRIBUTION for s in S.STATISTICS] + [f"{h}_{a}_{s}" for h in HANDS for a in ("nx", "ny") for s in ("min", "max", "std")], _distribution_sql(), 3)
+of_sequences("distribution", [f"{h}_{m}_{s}" for h in HANDS for m in G.SPREAD for s in ("min", "p05", "p25", "p50", "p75", "p95", "max", "std")] + [f"{h}_{a}_{s}" for h in HANDS for a in ("nx", "ny") for s in ("min", "max", "std")], _distribution_sql(), 3)
 
 
 def _reversals_sql() -> str:
@@ -131,13 +133,15 @@ of_sequences("ellipse_bbox", [f"{h}_{a}_area" for h in HANDS for a in ("ellipse"
 
 # The hull's edges: directed pairs that no point lies to the right of; of collinear ones only those that hold all others.
 of_sequences(
-    "hull", ["right_hull_area"],
-    f"""{FRAMES_SQL}, p AS (SELECT DISTINCT id, right_nx_smooth AS x, right_ny_smooth AS y FROM frames WHERE right_nx_smooth IS NOT NULL AND right_ny_smooth IS NOT NULL),
-k AS (SELECT id, count(*) AS n FROM frames WHERE right_nx_smooth IS NOT NULL GROUP BY id),
-e AS (SELECT a.id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM p a JOIN p b ON a.id = b.id AND (a.x <> b.x OR a.y <> b.y)
-  WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.id = a.id AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0
+    "hull", ["right_hull_area", "left_hull_area"],
+    f"""{SMOOTH_SQL}, q AS ({" UNION ALL ".join(f"SELECT id, '{h}' AS hand, {h}_nx_smooth AS x, {h}_ny_smooth AS y FROM frames" for h in HANDS)}),
+p AS (SELECT DISTINCT id, hand, x, y FROM q WHERE x IS NOT NULL AND y IS NOT NULL),
+k AS (SELECT id, hand, count(x) AS n FROM q GROUP BY id, hand),
+e AS (SELECT a.id, a.hand, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM p a JOIN p b ON a.id = b.id AND a.hand = b.hand AND (a.x <> b.x OR a.y <> b.y)
+  WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.id = a.id AND c.hand = a.hand AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0
     OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) > 0)))),
-x AS (SELECT k.id, CASE WHEN any_value(n) >= 10 THEN coalesce(0.5 * abs(sum(ax * by_ - bx * ay)), 0) END AS right_hull_area FROM k LEFT JOIN e USING (id) GROUP BY k.id)""",
+areas AS (SELECT k.id, k.hand, CASE WHEN any_value(n) >= 10 THEN coalesce(0.5 * abs(sum(ax * by_ - bx * ay)), 0) END AS area FROM k LEFT JOIN e USING (id, hand) GROUP BY k.id, k.hand),
+x AS (SELECT id, max(area) FILTER (WHERE hand = 'right') AS right_hull_area, max(area) FILTER (WHERE hand = 'left') AS left_hull_area FROM areas GROUP BY id)""",
 )
 
 
@@ -157,7 +161,7 @@ def _ratio_sql() -> str:
     return f"{SUMMARY_SQL}, both_ AS (SELECT f.*, s.* EXCLUDE (id, people_id), avg(right_speed) OVER q AS right_mu, avg(left_speed) OVER q AS left_mu FROM frames f JOIN summary s USING (id, people_id) WINDOW q AS (PARTITION BY f.id)), x AS (SELECT id, {', '.join(out)} FROM both_ GROUP BY id)"
 
 
-of_sequences("ratios_moments", [f"{h}_{m}" for h in HANDS for m in S.EXTENDED_HAND[S.EXTENDED_HAND.index("cv_speed") : S.EXTENDED_HAND.index("longest_moving_s")]], _ratio_sql(), 3)
+of_sequences("ratios_moments", [c for c in S.EXTENDED_SEQUENCE_COLUMNS[len(S.SEQUENCE_COLUMNS) :] if f" AS {c}" in _ratio_sql()], _ratio_sql(), 3)
 
 
 def _bouts(name: str, on: str) -> str:
@@ -176,7 +180,7 @@ x AS (SELECT f.id, CASE WHEN count(right_speed) >= 10 THEN any_value(rb.max_s) E
   FROM frames f LEFT JOIN rb USING (id, people_id) LEFT JOIN lb USING (id, people_id) LEFT JOIN bb USING (id, people_id) GROUP BY f.id)""",
 )
 
-_PHASE = [c for c in S.EXTENDED_PAIR if not c.startswith("coactivity_bout")]
+_PHASE = [c for c in S.EXTENDED_SEQUENCE_COLUMNS[len(S.SEQUENCE_COLUMNS) :] if not c.startswith(("right_", "left_", "coactivity_bout"))]
 of_sequences(
     "phase_coactivity", _PHASE,
     f"""{FRAMES_SQL}, c AS (SELECT *, CASE WHEN right_speed > 0.5 AND left_speed > 0.5 THEN (right_velocity_x * left_velocity_x + right_velocity_y * left_velocity_y) / (right_speed * left_speed) END AS c,
@@ -199,4 +203,43 @@ def circular(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("wide_table", f"WITH {WIDE_SQL} SELECT id, frame, {rounded_sql('people_id frame_timestamp nx_4 ny_4 c_4 nx_7 ny_7 c_7')} FROM wide")
 def wide_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(G.complete(wide(spark, sf_dir)))
+    return rounded(guards.checked(wide(spark, sf_dir)))
+
+
+_DISTURBED = f"""{WIDE_SQL}, d AS (SELECT id, CASE WHEN frame % 97 <> 0 THEN people_id END AS people_id, frame, CASE WHEN frame % 83 = 0 THEN 'inf'::DOUBLE WHEN frame % 29 = 0 THEN frame_timestamp - 100 ELSE frame_timestamp END AS frame_timestamp,
+  nx_4, ny_4, CASE WHEN frame % 31 = 0 THEN 1.7 ELSE c_4 END AS c_4, nx_7, ny_7, c_7 FROM wide),
+disturbed AS (SELECT * FROM d UNION ALL SELECT * FROM d WHERE frame % 50 IN (1, 2) UNION ALL SELECT * REPLACE (nx_4 + 1 AS nx_4) FROM d WHERE frame % 50 = 2),
+broken AS (SELECT *, CASE WHEN people_id IS NULL THEN 'no key' WHEN isinf(frame_timestamp) THEN 'time' WHEN c_4 NOT BETWEEN 0 AND 1 OR c_7 NOT BETWEEN 0 AND 1 THEN 'confidence' END AS broken FROM disturbed),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id, people_id ORDER BY frame, nx_4) AS k, lag(frame) OVER (PARTITION BY id, people_id ORDER BY frame, nx_4) AS f0, lag(nx_4) OVER (PARTITION BY id, people_id ORDER BY frame, nx_4) AS n0 FROM broken),
+marked AS (SELECT *, f0 IS NOT DISTINCT FROM frame AND n0 IS NOT DISTINCT FROM nx_4 AS repeat,
+  last_value(CASE WHEN broken IS NULL THEN frame_timestamp END IGNORE NULLS) OVER (PARTITION BY id, people_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c0 FROM ranked),
+judged AS (SELECT *, CASE WHEN broken IS NOT NULL THEN broken WHEN f0 = frame AND NOT repeat THEN 'conflict'
+  WHEN NOT repeat AND frame_timestamp <= c0 THEN 'clock' END AS problem FROM marked)"""
+
+
+def disturbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``wide`` with every kind of fault: keys without a value, infinite and falling clocks, impossible confidences, repeats, conflicts."""
+    f, t = F.col("frame"), F.col("frame_timestamp")
+    d = wide(spark, sf_dir).withColumns({
+        "people_id": F.when(f % 97 != 0, F.col("people_id")), "c_4": F.when(f % 31 == 0, 1.7).otherwise(F.col("c_4")),
+        "frame_timestamp": F.when(f % 83 == 0, float("inf")).when(f % 29 == 0, t - 100).otherwise(t),
+    })
+    return d.union(d.where("frame % 50 IN (1, 2)")).union(d.where("frame % 50 = 2").withColumn("nx_4", F.col("nx_4") + 1))
+
+
+@register("guard_keys", f"WITH {_DISTURBED} SELECT id, frame, problem FROM judged WHERE problem IN ('no key', 'time', 'confidence', 'conflict')")
+def guard_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that stop a run for their keys, values or a conflicting row."""
+    return guards.problems(disturbed(spark, sf_dir)).where("problem <> 'clock'").select("id", "frame", "problem")
+
+
+@register("guard_clock", f"WITH {_DISTURBED} SELECT id, frame, round(frame_timestamp + 1e-9, 6) + 0.0 AS frame_timestamp FROM judged WHERE problem = 'clock'")
+def guard_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that stop a run because their clock does not go on."""
+    return rounded(guards.problems(disturbed(spark, sf_dir)).where("problem = 'clock'").select("id", "frame", "frame_timestamp"))
+
+
+@register("guard_repeats", f"WITH {_DISTURBED} SELECT id, count(*) FILTER (WHERE repeat) AS n_repeats, count(*) FILTER (WHERE NOT repeat) AS n_rows FROM judged WHERE problem IS NULL GROUP BY id")
+def guard_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each clip collapse into equal ones."""
+    return guards.flagged(disturbed(spark, sf_dir)).where("problem IS NULL").groupBy("id").agg(F.count_if("repeat").alias("n_repeats"), F.count_if(~F.col("repeat")).alias("n_rows"))

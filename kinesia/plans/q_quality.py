@@ -34,11 +34,11 @@ def pitch_by_voice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pose_long(spark, sf_dir).withColumn("tag", F.when((F.col("points") == 7) & (F.col("frame") % 19 == 0), F.lit(None)).otherwise(F.lit("a"))).withColumn("mark", F.lit(1))
+    return pose_long(spark, sf_dir).withColumn("tag", F.when((F.col("points") == 7) & (F.col("frame") % 19 == 0), F.lit(None)).otherwise(F.lit("a"))).withColumn("mark", F.when((F.col("points") == 4) & (F.col("frame") % 23 == 0), 2).otherwise(1))
 
 
-@register("guard_counts", f"""WITH {POSE_SQL}, t AS (SELECT *, CASE WHEN points = 7 AND frame % 19 = 0 THEN NULL ELSE 'a' END AS tag FROM pose_long)
-SELECT id, people_id, frame, count(DISTINCT coalesce(tag, '#')) > 1 AS tag_conflict, false AS mark_conflict FROM t GROUP BY ALL HAVING count(DISTINCT coalesce(tag, '#')) > 1""")
+@register("guard_counts", f"""WITH {POSE_SQL}, t AS (SELECT *, CASE WHEN points = 7 AND frame % 19 = 0 THEN NULL ELSE 'a' END AS tag, CASE WHEN points = 4 AND frame % 23 = 0 THEN 2 ELSE 1 END AS mark FROM pose_long)
+SELECT id, people_id, frame, count(DISTINCT coalesce(tag, '#')) > 1 AS tag_conflict, count(DISTINCT mark) > 1 AS mark_conflict FROM t GROUP BY ALL HAVING count(DISTINCT coalesce(tag, '#')) > 1 OR count(DISTINCT mark) > 1""")
 def guard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc.conflicts(_tagged(spark, sf_dir), ("tag", "mark"))
 
@@ -55,7 +55,7 @@ def clock_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("origin_check", f"""WITH {POSE_SQL}, p AS (SELECT id, people_id, points, ny, CASE WHEN points = 1 AND length(id) = 3 AND frame = 5 THEN 0.5 ELSE nx END AS nx, CASE WHEN id = 'u7' AND frame = 2 THEN 1.5 WHEN id = 'u9' AND points = 1 THEN NULL ELSE c END AS c FROM pose_long WHERE {BODY}),
-s AS (SELECT id, people_id, count(*) FILTER (WHERE points = 1 AND {OK}) AS n_neck, count(*) FILTER (WHERE points = 1 AND {OK} AND (abs(nx) > 1e-6 OR abs(ny) > 1e-6)) AS n_off_origin, count(*) FILTER (WHERE c < 0 OR c > 1) AS n_bad_confidence FROM p GROUP BY ALL)
+s AS (SELECT id, people_id, count(*) FILTER (WHERE points = 1 AND {OK}) AS n_neck, count(*) FILTER (WHERE points = 1 AND {OK} AND (abs(nx) > 1e-6 OR abs(ny) > 1e-6)) AS n_off_origin, count(*) FILTER (WHERE c < 0 OR c > 1) AS n_bad_confidence, count(*) FILTER (WHERE points <> 1 AND nx IS NOT NULL AND ny IS NOT NULL AND c > 0) AS n_wrists FROM p GROUP BY ALL)
 SELECT *, CASE WHEN n_bad_confidence > 0 THEN 'bad confidence' WHEN n_off_origin > 0 THEN 'off origin' WHEN n_neck = 0 THEN 'unverifiable' ELSE 'verified' END AS verdict FROM s""")
 def origin_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pose_long(spark, sf_dir)
@@ -125,10 +125,18 @@ def audit_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", qc.verdict(values, [0.05, 0.2], 0.1).alias("v")).select("vec_id", "v.*")
 
 
-@register("audit_ci")
+# Bisection of the binomial distribution, forty halvings, each limit from 0 to 1.
+@register("audit_ci", """WITH RECURSIVE a AS (SELECT count(*) AS planned, count(*) FILTER (WHERE event_type <> 'error') AS measured, count(*) FILTER (WHERE event_type <> 'error' AND value > 40) AS missed FROM events),
+w AS MATERIALIZED (SELECT i, lgamma(measured + 1) - lgamma(i + 1) - lgamma(measured - i + 1) AS ways FROM a, LATERAL (SELECT unnest(range(0, missed + 1)) AS i)),
+s AS (SELECT side, missed - side AS j, measured AS n, CASE WHEN side = 1 THEN 0.975 ELSE 0.025 END AS goal FROM a, (VALUES (0), (1)) v(side)),
+b AS (SELECT side, j, n, goal, 0 AS step, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high FROM s
+  UNION ALL SELECT side, any_value(j), any_value(n), any_value(goal), any_value(step) + 1, CASE WHEN sum(exp(ways + i * ln((low + high) / 2) + (n - i) * ln(1 - (low + high) / 2))) FILTER (WHERE i <= j) > any_value(goal) THEN any_value((low + high) / 2) ELSE any_value(low) END,
+    CASE WHEN sum(exp(ways + i * ln((low + high) / 2) + (n - i) * ln(1 - (low + high) / 2))) FILTER (WHERE i <= j) > any_value(goal) THEN any_value(high) ELSE any_value((low + high) / 2) END FROM b, w WHERE step < 40 GROUP BY side)
+SELECT planned, measured, missed, CASE WHEN missed = 0 THEN 0.0 ELSE (SELECT round((low + high) / 2 + 1e-9, 6) FROM b WHERE side = 1 AND step = 40) END::DOUBLE AS low,
+  CASE WHEN missed = measured THEN 1.0 ELSE (SELECT round((low + high) / 2 + 1e-9, 6) FROM b WHERE side = 0 AND step = 40) END::DOUBLE AS high FROM a""")
 def audit_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return qc.audit_summary(e.select(F.when(F.col("event_type") == "error", "failed").otherwise("measured").alias("state"), (F.col("value") > 40).alias("passes")))
+    return rounded(qc.audit_summary(e.select(F.when(F.col("event_type") == "error", "failed").otherwise("measured").alias("state"), (F.col("value") > 40).alias("passes"))))
 
 
 @register("repeated_failure", """WITH r AS (SELECT user_id AS run, event_type AS state, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)

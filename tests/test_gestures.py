@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kinesia import schema as S
 from kinesia.config import ConfigError, GestureConfig, point_list
+from kinesia.operators import guards
 from kinesia.operators.gestures import gesture_frames, gesture_sequences
 
 WIDE = "id string, people_id double, frame long, frame_timestamp double, nx_4 double, ny_4 double, c_4 double, nx_7 double, ny_7 double, c_7 double"
@@ -201,3 +202,42 @@ def test_config():
 def test_nan_counts_as_null(spark):
     df = wide(spark, [(0.1, 0)] * 3).withColumn("nx_4", F.when(F.col("frame") == 2, F.lit(float("nan"))).otherwise(F.col("nx_4")))
     assert columns(gesture_frames(df, GestureConfig(max_gap=0)), "right_nx")[0] == [0.1, None, 0.1]
+
+
+def fault(spark, **columns):
+    """The problems of a table of four frames with some columns replaced."""
+    base = {"id": "c", "people_id": 0.0, "frame_timestamp": None, "nx_4": 0.1, "ny_4": 0.1, "c_4": 0.9, "nx_7": 0.1, "ny_7": 0.1, "c_7": 0.9}
+    rows = [{**base, "frame": i, "frame_timestamp": i / 10, **{k: v[i] for k, v in columns.items()}} for i in range(4)]
+    df = spark.createDataFrame([tuple(r[c] for c in S.WIDE) for r in rows], WIDE.replace("frame long", f"frame {'double' if any(isinstance(f, float) for f in columns.get('frame', ())) else 'long'}"))
+    return df, [r.problem for r in guards.problems(df).collect()]
+
+
+@pytest.mark.parametrize(
+    "columns,problem",
+    [
+        ({"people_id": [0.0, None, 0.0, 0.0]}, "no key"), ({"id": ["c", "c", None, "c"]}, "no key"), ({"frame": [0, 1, None, 3]}, "no key"),
+        ({"people_id": [0.0, 0.0, 0.0, float("inf")]}, "person"), ({"frame": [0.0, 1.5, 2.0, 3.0]}, "frame"), ({"frame": [0.0, 1.0, 2.0, 1e30]}, "frame"),
+        ({"frame_timestamp": [0.0, 0.1, float("inf"), 0.3]}, "time"), ({"c_4": [0.9, 1.7, 0.9, 0.9]}, "confidence"), ({"c_7": [0.9, 0.9, -0.1, 0.9]}, "confidence"),
+        ({"frame": [0, 1, 1, 3], "frame_timestamp": [0.0, 0.1, 0.1, 0.3], "nx_4": [0.1, 0.1, 0.2, 0.1]}, "conflict"), ({"frame_timestamp": [0.0, 0.2, 0.1, 0.3]}, "clock"),
+        ({"frame_timestamp": [0.0, 0.2, None, 0.2]}, "clock"), ({"frame": [0, 1, 2, 1 << 40]}, "span"),
+    ],
+)
+def test_guards(spark, columns, problem):
+    df, found = fault(spark, **columns)
+    assert found == [problem]
+    with pytest.raises(Exception, match=problem):
+        gesture_frames(df).collect()
+
+
+def test_equal_rows_count_once(spark):
+    df, found = fault(spark, c_4=[0.9, None, float("nan"), 0.0])
+    assert found == []
+    assert gesture_frames(df.union(df).union(df)).count() == 4 and guards.checked(df.union(df)).count() == 4
+    assert gesture_frames(df.drop("nx_7", "ny_7", "c_7")).where("left_valid").count() == 0
+    with pytest.raises(guards.DataError, match="frame"):
+        gesture_frames(df.drop("frame"))
+
+
+def test_infinite_coordinates_are_not_measured(spark):
+    df, found = fault(spark, nx_4=[0.1, float("inf"), float("nan"), 0.4])
+    assert found == [] and gesture_frames(df, GestureConfig(max_gap=0)).where("right_observed").count() == 2
