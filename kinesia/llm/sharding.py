@@ -1,8 +1,9 @@
 """Two-pass external shuffle into shards (native: DataFrame functions only).
 
 Pass one scatters the rows into buckets that fit in memory: the shard by the id,
-the bucket in it by a seeded hash of id and text, so that one id may have any number of rows; pass two gathers each bucket as an array, shuffles it by Fisher-Yates
-(``shuffle`` with a seed) and writes it in that order.  A shard is made of whole
+the bucket in it by a seeded hash of id and text, so that one id may have any
+number of rows; pass two gathers each bucket as an array, shuffles it by
+Fisher-Yates (``shuffle`` with a seed) and writes it in that order.  A shard is made of whole
 buckets, so it needs no task that holds all of it.
 
 The law is ``key``: the id and the number of shards decide the shard, by highest
@@ -21,7 +22,8 @@ from kinesia.llm._shared import plain, stored
 ROW_BYTES = 16
 #: A bucket beyond so many times its size, its largest row aside, holds many equal rows.
 OVERFULL = 4
-MAX_PARTITIONS = 20_000
+#: Tasks of the second pass.  The buckets' number has no bound: beyond this many a task takes several buckets, one after the other.
+MAX_TASKS = 20_000
 RESULT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
@@ -48,7 +50,9 @@ def external_shuffle(
 
     size: UTF-8 bytes of the text plus 16 (null text: 16); text_crc32: unsigned, null for a null text; slot: from 0, without
     gaps, in each shard; grown_shard: the shard among ``n_shards + 1``.  A row with a null id goes to the shard of null.
-    Repeated rows are kept, each with a slot of its own.  Input columns named like a result column are replaced.
+    Repeated rows are kept, each with a slot of its own.  Input columns named like a result column are replaced; any others may have
+    any name.  An empty table gives an empty one.  Rows with equal texts form no group here: each goes to its own id's shard, and
+    their order in a bucket is as random as any.  A text beyond ``bucket_bytes`` is one row of its bucket, whole.
     A bucket holds ``bucket_bytes`` on average, by one sum over the sizes of each shard, however many rows an id has.  Only equal
     rows of an id share a bucket; if these overfill one, the table is written once with a number for each row that deals them too.
     """
@@ -85,7 +89,7 @@ def external_shuffle(
             F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
         ).alias("_row"),
     )
-    partitions = min(MAX_PARTITIONS, sum(n_buckets))
+    partitions = min(MAX_TASKS, sum(n_buckets))
     buckets = (
         rows.repartition(partitions, "_shard", "_bucket")
         .groupBy("_shard", "_bucket")
@@ -117,5 +121,5 @@ def in_order(rows: str, schema: T.StructType, names: list[str]) -> Column:
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder for each shard; the files' rows are in the shuffled order of their buckets."""
-    sharded.write.partitionBy("shard").mode("errorifexists").parquet(path)
+    """One folder for each shard; the rows of each of its files are in the order of their slots."""
+    sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("errorifexists").parquet(path)
