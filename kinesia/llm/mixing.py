@@ -8,7 +8,8 @@ A leaf then takes whole epochs and a prefix, by tokens, of one more epoch in
 that epoch's seeded order.
 
 The documents are not shuffled: the cut of each leaf is found from sums over
-narrow slices of the order, so a leaf with a third of all rows is no task's own.
+slices of the order, then over slices of the slice that holds it, and so on, so a
+leaf with a third of all rows is no task's own.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from kinesia.llm._shared import stored
+from kinesia.llm._shared import plain, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS = ("domain", "lang", "source")
-#: Hexadecimal digits of the order that name a slice: 65,536 slices a leaf at most.
-SLICE = 4
+#: Hexadecimal digits of the order that name a slice.  Each level cuts the slice found by the one before into 256 at most.
+SLICES = (2, 4, 6)
 MAX_BROADCAST_LEAVES = 100_000
 
 DOMAIN_WEIGHTS = {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}
@@ -51,7 +52,7 @@ def big(column: Column, digits: int = 20) -> Column:
 def deal(children: DataFrame, parents: list[str]) -> DataFrame:
     """Add ``budget`` to children that have cap, w and their parent's budget as ``_b``; all whole numbers."""
     group = W.partitionBy(*parents)
-    order = group.orderBy(F.col("cap") / F.col("w"), *[c for c in LEVELS if c in children.columns])
+    order = group.orderBy(big(F.col("cap")) / big(F.col("w"), 17), *[c for c in LEVELS if c in children.columns])
     before = order.rowsBetween(W.unboundedPreceding, -1)
     x = children.withColumn("_c", F.coalesce(F.sum("cap").over(before), F.lit(0)))
     x = x.withColumn("_w", F.sum("w").over(group) - F.coalesce(F.sum("w").over(before), F.lit(0)))
@@ -79,8 +80,9 @@ def mix(
     """``df`` with struct ``_mix``: domain, lang, source, tokens, leaf_budget, copies; copies is how often to take the row.
 
     The budget is ``budget_share`` of all tokens (words).  A null language or source is the leaf "".  A null or empty text has
-    no tokens and takes no budget.  Rows of one id lie together in each epoch's order and are taken together.  An empty table
-    gives an empty table.  ``df`` may have any further columns but ``_mix``.
+    no tokens and takes no budget.  Rows of one id lie together in each epoch's order and are taken together, repeated ones too.
+    Ties between children are broken by their names.  An empty table gives an empty table.  A text of any length is counted whole.
+    ``df`` may have any further columns but ``_mix``.
     """
     tokens = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     leaf = [domain_of(F.col(source_col)).alias("domain"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(source_col), F.lit("")).alias("source")]
@@ -102,25 +104,24 @@ def mix(
     small = budgets.count() <= MAX_BROADCAST_LEAVES
     bound = F.broadcast if small else lambda x: x
 
-    keyed = narrow.join(bound(budgets.where("need > 0")), list(LEVELS)).withColumn("_key", order_key(seed, F.col("full"), F.col("_id")))
-    slices = keyed.groupBy(*LEVELS, "need", F.substring("_key", 1, SLICE).alias("_slice")).agg(F.sum("tokens").alias("_t"))
+    keyed = narrow.join(bound(budgets.where("need > 0")), list(LEVELS)).select(*LEVELS, "need", "tokens", order_key(seed, F.col("full"), F.col("_id")).alias("_key"))
     upto = W.partitionBy(*LEVELS).orderBy("_slice").rowsBetween(W.unboundedPreceding, 0)
-    edge = slices.withColumn("_upto", F.sum("_t").over(upto)).where("_upto > need and _upto - _t <= need").select(*LEVELS, "_slice", (F.col("need") - F.col("_upto") + F.col("_t")).alias("_left"))
-    edge = stored(edge)
-    inside = keyed.withColumn("_slice", F.substring("_key", 1, SLICE)).join(bound(edge), [*LEVELS, "_slice"])
-    inside = inside.withColumn("_sum", F.sum("tokens").over(W.partitionBy(*LEVELS).orderBy("_key"))).where("_sum <= _left")
-    last = inside.groupBy(*LEVELS).agg(F.max("_key").alias("_last"))
+    edge, inside = None, keyed.withColumn("_left", F.col("need"))
+    for digits in SLICES:
+        slices = inside.groupBy(*LEVELS, "_left", F.substring("_key", 1, digits).alias("_slice")).agg(F.sum("tokens").alias("_t"))
+        found = slices.withColumn("_upto", F.sum("_t").over(upto)).where("_upto > _left and _upto - _t <= _left")
+        edge = stored(found.select(*LEVELS, "_slice", (F.col("_left") - F.col("_upto") + F.col("_t")).alias("_left")))
+        inside = keyed.withColumn("_slice", F.substring("_key", 1, digits)).join(bound(edge), [*LEVELS, "_slice"])
+    last = inside.withColumn("_sum", F.sum("tokens").over(W.partitionBy(*LEVELS).orderBy("_key"))).where("_sum <= _left").groupBy(*LEVELS).agg(F.max("_key").alias("_last"))
     cut = edge.join(last, list(LEVELS), "left").select(*LEVELS, F.coalesce("_last", "_slice").alias("_cut"))
-    cuts = budgets.join(cut, list(LEVELS), "left")
-    cuts = stored(cuts.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], "leaf_budget", "full", "need", "_cut"))
-
-    mine = F.struct(*leaf, tokens.alias("tokens"))
-    x = df.withColumn("_mix", mine)
-    x = x.join(bound(cuts), (F.col("_mix.domain") == F.col("_domain")) & (F.col("_mix.lang") == F.col("_lang")) & (F.col("_mix.source") == F.col("_source")))
-    key = order_key(seed, F.col("full"), F.col(id_col).cast("string"))
-    copies = F.col("full") + F.when((F.col("need") > 0) & (F.col("_cut").isNull() | (key <= F.col("_cut"))), 1).otherwise(0)
-    struct = F.struct("_mix.domain", "_mix.lang", "_mix.source", "_mix.tokens", "leaf_budget", copies.cast("long").alias("copies"))
-    return x.select(*[F.col(f"`{c}`") for c in df.columns], struct.alias("_mix"))
+    cuts = stored(budgets.join(cut, list(LEVELS), "left").select(F.struct(*LEVELS).alias("leaf"), "leaf_budget", "full", "need", F.col("_cut").alias("cut")))
+
+    # The rows travel as one struct, so no column of theirs meets one of these.
+    x = df.select(F.struct(*[F.col(plain(c)) for c in df.columns]).alias("row"), F.struct(*leaf).alias("leaf"), tokens.alias("tokens"), F.col(id_col).cast("string").alias("key"))
+    x = x.join(bound(cuts), "leaf")
+    copies = F.col("full") + F.when((F.col("need") > 0) & (F.col("cut").isNull() | (order_key(seed, F.col("full"), F.col("key")) <= F.col("cut"))), 1).otherwise(0)
+    taken = F.struct("leaf.domain", "leaf.lang", "leaf.source", "tokens", "leaf_budget", copies.cast("long").alias("copies"))
+    return x.select(*[F.col(f"row.{plain(c)}").alias(c) for c in df.columns], taken.alias("_mix"))
 
 
 def order_key(seed: int, epoch: Column, key: Column) -> Column:
