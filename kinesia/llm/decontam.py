@@ -14,9 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed masks; 1: the word counts.  Their ignored words lie 5, 6, 7 or more apart too, so a passage of 15 words or more in which
-#: every fifth or later word was substituted keeps a seed at some position; one of 12 to 14 words may have none.
-MASKS = ("110110101101", "111000110111", "110101110111", "010111011011")
+#: Fixed masks; 1: the word counts.  Their ignored words lie 4, 5, 6, 7 or more apart too, so a passage of 15 words or more in which
+#: every fourth or later word was substituted keeps a seed at some position; one of 12 to 14 words may have none.
+MASKS = ("110110101101", "111000110111", "110101110111", "010111011011", "111011101110")
 SPAN = len(MASKS[0])
 SUBSTITUTION = 2
 LEAST_SCORE = 12
@@ -73,7 +73,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     laid; then all of these are the matched words.  at_word is where in the document the item would begin, for the best alignment
     (the smallest of equals).  Null or empty texts overlap with nothing.  Items of fewer than ``SPAN`` words, down to a single one,
     overlap under ``short_items`` with documents that hold all their words in a row, and otherwise with nothing.  Rows of one id are one document; a null id is reported as
-    such.  Items of one id are one item.  The benchmark's seeds are broadcast if they are ``MAX_BROADCAST_SEEDS`` or fewer;
+    such.  Items of one id are one item.  Repeated rows count once; a text of any length is read whole; an empty table on either
+    side gives an empty one; other columns, whatever their names, are not read.  The benchmark's seeds are broadcast if they are ``MAX_BROADCAST_SEEDS`` or fewer;
     beyond that they are joined by a shuffle of positions, without the texts.
     """
     items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("item_id"), word_hashes(F.col(text_col)).alias("h"))
@@ -85,8 +86,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     if theirs.count() <= MAX_BROADCAST_SEEDS:
         hits = seeds(mine).join(F.broadcast(theirs), "_seed").select("doc_id", "item", offset, "_long", "h")
     else:
-        hits = seeds(mine).select("doc_id", "_at", "_seed").join(theirs, "_seed").select("doc_id", "item", offset, "_long").distinct()
-        hits = hits.withColumnRenamed("doc_id", "_d").join(mine, F.col("_d").eqNullSafe(F.col("doc_id"))).drop("_d")
+        # Id and 128 bits of the words name a row, so ids that repeat, or are null, meet only their own hits.
+        mine = mine.withColumns({"_k1": F.xxhash64("h"), "_k2": F.xxhash64(F.lit(1), "h")})
+        hits = seeds(mine).select("doc_id", "_k1", "_k2", "_at", "_seed").join(theirs, "_seed").select(F.col("doc_id").alias("_d"), "_k1", "_k2", "item", offset, "_long").distinct()
+        hits = hits.join(mine, (F.col("_d").eqNullSafe(F.col("doc_id"))) & (hits._k1 == mine._k1) & (hits._k2 == mine._k2)).select("doc_id", "item", "offset", "_long", "h")
     first = F.greatest(F.col("offset"), F.lit(0))
     part = hits.select("doc_id", "item", "offset", F.slice("h", first + 1, F.col("_long")).alias("part"))
     part = part.dropDuplicates(["doc_id", "item", "offset", "part"])
