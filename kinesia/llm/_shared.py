@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -15,10 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = getattr(context, "_kinesia_folder", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         context._kinesia_folder = folder
     return folder.rstrip("/")
@@ -29,7 +32,36 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _STORED:
+        atexit.register(_clear)
+    _STORED[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kinesia_stored = path
+    return out
+
+
+#: Tables of this process that are still there.
+_STORED: dict[str, SparkSession] = {}
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that ``stored`` made and that no later step reads."""
+    for df in tables:
+        _remove(df._kinesia_stored)
+
+
+def _remove(path: str) -> None:
+    spark = _STORED.pop(path, None)
+    if spark is not None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _clear() -> None:
+    """At the end of the process, if its session is still alive."""
+    for path, spark in list(_STORED.items()):
+        if spark.sparkContext._jsc is not None:
+            _remove(path)
 
 
 def plain(name: str) -> str:

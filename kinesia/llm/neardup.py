@@ -11,16 +11,21 @@ What keeps large groups linear:
 - shingles that no other candidate has bound a node's overlap with any other, so
   pairs that cannot link are not compared (the bound loses nothing);
 - each bucket is first compared with its most central member only.  Pairs of a
-  bucket that are in one component by then need no comparison.  Of all others,
-  those that share a shingle of few members are compared, and those that could
-  link by their common shingles alone, which again loses nothing.
-
-With 24 bands of 5 coordinates a pair at the threshold, 0.85, shares no bucket
-with a probability of 8e-7.
+  bucket that are in one component by then need no comparison;
+- what is left of a bucket of up to ``SMALL`` members is compared within it.  The
+  members of larger ones get a longer signature, cut into more and longer bands,
+  in which texts that merely share much of their wording no longer meet; and so
+  on by ``LEVELS``.  What still shares a large bucket in the last level is compared
+  in full, so no pair that met is given up.
+
+At each level a pair at the threshold, 0.85, shares no bucket with a probability
+of 1e-6 or less.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,14 +33,17 @@ from pyspark.sql import functions as F
 
 from kinesia.llm import _text
 from kinesia.llm._graph import components
-from kinesia.llm._shared import stored
+from kinesia.llm._shared import dropped, stored
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
-#: A shingle of fewer members than this is compared within all of them.
-RARE = 32
+#: A bucket of up to so many members is compared within; larger ones go to the next level.
+SMALL = 16
+#: Bands and rows of the longer signatures.
+LEVELS = ((64, 10), (350, 20))
 PERCENT = 85
-_BLOCK = 2048
+#: Values of a signature's matrix that are held at once.
+_CELLS = 1 << 18
 _U32 = np.uint32
 
 
@@ -63,8 +71,9 @@ def signature(shingles: np.ndarray, size: int) -> np.ndarray:
     place = (_text.mix(shingles ^ np.uint64(0xA5A5A5A55A5A5A5A)) >> np.uint64(32)).astype(_U32)
     shifts = np.arange(size, dtype=_U32)[:, None]
     best = np.full(size, 0xFFFFFFFF, _U32)
-    for k in range(0, len(place), _BLOCK):
-        x = place[None, k : k + _BLOCK] - shifts
+    block = max(1, _CELLS // size)
+    for k in range(0, len(place), block):
+        x = place[None, k : k + block] - shifts
         x ^= x >> _U32(16)
         x *= _U32(0x85EBCA6B)
         x ^= x >> _U32(13)
@@ -122,6 +131,20 @@ def full_sets(df: DataFrame) -> DataFrame:
     return df.select("id", "text", "f1").mapInArrow(kernel, "id long, set array<long>")
 
 
+def longer_keys(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(rep, key) for each band of each row of sets(id, set)."""
+
+    def kernel(source):
+        for batch in source:
+            values, width = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64), batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(width)
+            for i in range(batch.num_rows):
+                key = band_keys(signature(values[ends[i] - width[i] : ends[i]], bands * rows), bands, rows)
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], bands), pa.array(key.view(np.int64))], ["rep", "key"])
+
+    return sets.select("id", "set").mapInArrow(kernel, "rep long, key long")
+
+
 def can_link(n1: Column, c1: Column, n2: Column, c2: Column, percent: int) -> Column:
     """Whether the sizes n and the numbers c of shingles that others have too allow the similarity."""
     return (F.least(c1, c2) * (100 + percent) >= (n1 + n2) * percent) & (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent)
@@ -142,12 +165,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.where(same * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent).select("a", "b").distinct()
 
 
-def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def apart(cand: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, rep, n, c, comp) of the buckets of cand(key, rep, n, c) whose members aren't all in one component."""
+    placed = cand.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).select("key", "rep", "n", "c", "comp")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return placed.join(mixed, "key", "left_semi")
+
+
+def near_duplicates(
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, levels: tuple[tuple[int, int], ...] = LEVELS
+) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row.
 
     Words are runs of bytes other than space and 0x09-0x0D, with A-Z lower-cased.  A null text or one without words has no
     shingle and is linked with nothing.  Rows of one id are one document; if their texts differ, the one with the smallest
-    fingerprint decides.  A row without an id is a component of its own, with a null id, and is kept.
+    fingerprint decides.  A row without an id is a component of its own, with a null id, and is kept.  Repeated rows each have a
+    row.  Texts of any length are read whole; an empty table gives an empty one; other columns, whatever their names, are not read.
     """
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sig = stored(signatures(source, bands, rows))
@@ -171,22 +204,29 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     links = stored(confirmed(stars, sets, percent))
     comps = components(links)
 
-    # Buckets whose members aren't all in one component by now.
-    placed = cand.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    placed = stored(placed.select("key", "rep", "n", "c", "comp"))
-    mixed = stored(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
-    rest = stored(placed.join(mixed, "key"))
-    # A pair that shares a shingle of few members is found by it; any other shares only common ones, whose number bounds it.
-    members = stored(rest.select("rep", "n", "c", "comp").distinct())
-    items = members.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "n", "c", "comp", F.explode("set").alias("s"))
-    held = items.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    items = stored(items.join(held, "s"))
-    common = items.where(F.col("k") >= RARE).groupBy("rep").agg(F.count(F.lit(1)).alias("common"))
-    rest = rest.join(common, "rep").drop("c").withColumnRenamed("common", "c")
-    tested = pairs_within(rest, "key", percent).union(pairs_within(items.where(F.col("k") < RARE), "s", percent)).distinct().join(stars, ["a", "b"], "left_anti")
+    tables = [shared, stars, center]
+    rest = stored(apart(cand, comps))
+    dropped(cand, *tables)
+    pairs, k = [], 0
+    while True:
+        sizes = stored(rest.groupBy("key").agg(F.count(F.lit(1)).alias("m")))
+        more = sizes.where(F.col("m") > SMALL).limit(1).count() > 0
+        small = rest if not more or k == len(levels) else rest.join(sizes.where(F.col("m") <= SMALL), "key", "left_semi")
+        pairs.append(stored(pairs_within(small, "key", percent).distinct()))
+        if not more or k == len(levels):
+            break
+        members = stored(rest.join(sizes.where(F.col("m") > SMALL), "key", "left_semi").select("rep", "n", "c", "comp").distinct())
+        keys = longer_keys(sets.join(members, sets.id == members.rep, "left_semi"), *levels[k])
+        cand = stored(keys.join(members, "rep").select("key", "rep", "n", "c"))
+        longer = stored(apart(cand, comps))
+        dropped(rest, sizes, members, cand)
+        rest, k = longer, k + 1
+    dropped(rest, sizes)
+    tested = reduce(DataFrame.union, pairs).distinct()
     more = stored(confirmed(tested, sets, percent))
     if more.limit(1).count():
         comps = components(links.union(more))
+    dropped(sets, links, more, *pairs)
 
     member = one.select("id", "f1", "f2").join(groups.select("f1", "f2", "rep"), ["f1", "f2"]).select("id", "rep")
     placed = member.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("id").alias("_m"), F.coalesce("comp", "rep").alias("comp"))

@@ -175,7 +175,7 @@ def test_decontamination(spark, monkeypatch, broadcast):
     swap = lambda t, at: " ".join("zz" if i in at else w for i, w in enumerate(t.split(" ")))
     t = [prose(r, 80), prose(r, 10) + " " + items[0] + " " + prose(r, 9), swap(items[1], {4, 13}), "(" + items[2].upper() + ")", " ".join(items[2].split(" ")[20:45]), items[3], "", None]
     t.append(swap(items[0], set(range(0, 40, 3))))
-    regular = [(n, k) for n in (5, 6, 7, 8, 9, 11, 12) for k in (0, 2, n - 1)]
+    regular = [(n, k) for n in (4, 5, 6, 7, 8, 9, 10, 11, 12) for k in (0, 2, n - 1)]
     t += [swap(items[2], set(range(k, 60, n))) for n, k in regular]
     docs = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
     bench = spark.createDataFrame([*enumerate(items), (9, None), (0, items[0])], "item_id long, text string")
@@ -186,6 +186,31 @@ def test_decontamination(spark, monkeypatch, broadcast):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_of_rows_without_an_id_of_their_own(spark, monkeypatch, broadcast):
+    """Ids that repeat with other texts, and null ones: the best row of an id counts, and no row meets another's hits."""
+    if not broadcast:
+        monkeypatch.setattr(decontam, "MAX_BROADCAST_SEEDS", 0)
+    r = random.Random(21)
+    item, clean = prose(r, 40), [prose(r, 90) for _ in range(6)]
+    part = lambda a, b: " ".join(item.split(" ")[a:b])
+    rows = [(1, clean[0] + " " + part(0, 13)), (1, part(3, 33) + " " + clean[1]), (1, clean[2]), (None, clean[3]), (None, clean[4] + " " + part(10, 30)), (None, clean[5]), (None, clean[5]), (2, clean[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in decontam.contaminated(df.union(df), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    expect = {k: max(overlaps(t, item) for i, t in rows if i == k) for k in (1, None)}
+    assert {k: v.score for k, v in got.items()} == expect and got[1].matched_words == 30
+
+
+def test_decontamination_recall_with_random_substitutions(spark):
+    """Items of 20 to 60 words with each word substituted with a probability: found against the brute-force score."""
+    r = random.Random(5)
+    items = [prose(r, r.randrange(20, 60)) for _ in range(80)]
+    rows = [(k * 4 + j, " ".join(f"s{r.randrange(999)}" if r.random() < share else w for w in t.split(" "))) for k, t in enumerate(items) for j, share in enumerate((0.05, 0.1, 0.15, 0.2))]
+    got = {x.doc_id for x in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    due = {i for i, t in rows if overlaps(t, items[i // 4]) >= decontam.LEAST_SCORE}
+    assert len(due) > 150 and len(due & got) >= 0.98 * len(due)
+
+
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_decontamination_of_whole_short_items(spark, monkeypatch, broadcast):
     if not broadcast:
@@ -231,8 +256,8 @@ def brute_components(rows, percent=85):
 
 def test_near_duplicates(docs, monkeypatch):
     expect = brute_components(texts())
-    for rare in (32, 3):
-        monkeypatch.setattr(neardup, "RARE", rare)
+    for small in (16, 2):
+        monkeypatch.setattr(neardup, "SMALL", small)
         rows = neardup.near_duplicates(docs).collect()
         assert len(rows) == docs.count()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows if r.doc_id is not None} == expect
@@ -253,6 +278,22 @@ def test_near_duplicate_chains(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df).collect()} == brute_components(rows)
 
 
+def test_templated_pages_are_compared_in_linear_number(spark, monkeypatch):
+    """Pages made of shared lines, none of them copies: the pairs whose full sets are compared grow with the pages."""
+    tested = []
+    whole = neardup.confirmed
+    monkeypatch.setattr(neardup, "confirmed", lambda pairs, sets, percent: (tested.append(pairs.count()), whole(pairs, sets, percent))[1])
+    r = random.Random(3)
+    lines = [prose(r, 9) for _ in range(110)]
+    for n in (200, 400, 800):
+        tested.append(0)
+        pages = [(k, "\n".join(x for x in lines if r.random() < 0.75)) for k in range(n)]
+        got = neardup.near_duplicates(spark.createDataFrame(pages, "doc_id long, text string"))
+        assert got.where("kept").count() == n
+    few, mid, many = (sum(tested[k + 1 : k + 3]) for k in range(0, 9, 3))
+    assert mid < 3 * few and many < 3 * mid and many < 800 * 799 / 2 / 5, tested
+
+
 def test_circulant_signature_estimates_similarity():
     r = np.random.default_rng(0)
     a = r.integers(0, 2**63, 600).astype(np.uint64)
@@ -540,7 +581,11 @@ def test_sharding_keeps_rows_and_balances(spark, tmp_path):
     # The order is not that of the ids: neighbours are as far apart as in a random one.
     assert abs(np.mean(np.abs(np.diff(one))) / 20_000 - 1 / 3) < 0.05
     sharding.write_shards(out, str(tmp_path / "shards"))
-    assert spark.read.parquet(str(tmp_path / "shards")).count() == 20_000
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == 20_000
+    for name in back.inputFiles()[:10]:
+        slots = [r.slot for r in spark.read.parquet(name).collect()]
+        assert slots == sorted(slots)
 
 
 @pytest.mark.parametrize("key,text", [(None, "concat('t', id)"), (7, "'same'")])
@@ -603,6 +648,14 @@ def test_mixture(docs):
                 assert all(r.copies == full + (need > 0 and total <= need) for r in order[key])
 
 
+def test_mixture_takes_any_column_names(spark):
+    names = ["_cut", "cut", "full", "need", "leaf_budget", "leaf", "row", "key", "tokens", "copies", "_lang", "_domain", "_source", "domain", "_key", "_slice", "_left", "a b.c"]
+    df = spark.createDataFrame([(i, "a b c", "en", "s", *[i] * len(names)) for i in range(10)], ["doc_id", "text", "lang", "source", *names])
+    got = mixing.mix(df, budget_share=(1, 2), max_epochs=1)
+    assert got.columns == [*df.columns, "_mix"] and sum(r._mix.copies for r in got.collect()) == 5
+    assert all(set(r[1 + 3 : -1]) == {r.doc_id} for r in got.collect())
+
+
 def test_mixture_with_weights_of_one_leaf(spark):
     df = spark.createDataFrame([(i, "a b c", "en", "s") for i in range(10)], "doc_id long, text string, lang string, source string")
     got = mixing.mix(df, budget_share=(1, 2), max_epochs=1).select("_mix.*").collect()
