@@ -17,6 +17,7 @@ position that neighbours leave open follows, so no passage is missed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ WINDOW = 24
 HEAD = 24
 #: How many rows on either side a suffix is compared with; rows of its own document don't help.
 NEIGHBOURS = 3
-#: Rows of a partition that are compared at once, or those of one head.
+#: Rows of a partition that are compared at once: whole heads, or a part of one head that has more.
 PIECE = 50_000
 SIDE = LEAST - HEAD
 _U64 = np.uint64
@@ -214,15 +215,16 @@ def _keyed(part: pa.Table, rows: np.ndarray, o: int, keys: np.ndarray, with_plac
     return pa.RecordBatch.from_arrays([take(3), take(5), null, null, pa.array(keys[rows].view(np.int64)), pa.array(np.full(len(rows), o, np.int32)), at], [c.split()[0] for c in BOTH.split(", ")])
 
 
-def _compared(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches within a sorted partition, taken in pieces of whole heads.
+def _compared(source: Iterator[pa.RecordBatch], size: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Matches within a sorted partition, taken in pieces of about ``size`` rows.
 
     Neighbours are compared and extended first.  A row's best partner to the right need not be its best one to the left, so
     windows of ``LEAST`` words around a position that this leaves open are compared among all rows of the head.  The first and the
-    last head of a partition may go on in another one: their windows' keys are returned.
+    last head of a partition may go on in another one, and a head of more than ``size`` rows goes on in the next piece: their
+    windows' keys are returned, to be met across pieces and partitions.
     """
     held: list[pa.RecordBatch] = []
-    n, first = 0, None
+    n, first, torn = 0, None, None
 
     def piece(part: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal first
@@ -236,6 +238,8 @@ def _compared(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for o in range(SIDE + 1):
             known[who[(left >= o) & (right >= LEAST - o)], o] = True
         edge = (head == first) | (head == head[-1] if last else np.zeros(len(head), bool))
+        if torn is not None:
+            edge |= head == torn
         group = np.concatenate([[0], np.cumsum(head[1:] != head[:-1])])
         for o, keys, inside in window_keys(head, after, before):
             # Heads that have an open row, or that may go on elsewhere; a head's rows lie together.
@@ -261,23 +265,25 @@ def _compared(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         held.append(batch)
         n += batch.num_rows
-        if n >= PIECE:
+        if n >= size:
             part = pa.Table.from_batches(held).combine_chunks()
             head = part.column(0).to_numpy()
             cut = int(np.searchsorted(head, head[-1]))
-            if cut:
-                yield from piece(part.slice(0, cut).combine_chunks(), False)
-                held, n = part.slice(cut).to_batches(), len(head) - cut
+            if not cut:
+                cut, torn = len(head), head[-1]
+            yield from piece(part.slice(0, cut).combine_chunks(), False)
+            held, n = part.slice(cut).to_batches(), len(head) - cut
     if held:
         yield from piece(pa.Table.from_batches(held).combine_chunks(), True)
 
 
-def repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE) -> DataFrame:
     """(doc_id, n_words, n_repeat_words, n_passages, passages): a row for each document that shares a passage of ``LEAST`` words or more.
 
     passages: start:end of each, in words (runs of other characters than space and 0x09-0x0D), comma-joined.  A passage counts
     only if another id has it too; what repeats within one document does not.  Null and short texts have no passage; rows without
-    an id are left out; rows of one id and one text are one document.
+    an id are left out; rows of one id and one text are one document.  Rows that tie in their words are sorted by id.  Texts of any
+    length are read whole; an empty table gives an empty one; other columns, whatever their names, are not read.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     found = stored(suffix_heads(docs))
@@ -285,7 +291,7 @@ def repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     listed = found.join(shared, "head").groupBy("id").agg(F.collect_set("head").alias("heads"))
     rows = stored(suffix_rows(docs.join(listed, "id")))
     order = ["head", "after", "before", "id"]
-    compared = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compared, BOTH))
+    compared = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(partial(_compared, size=piece), BOTH))
     inner = compared.where("s IS NOT NULL").select("id", "words", "s", "e")
     keyed = compared.where("key IS NOT NULL")
     over = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
