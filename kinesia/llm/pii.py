@@ -38,7 +38,16 @@ LOOKALIKES = {
     "E": "ЕΕ", "H": "НΗ", "I": "ІΙ", "J": "Ј", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "S": "Ѕ", "T": "ТΤ", "X": "ХΧ", "Y": "УΥ", "Z": "Ζ",
     ".": "․。", "-": "‐‑‒–—−", "@": "＠﹫",
 }
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Words of the four languages of the corpus for digits and signs (fixed values); also as they are written without accents.
+DIGIT_WORDS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+AT_WORDS = ("at", "ät", "klammeraffe", "arobase", "arrobase", "arroba")
+DOT_WORDS = ("dot", "punkt", "point", "punto")
+PLUS_WORDS = ("plus", "más", "mas")
 #: Spelled digits that a run needs in the second reading; the first one undoes all of them.
 LEAST_SPELLED = 4
 _INVISIBLE = "­​‌‍⁠﻿"
@@ -58,22 +67,29 @@ def _one_to_one() -> dict[int, str]:
     return out
 
 
-_WORD = "(?:" + "|".join(DIGIT_WORDS) + ")"
+def _any_of(words) -> str:
+    return "(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")"
+
+
+_WORD, _AT, _DOT_WORD, _PLUS = map(_any_of, (DIGIT_WORDS, AT_WORDS, DOT_WORDS, PLUS_WORDS))
+#: Whitespace is matched from its first character only and never given back, so a long run of it costs its length once.
+_GAP = r"(?<!\s)\s*+"
+_OPEN, _CLOSE = r"[\[({<]\s*+", r"\s*+[\])}>]"
 _LABEL = "[A-Za-z0-9-]++"
-_DOT = r"(?:\s+dot\s+|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*)"
+_DOT = rf"(?:\s++{_DOT_WORD}\s++|\s*+{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}\s*+)"
 # The separators of a domain may be plain, spelled or bracketed.  Of "x at y.com at z.com" the last "at" counts.
 _RULES = re.compile(
     rf"(?P<gone>[{_INVISIBLE}]+)"
-    rf"|(?P<at>\s*[\[({{<]\s*at\s*[\])}}>]\s*|(?<=[A-Za-z0-9_])\s+at\s+(?=(?P<domain>{_LABEL}(?:(?:\.|{_DOT}){_LABEL})++)(?!\s+at\s+{_LABEL}(?:{_DOT}[A-Za-z0-9]|(?:\.{_LABEL})*\.[A-Za-z]{{2,}}\b))))"
-    r"|(?P<dot>\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9]))"
-    rf"|(?P<digits>(?:\bplus[\s-]+)?\b(?:{_WORD}|[0-9]+)(?:[\s,-]+(?:{_WORD}|[0-9]+))*\b)",
+    rf"|(?P<at>{_GAP}{_OPEN}{_AT}{_CLOSE}\s*+|(?<=[A-Za-z0-9_])\s++{_AT}\s++(?=(?P<domain>{_LABEL}(?:(?:\.|{_DOT}){_LABEL})++)(?!\s++{_AT}\s++{_LABEL}(?:{_DOT}[A-Za-z0-9]|(?:\.{_LABEL})*\.[A-Za-z]{{2,}}\b))))"
+    rf"|(?P<dot>{_GAP}{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}\s*+|(?<=[A-Za-z0-9])\s++{_DOT_WORD}\s++(?=[A-Za-z0-9]))"
+    rf"|(?P<digits>(?:\b{_PLUS}[\s-]++)?\b(?:{_WORD}|[0-9]++)(?:[\s,-]*+(?:{_WORD}|[0-9]++))*\b)",
     re.IGNORECASE,
 )
 #: A domain without any disguise; it ends in letters, so that "at 10.30" is a time.
 _PLAIN_DOMAIN = re.compile(r"[A-Za-z0-9.-]+")
 _PLAIN_END = re.compile(r"\.[A-Za-z]{2,}\Z")
 _PIECE_WORD = re.compile(_WORD, re.IGNORECASE)
-_PIECE = re.compile(rf"{_WORD}|plus|[0-9]", re.IGNORECASE)
+_PIECE = re.compile(rf"{_WORD}|{_PLUS}|[0-9]", re.IGNORECASE)
 
 
 def undisguised(text: str, least: int = LEAST_SPELLED) -> tuple[str, np.ndarray, np.ndarray]:
@@ -106,7 +122,7 @@ def undisguised(text: str, least: int = LEAST_SPELLED) -> tuple[str, np.ndarray,
                 continue
             copy(at, m.start())
             for p in pieces:
-                write(DIGIT_WORDS.get(p[0].lower(), "+" if p[0].lower() == "plus" else p[0]), m.start() + p.start(), m.start() + p.end())
+                write(DIGIT_WORDS.get(p[0].lower(), "+" if p[0].lower() in PLUS_WORDS else p[0]), m.start() + p.start(), m.start() + p.end())
         else:
             if m["domain"] and _PLAIN_DOMAIN.fullmatch(m["domain"]) and not _PLAIN_END.search(m["domain"]):
                 continue
@@ -162,9 +178,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """What is found only after the disguises are undone, in source positions; what overlaps a fixed match of any kind is not added.
+    """What is found only after the disguises are undone, in source positions.
 
-    All spelled digits are undone first, and the patterns decide.  A number word beside an identifier may spoil it then, so what
+    A fixed match inside a longer one of its kind is part of it, as where a look-alike cuts an address short, and the longer one is
+    added.  What overlaps fixed matches in any other way is not.  All spelled digits are undone first, and the patterns decide.  A number word beside an identifier may spoil it then, so what
     is found while short runs of them stay as they are is added where nothing else was.
     """
     first = undisguised(text, 1)
@@ -173,14 +190,15 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         second = undisguised(text)
         if second[0] != first[0]:
             readings.append(second)
-    out, taken = [], [(s, e) for _, s, e in base]
+    out, taken = [], []
     for plain, starts, ends in readings:
         if plain == text:
             continue
         new = []
         for kind, s, e in base_spans(plain):
             p, q = int(starts[s]), int(ends[e - 1])
-            if text[p:q] != plain[s:e] and all(q <= bs or p >= be for bs, be in taken):
+            clear = all(q <= bs or p >= be for bs, be in taken) and all(q <= bs or p >= be or (k == kind and p <= bs and be <= q and (p, q) != (bs, be)) for k, bs, be in base)
+            if text[p:q] != plain[s:e] and clear:
                 new.append((kind, p, q))
         out += new
         taken += [(p, q) for _, p, q in new]
@@ -195,9 +213,13 @@ _STRANGE = ((_B >= 0xC9) & (_B < 0xF8)) | (_B == 0xC4)
 
 
 @functools.cache
-def _hash_of(word: str) -> np.uint64:
-    data = np.frombuffer(word.encode(), np.uint8)
-    return _text.span_hash(data, np.array([0]), np.array([len(data)]), True)[0]
+def _hashes_of(words: tuple[str, ...]) -> np.ndarray:
+    """Hashes of words; letters that are not ASCII count in both cases."""
+    out = []
+    for word in {w for x in words for w in (x, x.upper(), x.capitalize())}:
+        data = np.frombuffer(word.encode(), np.uint8)
+        out.append(_text.span_hash(data, np.array([0]), np.array([len(data)]), True)[0])
+    return np.unique(np.array(out))
 
 
 def spelled_numbers(data: np.ndarray, offs: np.ndarray, a: np.ndarray, own: np.ndarray, h: np.ndarray, spelled: np.ndarray) -> np.ndarray:
@@ -205,8 +227,8 @@ def spelled_numbers(data: np.ndarray, offs: np.ndarray, a: np.ndarray, own: np.n
 
     a, own, h: start, text and hash of each run of letters.  An IP address has 4 digits and 3 dots at least, a number 9 digits.
     """
-    dot = h == _hash_of("dot")
-    ends = np.cumsum(~(spelled | dot | (h == _hash_of("plus"))))
+    dot = np.isin(h, _hashes_of(DOT_WORDS))
+    ends = np.cumsum(~(spelled | dot | np.isin(h, _hashes_of(PLUS_WORDS))))
     of_words = ends + own
     # A stretch ends at each other word and at the end of a text; both numbers only grow, so their sum names it.
     def of(at):
@@ -234,7 +256,8 @@ def plain_domains(data: np.ndarray, offs: np.ndarray, wide: np.ndarray) -> np.nd
     apart = blank[np.maximum(dot - 1, 0)] | np.isin(data[np.maximum(dot - 1, 0)], np.frombuffer(b"[({<", np.uint8))
     loose = np.bincount(_text.owner(dot[apart], offs), minlength=len(offs) - 1) > 0
     inner = np.searchsorted(dot, b - 1) > np.searchsorted(dot, a, side="right")
-    at = np.flatnonzero((b - a == 2) & (data[a] | 32 == 97) & (data[np.minimum(a + 1, len(data) - 1)] | 32 == 116))
+    short = np.flatnonzero(b - a <= max(len(w.encode()) for w in AT_WORDS))
+    at = short[np.isin(_text.span_hash(data, a[short], b[short], True), _hashes_of(AT_WORDS))]
     at = at[at + 1 < len(a)]
     at = at[(own[at + 1] == own[at]) & (inner[at + 1] | loose[own[at]])]
     return np.bincount(own[at], minlength=len(offs) - 1) > 0
@@ -255,15 +278,15 @@ def suspects(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     a, b = _text.spans(letter, offs)
     if len(a):
         own, h = _text.owner(a, offs), _text.span_hash(data, a, b, True)
-        spelled = np.isin(h, np.array([_hash_of(w) for w in DIGIT_WORDS]))
+        spelled, is_at = np.isin(h, _hashes_of(tuple(DIGIT_WORDS))), np.isin(h, _hashes_of(AT_WORDS))
         few = spelled_numbers(data, offs, a, own, h, spelled) if spelled.any() else False
-        at = np.bincount(own[h == _hash_of("at")], minlength=len(offs) - 1) > 0
+        at = np.bincount(own[is_at], minlength=len(offs) - 1) > 0
         # A plain or bracketed dot, or a spelled one; a bracketed "at" needs none.
         opened = np.isin(data[np.maximum(a - 1, 0)], np.frombuffer(b"[({< \n\t", np.uint8))
         bracket = np.isin(data[np.maximum(a - 1, 0)], np.frombuffer(b"[({<", np.uint8)) | ((data[np.maximum(a - 1, 0)] == 32) & np.isin(data[np.maximum(a - 2, 0)], np.frombuffer(b"[({<", np.uint8)))
-        closed_at = np.bincount(own[(h == _hash_of("at")) & opened & bracket], minlength=len(offs) - 1) > 0
+        closed_at = np.bincount(own[is_at & opened & bracket], minlength=len(offs) - 1) > 0
         at_domain = plain_domains(data, offs, wide) if at.any() else False
-        dots = np.bincount(own[h == _hash_of("dot")], minlength=len(offs) - 1) > 0
+        dots = np.bincount(own[np.isin(h, _hashes_of(DOT_WORDS))], minlength=len(offs) - 1) > 0
         signs = (has(_B == 64) > 0) & (has(np.isin(_B, (40, 60, 91, 123))) > 0)
         digits = has(_DIGIT) > 0
         odd |= few | closed_at | at_domain | (at & dots) | (dots & ((has(_B == 64) > 0) | digits)) | signs
@@ -278,7 +301,8 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Da
     """One row for each document: counts and a digest of the fixed matches, all spans, and how many the transducers added.
 
     Spans are in code points of the source, end exclusive.  Null text counts as empty; the id may be null; repeated rows each
-    have a row.  Other columns of ``df`` are not read.
+    have a row.  Spans of one kind and start are listed by their end.  Texts of any length are read whole, in time linear in it; an
+    empty table gives an empty one; other columns, whatever their names, are not read.
     """
     empty = hashlib.sha256(b"").hexdigest()
 
