@@ -25,7 +25,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the same as runs of [0-9a-f] with 32 or more: a run's start is never skipped
 KINDS = ("assign", "access", "hex", "crf")
-RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long"
+RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long, n_crf_on_fixed long, crf_on_fixed string"
 
 _B = np.arange(256)
 
@@ -292,8 +292,10 @@ def digest(spans: list[tuple[int, int, int]], kinds: tuple[str, ...]) -> str:
 def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", crf: Crf | None = None) -> DataFrame:
     """One row for each document: counts of the fixed patterns, a digest of their spans, all spans, and how many the field added.
 
-    Spans are in code points, end exclusive.  A span of the field that overlaps a fixed one is not added.  Null text counts as
-    empty and has no spans; the id may be null; repeated rows each have a row.  Other columns of ``df`` are not read.
+    Spans are in code points, end exclusive.  A span of the field that overlaps a fixed one is not added; it is counted in
+    n_crf_on_fixed and listed in crf_on_fixed.  Of labellings with equal scores the field takes the one whose labels come first.
+    Null text counts as empty and has no spans; the id may be null; repeated rows each have a row.  Texts of any length are read
+    whole; an empty table gives an empty one; other columns, whatever their names, are not read.
     """
     crf = model() if crf is None else crf
     empty = hashlib.sha256(b"").hexdigest()
@@ -302,7 +304,7 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", crf:
     def kernel(batch, data, offs):
         n = batch.num_rows
         counts = np.zeros((4, n), np.int64)
-        shas, spans = [empty] * n, [""] * n
+        shas, spans, on_fixed, again = [empty] * n, [""] * n, [""] * n, np.zeros(n, np.int64)
         hit = _suspects(data, offs)
         s, e, own = tagged(crf, data, offs)
         added: dict[int, list[tuple[int, int]]] = {}
@@ -313,16 +315,16 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", crf:
             text = raw.tobytes().decode()
             base = base_spans(text) if hit[i] else []
             lead = np.cumsum(_text.IS_LEAD[raw]) if i in added else None
-            more = []
+            more, known = [], []
             for x, y in added.get(i, ()):
                 p, q = int(lead[x - offs[i]]) - 1, int(lead[y - offs[i] - 1])
-                if all(q <= bs or p >= be for bs, be, _ in base):
-                    more.append((p, q, 3))
+                (more if all(q <= bs or p >= be for bs, be, _ in base) else known).append((p, q, 3))
+            on_fixed[i], again[i] = digest(known, KINDS), len(known)
             for _, _, k in [*base, *more]:
                 counts[k, i] += 1
             if base:
                 shas[i] = hashlib.sha256(digest(base, KINDS).encode()).hexdigest()
             spans[i] = digest(sorted([*base, *more], key=lambda v: (v[0], v[2], v[1])), KINDS)
-        return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts[:3]), pa.array(shas), pa.array(spans), pa.array(counts[3])], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf"])
+        return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts[:3]), pa.array(shas), pa.array(spans), pa.array(counts[3]), pa.array(again), pa.array(on_fixed)], [c.split()[0] for c in RESULT.split(", ")])
 
     return df.selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"`{text_col}` AS text").mapInArrow(kernel, RESULT)
