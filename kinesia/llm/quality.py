@@ -7,7 +7,9 @@ its words lie in content lines.
 
 The field is fitted on a bounded sample of labelled documents (``sample``): the
 lines of documents of good quality count as content, those of others as
-boilerplate.  Only the sample's feature rows come to the driver.
+boilerplate.  Only the sample's feature rows come to the driver, of a document
+those of ``TRAIN_STRETCHES`` stretches of ``TRAIN_LINES`` lines at most, spread over
+all of it.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ from kinesia.llm._crf import Crf, train
 
 SAMPLE = 2000
 CONTENT_SHARE = 0.5
-#: In training only, longer documents are cut into sequences of so many lines.
+#: In training only, longer documents are cut into sequences of so many lines, and so many of these are used.
 TRAIN_LINES = 64
+TRAIN_STRETCHES = 16
 RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
 
 _B = np.arange(256)
@@ -113,7 +116,8 @@ def measures(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Crf | None:
     """The field, from at most ``sample`` labelled documents, those with the smallest hashes of their ids; None without any line.
 
-    Rows without an id or a label don't count; of several labels for an id the largest does.
+    Rows without an id or a label don't count; of several labels for an id the largest does, and of several texts of an id the one
+    that sorts first.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
@@ -121,13 +125,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     @_text.batches("text")
     def kernel(batch, data, offs):
         m = measures(data, offs)
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(m["line_text"], minlength=batch.num_rows))]) * len(_SIZES)
-        ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(m["ids"].ravel(), pa.int32()))
+        ends = np.cumsum(np.bincount(m["line_text"], minlength=batch.num_rows))
+        kept = []
+        for start, end in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
+            firsts = np.arange(start, end, TRAIN_LINES)
+            if len(firsts) > TRAIN_STRETCHES:
+                firsts = firsts[np.arange(TRAIN_STRETCHES) * len(firsts) // TRAIN_STRETCHES]
+            kept.append(np.concatenate([np.arange(f, min(f + TRAIN_LINES, end)) for f in firsts]) if len(firsts) else np.zeros(0, np.int64))
+        bounds = np.concatenate([[0], np.cumsum([len(k) for k in kept])]) * len(_SIZES)
+        ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(m["ids"][np.concatenate(kept)].ravel(), pa.int32()))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], ["id", "y", "ids"])
 
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    rows = found.join(F.broadcast(chosen), "_id").select(F.col("_id").cast("long").alias("id"), F.col("_y").alias("y"), "text").mapInArrow(kernel, "id long, y int, ids array<int>")
-    got = sorted(rows.limit(2 * sample).collect(), key=lambda r: (r.id, len(r.ids)))
+    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
+    rows = found.groupBy(F.col("_id").cast("long").alias("id")).agg(F.max("_y").alias("y"), F.min("text").alias("text")).mapInArrow(kernel, "id long, y int, ids array<int>")
+    got = sorted(rows.collect(), key=lambda r: r.id)
     parts, ys, lens = [], [], []
     for r in got:
         if r.ids:
@@ -141,7 +152,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def rate(df: DataFrame, crf: Crf | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``RESULT`` for each row.  Null text counts as empty and fails; without a field every line is content."""
+    """``RESULT`` for each row.
+
+    Null text counts as empty and fails; without a field every line is content; half of the words in content lines are enough.
+    Repeated rows each have a row; texts of any length are read whole; an empty table gives an empty one; other columns, whatever
+    their names, are not read.
+    """
 
     @_text.batches("text")
     def kernel(batch, data, offs):
@@ -165,7 +181,7 @@ def verdict(crf: Crf | None, data: np.ndarray, offs: np.ndarray) -> list[pa.Arra
 
 
 def keep_good(df: DataFrame, crf: Crf | None, *, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that are kept, with all their columns."""
+    """The rows of ``df`` that are kept, with all their columns, whatever their names."""
 
     @_text.batches(text_col)
     def kernel(batch, data, offs):
