@@ -6,6 +6,8 @@ stage's result to the shared folder and reads it again for the next one.
 
 An empty table passes through as an empty one.  Rows with a null text fail the
 quality rules.  A row without an id is never anyone's copy and never contaminated.
+Ties and repeated rows are settled as the operators' docstrings say; texts of any
+length are read whole; columns beside those of ``documents`` pass through.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinesia.llm import decontam, mixing, neardup, quality, sharding
-from kinesia.llm._shared import ship, stored, table
+from kinesia.llm._shared import dropped, plain, ship, stored, table
 
 #: The mixture takes nine tenths of the tokens that are left, and no document twice.
 BUDGET_SHARE = (9, 10)
@@ -28,13 +30,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays, and one row of each id."""
+    """Of each group of near copies the document with the smallest id stays.
+
+    If an id has several rows, the one whose text has the smallest hash stays, of equal texts the one whose columns sort first.
+    """
     ship(spark)
     gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        named = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        out = named.unionByName(out.where("doc_id IS NULL"))
+        rows = F.struct(*[F.col(plain(c)) for c in out.columns])
+        first = out.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), rows.alias("r"))).alias("m"))
+        out = first.select("m.r.*").unionByName(out.where("doc_id IS NULL"))
     return out
 
 
@@ -71,7 +77,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -859,3 +859,16 @@ def test_pipeline(spark, docs, labels, tmp_path):
         now = spark.read.parquet(str(tmp_path / f"stage{k}"))
     assert ids(corpus_pipeline.run(spark, sf)) == ids(now)
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_of_an_empty_table_and_of_repeated_ids(spark, empty, labels, tmp_path):
+    plain = empty.select("doc_id", "text", "lang", "source", "n_chars")
+    plain.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    r = random.Random(6)
+    a, b, c = (prose(r, 60) for _ in range(3))
+    rows = [(1, a, "en", "s"), (1, b, "en", "s"), (1, b, "de", "s"), (2, c, "en", "s"), (None, c, "en", "s"), (None, c, "en", "s")]
+    kept = [sorted(map(str, corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(x, "doc_id long, text string, lang string, source string"), "").collect())) for x in (rows, rows[::-1])]
+    assert kept[0] == kept[1] and len(kept[0]) == 4
