@@ -12,8 +12,12 @@ What keeps large groups linear:
   pairs that cannot link are not compared (the bound loses nothing);
 - each bucket is first compared with its most central member only.  Pairs of a
   bucket that are in one component by then need no comparison;
-- what is left of a bucket of up to ``SMALL`` members is compared within it.  The
-  members of larger ones get a longer signature, cut into more and longer bands,
+- of all others, those that share a shingle of fewer than ``RARE`` members are
+  compared.  A pair that shares none overlaps in common shingles only, so members
+  whose common shingles cannot make a link with any of their bucket leave it;
+- what is left of a bucket of up to ``SMALL`` members is compared within it.  In a
+  larger one the members of its smallest components, ``SMALL`` at most, are compared
+  with all others and leave it.  The members of those that are mixed still get a longer signature, cut into more and longer bands,
   in which texts that merely share much of their wording no longer meet; and so
   on by ``LEVELS``.  What still shares a large bucket in the last level is compared
   in full, so no pair that met is given up.
@@ -29,6 +33,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinesia.llm import _text
@@ -37,6 +42,8 @@ from kinesia.llm._shared import dropped, stored
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
+#: A shingle of fewer members than this is compared within all of them.
+RARE = 8
 #: A bucket of up to so many members is compared within; larger ones go to the next level.
 SMALL = 16
 #: Bands and rows of the longer signatures.
@@ -158,6 +165,20 @@ def pairs_within(rows: DataFrame, key: str, percent: int) -> DataFrame:
     return left.join(right, apart & bound).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
 
 
+def pairs_between(few: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a row of few and a row of rows, both (key, rep, n, c, comp), that share a key, lie in two components and may link."""
+    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & can_link(F.col("l.n"), F.col("l.c"), F.col("r.n"), F.col("r.c"), percent)
+    return few.alias("l").join(rows.alias("r"), met).select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"))
+
+
+def smallest_components(rows: DataFrame) -> DataFrame:
+    """(key, comp) of each bucket's smallest components, of ``SMALL`` members together at most; never all of a larger bucket's."""
+    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
+    order = W.partitionBy("key").orderBy("k", "comp")
+    first = sizes.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SMALL)
+    return first.withColumn("total", F.sum("k").over(order.rowsBetween(W.unboundedPreceding, 0))).where(F.col("total") <= SMALL).select("key", "comp")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     x = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
@@ -167,11 +188,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def apart(cand: DataFrame, comps: DataFrame) -> DataFrame:
     """(key, rep, n, c, comp) of the buckets of cand(key, rep, n, c) whose members aren't all in one component."""
-    placed = cand.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).select("key", "rep", "n", "c", "comp")
+    placed = cand.drop("comp").join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).select("key", "rep", "n", "c", "comp")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     return placed.join(mixed, "key", "left_semi")
 
 
+def linkable(cand: DataFrame, percent: int) -> DataFrame:
+    """cand(key, rep, n, c) without the rows whose c shingles don't suffice even with the smallest set of the bucket that they may link with."""
+    least = cand.groupBy("key").agg(F.min("n").alias("_least"))
+    fits = F.col("c") * (100 + percent) >= (F.col("n") + F.greatest(F.col("_least"), F.ceil(F.col("n") * percent / 100))) * percent
+    return cand.join(least, "key").where(fits).drop("_least")
+
+
 def near_duplicates(
     df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, levels: tuple[tuple[int, int], ...] = LEVELS
 ) -> DataFrame:
@@ -204,10 +232,16 @@ def near_duplicates(
     links = stored(confirmed(stars, sets, percent))
     comps = components(links)
 
-    tables = [shared, stars, center]
-    rest = stored(apart(cand, comps))
-    dropped(cand, *tables)
-    pairs, k = [], 0
+    mixed = stored(apart(cand, comps))
+    members = stored(mixed.select("rep", "n", "c", "comp").distinct())
+    items = members.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "n", "c", "comp", F.explode("set").alias("s"))
+    held = items.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    items = stored(items.join(held, "s"))
+    pairs, k = [stored(pairs_within(items.where(F.col("k") < RARE), "s", percent).distinct())], 0
+    # From here on c counts the common shingles only.
+    common = items.where(F.col("k") >= RARE).groupBy("rep").agg(F.count(F.lit(1)).alias("common"))
+    rest = stored(apart(linkable(mixed.join(common, "rep").drop("c", "comp").withColumnRenamed("common", "c"), percent), comps))
+    dropped(cand, shared, center, mixed, members, items)
     while True:
         sizes = stored(rest.groupBy("key").agg(F.count(F.lit(1)).alias("m")))
         more = sizes.where(F.col("m") > SMALL).limit(1).count() > 0
@@ -215,18 +249,21 @@ def near_duplicates(
         pairs.append(stored(pairs_within(small, "key", percent).distinct()))
         if not more or k == len(levels):
             break
-        members = stored(rest.join(sizes.where(F.col("m") > SMALL), "key", "left_semi").select("rep", "n", "c", "comp").distinct())
+        large = stored(rest.join(sizes.where(F.col("m") > SMALL), "key", "left_semi"))
+        few = stored(smallest_components(large))
+        pairs.append(stored(pairs_between(large.join(few, ["key", "comp"], "left_semi"), large, percent).distinct()))
+        members = stored(apart(large.join(few, ["key", "comp"], "left_anti"), comps).select("rep", "n", "c", "comp").distinct())
         keys = longer_keys(sets.join(members, sets.id == members.rep, "left_semi"), *levels[k])
         cand = stored(keys.join(members, "rep").select("key", "rep", "n", "c"))
-        longer = stored(apart(cand, comps))
-        dropped(rest, sizes, members, cand)
+        longer = stored(apart(linkable(cand, percent), comps))
+        dropped(rest, sizes, large, few, members, cand)
         rest, k = longer, k + 1
     dropped(rest, sizes)
-    tested = reduce(DataFrame.union, pairs).distinct()
+    tested = reduce(DataFrame.union, pairs).distinct().join(stars, ["a", "b"], "left_anti")
     more = stored(confirmed(tested, sets, percent))
     if more.limit(1).count():
         comps = components(links.union(more))
-    dropped(sets, links, more, *pairs)
+    dropped(sets, stars, links, more, *pairs)
 
     member = one.select("id", "f1", "f2").join(groups.select("f1", "f2", "rep"), ["f1", "f2"]).select("id", "rep")
     placed = member.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("id").alias("_m"), F.coalesce("comp", "rep").alias("comp"))

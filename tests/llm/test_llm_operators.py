@@ -281,8 +281,9 @@ def brute_components(rows, percent=85):
 
 def test_near_duplicates(docs, monkeypatch):
     expect = brute_components(texts())
-    for small in (16, 2):
+    for small, rare in ((16, 8), (2, 2)):
         monkeypatch.setattr(neardup, "SMALL", small)
+        monkeypatch.setattr(neardup, "RARE", rare)
         rows = neardup.near_duplicates(docs).collect()
         assert len(rows) == docs.count()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows if r.doc_id is not None} == expect
@@ -304,19 +305,22 @@ def test_near_duplicate_chains(spark):
 
 
 def test_templated_pages_are_compared_in_linear_number(spark, monkeypatch):
-    """Pages made of shared lines, none of them copies: the pairs whose full sets are compared grow with the pages."""
+    """Pages made of shared lines, none of them copies: a page is compared with as many as its buckets let it, however many there are."""
     tested = []
     whole = neardup.confirmed
     monkeypatch.setattr(neardup, "confirmed", lambda pairs, sets, percent: (tested.append(pairs.count()), whole(pairs, sets, percent))[1])
     r = random.Random(3)
     lines = [prose(r, 9) for _ in range(110)]
-    for n in (200, 400, 800):
-        tested.append(0)
+    counts = []
+    for n in (400, 800):
+        tested.clear()
         pages = [(k, "\n".join(x for x in lines if r.random() < 0.75)) for k in range(n)]
         got = neardup.near_duplicates(spark.createDataFrame(pages, "doc_id long, text string"))
         assert got.where("kept").count() == n
-    few, mid, many = (sum(tested[k + 1 : k + 3]) for k in range(0, 9, 3))
-    assert mid < 3 * few and many < 3 * mid and many < 800 * 799 / 2 / 5, tested
+        counts.append(sum(tested))
+        assert counts[-1] <= n * (neardup.BANDS + sum(b for b, _ in neardup.LEVELS)) * neardup.SMALL
+    # The share of all pairs that is compared falls.
+    assert counts[1] < 3 * counts[0] and counts[1] < 0.25 * (800 * 799 // 2), counts
 
 
 def test_circulant_signature_estimates_similarity():
