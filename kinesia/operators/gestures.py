@@ -150,30 +150,41 @@ def bouts(d: DataFrame, on: Column, name: str) -> tuple[DataFrame, Column]:
     return d.withColumn(f"_{name}_s", F.when(F.col(f"_{name}") & last, span)), F.col(f"_{name}_s")
 
 
+def _ring(ps) -> list[tuple[float, float]]:
+    """The corners of the convex hull in order, of collinear points the outer ones; all different points if there are fewer than three."""
+    xy = sorted({(p["x"], p["y"]) for p in ps})
+    if len(xy) < 3:
+        return xy
+
+    def chain(ordered):
+        out: list[tuple[float, float]] = []
+        for q in ordered:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(q)
+        return out
+
+    return chain(xy)[:-1] + chain(xy[::-1])[:-1]
+
+
 @F.pandas_udf(T.DoubleType())
 def hull_area(points: pd.Series) -> pd.Series:
     """Area of the convex hull of each list of (x, y); 0 for fewer than three distinct or collinear points."""
 
     def area(ps) -> float:
-        xy = sorted({(p["x"], p["y"]) for p in ps})
-        if len(xy) < 3:
-            return 0.0
-
-        def chain(ordered):
-            out: list[tuple[float, float]] = []
-            for q in ordered:
-                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
-                    out.pop()
-                out.append(q)
-            return out
-
-        ring = np.array(chain(xy)[:-1] + chain(xy[::-1])[:-1])
+        ring = np.array(_ring(ps)).reshape(-1, 2)
         x, y = ring[:, 0], ring[:, 1]
         return 0.5 * abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1)))
 
     return points.map(area, na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
+def hull_corners(points: pd.Series) -> pd.Series:
+    """The corners of each list's hull: the hull of several lists is that of their corners, so a long clip goes through in slices."""
+    return points.map(lambda ps: [{"x": x, "y": y} for x, y in _ring(ps)], na_action="ignore")
+
+
 def _extended(d: DataFrame) -> tuple[DataFrame, dict[str, Column], list[dict[str, Column]]]:
     w = Q.by_frame()
     more: dict[str, Column] = {}

@@ -10,13 +10,42 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinesia.operators.gestures import hull_area, hull_corners
+
 HANDS = ("right", "left")
 ZONE = 0.5
 FAST, COORDINATED = 2.0, 0.8
+FAR, FAR_FROM_CENTRE = {"3p5": 3.5, "4p0": 4.0}, 3.0
+#: Frames whose points are reduced to their hull's corners together.
+SLICE = 4096
+
+# What each score takes the norms of, with their weights, and the constant that is added.
+SCORES: dict[str, tuple[float, dict[str, float]]] = {
+    "polar_extremity": (0.0, dict.fromkeys(["right_radius_max", "right_frac_radius_over_3p5", "left_radius_max", "left_frac_radius_over_3p5"], 1 / 4)),
+    "separation_extremity": (0.0, dict.fromkeys(["distance_max", "frac_distance_over_3p5"], 1 / 2)),
+    "cog_extremity": (0.0, dict.fromkeys(["right_cog_distance_max", "right_frac_cog_far", "left_cog_distance_max", "left_frac_cog_far"], 1 / 4)),
+    "velocity_intensity": (0.0, dict.fromkeys(["right_speed_mean", "right_frac_fast", "left_speed_mean", "left_frac_fast"], 1 / 4)),
+    "acceleration_intensity": (0.0, dict.fromkeys([f"{h}_accel_{k}" for h in HANDS for k in ("mean", "iqr", "sign_changes")], 0.33 / 2)),
+    "energy_intensity": (0.0, dict.fromkeys(["energy_sum", "energy_max"], 1 / 2)),
+    "coordination_score": (0.0, dict.fromkeys(["coordination_mean", "coordination_max", "frac_coordinated"], 1 / 3)),
+    "symmetry": (1.0, dict.fromkeys(["symmetry_y_mean", "symmetry_x_mean"], -1 / 2)),
+    "zone_diversity": (0.0, dict.fromkeys(["right_zone_entropy", "left_zone_entropy"], 1 / 2)),
+    "quadrant_diversity": (0.0, dict.fromkeys(["right_quadrant_entropy", "left_quadrant_entropy"], 1 / 2)),
+    "trajectory_complexity": (0.0, dict.fromkeys([f"{h}_{k}" for h in HANDS for k in ("path_ratio", "hull_area", "ellipse_area", "velocity_sign_changes")], 1 / 8)),
+    "time_to_extreme": (2 / 3, {"right_frames_to_far": -1 / 6, "left_frames_to_far": -1 / 6, "right_frames_to_peak": -1 / 3}),
+    "velocity_trend": (0.0, dict.fromkeys(["right_speed_early", "right_speed_late", "left_speed_early", "left_speed_late"], 1 / 4)),
+}
+GLOBAL_SCORES: dict[str, tuple[float, dict[str, float]]] = {
+    "global_intensity": (0.0, dict.fromkeys(["polar_extremity", "separation_extremity", "velocity_intensity", "acceleration_intensity", "energy_intensity"], 1 / 5)),
+    "global_complexity": (0.0, dict.fromkeys(["trajectory_complexity", "zone_diversity", "coordination_score", "symmetry"], 1 / 4)),
+    "global_dynamics": (0.0, dict.fromkeys(["time_to_extreme", "velocity_trend", "frac_near_centre"], 1 / 3)),
+}
+# End of the fixed values.
 
 
 def gradient(v: Column, dt: float) -> Column:
@@ -26,6 +55,36 @@ def gradient(v: Column, dt: float) -> Column:
     return F.when(a.isNull(), b - v).when(b.isNull(), v - a).otherwise((b - a) / 2) / dt
 
 
+def smooth(hands: DataFrame, window: int = 7, degree: int = 2) -> DataFrame:
+    """Each coordinate replaced by the value of a polynomial fitted to the ``window`` rows around it, whatever gaps lie between.
+
+    Near a clip's ends the fit is that of its first or last rows.  A shorter clip takes the greatest odd window that it fills; one
+    of fewer than three rows stays as it is.  A null in the window gives null.
+    """
+    if window < 3 or window % 2 == 0 or degree < 0:
+        raise ValueError(f"window must be odd and at least 3 and degree not negative, got {window} and {degree}")
+    w = W.partitionBy("id").orderBy("frame")
+    around = w.rowsBetween(1 - window, window - 1)
+    weights = {}
+    for size in range(3, window + 1, 2):
+        powers = np.vander(np.arange(size), min(degree, size - 1) + 1)
+        weights[size] = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in powers @ np.linalg.pinv(powers)])
+    size = F.least(F.lit(window), F.col("_n") - (F.col("_n") % 2 == 0).cast("int"))
+    d = hands.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("id"))).withColumn("_size", size.cast("int"))
+    d = d.withColumn("_start", F.greatest(F.lit(0), F.least(F.col("_i") - F.floor((F.col("_size") - 1) / 2), F.col("_n") - F.col("_size"))).cast("int"))
+    row = F.element_at(reduce(lambda c, kv: c.when(F.col("_size") == kv[0], kv[1]), list(weights.items())[1:], F.when(F.col("_size") == 3, weights[3])), F.col("_i") - F.col("_start") + 1)
+    names = [f"{h}_{a}" for h in HANDS for a in "xy"]
+    d = d.withColumn("_w", row).withColumns({f"_{c}": F.collect_list(F.struct(c)).over(around) for c in names})
+    first = F.col("_start") - F.greatest(F.lit(0), F.col("_i") - (window - 1)) + 1
+    fitted = lambda c: F.aggregate(F.zip_with(F.col("_w"), F.slice(F.col(f"_{c}"), first, F.col("_size")), lambda k, p: k * p[c]), F.lit(0.0), lambda a, x: a + x)
+    return d.withColumns({c: F.when(F.col("_n") < 3, F.col(c)).otherwise(fitted(c)) for c in names}).select(hands.columns)
+
+
+def rounded(df: DataFrame, decimals: int = 6) -> DataFrame:
+    """Every floating-point column rounded."""
+    return df.withColumns({c: F.round(c, decimals) for c, t in df.dtypes if t in ("double", "float")})
+
+
 def frame_features(hands: DataFrame, fps: float = 30.0) -> DataFrame:
     dt, w, d = 1 / fps, W.partitionBy("id").orderBy("frame"), hands
     rx, ry, lx, ly = (F.col(f"{h}_{a}") for h in HANDS for a in "xy")
@@ -93,6 +152,46 @@ def sequence_features(frames: DataFrame) -> DataFrame:
     return out.withColumn("both_step_sum", F.col("right_step_sum") + F.col("left_step_sum"))
 
 
+def extra_features(frames: DataFrame) -> DataFrame:
+    """More of each clip of ``centre_of_gravity(frame_features(...))``: directions, far frames, extents, early and late speeds.
+
+    Early is the first tenth of the frames, rounded down but at least one; late starts at nine tenths, rounded up.  The hull is that
+    of the hulls of slices, so no row holds more than ``SLICE`` points beside corners.
+    """
+    w = W.partitionBy("id")
+    d = frames.withColumn("_i", F.row_number().over(w.orderBy("frame")) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    early = F.col("_i") < F.greatest(F.lit(1), F.floor(F.col("_n") / 10))
+    late = F.col("_i") >= F.least(F.ceil(F.col("_n") * 9 / 10), F.col("_n") - 1)
+    share = lambda over: F.avg(over.cast("int"))
+    aggs: list[Column] = []
+    for h in HANDS:
+        c = lambda v, h=h: F.col(f"{h}_{v}")
+        x, y, turn = c("x"), c("y"), F.atan2(c("y"), c("x"))
+        mean_sin, mean_cos = F.avg(F.sin(turn)), F.avg(F.cos(turn))
+        ends = F.hypot(F.max_by(x, "frame") - F.min_by(x, "frame"), F.max_by(y, "frame") - F.min_by(y, "frame"))
+        aggs += _named(f"{h}_radius", f"{h}_radius", "iqr") + _named(f"{h}_cog_distance", f"{h}_cog_distance", "iqr")
+        for name, far in FAR.items():
+            aggs += [F.count_if(c("radius") > far).alias(f"{h}_n_radius_over_{name}"), share(c("radius") > far).alias(f"{h}_frac_radius_over_{name}")]
+        aggs += [
+            F.degrees(F.atan2(mean_sin, mean_cos)).alias(f"{h}_theta_mean"),
+            F.degrees(F.sqrt(F.greatest(-2 * F.log(F.hypot(mean_sin, mean_cos) + 1e-8), F.lit(0.0)))).alias(f"{h}_theta_std"),
+            F.hypot(F.max(x) - F.min(x), F.max(y) - F.min(y)).alias(f"{h}_span"),
+            F.when(F.count(F.lit(1)) > 1, F.sum(c("step")) / (ends + 1e-8)).alias(f"{h}_path_ratio"),
+            F.count_if(c("cog_distance") > FAR_FROM_CENTRE).alias(f"{h}_n_cog_far"), share(c("cog_distance") > FAR_FROM_CENTRE).alias(f"{h}_frac_cog_far"),
+            F.when(F.count(F.lit(1)) > 1, F.avg(F.when(early, c("speed")))).alias(f"{h}_speed_early"),
+            F.when(F.count(F.lit(1)) > 1, F.avg(F.when(late, c("speed")))).alias(f"{h}_speed_late"),
+        ]
+    aggs += _named("distance", "distance", "min iqr") + _named("symmetry_x", "symmetry_x", "mean") + _named("symmetry_y", "symmetry_y", "mean")
+    for name, far in FAR.items():
+        aggs += [F.count_if(F.col("distance") > far).alias(f"n_distance_over_{name}"), share(F.col("distance") > far).alias(f"frac_distance_over_{name}")]
+    out = d.groupBy("id").agg(*aggs).withColumn("frac_near_centre", 1 - (F.col("right_frac_radius_over_3p5") + F.col("left_frac_radius_over_3p5")) / 2)
+    # Grouped by id and slice after the windows have placed the rows by id, so the slices need no second shuffle.
+    points = {h: F.when(F.col(f"{h}_x").isNotNull() & F.col(f"{h}_y").isNotNull(), F.struct(F.col(f"{h}_x").alias("x"), F.col(f"{h}_y").alias("y"))) for h in HANDS}
+    slices = d.groupBy("id", F.floor(F.col("_i") / SLICE).alias("_s")).agg(*[F.collect_list(points[h]).alias(h) for h in HANDS]).select("id", *[hull_corners(h).alias(h) for h in HANDS])
+    hulls = slices.groupBy("id").agg(*[F.flatten(F.collect_list(h)).alias(h) for h in HANDS]).select("id", *[hull_area(h).alias(f"{h}_hull_area") for h in HANDS])
+    return out.join(hulls, "id")
+
+
 def quartile_bins(v: str, by: list[str]) -> tuple[Column, Column]:
     """A value's quartile (1-4, edges belong below) among the rows of its group, and whether the edges differ."""
     p = F.percentile(F.col(v), F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)])).over(W.partitionBy(*by))
@@ -181,6 +280,18 @@ def score(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     return minmax(df, columns).withColumn(name, reduce(lambda a, b: a + b, [F.col(f"{c}_norm") for c in columns]) / len(columns))
 
 
+def _weighed(df: DataFrame, scores: dict[str, tuple[float, dict[str, float]]]) -> DataFrame:
+    x = minmax(df, list(dict.fromkeys(c for _, parts in scores.values() for c in parts)))
+    return x.withColumns({name: reduce(lambda a, b: a + b, [F.col(f"{c}_norm") * k for c, k in parts.items()], F.lit(constant)) for name, (constant, parts) in scores.items()})
+
+
+def composite_scores(frames: DataFrame) -> DataFrame:
+    """All features of each clip with the norms over the table and the scores made of them; a norm without value makes its scores null."""
+    x = sequence_features(frames).join(extra_features(frames), "id").join(zone_histograms(frames), "id")
+    x = x.withColumns({f"{h}_velocity_sign_changes": F.col(f"{h}_vx_sign_changes") + F.col(f"{h}_vy_sign_changes") for h in HANDS})
+    return _weighed(_weighed(x, SCORES), GLOBAL_SCORES)
+
+
 def rank_quartiles(df: DataFrame, v: str, by: str) -> DataFrame:
     """Quartile of the rank of ``v`` within each label, ties by id; all 1 in a label of fewer than four rows."""
     w = W.partitionBy(by)

@@ -68,6 +68,55 @@ def legacy_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.sequence_features(frames(spark, sf_dir)).select("id", *_AGG_COUNTS, *_AGG_DOUBLES), 4)
 
 
+_XY = [f"{h}_{a}" for h in L.HANDS for a in "xy"]
+_fit = lambda c: f"(y0_{c} * (s2 * s4 - s3 * s3) - s1 * (y1_{c} * s4 - y2_{c} * s3) + s2 * (y1_{c} * s3 - y2_{c} * s2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2))"
+
+
+@register("legacy_smooth", f"""WITH {WIDE_SQL}, hands AS (SELECT id, frame, nx_4 - 3 AS right_x, ny_4 - 5 AS right_y, nx_7 AS left_x, ny_7 - 5 AS left_y FROM wide),
+o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY id) AS n FROM hands), z AS (SELECT *, least(7, n - (n % 2 = 0)::INT) AS size FROM o), b AS (SELECT *, greatest(0, least(i - (size - 1) // 2, n - size)) AS s FROM z),
+q AS (SELECT id, frame, n, i, unnest(range(s, s + size)) AS j, {", ".join(f"{c} AS own_{c}" for c in _XY)} FROM b),
+f AS (SELECT q.id, q.frame, any_value(q.n) AS n, {", ".join(f"any_value(own_{c}) AS own_{c}, sum({c}) AS y0_{c}, sum({c} * (j - q.i)) AS y1_{c}, sum({c} * pow(j - q.i, 2)) AS y2_{c}" for c in _XY)}, {", ".join(f"sum(pow(j - q.i, {k})) AS s{k}" for k in range(5))} FROM q JOIN o ON o.id = q.id AND o.i = q.j GROUP BY q.id, q.frame),
+x AS (SELECT id, frame, {", ".join(f"CASE WHEN n < 3 THEN own_{c} ELSE {_fit(c)} END AS {c}" for c in _XY)} FROM f) SELECT id, frame, {rounded_sql(" ".join(_XY))} FROM x""")
+def legacy_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(L.smooth(hands(spark, sf_dir)))
+
+
+def _extra_sql() -> str:
+    out = []
+    for h in L.HANDS:
+        turn = f"atan2({h}_y, {h}_x)"
+        size = f"sqrt(pow(avg(sin({turn})), 2) + pow(avg(cos({turn})), 2))"
+        for v in ("radius", "cog_distance"):
+            out.append(f"quantile_cont({h}_{v}, 0.75) - quantile_cont({h}_{v}, 0.25) AS {h}_{v}_iqr")
+        for name, far in (("3p5", 3.5), ("4p0", 4.0)):
+            out.append(f"count(*) FILTER (WHERE {h}_radius > {far}) AS {h}_n_radius_over_{name}, avg(({h}_radius > {far})::INT) AS {h}_frac_radius_over_{name}")
+        out.append(f"""degrees(atan2(avg(sin({turn})), avg(cos({turn})))) AS {h}_theta_mean, degrees(sqrt(greatest(-2 * ln({size} + 1e-8), 0))) AS {h}_theta_std,
+  sqrt(pow(max({h}_x) - min({h}_x), 2) + pow(max({h}_y) - min({h}_y), 2)) AS {h}_span, count(*) FILTER (WHERE {h}_cog_distance > 3) AS {h}_n_cog_far, avg(({h}_cog_distance > 3)::INT) AS {h}_frac_cog_far,
+  CASE WHEN count(*) > 1 THEN sum({h}_step) / (sqrt(pow(arg_max({h}_x, frame) - arg_min({h}_x, frame), 2) + pow(arg_max({h}_y, frame) - arg_min({h}_y, frame), 2)) + 1e-8) END AS {h}_path_ratio,
+  CASE WHEN count(*) > 1 THEN avg({h}_speed) FILTER (WHERE i < greatest(1, n // 10)) END AS {h}_speed_early, CASE WHEN count(*) > 1 THEN avg({h}_speed) FILTER (WHERE i >= least((n * 9 + 9) // 10, n - 1)) END AS {h}_speed_late""")
+    for name, far in (("3p5", 3.5), ("4p0", 4.0)):
+        out.append(f"count(*) FILTER (WHERE distance > {far}) AS n_distance_over_{name}, avg((distance > {far})::INT) AS frac_distance_over_{name}")
+    out.append("min(distance) AS distance_min, quantile_cont(distance, 0.75) - quantile_cont(distance, 0.25) AS distance_iqr, avg(symmetry_x) AS symmetry_x_mean, avg(symmetry_y) AS symmetry_y_mean")
+    points = " UNION ALL ".join(f"SELECT id, '{h}' AS hand, {h}_x AS x, {h}_y AS y FROM frames" for h in L.HANDS)
+    right = "(b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)"
+    return f"""placed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY id) AS n FROM frames),
+extra0 AS (SELECT id, {", ".join(out)} FROM placed GROUP BY id), spots AS (SELECT DISTINCT * FROM ({points})),
+sides AS (SELECT a.id, a.hand, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM spots a JOIN spots b ON a.id = b.id AND a.hand = b.hand AND (a.x <> b.x OR a.y <> b.y)
+  WHERE NOT EXISTS (SELECT 1 FROM spots c WHERE c.id = a.id AND c.hand = a.hand AND ({right} < -1e-12 OR (abs({right}) <= 1e-12 AND (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) > 1e-12)))),
+hulls AS (SELECT id, {", ".join(f"coalesce(0.5 * abs(sum(ax * by_ - bx * ay) FILTER (WHERE hand = '{h}')), 0) AS {h}_hull_area" for h in L.HANDS)} FROM sides GROUP BY id),
+extra AS (SELECT extra0.*, {", ".join(f"coalesce({h}_hull_area, 0) AS {h}_hull_area" for h in L.HANDS)}, 1 - (right_frac_radius_over_3p5 + left_frac_radius_over_3p5) / 2 AS frac_near_centre FROM extra0 LEFT JOIN hulls USING (id))"""
+
+
+_EXTRA_COUNTS = [f"{h}_n_{c}" for h in L.HANDS for c in ("radius_over_3p5", "radius_over_4p0", "cog_far")] + ["n_distance_over_3p5", "n_distance_over_4p0"]
+_EXTRA_DOUBLES = [f"{h}_{c}" for h in L.HANDS for c in "radius_iqr cog_distance_iqr frac_radius_over_3p5 frac_radius_over_4p0 theta_mean theta_std span path_ratio frac_cog_far speed_early speed_late hull_area".split()]
+_EXTRA_DOUBLES += "distance_min distance_iqr symmetry_x_mean symmetry_y_mean frac_distance_over_3p5 frac_distance_over_4p0 frac_near_centre".split()
+
+
+@register("legacy_extra", f"WITH {LEGACY_SQL}, {_extra_sql()} SELECT id, {', '.join(_EXTRA_COUNTS)}, {rounded_sql(' '.join(_EXTRA_DOUBLES), 4)} FROM extra")
+def legacy_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(L.extra_features(frames(spark, sf_dir)).select("id", *_EXTRA_COUNTS, *_EXTRA_DOUBLES), 4)
+
+
 _HIST = ["right_speed", "left_speed", "right_accel", "left_accel"]
 _edges = lambda c: f"quantile_cont({c}, [0.0, 0.25, 0.5, 0.75, 1.0]) OVER (PARTITION BY id) AS e_{c}"
 _ok = lambda c: " AND ".join(f"e_{c}[{i}] < e_{c}[{i + 1}]" for i in range(1, 5))
@@ -89,6 +138,21 @@ def zone_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.zone_histograms(frames(spark, sf_dir)))
 
 
+def _scores_sql() -> str:
+    zones = f"""zones0 AS (SELECT id, {", ".join(f"avg(({h}_{kind} = {k})::INT) AS {h}_{kind}_{k}" for h, kind, n in _ZONES for k in range(1, n + 1))} FROM frames GROUP BY id),
+zones AS (SELECT id, {", ".join(f"{_entropy([f'{h}_{kind}_{k}' for k in range(1, n + 1)])} AS {h}_{kind}_entropy" for h, kind, n in _ZONES)} FROM zones0)"""
+    norm = lambda c: f"CASE WHEN max({c}) OVER () > min({c}) OVER () THEN ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) WHEN {c} IS NOT NULL THEN 0 END"
+    weighed = lambda scores: ", ".join(f"{constant!r}::DOUBLE + " + " + ".join(f"({k!r}::DOUBLE) * ({norm(c)})" for c, k in parts.items()) + f" AS {name}" for name, (constant, parts) in scores.items())
+    return f"""WITH {AGG_SQL}, {_extra_sql()}, {zones},
+clip AS MATERIALIZED (SELECT *, {", ".join(f"{h}_vx_sign_changes + {h}_vy_sign_changes AS {h}_velocity_sign_changes" for h in L.HANDS)} FROM agg JOIN extra USING (id) JOIN zones USING (id)),
+one AS MATERIALIZED (SELECT id, frac_near_centre, {weighed(L.SCORES)} FROM clip), two AS (SELECT *, {weighed(L.GLOBAL_SCORES)} FROM one) SELECT id, {rounded_sql(" ".join([*L.SCORES, *L.GLOBAL_SCORES]))} FROM two"""
+
+
+@register("legacy_scores", _scores_sql())
+def legacy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(L.composite_scores(frames(spark, sf_dir)).select("id", *L.SCORES, *L.GLOBAL_SCORES))
+
+
 _POLAR = [f"{h}_{kind}_{k}" for h in L.HANDS for kind in ("ring", "sector") for k in (1, 2, 3, 4)]
 
 

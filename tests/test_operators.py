@@ -150,6 +150,45 @@ def test_legacy_gradient_and_scores(spark):
     assert [r.quartile for r in q.orderBy("label", "id").collect()] == [1, 1, 2, 2, 3, 3, 4, 4, 1]
 
 
+def test_legacy_smoothing_is_a_fit_in_each_window(spark):
+    rng = np.random.default_rng(5)
+    clips = {n: rng.normal(size=n) for n in (1, 2, 3, 4, 6, 7, 20)}
+    rows = [(f"c{n}", 3 * i, float(v), 0.0, 1.0, float(i)) for n, vs in clips.items() for i, v in enumerate(vs)]
+    df = frame(spark, "id string, frame long, right_x double, right_y double, left_x double, left_y double", *rows)
+    got = {(r.id, r.frame): r for r in legacy.smooth(df).collect()}
+    assert len(got) == len(rows) and legacy.smooth(df).columns == df.columns
+    for n, vs in clips.items():
+        size = min(7, n - (n % 2 == 0))
+        for i in range(n):
+            a = max(0, min(i - (size - 1) // 2, n - size))
+            want = vs[i] if n < 3 else np.polyval(np.polyfit(np.arange(a, a + size), vs[a : a + size], 2), i)
+            assert got[f"c{n}", 3 * i].right_x == pytest.approx(want, abs=1e-9) and got[f"c{n}", 3 * i].left_y == pytest.approx(i)
+    hole = frame(spark, "id string, frame long, right_x double, right_y double, left_x double, left_y double", *[("a", i, None if i == 0 else 1.0, 0.0, 0.0, 0.0) for i in range(12)])
+    assert [r.right_x is None for r in legacy.smooth(hole).orderBy("frame").collect()] == [True] * 4 + [False] * 8
+    assert legacy.smooth(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="odd"):
+        legacy.smooth(df, window=6)
+    assert legacy.rounded(frame(spark, "v double, k int", (0.1234567, 3))).first() == (0.123457, 3)
+
+
+def test_legacy_extra_and_scores(spark):
+    n = 3 * legacy.SLICE + 5
+    around = spark.range(n).select(F.lit("a").alias("id"), F.col("id").alias("frame"), F.cos("id").alias("right_x"), F.sin("id").alias("right_y"), F.lit(5.0).alias("left_x"), F.lit(0.0).alias("left_y"))
+    still = frame(spark, "id string, frame long, right_x double, right_y double, left_x double, left_y double", *[("b", i, 1.0, 0.0, 1.0, 0.0) for i in range(3)], ("c", 0, 1.0, 2.0, 3.0, 4.0))
+    frames = legacy.centre_of_gravity(legacy.frame_features(around.unionByName(still), 1.0))
+    x = {r.id: r for r in legacy.extra_features(frames).collect()}
+    assert x["a"].right_hull_area == pytest.approx(math.pi, abs=1e-4) and x["a"].left_hull_area == 0.0
+    assert (x["a"].left_n_radius_over_3p5, x["a"].left_frac_radius_over_4p0, x["a"].frac_near_centre) == (n, 1.0, 0.5)
+    assert (x["b"].right_path_ratio, x["b"].right_speed_early, x["b"].right_hull_area, x["b"].right_theta_std) == (0.0, 0.0, 0.0, 0.0)
+    assert (x["c"].right_path_ratio, x["c"].right_speed_late, x["c"].right_span) == (None, None, 0.0)
+    s = {r.id: r for r in legacy.composite_scores(frames).collect()}
+    assert s["a"].separation_extremity == 1.0 and s["b"].separation_extremity == 0.0
+    assert s["a"].time_to_extreme is None and s["c"].velocity_trend is None
+    names = [*legacy.SCORES, *legacy.GLOBAL_SCORES]
+    assert all(s[k][c] is None or -1e-9 <= s[k][c] <= 1 + 1e-9 for k in s for c in names)
+    assert legacy.composite_scores(frames.limit(0)).count() == 0
+
+
 def test_align_track_is_linear_in_a_clip(spark):
     n = 200_000
     samples = spark.range(n).select(F.lit("a").alias("id"), F.col("id").alias("seq"), (F.col("id") * 0.01).alias("t"), (F.col("id") % 7).cast("double").alias("v"))
