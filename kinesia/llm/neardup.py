@@ -20,7 +20,12 @@ What keeps large groups linear:
   with all others and leave it.  The members of those that are mixed still get a longer signature, cut into more and longer bands,
   in which texts that merely share much of their wording no longer meet; and so
   on by ``LEVELS``.  What still shares a large bucket in the last level is compared
-  in full, so no pair that met is given up.
+  in full, so no pair that met is given up;
+- full sets are fetched only for pairs whose sketches allow the similarity.  A sketch
+  holds for each of ``SKETCH`` parts of the hash space whether the set has an odd number of
+  shingles there, so two sketches differ in no more bits than there are shingles in one of
+  the sets only, and the test loses nothing.  It excludes little where sets are many times
+  as large as a sketch has bits.
 
 At each level a pair at the threshold, 0.85, shares no bucket with a probability
 of 1e-6 or less.
@@ -49,6 +54,8 @@ SMALL = 16
 #: Bands and rows of the longer signatures.
 LEVELS = ((64, 10), (350, 20))
 PERCENT = 85
+#: Bits of a set's sketch.
+SKETCH = 1024
 #: Values of a signature's matrix that are held at once.
 _CELLS = 1 << 18
 _U32 = np.uint32
@@ -122,8 +129,15 @@ def signatures(df: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
     return df.mapInArrow(kernel, "id long, n long, f1 long, f2 long, keys array<long>")
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles in each of ``SKETCH`` parts, as 64-bit words."""
+    part = _text.mix(shingles ^ np.uint64(0x3C6EF372FE94F82B)) % np.uint64(SKETCH)
+    odd = np.bincount(part.astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def full_sets(df: DataFrame) -> DataFrame:
-    """(id, set) of each row of df(id, text, f1) whose set has that fingerprint."""
+    """(id, n, set, bits) of each row of df(id, text, f1) whose set has that fingerprint: its size, itself and its sketch."""
 
     @_text.batches("text")
     def kernel(batch, data, offs):
@@ -133,9 +147,12 @@ def full_sets(df: DataFrame) -> DataFrame:
         values = np.concatenate([sets[i] for i in keep]) if keep else np.zeros(0, np.uint64)
         bounds = np.concatenate([[0], np.cumsum([len(sets[i]) for i in keep])])
         flat = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), flat], ["id", "set"])
+        words = np.concatenate([sketch(sets[i]) for i in keep]) if keep else np.zeros(0, np.int64)
+        bits = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * (SKETCH // 64), pa.int32()), pa.array(words))
+        ids = batch.column(0).take(pa.array(keep, pa.int32()))
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds), pa.int64()), flat, bits], ["id", "n", "set", "bits"])
 
-    return df.select("id", "text", "f1").mapInArrow(kernel, "id long, set array<long>")
+    return df.select("id", "text", "f1").mapInArrow(kernel, "id long, n long, set array<long>, bits array<long>")
 
 
 def longer_keys(sets: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -179,6 +196,14 @@ def smallest_components(rows: DataFrame) -> DataFrame:
     return first.withColumn("total", F.sum("k").over(order.rowsBetween(W.unboundedPreceding, 0))).where(F.col("total") <= SMALL).select("key", "comp")
 
 
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches allow the similarity."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"s{c}"))
+    x = pairs.join(side("a"), "a").join(side("b"), "b")
+    differ = reduce(Column.__add__, [F.bit_count(F.get("sa", i).bitwiseXOR(F.get("sb", i))) for i in range(SKETCH // 64)])
+    return x.where(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     x = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
@@ -229,12 +254,12 @@ def near_duplicates(
     center = stored(center.select("key", (-F.col("t._r")).alias("top"), F.col("t.n").alias("tn"), F.col("t.c").alias("tc")))
     stars = cand.join(center, "key").where((F.col("rep") != F.col("top")) & can_link(F.col("n"), F.col("c"), F.col("tn"), F.col("tc"), percent))
     stars = stored(stars.select(F.least("rep", "top").alias("a"), F.greatest("rep", "top").alias("b")).distinct())
-    links = stored(confirmed(stars, sets, percent))
+    links = stored(confirmed(possible(stars, sets, percent), sets, percent))
     comps = components(links)
 
     mixed = stored(apart(cand, comps))
     members = stored(mixed.select("rep", "n", "c", "comp").distinct())
-    items = members.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "n", "c", "comp", F.explode("set").alias("s"))
+    items = members.join(sets.select(F.col("id").alias("rep"), "set"), "rep").select("rep", "n", "c", "comp", F.explode("set").alias("s"))
     held = items.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     items = stored(items.join(held, "s"))
     pairs, k = [stored(pairs_within(items.where(F.col("k") < RARE), "s", percent).distinct())], 0
@@ -260,7 +285,7 @@ def near_duplicates(
         rest, k = longer, k + 1
     dropped(rest, sizes)
     tested = reduce(DataFrame.union, pairs).distinct().join(stars, ["a", "b"], "left_anti")
-    more = stored(confirmed(tested, sets, percent))
+    more = stored(confirmed(possible(tested, sets, percent), sets, percent))
     if more.limit(1).count():
         comps = components(links.union(more))
     dropped(sets, stars, links, more, *pairs)

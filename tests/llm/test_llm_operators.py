@@ -306,18 +306,22 @@ def test_near_duplicate_chains(spark):
 
 def test_pairs_compared_on_templated_pages(spark, monkeypatch):
     """Pages made of shared lines, none of them copies: a page is compared with as many as its buckets let it, however many there are."""
-    tested = []
-    whole = neardup.confirmed
-    monkeypatch.setattr(neardup, "confirmed", lambda pairs, sets, percent: (tested.append(pairs.count()), whole(pairs, sets, percent))[1])
+    tested, fetched = [], []
+    allowed, whole = neardup.possible, neardup.confirmed
+    monkeypatch.setattr(neardup, "possible", lambda pairs, sets, percent: (tested.append(pairs.count()), allowed(pairs, sets, percent))[1])
+    monkeypatch.setattr(neardup, "confirmed", lambda pairs, sets, percent: (fetched.append(pairs.count()), whole(pairs, sets, percent))[1])
     r = random.Random(3)
     lines = [prose(r, 9) for _ in range(110)]
     counts = []
     for n in (400, 800):
         tested.clear()
+        fetched.clear()
         pages = [(k, "\n".join(x for x in lines if r.random() < 0.75)) for k in range(n)]
         got = neardup.near_duplicates(spark.createDataFrame(pages, "doc_id long, text string"))
         assert got.where("kept").count() == n
         counts.append(sum(tested))
+        # Whole sets move for next to none of them.
+        assert sum(fetched) <= n, fetched
         assert counts[-1] <= n * (neardup.BANDS + sum(b for b, _ in neardup.LEVELS)) * neardup.SMALL
     # The share of all pairs that is compared falls.
     assert counts[1] / (800 * 799) < counts[0] / (400 * 399) and counts[1] < 0.25 * (800 * 799 // 2), counts
@@ -325,6 +329,21 @@ def test_pairs_compared_on_templated_pages(spark, monkeypatch):
         pytest.xfail(f"the goal, less than three times the pairs for twice the pages, is not reached: {counts}")
 
 
+def test_sketches_never_exclude_a_link():
+    r = np.random.default_rng(1)
+    for size in (1, 5, 40, 700, 20_000):
+        for _ in range(20):
+            a = r.integers(0, 2**63, size).astype(np.uint64)
+            k = int(r.integers(0, size + 1))
+            b = np.concatenate([a[:k], r.integers(0, 2**63, size - k).astype(np.uint64)])
+            differ = int(np.bitwise_count((neardup.sketch(a) ^ neardup.sketch(b)).view(np.uint64)).sum())
+            assert differ <= len(np.setxor1d(a, b))
+    a, b = (r.integers(0, 2**63, 700).astype(np.uint64) for _ in "ab")
+    b[:420] = a[:420]
+    differ = int(np.bitwise_count((neardup.sketch(a) ^ neardup.sketch(b)).view(np.uint64)).sum())
+    assert differ * 185 > 1400 * 15
+
+
 def test_circulant_signature_estimates_similarity():
     r = np.random.default_rng(0)
     a = r.integers(0, 2**63, 600).astype(np.uint64)
