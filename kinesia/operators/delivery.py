@@ -5,8 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinesia.functions.ranks import exact_quantiles
 from kinesia.operators.qc import require_none
 
 PITCH_LOW, PITCH_HIGH, FORMANT_HIGH, HARMONICITY_LOW = 60.0, 600.0, 5500.0, -200.0
@@ -39,15 +41,21 @@ def clock_disagreements(frames: DataFrame, metadata: DataFrame, tolerance: float
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """(column, dtype, non_null, pct, low, middle, high): one wide aggregate, then a row for each column."""
-    aggs, rows = [F.count(F.lit(1)).alias("_n")], []
+    """(column, dtype, non_null, pct, low, middle, high): one wide aggregate, then a row for each column; the medians are exact."""
+    aggs, rows, numbers = [F.count(F.lit(1)).alias("_n")], [], []
     for i, (c, kind) in enumerate(df.dtypes):
         number = kind in ("double", "float", "int", "bigint", "smallint", "tinyint") or kind.startswith("decimal")
         v = F.col(f"`{c}`").cast("double") if number else F.lit(None).cast("double")
-        aggs += [F.count(F.col(f"`{c}`")).alias(f"_k{i}"), F.min(v).alias(f"_a{i}"), F.median(v).alias(f"_b{i}"), F.max(v).alias(f"_c{i}")]
+        numbers += [c] if number else []
+        aggs += [F.count(F.col(f"`{c}`")).alias(f"_k{i}"), F.min(v).alias(f"_a{i}"), F.max(v).alias(f"_c{i}")]
         pct = F.round(100 * F.col(f"_k{i}") / F.nullif(F.col("_n"), F.lit(0)), 1)
-        rows.append(F.struct(F.lit(c).alias("column"), F.lit(kind).alias("dtype"), F.col(f"_k{i}").alias("non_null"), pct.alias("pct"), *[F.round(f"_{x}{i}", 4).alias(n) for x, n in zip("abc", ("low", "middle", "high"), strict=True)]))
-    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        rows.append(F.struct(F.lit(c).alias("column"), F.lit(kind).alias("dtype"), F.col(f"_k{i}").alias("non_null"), pct.alias("pct"), F.round(f"_a{i}", 4).alias("low"), F.round(f"_c{i}", 4).alias("high")))
+    x = df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    middle = F.lit(None).cast("double")
+    if numbers:
+        x = x.join(exact_quantiles(df, numbers, (0.5,)).select("column", F.round("value", 4).alias("middle")), "column", "left")
+        middle = F.col("middle")
+    return x.select("column", "dtype", "non_null", "pct", "low", middle.alias("middle"), "high")
 
 
 def voice_sanity(frames: DataFrame) -> DataFrame:
@@ -99,10 +107,74 @@ def documented(columns: DataFrame, rules: DataFrame) -> DataFrame:
     """
     bare = F.regexp_replace("column", "^(right|left)_", "")
     x = columns.select("column", bare.alias("_bare"))
-    r = rules.select("pattern", "text")
-    exact = (F.col("pattern") == F.col("column")) | (F.col("pattern") == F.col("_bare"))
-    prefix = F.col("pattern").endswith("*") & F.expr("startswith(_bare, rtrim('*', pattern))")
-    suffix = F.col("pattern").startswith("*") & F.expr("endswith(_bare, ltrim('*', pattern))")
-    rank = F.when(exact, 3).when(prefix, 2).when(suffix, 1)
-    hits = x.join(F.broadcast(r), exact | prefix | suffix, "left").withColumn("_r", F.struct(F.coalesce(rank, F.lit(0)).alias("k"), F.coalesce(F.length("pattern"), F.lit(0)).alias("n"), "pattern", "text"))
+    # Every pattern that a column could meet, so that the rules are looked up by equality.
+    option = lambda k, p: F.struct(F.lit(k).alias("k"), p.alias("pattern"))
+    places = F.sequence(F.lit(0), F.length("_bare"))
+    prefixes = F.transform(places, lambda i: option(2, F.concat(F.substr("_bare", F.lit(1), i), F.lit("*"))))
+    suffixes = F.transform(places, lambda i: option(1, F.concat(F.lit("*"), F.substr("_bare", i + 1))))
+    options = F.concat(F.array(option(3, F.col("column")), option(3, F.col("_bare"))), prefixes, suffixes)
+    hits = x.select("column", F.explode(options).alias("o")).select("column", "o.*").join(rules.select("pattern", "text"), "pattern", "left")
+    found = F.col("text").isNotNull()
+    hits = hits.select("column", F.struct(F.when(found, F.col("k")).otherwise(0).alias("k"), F.when(found, F.length("pattern")).otherwise(0).alias("n"), F.when(found, F.col("pattern")).alias("pattern"), "text").alias("_r"))
     return hits.groupBy("column").agg(F.max("_r").alias("m")).select("column", F.col("m.pattern").alias("pattern"), F.col("m.text").alias("text"))
+
+
+def dictionary(tables: dict[str, DataFrame], rules: DataFrame, families: tuple[str, ...]) -> DataFrame:
+    """(table, column, place, family, text, and what ``profile`` measures): the documentation of delivered tables.
+
+    rules(pattern, text, family) explain columns as in ``documented``.  Columns stand by family, in the order of ``families`` (a
+    family belongs to the first name that it begins with; others come last), then as in their table.  A column that no rule
+    explains has a null text; ``require_none`` on those stops a delivery.
+    """
+    known = rules.groupBy("pattern").agg(F.min("family").alias("family"))
+    parts = []
+    for name, df in tables.items():
+        order = F.posexplode(F.array(*[F.lit(c) for c in df.columns])).alias("_at", "column")
+        columns = df.sparkSession.range(1).select(order)
+        texts = documented(columns, rules).join(known, "pattern", "left")
+        x = columns.join(profile(df), "column").join(texts, "column")
+        parts.append(x.select(F.lit(name).alias("table"), "column", "_at", "dtype", "family", "non_null", "pct", "low", "middle", "high", "text"))
+    begins = [F.when(F.startswith("family", F.lit(f)), k) for k, f in enumerate(families)]
+    rank = F.coalesce(*begins, F.lit(len(families)))
+    # A row for each column of a table: few, whatever the tables hold.
+    place = F.row_number().over(W.partitionBy("table").orderBy(rank, "_at"))
+    return reduce(DataFrame.unionByName, parts).withColumn("place", place).drop("_at")
+
+
+def cover(documentation: DataFrame, rows: dict[str, int], settings: dict[str, str]) -> DataFrame:
+    """(place, item, value): the head of a delivery's documentation, sizes by table and the settings that are known."""
+    spark = documentation.sparkSession
+    sizes = documentation.groupBy("table").agg(F.count(F.lit(1)).alias("k"))
+    counted = spark.createDataFrame(list(rows.items()), "table string, n long")
+    value = F.concat(F.col("n").cast("string"), F.lit(" rows x "), F.col("k").cast("string"), F.lit(" columns"))
+    first = counted.join(sizes, "table").select(F.lit(0).alias("_g"), F.col("table").alias("item"), value.alias("value"))
+    known = [(1, k, str(v)) for k, v in settings.items() if v is not None]
+    both = first.unionByName(spark.createDataFrame(known, "_g int, item string, value string")) if known else first
+    return both.select(F.row_number().over(W.partitionBy(F.lit(0)).orderBy("_g", "item")).alias("place"), "item", "value")
+
+
+#: What a reader may do with the voice columns, by the regime that was measured.
+VOICE_ADVICE = {
+    "no voice": ("The delivery has no voice columns; nothing about voice was measured.",),
+    "segments": (
+        "Use voice_present before any statistic of voice.",
+        "intensity is measured in silence too and tells nothing about voice.",
+        "Set values out of bounds aside, and say so; never replace them.",
+    ),
+    "spline": (
+        "A value is the curve of the whole clip at that frame, not a measurement of the frame.",
+        "Keep pitch within its bounds before computing anything: zeros are no silence.",
+    ),
+}
+
+
+def voice_section(sanity: DataFrame) -> DataFrame:
+    """(place, line): the part on voice of a delivery's documentation, by the regime and counts of ``voice_sanity``'s one row.
+
+    Counts are left out where there is no voice: a 0 there would look like a measurement.
+    """
+    counts = [("n_zero", "frames with pitch 0"), ("n_pitch_outside", "frames with pitch out of bounds"), ("n_harmonicity_low", "frames with harmonicity at its floor"), ("n_formant_outside", "formants out of bounds"), ("n_stray", "frames with pitch but without voice")]
+    measured = F.array(F.concat(F.lit("regime: "), "regime"), *[F.concat(F.lit(f"{text}: "), F.col(c).cast("string")) for c, text in counts])
+    advice = lambda name: F.array(*[F.lit(x) for x in VOICE_ADVICE[name]])
+    lines = F.when(F.col("regime") == "no voice", advice("no voice")).otherwise(F.concat(measured, F.when(F.col("regime") == "segments", advice("segments")).otherwise(advice("spline"))))
+    return sanity.select(F.posexplode(lines).alias("place", "line"))

@@ -67,6 +67,11 @@ def annotation_counts(annotations: DataFrame) -> DataFrame:
     return annotations.agg(F.count_if(blank).alias("annotated"), F.count_if(~blank).alias("errors"), F.count(F.lit(1)).alias("total"))
 
 
+def gate(counts: DataFrame) -> DataFrame:
+    """annotation_counts with ``passes``: labels may go on if at least one clip has them."""
+    return counts.withColumn("passes", F.col("annotated") > 0)
+
+
 def upsert(base: DataFrame, news: DataFrame, order: str, fields: tuple[str, ...]) -> DataFrame:
     """``base`` with the fields of the newest row of news for each id; ids without news keep theirs."""
     last = news.withColumn("_k", F.row_number().over(W.partitionBy("id").orderBy(F.desc(order)))).where("_k = 1")

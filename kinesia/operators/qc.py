@@ -168,6 +168,36 @@ def admit(scores: DataFrame, any_least: float = 0.6) -> DataFrame:
     return x.withColumns({"admitted": F.coalesce(F.col("score") >= any_least, F.lit(False)), "rejected": F.coalesce(F.col("score") < any_least, F.lit(False)), "audited": ~F.coalesce(F.col("score") >= any_least, F.lit(False))})
 
 
+#: The limit with which each criterion admitted clips.
+LIMITS = {"sp_any": 0.6, "sp_both": 0.8}
+
+
+def resolve_rule(criterion: str | None = None, limit: float | None = None, least_both: float | None = None) -> tuple[str, float]:
+    """(criterion, limit) of the rule that a delivery was made by; ``least_both`` alone names the stricter criterion, so nothing may contradict it."""
+    if least_both is not None:
+        if limit is not None or criterion not in (None, "sp_both"):
+            raise ValueError("least_both stands for sp_both and its own limit")
+        return "sp_both", float(least_both)
+    name = criterion or "sp_any"
+    if name not in LIMITS:
+        raise ValueError(f"unknown criterion {name}")
+    return name, LIMITS[name] if limit is None else float(limit)
+
+
+def usable(scores: DataFrame) -> DataFrame:
+    """(criterion, n, usable): clips, and those with a number for the criterion; sp_any may come from the sides."""
+    known = lambda c: F.when(~F.isnan(c), F.col(c))
+    value = {"sp_any": F.coalesce(known("sp_any"), F.greatest(known("sp_right"), known("sp_left"))), "sp_both": known("sp_both")}
+    counts = scores.agg(F.count(F.lit(1)).alias("n"), *[F.count(v).alias(c) for c, v in value.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("criterion"), "n", F.col(c).alias("usable")) for c in value])).alias("r")).select("r.*")
+
+
+def require_usable(scores: DataFrame, criterion: str) -> DataFrame:
+    """``scores``, unless no clip has a number for the criterion: then all would count as rejected."""
+    require_none(usable(scores).where((F.col("criterion") == criterion) & (F.col("usable") == 0)), "no clip has a score for the criterion")
+    return scores
+
+
 def systematic_sample(ranked: DataFrame, n: int, order: list[Column], total: int) -> DataFrame:
     """``n`` evenly spaced rows of the ranked list of ``total`` rows, both ends included; all of them if there are no more.
 

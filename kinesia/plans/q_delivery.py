@@ -11,6 +11,7 @@ from kinesia.plans.adapters import POSE_SQL, pose_long, rounded, rounded_sql, ta
 from kinesia.plans.frames_sql import FRAMES_SQL
 from kinesia.plans.q_gesture import SUMMARY_SQL
 from kinesia.plans.registry import register
+from kinesia.sources import readers
 
 TAB_SQL = """tab AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN 5 ELSE 6 END AS n_fields, (CASE WHEN o_custkey % 2 = 0 THEN '2017' ELSE '2016' END) || '-show-' || (o_custkey % 7) || '.txt' AS program,
   'c_' || (o_orderkey % 900) || CASE WHEN o_orderkey % 3 = 0 THEN '-' || (o_orderkey % 900 + 3) || '_word' ELSE '.25_' || (o_orderkey % 900 + 1) || '.5' END AS clip,
@@ -171,14 +172,17 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 VOICE_SQL = "v AS (SELECT CASE WHEN event_type <> 'error' THEN value * 20 END AS pitch, (user_id % 7 - value / 3)::DOUBLE AS intensity, CASE WHEN event_id % 30 = 0 THEN -250.0 ELSE 10.0 END::DOUBLE AS harmonicity, value * 90 AS formant1, value * 100 AS formant2, event_id % 3 <> 0 AS voice_present FROM events)"
 
 
+def voice_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, k = F.col("value"), F.col("event_id")
+    return table(spark, sf_dir, "events").select(F.when(F.col("event_type") != "error", v * 20).alias("pitch"), (F.col("user_id") % 7 - v / 3).alias("intensity"), F.when(k % 30 == 0, -250.0).otherwise(10.0).alias("harmonicity"), (v * 90).alias("formant1"), (v * 100).alias("formant2"), (k % 3 != 0).alias("voice_present"))
+
+
 @register("voice_sanity", f"""WITH {VOICE_SQL} SELECT count(*) AS n_frames, count(pitch) AS n_pitch, count(*) FILTER (WHERE pitch = 0) AS n_zero, count(*) FILTER (WHERE pitch < 60 OR pitch > 600) AS n_pitch_outside, count(*) FILTER (WHERE harmonicity <= -200) AS n_harmonicity_low,
   count(*) FILTER (WHERE formant1 > 5500) + count(*) FILTER (WHERE formant2 > 5500) AS n_formant_outside, count(*) FILTER (WHERE pitch IS NOT NULL AND NOT voice_present) AS n_stray, CASE WHEN count(pitch) = 0 THEN 'no voice' WHEN count(*) FILTER (WHERE pitch = 0) = 0 AND count(*) FILTER (WHERE pitch IS NOT NULL AND NOT voice_present) = 0 THEN 'segments'
   WHEN count(*) FILTER (WHERE pitch = 0) > count(pitch) / 10 THEN 'spline' ELSE 'segments with leftovers' END AS regime,
   round(min(pitch) + 1e-9, 6) + 0.0 AS pitch_low, round(max(pitch) + 1e-9, 6) + 0.0 AS pitch_high, round(corr(pitch, intensity) + 1e-9, 6) + 0.0 AS r_all, round(corr(pitch, intensity) FILTER (WHERE voice_present) + 1e-9, 6) + 0.0 AS r_voiced FROM v""")
 def voice_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, k = F.col("value"), F.col("event_id")
-    x = table(spark, sf_dir, "events").select(F.when(F.col("event_type") != "error", v * 20).alias("pitch"), (F.col("user_id") % 7 - v / 3).alias("intensity"), F.when(k % 30 == 0, -250.0).otherwise(10.0).alias("harmonicity"), (v * 90).alias("formant1"), (v * 100).alias("formant2"), (k % 3 != 0).alias("voice_present"))
-    return rounded(delivery.voice_sanity(x))
+    return rounded(delivery.voice_sanity(voice_frames(spark, sf_dir)))
 
 
 @register("null_rates", f"WITH {POSE_SQL} SELECT id, round(avg((pitch IS NULL)::INT) + 1e-9, 6) + 0.0 AS pitch_null, round(avg((c IS NULL)::INT) + 1e-9, 6) + 0.0 AS c_null FROM pose_long GROUP BY id")
@@ -203,6 +207,69 @@ def documentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.documented(columns, spark.createDataFrame(list(_RULES), "pattern string, text string"))
 
 
+_FAMILIES = (("event_id", "number", "identity"), ("user_id", "person", "identity"), ("event_*", "kind", "identity"), ("late", "late value", "NULL rules"), ("value", "value", "measure of time"))
+_ORDER = ("identity", "measure", "NULL")
+
+
+def _documentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("value", F.when(F.col("value") > 20, F.col("value")).alias("late"), "event_id", "user_id", "event_type")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return delivery.dictionary({"events": e, "customer": c}, spark.createDataFrame(list(_FAMILIES), "pattern string, text string, family string"), _ORDER)
+
+
+_MEASURED = lambda name, source, number: (f"count({source}) AS non_null, round(100 * count({source}) / count(*), 1) AS pct, " + (f"round(min({source})::DOUBLE, 4) AS low, round(median({source})::DOUBLE, 4) AS middle, round(max({source})::DOUBLE, 4) AS high" if number else "NULL::DOUBLE AS low, NULL::DOUBLE AS middle, NULL::DOUBLE AS high"))
+DICTIONARY_SQL = " UNION ALL ".join(
+    f"""SELECT '{of}' AS "table", '{c}' AS "column", {place} AS place, '{kind}' AS dtype, {family} AS family, {_MEASURED(c, c, kind != "string")}, {text} AS text FROM {of}"""
+    for of, c, place, kind, family, text in (
+        ("e", "event_id", 1, "bigint", "'identity'", "'number'"), ("e", "user_id", 2, "bigint", "'identity'", "'person'"), ("e", "event_type", 3, "string", "'identity'", "'kind'"),
+        ("e", "value", 4, "double", "'measure of time'", "'value'"), ("e", "late", 5, "double", "'NULL rules'", "'late value'"),
+        ("customer", "c_custkey", 1, "bigint", "NULL::VARCHAR", "NULL::VARCHAR"), ("customer", "c_acctbal", 2, "double", "NULL::VARCHAR", "NULL::VARCHAR"),
+    )
+).replace("'e' AS \"table\"", "'events' AS \"table\"").replace("FROM e ", "FROM (SELECT *, CASE WHEN value > 20 THEN value END AS late FROM events) ")
+
+
+@register("dictionary", DICTIONARY_SQL)
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documentation(spark, sf_dir)
+
+
+@register("cover", """SELECT 1::INT AS place, 'customer' AS item, (SELECT count(*) FROM customer) || ' rows x 2 columns' AS value UNION ALL SELECT 2, 'events', (SELECT count(*) FROM events) || ' rows x 5 columns' UNION ALL SELECT 3, 'padding', '2.0'""")
+def cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = {name: table(spark, sf_dir, name).count() for name in ("events", "customer")}
+    return delivery.cover(_documentation(spark, sf_dir), rows, {"padding": "2.0", "term": None})
+
+
+@register("voice_section", f"""WITH {VOICE_SQL}, s AS (SELECT count(pitch) AS n, count(*) FILTER (WHERE pitch = 0) AS zero, count(*) FILTER (WHERE pitch < 60 OR pitch > 600) AS outside, count(*) FILTER (WHERE harmonicity <= -200) AS low,
+  count(*) FILTER (WHERE formant1 > 5500) + count(*) FILTER (WHERE formant2 > 5500) AS formants, count(*) FILTER (WHERE pitch IS NOT NULL AND NOT voice_present) AS stray FROM v),
+r AS (SELECT *, CASE WHEN n = 0 THEN 'no voice' WHEN zero = 0 AND stray = 0 THEN 'segments' WHEN zero * 10 > n THEN 'spline' ELSE 'segments with leftovers' END AS regime FROM s),
+lines AS (SELECT CASE WHEN regime = 'no voice' THEN {list(delivery.VOICE_ADVICE["no voice"])} ELSE list_concat(['regime: ' || regime, 'frames with pitch 0: ' || zero, 'frames with pitch out of bounds: ' || outside, 'frames with harmonicity at its floor: ' || low, 'formants out of bounds: ' || formants, 'frames with pitch but without voice: ' || stray],
+  CASE WHEN regime = 'segments' THEN {list(delivery.VOICE_ADVICE["segments"])} ELSE {list(delivery.VOICE_ADVICE["spline"])} END) END AS x FROM r)
+SELECT (i - 1)::INT AS place, x[i] AS line FROM lines, range(1, 20) t(i) WHERE i <= len(x)""")
+def voice_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delivery.voice_section(delivery.voice_sanity(voice_frames(spark, sf_dir)))
+
+
+@register("annotation_gate", f"WITH {ANNOTATIONS_SQL}, c AS (SELECT count(*) FILTER (WHERE error IS NULL OR trim(error) = '') AS annotated, count(*) FILTER (WHERE trim(error) <> '') AS errors, count(*) AS total FROM annotations) SELECT *, annotated > 0 AS passes FROM c")
+def annotation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.gate(annotation_counts(spark, sf_dir))
+
+
+@register("media_totals", "WITH f AS (SELECT CASE WHEN o_orderkey % 17 = 0 THEN 'BAD' WHEN o_orderstatus = 'P' THEN 'EMPTY' ELSE 'OK' END AS status FROM orders) SELECT status, count(*) AS n, (SELECT count(*) FROM f) AS n_files, (SELECT count(*) = 0 FROM f WHERE status <> 'OK') AS all_ok FROM f GROUP BY status")
+def media_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return readers.media_totals(o.select(F.when(F.col("o_orderkey") % 17 == 0, "BAD").when(F.col("o_orderstatus") == "P", "EMPTY").otherwise("OK").alias("status")))
+
+
+@register("prosody_layout", """WITH f AS (SELECT CASE WHEN o_custkey % 5 <> 0 THEN 'c' || o_custkey END AS folder, 'r/' || CASE WHEN o_custkey % 5 <> 0 THEN 'c' || o_custkey || '/' ELSE '' END || 'k' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN '_prosody.parquet' WHEN o_orderkey % 7 = 0 THEN '.json' ELSE '.parquet' END AS path FROM orders),
+p AS (SELECT * FROM f WHERE path LIKE '%.parquet'), n AS (SELECT folder, bool_or(ends_with(path, '_prosody.parquet')) AS named FROM p WHERE folder IS NOT NULL GROUP BY folder)
+SELECT coalesce(folder, replace(split_part(path, '/', -1), '.parquet', '')) AS id, path FROM p LEFT JOIN n USING (folder) WHERE folder IS NULL OR NOT named OR ends_with(path, '_prosody.parquet')""")
+def prosody_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    folder = F.when(F.col("o_custkey") % 5 != 0, c)
+    name = F.concat(F.lit("k"), k.cast("string"), F.when(k % 3 == 0, "_prosody.parquet").when(k % 7 == 0, ".json").otherwise(".parquet"))
+    return readers.prosody_layout(table(spark, sf_dir, "orders").select(folder.alias("folder"), F.concat(F.lit("r/"), F.coalesce(F.concat(folder, F.lit("/")), F.lit("")), name).alias("path")))
+
+
 CLIPS_SQL = "kept AS (SELECT DISTINCT id, 'pr' || (length(id) % 3) AS programme FROM wide WHERE id NOT LIKE '%5')"
 
 

@@ -112,6 +112,11 @@ def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(qc.admit(_missing(qc.prescreen(detections(spark, sf_dir)))).select("video", "score", "admitted", "rejected", "audited"))
 
 
+@register("audit_usable", f"WITH {SCORES_SQL}, s AS (SELECT CASE WHEN video = 'v4' THEN NULL WHEN video = 'v3' THEN greatest(sp_right, sp_left) ELSE sp_any END AS a, sp_both AS b FROM scores) SELECT 'sp_any' AS criterion, count(*) AS n, count(a) AS usable FROM s UNION ALL SELECT 'sp_both', count(*), count(b) FROM s")
+def audit_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qc.usable(_missing(qc.prescreen(detections(spark, sf_dir))))
+
+
 @register("systematic_sample", f"WITH {SCORES_SQL}, r AS (SELECT video, row_number() OVER (ORDER BY sp_any DESC, sp_both DESC, video) - 1 AS place, count(*) OVER () AS n FROM scores) SELECT video, place FROM r WHERE place IN (SELECT round_even(i * (n - 1) / 3.0, 0)::BIGINT FROM range(4) t(i))")
 def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = qc.prescreen(detections(spark, sf_dir))

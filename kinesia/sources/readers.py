@@ -140,6 +140,32 @@ def media(spark: SparkSession, path: str, probes: DataFrame | None = None) -> Da
     return x.select("path", "length", status.alias("status"))
 
 
+def media_totals(files: DataFrame) -> DataFrame:
+    """(status, n, n_files, all_ok): files(status) by status, and whether all of them are OK; no row for no file."""
+    x = files.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    every = W.partitionBy(F.lit(0))
+    return x.select("status", "n", F.sum("n").over(every).alias("n_files"), (F.sum(F.when(F.col("status") == "OK", 0).otherwise(F.col("n"))).over(every) == 0).alias("all_ok"))
+
+
+def prosody_layout(files: DataFrame) -> DataFrame:
+    """(id, path) of the prosody files among files(path, folder), folder being null for files at the top.
+
+    A file at the top is a clip of its own name.  In a clip's folder the files that end in _prosody.parquet count, or all if none does.
+    """
+    x = files.where(F.col("path").endswith(".parquet")).withColumn("_named", F.col("path").endswith("_prosody.parquet"))
+    some = F.max("_named").over(W.partitionBy("folder"))
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.parquet$", "")
+    return x.withColumn("_some", some).where(F.col("folder").isNull() | ~F.col("_some") | F.col("_named")).select(F.coalesce("folder", name).alias("id"), "path")
+
+
+def prosody_files(spark: SparkSession, root: str) -> DataFrame:
+    """``prosody_layout`` of the files in a folder and in its folders."""
+    top = root.rstrip("/").rsplit("/", 1)[-1]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root).select("path")
+    parent = F.element_at(F.split("path", "/"), -2)
+    return prosody_layout(files.withColumn("folder", F.when(parent != top, parent)))
+
+
 def tolerant_csv(spark: SparkSession, path: str, numbers: list[str]) -> DataFrame:
     """All columns as text but ``numbers``, of which blanks and garbage are null."""
     x = spark.read.csv(path, header=True)

@@ -32,8 +32,11 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def publish(spark: SparkSession, target: str, tables: dict[str, DataFrame], settings: dict, csv: bool = False) -> None:
-    """Each table as Parquet (and CSV, nulls empty), and manifest.json with settings, rows and the files' digests."""
+def publish(spark: SparkSession, target: str, tables: dict[str, DataFrame], settings: dict, csv: bool = False, inputs: dict[str, str] | None = None, origin: dict | None = None) -> None:
+    """Each table as Parquet (and CSV, nulls empty), and manifest.json with settings, rows and digests of the files, those of ``inputs`` (name: path) too.
+
+    ``origin`` is the provenance block (``sources.provenance``).
+    """
     if exists(spark, target):
         raise FileExistsError(target)
     staging = f"{target.rstrip('/')}.{uuid.uuid4().hex}"
@@ -43,8 +46,10 @@ def publish(spark: SparkSession, target: str, tables: dict[str, DataFrame], sett
         if csv:
             df.write.option("header", True).option("nullValue", "").csv(f"{staging}/{name}.csv")
         rows[name] = spark.read.parquet(f"{staging}/{name}.parquet").count()
-    files = {f"{name}.parquet": [r.asDict() for r in digests(spark, f"{staging}/{name}.parquet").where("name LIKE 'part-%'").orderBy("name").collect()] for name in tables}
-    write_text(spark, f"{staging}/manifest.json", json.dumps({"settings": settings, "rows": rows, "files": files}, indent=1, sort_keys=True))
+    listed = lambda path: [r.asDict() for r in digests(spark, path).where("name NOT RLIKE '^[._]'").orderBy("name").collect()]
+    files = {f"{name}.parquet": listed(f"{staging}/{name}.parquet") for name in tables}
+    manifest = {"settings": settings, "rows": rows, "files": files, "inputs": {name: listed(path) for name, path in (inputs or {}).items()}, "origin": origin}
+    write_text(spark, f"{staging}/manifest.json", json.dumps(manifest, indent=1, sort_keys=True))
     fs, p = _hadoop(spark, staging)
     # A rename onto a folder that came meanwhile would move the staging folder into it.
     if exists(spark, target) or not fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(target)):
