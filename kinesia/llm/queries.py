@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinesia.llm import audit, decontam, exactdup, langid, mixing, neardup, pii, quality, secrets, sharding, suffixes, toxicity
+from kinesia.llm import audit, decontam, exactdup, langid, mixing, neardup, phrases, pii, quality, secrets, sharding, suffixes, toxicity
 from kinesia.llm._shared import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,33 @@ SELECT doc_id, first(doc_id) OVER w AS keep_id, (count(*) OVER (PARTITION BY nor
   doc_id = first(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY norm ORDER BY c DESC, doc_id)
 """
+
+
+@query
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+ORACLES["op12_phrases"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m FROM places, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, phrase, m, count(*)::BIGINT AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+parts AS (SELECT *, string_split(phrase, ' ') AS w FROM f),
+inner_ AS (
+  SELECT lang, a, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, a, w, m, k, unnest(range(1, m - k + 2)) AS i FROM parts, (SELECT unnest([2, 3]) AS k) WHERE k < m)),
+longest AS (SELECT lang, phrase, max(a) AS longer FROM inner_ GROUP BY ALL),
+left_ AS (SELECT p.* FROM parts p LEFT JOIN longest USING (lang, phrase) WHERE m >= 2 AND (longer IS NULL OR 100 * longer < 80 * a)),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:m], ' ') AS tail FROM (SELECT *, unnest(range(1, m)) AS k FROM left_)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, k, h.a AS l, t.a AS r, ((2000000::HUGEINT * c.a) // (h.a + t.a))::BIGINT AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
