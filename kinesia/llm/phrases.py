@@ -39,7 +39,9 @@ GAPS = np.zeros(256, bool)
 GAPS[[0x20, 0x09]] = True
 
 #: Bytes of text in a shard; a longer text makes a shard of its own, or several cut between pieces.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4_000_000
+#: Rows of a batch that goes to Spark, and bytes that are compared at a time.
+PART_ROWS, PART_BYTES = 50_000, 1 << 19
 #: Bits of the filter for each key, and at most (a fuller filter only lets more through).
 BLOOM_BITS_A_KEY, MAX_BLOOM_BITS = 16, 1 << 27
 RESULT = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
@@ -86,14 +88,24 @@ class Automaton:
         _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
         at = first[number]
         size = self.ends - self.starts
-        if np.array_equal(size, size[at]):
-            into = np.repeat(self.starts - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-            if np.array_equal(self.data[into], self.data[into + np.repeat(self.starts[at] - self.starts, size)]):
-                return number
+        if np.array_equal(size, size[at]) and all(self._same(i, j, at) for i, j in self._blocks(size)):
+            return number
         words: dict[bytes, int] = {}
         raw = self.data.tobytes()
         return np.array([words.setdefault(raw[i:j], len(words)) for i, j in zip(self.starts, self.ends, strict=True)], np.int64)
 
+    @staticmethod
+    def _blocks(size: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Ranges of words of about PART_BYTES bytes."""
+        edges = np.unique(np.concatenate((np.searchsorted(np.cumsum(size), np.arange(0, size.sum(), PART_BYTES)), [0, len(size)])))
+        yield from zip(edges[:-1], edges[1:], strict=True)
+
+    def _same(self, i: int, j: int, at: np.ndarray) -> bool:
+        """Whether words i to j have the bytes of the words at ``at``."""
+        size = (self.ends - self.starts)[i:j]
+        own = np.repeat(self.starts[i:j] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.array_equal(self.data[own], self.data[own + np.repeat(self.starts[at[i:j]] - self.starts[i:j], size)])
+
     def link(self, d: int) -> np.ndarray:
         """For each gram of depth d + 1, the gram of depth d that its suffix is."""
         return self.gram[d - 1][self.last[d]]
@@ -189,7 +201,8 @@ def _count_keys(limit: int, depth: int):
         for auto, lang, names in _shards(source, limit):
             keys = auto.keys(_seeds(names), lang)
             for d in range(depth):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[d].view(np.int64)), pa.array(auto.count[d])], ["key", "n"])
+                for i in range(0, len(keys[d]), PART_ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[d][i : i + PART_ROWS].view(np.int64)), pa.array(auto.count[d][i : i + PART_ROWS])], ["key", "n"])
 
     return run
 
@@ -239,8 +252,8 @@ def _count_phrases(limit: int, shared):
                     ok = ok & passes[d - 1][auto.prefix(d)] & passes[d - 1][auto.link(d)]
                 passes.append(ok)
                 grams = np.flatnonzero(ok)
-                # Arrow's strings have 32-bit offsets.
-                for part in np.array_split(grams, max(1, len(grams) // 500_000)):
+                for i in range(0, len(grams), PART_ROWS):
+                    part = grams[i : i + PART_ROWS]
                     which = pa.array(lang[auto.last[d][part]])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(names, pa.string()).take(which), auto.phrases(d, part), pa.array(np.full(len(part), d + 1, np.int32)), pa.array(auto.count[d][part])],
