@@ -39,9 +39,9 @@ GAPS = np.zeros(256, bool)
 GAPS[[0x20, 0x09]] = True
 
 #: Bytes of text in a shard; a longer text makes a shard of its own, or several cut between pieces.
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 2_000_000
 #: Rows of a batch that goes to Spark, and bytes that are compared at a time.
-PART_ROWS, PART_BYTES = 50_000, 1 << 19
+PART_ROWS, PART_BYTES = 20_000, 1 << 18
 #: Bits of the filter for each key, and at most (a fuller filter only lets more through).
 BLOOM_BITS_A_KEY, MAX_BLOOM_BITS = 16, 1 << 27
 RESULT = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
