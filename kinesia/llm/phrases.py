@@ -262,7 +262,7 @@ def _count_phrases(limit: int, shared):
             # The number of all words of a language, as a phrase of none.
             total = np.bincount(lang, minlength=len(names))
             seen = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(seen)), pa.array([""] * len(seen)), pa.array(np.zeros(len(seen), np.int32)), pa.array(total[seen])], ["lang", "phrase", "depth", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(seen)), pa.array([""] * len(seen), pa.string()), pa.array(np.zeros(len(seen), np.int32)), pa.array(total[seen])], ["lang", "phrase", "depth", "n"])
 
     return run
 
