@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -59,30 +59,43 @@ def profile(df: DataFrame) -> DataFrame:
 
 
 def voice_sanity(frames: DataFrame) -> DataFrame:
-    """Zeros and values out of bounds in the voice columns, the regime that they show, and pitch against intensity.
+    """One row: impossible values in the voice columns, the regime that they show, and intensity against right_speed.
 
-    segments: pitch is null where there is no voice and never 0; spline: it is 0 or present everywhere; else segments with
-    leftovers.  The correlation is null for fewer than three pairs or without spread.
+    segments: the table has ``voice_present``; segments with leftovers: it has, but values out of bounds are left (pitch outside
+    60 to 600, harmonicity below -200, formants outside 0 to 5500); spline: it has not; no voice: it has no ``pitch``, and then
+    nothing is counted.  The voiced frames are those with ``voice_present``, or without that column those whose pitch is in
+    bounds.  A correlation is null for fewer than three pairs, without spread, or where one of its columns is missing.
     """
-    voiced = F.col("voice_present")
-    zero, some = F.count_if(F.col("pitch") == 0), F.count("pitch")
-    stray = F.count_if(F.col("pitch").isNotNull() & ~voiced)
-
-    def corr(on):
-        p, q = F.when(on, F.col("pitch")), F.when(on, F.col("intensity"))
-        both = p.isNotNull() & q.isNotNull()
-        p, q = F.when(both, p), F.when(both, q)
+    have = set(frames.columns)
+    col = lambda c, kind="double": F.col(c) if c in have else F.lit(None).cast(kind)
+    pitch, harmonicity, intensity, speed, flag = col("pitch"), col("harmonicity"), col("intensity"), col("right_speed"), col("voice_present", "boolean")
+    voiced = F.coalesce(flag if "voice_present" in have else pitch.between(PITCH_LOW, PITCH_HIGH), F.lit(False))
+
+    def corr(on: Column) -> tuple[Column, Column]:
+        both = on & intensity.isNotNull() & speed.isNotNull()
+        p, q = F.when(both, intensity), F.when(both, speed)
         # corr() itself fails where there is no spread.
-        return F.when(F.count_if(both) > 2, F.covar_pop(p, q) / F.nullif(F.stddev_pop(p) * F.stddev_pop(q), F.lit(0.0)))
-
-    formants = [c for c in frames.columns if c.startswith("formant")]
-    outside = reduce(lambda a, b: a + b, [F.count_if(~F.col(c).between(0, FORMANT_HIGH)) for c in formants], F.lit(0))
-    regime = F.when(some == 0, "no voice").when((zero == 0) & (stray == 0), "segments").when(zero * 10 > some, "spline").otherwise("segments with leftovers")
-    return frames.agg(
-        F.count(F.lit(1)).alias("n_frames"), some.alias("n_pitch"), zero.alias("n_zero"), F.count_if(~F.col("pitch").between(PITCH_LOW, PITCH_HIGH)).alias("n_pitch_outside"),
-        F.count_if(F.col("harmonicity") <= HARMONICITY_LOW).alias("n_harmonicity_low"), outside.cast("long").alias("n_formant_outside"), stray.alias("n_stray"), regime.alias("regime"),
-        F.min("pitch").alias("pitch_low"), F.max("pitch").alias("pitch_high"), corr(F.lit(True)).alias("r_all"), corr(voiced).alias("r_voiced"),
-    )
+        return F.count_if(both), F.when(F.count_if(both) > 2, F.covar_pop(p, q) / F.nullif(F.stddev_pop(p) * F.stddev_pop(q), F.lit(0.0)))
+
+    formants = [F.count_if(~F.col(f"`{c}`").between(0, FORMANT_HIGH)) for c in frames.columns if c.startswith("formant")]
+    measured = "pitch" in have
+    (n_all, r_all), (n_voiced, r_voiced) = corr(F.lit(True)), corr(voiced)
+    counts = {
+        "n_zero": F.count_if(pitch == 0), "n_pitch_outside": F.count_if(~pitch.between(PITCH_LOW, PITCH_HIGH)), "n_harmonicity_low": F.count_if(harmonicity < HARMONICITY_LOW),
+        "n_formant_outside": reduce(lambda x, y: x + y, formants, F.lit(0)).cast("long"), "n_voiced": F.count_if(voiced), "n_untracked": F.count_if(flag.isNull()),
+        "n_pairs": n_all, "n_pairs_voiced": n_voiced,
+    }
+    counts = {k: v if measured else F.lit(0).cast("long") for k, v in counts.items()}
+    values = {"intensity_low": F.min(intensity), "intensity_high": F.max(intensity), "r_all": r_all, "r_voiced": r_voiced}
+    values = {k: v if measured else F.lit(None).cast("double") for k, v in values.items()}
+    impossible = counts["n_pitch_outside"] + counts["n_harmonicity_low"] + counts["n_formant_outside"]
+    if not measured:
+        regime, gate = F.lit("no voice"), "n/a"
+    elif "voice_present" in have:
+        regime, gate = F.when(impossible > 0, "segments with leftovers").otherwise("segments"), "voice_present"
+    else:
+        regime, gate = F.lit("spline"), f"{PITCH_LOW:.0f}-{PITCH_HIGH:.0f} Hz"
+    return frames.agg(F.count(F.lit(1)).alias("n_frames"), regime.alias("regime"), F.lit(gate).alias("gate"), *[v.alias(k) for k, v in (counts | values).items()])
 
 
 def sample_facts(sequences: DataFrame, least: int = 30) -> DataFrame:
@@ -173,8 +186,11 @@ def voice_section(sanity: DataFrame) -> DataFrame:
 
     Counts are left out where there is no voice: a 0 there would look like a measurement.
     """
-    counts = [("n_zero", "frames with pitch 0"), ("n_pitch_outside", "frames with pitch out of bounds"), ("n_harmonicity_low", "frames with harmonicity at its floor"), ("n_formant_outside", "formants out of bounds"), ("n_stray", "frames with pitch but without voice")]
-    measured = F.array(F.concat(F.lit("regime: "), "regime"), *[F.concat(F.lit(f"{text}: "), F.col(c).cast("string")) for c, text in counts])
+    counts = [("n_zero", "frames with pitch 0"), ("n_pitch_outside", "frames with pitch out of bounds"), ("n_harmonicity_low", "frames with harmonicity below its floor"), ("n_formant_outside", "formants out of bounds"), ("n_voiced", "frames with voice")]
+    number = lambda c, digits: F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", c)).otherwise("not computable")
+    span = F.concat(F.lit("intensity: "), number("intensity_low", 1), F.lit(" to "), number("intensity_high", 1), F.lit(" dB"))
+    pairs = F.concat(F.lit("intensity with right_speed: "), number("r_all", 3), F.lit(", with voice: "), number("r_voiced", 3))
+    measured = F.array(F.concat(F.lit("regime: "), "regime"), F.concat(F.lit("gate: "), "gate"), *[F.concat(F.lit(f"{text}: "), F.col(c).cast("string")) for c, text in counts], span, pairs)
     advice = lambda name: F.array(*[F.lit(x) for x in VOICE_ADVICE[name]])
     lines = F.when(F.col("regime") == "no voice", advice("no voice")).otherwise(F.concat(measured, F.when(F.col("regime") == "segments", advice("segments")).otherwise(advice("spline"))))
     return sanity.select(F.posexplode(lines).alias("place", "line"))

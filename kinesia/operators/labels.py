@@ -39,24 +39,32 @@ def normal(value: Column) -> Column:
 def validated(text: Column) -> Column:
     """struct(fields, error): the values of a label object, or all null and why it is refused.
 
-    Refused: no object, other keys than the fixed ones or one of them missing, a value outside its words, an age that is no whole
-    number of 0 to 120.
+    Refused: no object, other keys than the fixed ones or one of them missing, a value outside its words.  A flag is a truth value,
+    the number 0 or 1, or one of its words; an age is a whole number of 0 to 120, or a text of one to three digits; the other
+    labels are text.  So 1.0 and 40.0 are a flag and an age, and "1.0" and "40.0" are not.
     """
-    bag = F.from_json(text, "map<string,string>")
-    raw = {f: normal(F.element_at(bag, F.lit(f))) for f in LABEL_FIELDS}
+    whole = F.try_parse_json(text)
+    is_object = F.startswith(F.schema_of_variant(whole), F.lit("OBJECT"))
+    bag = F.when(is_object, F.from_json(text, "map<string,string>"))
     keys = F.array_sort(F.map_keys(bag))
     bad = F.lit(None).cast("string")
     values = {}
     for f in LABEL_FIELDS:
-        v = raw[f]
+        v = F.try_variant_get(whole, f"$.{f}", "variant")
+        # A number's form decides its kind here, so text never passes for one.
+        kind = F.schema_of_variant(v)
+        word = F.when(kind == "STRING", normal(F.try_variant_get(whole, f"$.{f}", "string")))
+        number = F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL")), F.try_variant_get(whole, f"$.{f}", "double"))
+        truth = F.when(kind == "BOOLEAN", F.try_variant_get(whole, f"$.{f}", "boolean"))
+        none = v.isNull() | (kind == "VOID") | ((kind == "STRING") & word.isNull())
         if f in ENUMS:
-            ok, values[f] = v.isNull() | v.isin(list(ENUMS[f])), v
+            values[f] = F.when(word.isin(list(ENUMS[f])), word)
         elif f in FLAGS:
-            ok, values[f] = v.isNull() | v.isin([*TRUE, *FALSE]), F.when(v.isin(list(TRUE)), True).when(v.isin(list(FALSE)), False)
+            values[f] = F.coalesce(truth, F.when(number.isin(0.0, 1.0), number == 1), F.when(word.isin(list(TRUE)), True).when(word.isin(list(FALSE)), False))
         else:
-            age = F.regexp_replace(v, r"\.0+$", "").try_cast("int")
-            ok, values[f] = v.isNull() | (v.rlike(r"^[0-9]{1,3}(\.0+)?$") & age.between(0, 120)), age
-        bad = F.coalesce(bad, F.when(~F.coalesce(ok, F.lit(False)), F.lit(f"{f}: value not allowed")))
+            age = F.coalesce(F.when(number == F.floor(number), number), F.when(word.rlike(r"^\d{1,3}$"), word.try_cast("double")))
+            values[f] = F.when(age.between(0, 120), age).cast("int")
+        bad = F.coalesce(bad, F.when(~none & values[f].isNull(), F.lit(f"{f}: value not allowed")))
     error = F.when(bag.isNull(), "no object").when(~F.coalesce(keys == F.lit(sorted(LABEL_FIELDS)), F.lit(False)), "keys differ").otherwise(bad)
     return F.struct(*[F.when(error.isNull(), values[f]).alias(f) for f in LABEL_FIELDS], error.alias("error"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,34 +94,58 @@ def padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tab.padding_report(x))
 
 
-RAW_SQL = """raw AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Sure: ```json
-{"indoor_outdoor": " Indoor", "show_type": "Interview", "hands_free": "yes", "sitting_standing": "unknown", "screen_interaction": ' || CASE WHEN toxic = 1 THEN 'true' ELSE 'false' END || ', "sex": null, "age": ' || (doc_id % 150) || '}
-``` done' WHEN 1 THEN 'x {"age": ' || doc_id || '} y' WHEN 2 THEN 'nothing here' WHEN 3 THEN 'a {"sex": "female", "age": "40", "show_type": "monologue", "hands_free": 0, "indoor_outdoor": "moon", "sitting_standing": "", "screen_interaction": 1}' ELSE
-  '{"sex": "male", "age": "n/a", "show_type": "monologue", "hands_free": 0, "indoor_outdoor": "outdoor", "sitting_standing": "", "screen_interaction": 1} thanks' END AS text FROM labels),
-found AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN regexp_extract(text, '(?s)```json\\s*(.*?)\\s*```', 1) WHEN 2 THEN NULL ELSE regexp_extract(text, '(?s)(\\{.*\\})', 1) END AS object FROM raw)"""
+def _answer(**fields: str) -> str:
+    """A label object's text: the usual values, with those of ``fields`` as JSON in their place."""
+    usual = {"indoor_outdoor": '"outdoor"', "show_type": '"monologue"', "hands_free": "0", "sitting_standing": '""', "screen_interaction": "1", "sex": '"male"', "age": '"n/a"'}
+    return "{" + ", ".join(f'"{k}": {v}' for k, v in (usual | fields).items() if v) + "}"
+
+
+#: Answers as models give them, with what the rules make of each: its error, or None and the values.
+FORMS = [
+    ("Sure: ```json\n" + _answer(indoor_outdoor='" Indoor"', show_type='"Interview"', hands_free='"yes"', sitting_standing='"unknown"', screen_interaction="true", sex="null", age="120") + "\n``` done", None, ("indoor", "interview", True, None, True, None, 120)),
+    ('x {"age": 7} y', "keys differ", None),
+    ("nothing here", "no object", None),
+    ("a " + _answer(indoor_outdoor='"moon"', sex='"female"', age='"40"'), "indoor_outdoor: value not allowed", None),
+    (_answer() + " thanks", None, ("outdoor", "monologue", False, None, True, "male", None)),
+    (_answer(age="150"), "age: value not allowed", None),
+    (_answer(hands_free="1.0", age="40.0"), None, ("outdoor", "monologue", True, None, True, "male", 40)),
+    (_answer(age='"40.0"'), "age: value not allowed", None),
+    (_answer(hands_free='"1.0"'), "hands_free: value not allowed", None),
+    (_answer(hands_free="2"), "hands_free: value not allowed", None),
+    (_answer(age="true"), "age: value not allowed", None),
+    (_answer(age="40.5"), "age: value not allowed", None),
+    (_answer(age='" 007 "', screen_interaction='"SI"'), None, ("outdoor", "monologue", False, None, True, "male", 7)),
+    (_answer(sex="1"), "sex: value not allowed", None),
+    (_answer(sex="[1]"), "sex: value not allowed", None),
+    (_answer(extra="1"), "keys differ", None),
+    ('[1, {"a": 2}]', "keys differ", None),
+    (_answer(sex="{}"), "sex: value not allowed", None),
+    (_answer(age="-1"), "age: value not allowed", None),
+    (_answer(hands_free="false", screen_interaction='"No se"'), None, ("outdoor", "monologue", False, None, None, "male", None)),
+]
+
+
+def _sql(value) -> str:
+    return "NULL" if value is None else str(value) if isinstance(value, (bool, int)) else "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_ROWS = ", ".join(f"({i}, {_sql(text)}, {_sql(error)}, {', '.join(_sql(x) for x in values or [None] * 7)})" for i, (text, error, values) in enumerate(FORMS))
+#: The engine's rules, stated as results: every form's verdict was worked out by hand.
+RAW_SQL = f"""forms AS (SELECT * FROM (VALUES {_ROWS}) t(k, text, error, indoor_outdoor, show_type, hands_free, sitting_standing, screen_interaction, sex, age)),
+raw AS (SELECT doc_id, quality, f.* FROM labels JOIN forms f ON f.k = doc_id % {len(FORMS)})"""
 
 
 def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, text = F.col("doc_id"), lambda c: c.cast("string")
-    zero = F.concat(
-        F.lit('Sure: ```json\n{"indoor_outdoor": " Indoor", "show_type": "Interview", "hands_free": "yes", "sitting_standing": "unknown", "screen_interaction": '),
-        F.when(F.col("toxic") == 1, "true").otherwise("false"), F.lit(', "sex": null, "age": '), text(k % 150), F.lit("}\n``` done"),
-    )
-    three = 'a {"sex": "female", "age": "40", "show_type": "monologue", "hands_free": 0, "indoor_outdoor": "moon", "sitting_standing": "", "screen_interaction": 1}'
-    four = '{"sex": "male", "age": "n/a", "show_type": "monologue", "hands_free": 0, "indoor_outdoor": "outdoor", "sitting_standing": "", "screen_interaction": 1} thanks'
-    return table(spark, sf_dir, "labels").select("doc_id", F.when(k % 5 == 0, zero).when(k % 5 == 1, F.concat(F.lit('x {"age": '), text(k), F.lit("} y"))).when(k % 5 == 2, "nothing here").when(k % 5 == 3, three).otherwise(four).alias("text"))
+    texts = F.array(*[F.lit(text) for text, _, _ in FORMS])
+    return table(spark, sf_dir, "labels").select("doc_id", F.get(texts, (F.col("doc_id") % len(FORMS)).cast("int")).alias("text"))
 
 
-@register("json_extract", f"WITH {RAW_SQL} SELECT doc_id, object FROM found")
+@register("json_extract", f"WITH {RAW_SQL} SELECT doc_id, coalesce(nullif(regexp_extract(text, '(?s)```(?:json)?\\s*(\\{{.*?\\}})\\s*```', 1), ''), nullif(regexp_extract(text, '(?s)(\\{{.*\\}})', 1), '')) AS object FROM raw")
 def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_labels(spark, sf_dir).select("doc_id", labels.json_in(F.col("text")).alias("object"))
 
 
-@register("label_validate", f"""WITH {RAW_SQL} SELECT l.doc_id, CASE WHEN l.doc_id % 5 = 0 AND l.doc_id % 150 <= 120 THEN 'indoor' WHEN l.doc_id % 5 = 4 THEN 'outdoor' END AS indoor_outdoor,
-  CASE WHEN l.doc_id % 5 = 0 AND l.doc_id % 150 <= 120 THEN 'interview' WHEN l.doc_id % 5 = 4 THEN 'monologue' END AS show_type, CASE WHEN l.doc_id % 5 = 0 AND l.doc_id % 150 <= 120 THEN true WHEN l.doc_id % 5 = 4 THEN false END AS hands_free,
-  NULL::VARCHAR AS sitting_standing, CASE WHEN l.doc_id % 5 = 0 AND l.doc_id % 150 <= 120 THEN toxic = 1 WHEN l.doc_id % 5 = 4 THEN true END AS screen_interaction, CASE WHEN l.doc_id % 5 = 4 THEN 'male' END AS sex,
-  CASE WHEN l.doc_id % 5 = 0 AND l.doc_id % 150 <= 120 THEN l.doc_id % 150 END::DOUBLE AS age,
-  CASE l.doc_id % 5 WHEN 0 THEN CASE WHEN l.doc_id % 150 > 120 THEN 'age: value not allowed' END WHEN 1 THEN 'keys differ' WHEN 2 THEN 'no object' WHEN 3 THEN 'indoor_outdoor: value not allowed' END AS error FROM labels l""")
+@register("label_validate", f"WITH {RAW_SQL} SELECT doc_id, indoor_outdoor, show_type, hands_free, sitting_standing::VARCHAR AS sitting_standing, screen_interaction, sex, age::DOUBLE AS age, error FROM raw")
 def label_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = raw_labels(spark, sf_dir).select("doc_id", labels.json_in(F.col("text")).alias("object"))
     return x.select("doc_id", labels.validated(F.col("object")).alias("v")).select("doc_id", "v.*").withColumn("age", F.col("age").cast("double"))
@@ -169,20 +195,42 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.profile(e)
 
 
-VOICE_SQL = "v AS (SELECT CASE WHEN event_type <> 'error' THEN value * 20 END AS pitch, (user_id % 7 - value / 3)::DOUBLE AS intensity, CASE WHEN event_id % 30 = 0 THEN -250.0 ELSE 10.0 END::DOUBLE AS harmonicity, value * 90 AS formant1, value * 100 AS formant2, event_id % 3 <> 0 AS voice_present FROM events)"
-
-
-def voice_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: One part of the events for each state a delivery's voice can be in: clean, with leftovers, of the old chain, and without any.
+VOICE_PARTS = {"clean": ("pitch", "voice_present"), "leftovers": ("pitch", "voice_present"), "old": ("pitch",), "silent": ()}
+VOICE_SQL = """v AS (SELECT *, CASE WHEN part = 'clean' THEN CASE WHEN value BETWEEN 3 AND 30 THEN value * 20 END WHEN event_type <> 'error' THEN value * 20 END AS pitch, (user_id % 7 - value / 3)::DOUBLE AS intensity,
+  CASE WHEN part <> 'clean' AND event_id % 30 = 0 THEN -250.0 WHEN event_id % 31 = 0 THEN -200.0 ELSE 10.0 END::DOUBLE AS harmonicity, CASE WHEN part = 'clean' THEN least(value * 90, 5500) ELSE value * 90 END AS formant1,
+  value * (event_id % 5) / 50 AS right_speed, CASE WHEN event_id % 11 <> 0 THEN event_id % 3 <> 0 END AS flag, part IN ('clean', 'leftovers') AS flagged
+  FROM events, (SELECT unnest(['clean', 'leftovers', 'old', 'silent']) AS part)),
+g AS (SELECT *, part <> 'silent' AS m, coalesce(CASE WHEN flagged THEN flag ELSE pitch >= 60 AND pitch <= 600 END, false) AS voiced FROM v),
+s AS (SELECT part, count(*) AS n_frames, count(*) FILTER (WHERE m AND pitch = 0) AS n_zero, count(*) FILTER (WHERE m AND (pitch < 60 OR pitch > 600)) AS n_pitch_outside,
+  count(*) FILTER (WHERE m AND harmonicity < -200) AS n_harmonicity_low, count(*) FILTER (WHERE m AND (formant1 < 0 OR formant1 > 5500)) AS n_formant_outside, count(*) FILTER (WHERE m AND voiced) AS n_voiced,
+  count(*) FILTER (WHERE m AND (flag IS NULL OR NOT flagged)) AS n_untracked, count(*) FILTER (WHERE m AND intensity IS NOT NULL AND right_speed IS NOT NULL) AS n_pairs, count(*) FILTER (WHERE m AND voiced AND intensity IS NOT NULL AND right_speed IS NOT NULL) AS n_pairs_voiced,
+  min(intensity) FILTER (WHERE m) AS intensity_low, max(intensity) FILTER (WHERE m) AS intensity_high, corr(intensity, right_speed) FILTER (WHERE m) AS r_all, corr(intensity, right_speed) FILTER (WHERE m AND voiced) AS r_voiced
+  FROM g GROUP BY part),
+r AS (SELECT *, CASE part WHEN 'silent' THEN 'no voice' WHEN 'old' THEN 'spline' ELSE CASE WHEN n_pitch_outside + n_harmonicity_low + n_formant_outside > 0 THEN 'segments with leftovers' ELSE 'segments' END END AS regime,
+  CASE part WHEN 'silent' THEN 'n/a' WHEN 'old' THEN '60-600 Hz' ELSE 'voice_present' END AS gate FROM s)"""
+
+
+def voice_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A delivered table's voice columns in each of the states of ``VOICE_PARTS``."""
     v, k = F.col("value"), F.col("event_id")
-    return table(spark, sf_dir, "events").select(F.when(F.col("event_type") != "error", v * 20).alias("pitch"), (F.col("user_id") % 7 - v / 3).alias("intensity"), F.when(k % 30 == 0, -250.0).otherwise(10.0).alias("harmonicity"), (v * 90).alias("formant1"), (v * 100).alias("formant2"), (k % 3 != 0).alias("voice_present"))
-
-
-@register("voice_sanity", f"""WITH {VOICE_SQL} SELECT count(*) AS n_frames, count(pitch) AS n_pitch, count(*) FILTER (WHERE pitch = 0) AS n_zero, count(*) FILTER (WHERE pitch < 60 OR pitch > 600) AS n_pitch_outside, count(*) FILTER (WHERE harmonicity <= -200) AS n_harmonicity_low,
-  count(*) FILTER (WHERE formant1 > 5500) + count(*) FILTER (WHERE formant2 > 5500) AS n_formant_outside, count(*) FILTER (WHERE pitch IS NOT NULL AND NOT voice_present) AS n_stray, CASE WHEN count(pitch) = 0 THEN 'no voice' WHEN count(*) FILTER (WHERE pitch = 0) = 0 AND count(*) FILTER (WHERE pitch IS NOT NULL AND NOT voice_present) = 0 THEN 'segments'
-  WHEN count(*) FILTER (WHERE pitch = 0) > count(pitch) / 10 THEN 'spline' ELSE 'segments with leftovers' END AS regime,
-  round(min(pitch) + 1e-9, 6) + 0.0 AS pitch_low, round(max(pitch) + 1e-9, 6) + 0.0 AS pitch_high, round(corr(pitch, intensity) + 1e-9, 6) + 0.0 AS r_all, round(corr(pitch, intensity) FILTER (WHERE voice_present) + 1e-9, 6) + 0.0 AS r_voiced FROM v""")
+    out = {}
+    for part, columns in VOICE_PARTS.items():
+        clean = part == "clean"
+        pitch = F.when(v.between(3, 30), v * 20) if clean else F.when(F.col("event_type") != "error", v * 20)
+        low = F.when(k % 31 == 0, -200.0).otherwise(10.0) if clean else F.when(k % 30 == 0, -250.0).when(k % 31 == 0, -200.0).otherwise(10.0)
+        optional = {"pitch": pitch, "voice_present": F.when(k % 11 != 0, k % 3 != 0)}
+        out[part] = table(spark, sf_dir, "events").select(
+            *[optional[c].alias(c) for c in columns], (F.col("user_id") % 7 - v / 3).alias("intensity"), low.alias("harmonicity"),
+            (F.least(v * 90, F.lit(5500.0)) if clean else v * 90).alias("formant1"), (v * (k % 5) / 50).alias("right_speed"),
+        )
+    return out
+
+
+@register("voice_sanity", f"""WITH {VOICE_SQL} SELECT part, n_frames, regime, gate, n_zero, n_pitch_outside, n_harmonicity_low, n_formant_outside, n_voiced, n_untracked, n_pairs, n_pairs_voiced, {rounded_sql("intensity_low intensity_high r_all r_voiced")} FROM r""")
 def voice_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(delivery.voice_sanity(voice_frames(spark, sf_dir)))
+    parts = [rounded(delivery.voice_sanity(df)).withColumn("part", F.lit(part)) for part, df in voice_tables(spark, sf_dir).items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @register("null_rates", f"WITH {POSE_SQL} SELECT id, round(avg((pitch IS NULL)::INT) + 1e-9, 6) + 0.0 AS pitch_null, round(avg((c IS NULL)::INT) + 1e-9, 6) + 0.0 AS c_null FROM pose_long GROUP BY id")
@@ -239,14 +287,15 @@ def cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.cover(_documentation(spark, sf_dir), rows, {"padding": "2.0", "term": None})
 
 
-@register("voice_section", f"""WITH {VOICE_SQL}, s AS (SELECT count(pitch) AS n, count(*) FILTER (WHERE pitch = 0) AS zero, count(*) FILTER (WHERE pitch < 60 OR pitch > 600) AS outside, count(*) FILTER (WHERE harmonicity <= -200) AS low,
-  count(*) FILTER (WHERE formant1 > 5500) + count(*) FILTER (WHERE formant2 > 5500) AS formants, count(*) FILTER (WHERE pitch IS NOT NULL AND NOT voice_present) AS stray FROM v),
-r AS (SELECT *, CASE WHEN n = 0 THEN 'no voice' WHEN zero = 0 AND stray = 0 THEN 'segments' WHEN zero * 10 > n THEN 'spline' ELSE 'segments with leftovers' END AS regime FROM s),
-lines AS (SELECT CASE WHEN regime = 'no voice' THEN {list(delivery.VOICE_ADVICE["no voice"])} ELSE list_concat(['regime: ' || regime, 'frames with pitch 0: ' || zero, 'frames with pitch out of bounds: ' || outside, 'frames with harmonicity at its floor: ' || low, 'formants out of bounds: ' || formants, 'frames with pitch but without voice: ' || stray],
+@register("voice_section", f"""WITH {VOICE_SQL},
+lines AS (SELECT part, CASE WHEN regime = 'no voice' THEN {list(delivery.VOICE_ADVICE["no voice"])} ELSE list_concat(['regime: ' || regime, 'gate: ' || gate, 'frames with pitch 0: ' || n_zero, 'frames with pitch out of bounds: ' || n_pitch_outside, 'frames with harmonicity below its floor: ' || n_harmonicity_low,
+  'formants out of bounds: ' || n_formant_outside, 'frames with voice: ' || n_voiced, 'intensity: ' || printf('%.1f', intensity_low) || ' to ' || printf('%.1f', intensity_high) || ' dB',
+  'intensity with right_speed: ' || coalesce(printf('%.3f', r_all), 'not computable') || ', with voice: ' || coalesce(printf('%.3f', r_voiced), 'not computable')],
   CASE WHEN regime = 'segments' THEN {list(delivery.VOICE_ADVICE["segments"])} ELSE {list(delivery.VOICE_ADVICE["spline"])} END) END AS x FROM r)
-SELECT (i - 1)::INT AS place, x[i] AS line FROM lines, range(1, 20) t(i) WHERE i <= len(x)""")
+SELECT part, (i - 1)::INT AS place, x[i] AS line FROM lines, range(1, 20) t(i) WHERE i <= len(x)""")
 def voice_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delivery.voice_section(delivery.voice_sanity(voice_frames(spark, sf_dir)))
+    parts = [delivery.voice_section(delivery.voice_sanity(df)).withColumn("part", F.lit(part)) for part, df in voice_tables(spark, sf_dir).items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @register("annotation_gate", f"WITH {ANNOTATIONS_SQL}, c AS (SELECT count(*) FILTER (WHERE error IS NULL OR trim(error) = '') AS annotated, count(*) FILTER (WHERE trim(error) <> '') AS errors, count(*) AS total FROM annotations) SELECT *, annotated > 0 AS passes FROM c")

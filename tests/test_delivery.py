@@ -47,10 +47,11 @@ def test_dictionary_and_cover(spark):
 
 @pytest.mark.parametrize("regime", ["no voice", "segments", "spline", "segments with leftovers"])
 def test_voice_section(spark, regime):
-    s = spark.createDataFrame([(regime, 1, 2, 3, 4, 5)], "regime string, n_zero long, n_pitch_outside long, n_harmonicity_low long, n_formant_outside long, n_stray long")
+    s = spark.createDataFrame([(regime, "g", 1, 2, 3, 4, 5, 1.25, 7.0, 0.5, None)], "regime string, gate string, n_zero long, n_pitch_outside long, n_harmonicity_low long, n_formant_outside long, n_voiced long, intensity_low double, intensity_high double, r_all double, r_voiced double")
     lines = [r.line for r in delivery.voice_section(s).orderBy("place").collect()]
     assert (lines == list(delivery.VOICE_ADVICE["no voice"])) if regime == "no voice" else lines[0] == f"regime: {regime}"
     assert any(x.endswith(": 4") for x in lines) == (regime != "no voice")
+    assert ("intensity with right_speed: 0.500, with voice: not computable" in lines) == (regime != "no voice")
 
 
 def test_rule_and_usable_scores(spark):

@@ -132,10 +132,18 @@ def test_labels(spark):
 def test_delivery(spark):
     p = {r.column: r for r in delivery.profile(frame(spark, "a double, b string", (1.0, "x"), (None, None))).collect()}
     assert (p["a"].non_null, p["a"].pct, p["a"].middle) == (1, 50.0, 1.0) and p["b"].low is None
-    v = frame(spark, "pitch double, intensity double, harmonicity double, formant1 double, voice_present boolean", (100.0, 1.0, 5.0, 500.0, True), (None, 2.0, -300.0, 6000.0, False))
+    schema = "pitch double, intensity double, right_speed double, harmonicity double, formant1 double, voice_present boolean"
+    v = frame(spark, schema, (100.0, 1.0, 2.0, 5.0, 500.0, True), (None, 2.0, 1.0, -200.0, 5500.0, False), (600.0, 4.0, 5.0, None, 0.0, None), (60.0, 3.0, None, 1.0, None, True))
     r = delivery.voice_sanity(v).first()
-    assert (r.regime, r.n_harmonicity_low, r.n_formant_outside, r.r_all) == ("segments", 1, 1, None)
-    assert delivery.voice_sanity(v.withColumn("pitch", F.lit(0.0))).first().regime == "spline"
+    assert (r.regime, r.gate, r.n_harmonicity_low, r.n_formant_outside, r.n_pairs, r.n_pairs_voiced, r.r_voiced, r.n_untracked) == ("segments", "voice_present", 0, 0, 3, 1, None, 1)
+    assert (r.intensity_low, r.intensity_high) == (1.0, 4.0) and abs(r.r_all - 0.838628) < 1e-6
+    assert delivery.voice_sanity(v.withColumn("pitch", F.lit(30.0))).first().regime == "segments with leftovers"
+    assert delivery.voice_sanity(v.withColumn("harmonicity", F.lit(-300.0))).first().regime == "segments with leftovers"
+    old = delivery.voice_sanity(v.drop("voice_present")).first()
+    assert (old.regime, old.gate, old.n_voiced) == ("spline", "60-600 Hz", 3)
+    none = delivery.voice_sanity(v.drop("pitch")).first()
+    assert (none.regime, none.gate, none.n_voiced, none.intensity_low) == ("no voice", "n/a", 0, None)
+    assert delivery.voice_sanity(v.drop("right_speed")).first().r_all is None and delivery.voice_sanity(v.limit(0)).first().regime == "segments"
 
 
 def test_legacy_gradient_and_scores(spark):
