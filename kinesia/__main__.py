@@ -32,7 +32,7 @@ COMMANDS: dict[str, Command] = {
     "annotations": ("how many of annotations(error) are good", 1, lambda s, p: labels.gate(labels.annotation_counts(_pq(s, p))), lambda x: x.where("NOT passes")),
     "media": ("status of media files", 1, lambda s, p: readers.media(s, p), lambda x: x.where("status <> 'OK'")),
     "frames": ("movement of each frame of a table of wrists", 1, lambda s, p: gestures.gesture_frames(_pq(s, p)), None),
-    "sequences": ("movement of each sequence of a table of wrists", 1, lambda s, p: gestures.gesture_sequences(gestures.gesture_frames(_pq(s, p))), None),
+    "sequences": ("movement of each sequence of a table of wrists", 1, lambda s, p: gestures.sequence_features(_pq(s, p)), None),
     "dictionary": ("documentation of a table by rules(pattern, text, family)", 2, lambda s, t, r: delivery.dictionary({t.rstrip("/").rsplit("/", 1)[-1]: _pq(s, t)}, s.read.csv(r, header=True), ()), lambda x: x.where("text IS NULL")),
     "profile": ("type, coverage and range of each column", 1, lambda s, p: delivery.profile(_pq(s, p)), None),
     "digests": ("sizes and SHA-256 of the files below a folder", 1, sinks.digests, None),

@@ -56,3 +56,34 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...]
     value = F.when(lower == upper, F.col("a")).otherwise((upper - F.col("p")) * F.col("a") + (F.col("p") - lower) * F.col("b"))
     out = brackets.select("i", "k", "n").join(found.select("i", "k", value.alias("value")), ["i", "k"], "left")
     return out.select(F.get(F.array(*[F.lit(c) for c in columns]), F.col("i")).alias("column"), "k", "n", "value")
+
+
+def group_quantiles(df: DataFrame, keys: list[str], columns: list[str], shares: tuple[float, ...], accuracy: int = 1_000) -> DataFrame:
+    """(keys, column, k, n, value): ``exact_quantiles`` within each group; a group without known values of a column has no row.
+
+    Approximate quantiles of a group are partial sums of fixed size, so its rows may lie in any number of tasks, and the second pass
+    counts them there before anything of them meets.  Only the values between two brackets meet: a few in ``accuracy`` of a group, or
+    all of a group that is small against it.
+    """
+    slack = 2 / accuracy
+    probes = F.array(*[F.lit(p) for q in shares for p in (max(0.0, q - slack), min(1.0, q + slack))])
+    values = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(columns)])).alias("x")).select(*keys, "x.*").where("v IS NOT NULL")
+    near = values.groupBy(*keys, "i").agg(F.count("v").alias("n"), F.percentile_approx("v", probes, accuracy).alias("e"))
+    small = F.col("n") < 2 * accuracy
+
+    def bracket(k: int, q: float) -> Column:
+        low = F.when(small | F.lit(q - slack <= 0), -inf).otherwise(F.get("e", F.lit(2 * k)))
+        high = F.when(small | F.lit(q + slack >= 1), inf).otherwise(F.get("e", F.lit(2 * k + 1)))
+        return F.struct(F.lit(k).alias("k"), F.lit(q).alias("q"), low.alias("low"), high.alias("high"))
+
+    brackets = near.select(*keys, "i", "n", F.array(*[bracket(k, q) for k, q in enumerate(shares)]).alias("b"))
+    # A group's brackets are one row; a hot group's values stay where they are if Spark broadcasts these or splits the join.
+    met = values.join(brackets, [*keys, "i"]).select(*keys, "i", "n", "v", F.explode("b").alias("b")).select(*keys, "i", "n", "v", "b.*").where("v <= high")
+    counts = met.groupBy(*keys, "i", "k", "q", "n", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(W.partitionBy(*keys, "i", "k").orderBy(F.asc_nulls_first("v")).rowsBetween(W.unboundedPreceding, 0))
+    place = F.col("q") * (F.col("n") - 1)
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("v")))
+    found = counts.withColumn("upto", upto).groupBy(*keys, "i", "k", "n", place.alias("p")).agg(at(F.floor(place)).alias("a"), at(F.ceil(place)).alias("b"))
+    lower, upper = F.floor("p"), F.ceil("p")
+    value = F.when(lower == upper, F.col("a")).otherwise((upper - F.col("p")) * F.col("a") + (F.col("p") - lower) * F.col("b"))
+    return found.select(*keys, F.get(F.array(*[F.lit(c) for c in columns]), F.col("i")).alias("column"), "k", "n", value.alias("value"))

@@ -3,10 +3,18 @@
 Each sequence is one (id, people_id), ordered by frame.  All windows are
 partitioned by those keys (and, within them, by run), so the whole stage needs
 one shuffle.
+
+A long sequence is dealt into slices of frames (``in_slices``): each slice gets the
+rows just beyond its edges that its own rows depend on, and ends that say how far the
+sequence goes on.  Within ``sliced()`` every window is one of a slice.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,8 +24,82 @@ from pyspark.sql import functions as F
 from kinesia.schema import KEYS
 
 
+#: A slice has 2^SLICE_BITS frames; one lies around frame 0, so that usual sequences meet no edge.
+SLICE_BITS = 16
+_PARTED: ContextVar[tuple[str, ...]] = ContextVar("parted", default=KEYS)
+
+
+@contextmanager
+def sliced() -> Iterator[None]:
+    """Windows that are made in this block are those of a slice (column ``_slice``), not of a whole sequence."""
+    before = _PARTED.set((*KEYS, "_slice"))
+    try:
+        yield
+    finally:
+        _PARTED.reset(before)
+
+
+def parted() -> tuple[str, ...]:
+    return _PARTED.get()
+
+
+def slice_of(frame: Column, bits: int) -> Column:
+    """floor(frame / 2^bits + 1/2), for every 64-bit frame."""
+    return F.shiftright(F.shiftright(frame, bits - 1) + 1, 1)
+
+
+def first_of(part: Column, bits: int) -> Column:
+    """The first frame of a slice."""
+    return F.try_subtract(F.shiftleft(part, bits), F.lit(1 << (bits - 1)))
+
+
+def reach_of(max_gap: int, window: int, extended: bool = False) -> int:
+    """How many frames before and after it a frame's features depend on.
+
+    Two rounds of gap filling (clocks, then coordinates between filled clocks), two windows of smoothing, which also tell how long a
+    run is as far as that matters, and two rows for each derivative at a run's end.
+    """
+    return 2 * (max_gap + 1) + 2 * window + 2 * (3 if extended else 2) + 2
+
+
+def with_slices(rows: DataFrame, bits: int, reach: int) -> DataFrame:
+    """Each row in its slice (``_slice``), and once more in a neighbouring one if it lies within ``reach`` frames of the edge."""
+    if 2 * reach >= 1 << bits:
+        raise ValueError("a slice must be longer than what its rows depend on")
+    own = slice_of(F.col("frame"), bits)
+    place = (F.col("frame").bitwiseAND((1 << bits) - 1) + (1 << (bits - 1))) % (1 << bits)
+    parts = F.when(place < reach, F.array(own - 1, own)).when(place >= (1 << bits) - reach, F.array(own, own + 1)).otherwise(F.array(own))
+    return rows.withColumn("_slice", F.explode(parts))
+
+
+def slice_ends(rows: DataFrame, bits: int, reach: int, largest_span: int) -> DataFrame:
+    """For each slice of a sequence that has several: (keys, _slice, frame, _clock, _first, _start_t, _end_t), two rows.
+
+    Their frames are the first and the last that the slice's grid has, with what lies beyond its edges; slices without any row of
+    the source are among them.  _clock: the latest known time of earlier slices; _first: the sequence's first frame; _start_t and
+    _end_t: its first and last known time.  It is a scan over one row for each slice.  A sequence of more than ``largest_span``
+    frames gets no empty slices, as its rows will be refused.
+    """
+    t = F.col("frame_timestamp")
+    sums = rows.groupBy(*KEYS, slice_of(F.col("frame"), bits).alias("_slice")).agg(F.min("frame").alias("_a"), F.max("frame").alias("_b"), F.min(t).alias("_u"), F.max(t).alias("_t"))
+    whole = W.partitionBy(*KEYS)
+    order = whole.orderBy("_slice")
+    x = sums.withColumns({
+        "_first": F.min("_a").over(whole), "_last": F.max("_b").over(whole), "_start_t": F.min("_u").over(whole), "_end_t": F.max("_t").over(whole),
+        "_clock": F.max("_t").over(order.rowsBetween(W.unboundedPreceding, -1)), "_next": F.lead("_slice").over(order),
+    })
+    x = x.where(slice_of(F.col("_first"), bits) < slice_of(F.col("_last"), bits))
+    over = F.col("_last").cast("double") - F.col("_first").cast("double") > largest_span
+    # A slice without rows follows one with rows.
+    x = x.withColumn("_s", F.explode(F.sequence("_slice", F.coalesce(F.when(~over, F.col("_next") - 1), F.col("_slice")))))
+    clock = F.when(F.col("_s") == F.col("_slice"), F.col("_clock")).otherwise(F.greatest("_clock", "_t"))
+    low = F.when(over, F.col("_a")).otherwise(F.greatest("_first", F.try_subtract(first_of(F.col("_s"), bits), F.lit(reach))))
+    high = F.when(over, F.col("_a")).otherwise(F.least("_last", F.try_add(first_of(F.col("_s") + 1, bits), F.lit(reach - 1))))
+    return x.select(*KEYS, F.col("_s").alias("_slice"), F.explode(F.array(low, high)).alias("frame"), clock.alias("_clock"), "_first", "_start_t", "_end_t")
+
+
 def by_frame():
-    return W.partitionBy(*KEYS).orderBy("frame")
+    return W.partitionBy(*parted()).orderBy("frame")
 
 
 def known_before(ok: Column, value: Column, reach: int) -> Column:
@@ -38,9 +120,12 @@ def expand_grid(wide: DataFrame) -> DataFrame:
     A row makes the missing frames that follow it, so no join is needed.  A frame has one row at most (``guards.checked``).
     """
     last = wide.withColumn("_to", F.coalesce(F.lead("frame").over(by_frame()) - 1, F.col("frame")))
-    rows = last.withColumn("_f", F.explode(F.sequence("frame", "_to"))).withColumn("source_observed", F.col("_f") == F.col("frame"))
-    values = [c for c in wide.columns if c not in (*KEYS, "frame")]
-    return rows.select(*KEYS, F.col("_f").alias("frame"), *[F.when(F.col("source_observed"), F.col(c)).alias(c) for c in values], "source_observed", (~F.col("source_observed")).alias("frame_inferred"))
+    seen = F.col("_f") == F.col("frame")
+    # The end of a slice's grid is a frame like those without a row.
+    rows = last.withColumn("_f", F.explode(F.sequence("frame", "_to"))).withColumn("source_observed", seen & ~F.col("_end") if "_end" in wide.columns else seen)
+    whole = [c for c in ("_long", "_start_t", "_end_t") if c in wide.columns]
+    values = [c for c in wide.columns if c not in (*parted(), *whole, "frame", "_end")]
+    return rows.select(*parted(), *whole, F.col("_f").alias("frame"), *[F.when(F.col("source_observed"), F.col(c)).alias(c) for c in values], "source_observed", (~F.col("source_observed")).alias("frame_inferred"))
 
 
 def infer_clock(frames: DataFrame, max_gap: int) -> DataFrame:
@@ -92,7 +177,7 @@ def with_run(frames: DataFrame, ok: str, run: str) -> DataFrame:
 
 
 def in_run(ok: str, run: str):
-    return W.partitionBy(*KEYS, ok, run)
+    return W.partitionBy(*parted(), ok, run)
 
 
 def smooth(frames: DataFrame, xs: list[str], ok: str, run: str, window: int, order: int) -> DataFrame:
@@ -155,7 +240,7 @@ def _smooth_grouped(frames: DataFrame, xs: list[str], ok: str, run: str, window:
                 pdf.loc[g.index, x] = (weights * g[x].to_numpy()[at]).sum(1)
         return pdf
 
-    return frames.groupBy(*KEYS).applyInPandas(kernel, frames.schema)
+    return frames.groupBy(*parted()).applyInPandas(kernel, frames.schema)
 
 
 def run_places(ok: str, run: str) -> dict[str, Column]:

@@ -340,7 +340,7 @@ SELECT s.id, people_id::BIGINT AS people_id, round(duration_s + 1e-9, 6) + 0.0 A
 def final_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = wide(spark, sf_dir)
     notes = w.where("id LIKE '%2'").select("id").distinct().withColumn("indoor_outdoor", F.lit("indoor"))
-    x = delivery.final_videos(G.gesture_sequences(G.gesture_frames(w)), notes, kept_clips(spark, sf_dir))
+    x = delivery.final_videos(G.sequence_features(w), notes, kept_clips(spark, sf_dir))
     return rounded(x.select("id", "people_id", "duration_s", "right_mean_speed", "indoor_outdoor", "programme"))
 
 
@@ -357,5 +357,5 @@ def clock_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 top AS (SELECT id, greatest(right_max_speed, left_max_speed) AS speed FROM summary WHERE coalesce(right_max_speed, left_max_speed) IS NOT NULL ORDER BY speed DESC, id DESC LIMIT 1)
 SELECT count(*) FILTER (WHERE r >= 30 AND l >= 30) AS n_both, (SELECT id FROM top) AS fastest, (SELECT round(speed + 1e-9, 4) + 0.0 FROM top) AS fastest_speed FROM speeds""")
 def sample_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = G.gesture_sequences(G.gesture_frames(wide(spark, sf_dir), extended=True), extended=True)
+    s = G.sequence_features(wide(spark, sf_dir), extended=True)
     return rounded(delivery.sample_facts(s), 4)

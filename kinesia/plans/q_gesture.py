@@ -80,14 +80,14 @@ SUMMARY_SQL = f"{FRAMES_SQL}, {_summary_sql()}"
 
 @register("seq_summary", f"WITH {SUMMARY_SQL} SELECT id, {rounded_sql(' '.join(S.SEQUENCE_COLUMNS[1:]), 4)} FROM summary")
 def seq_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(G.gesture_sequences(frames(spark, sf_dir, False)), 4)
+    return rounded(G.sequence_features(wide(spark, sf_dir)), 4)
 
 
 def of_sequences(name: str, columns: list[str], sql: str, digits: int = 4):
     """A query for some columns of the extended sequence table; ``sql`` makes a table ``x`` that has them."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(G.gesture_sequences(frames(spark, sf_dir), extended=True).select("id", *columns), digits)
+        return rounded(G.sequence_features(wide(spark, sf_dir), extended=True).select("id", *columns), digits)
 
     register(name, f"WITH {sql} SELECT id, {rounded_sql(' '.join(columns), digits)} FROM x")(run)
 
@@ -198,7 +198,7 @@ x AS (SELECT id, CASE WHEN count(c) >= 10 THEN avg(c) END AS cos_phase_mean, CAS
 
 @register("circular", f"WITH {SUMMARY_SQL} SELECT id, {rounded_sql('right_angle_mean right_angle_std left_angle_mean left_angle_std', 5)} FROM summary")
 def circular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(G.gesture_sequences(frames(spark, sf_dir, False)).select("id", *[f"{h}_angle_{k}" for h in HANDS for k in ("mean", "std")]), 5)
+    return rounded(G.sequence_features(wide(spark, sf_dir)).select("id", *[f"{h}_angle_{k}" for h in HANDS for k in ("mean", "std")]), 5)
 
 
 @register("wide_table", f"WITH {WIDE_SQL} SELECT id, frame, {rounded_sql('people_id frame_timestamp nx_4 ny_4 c_4 nx_7 ny_7 c_7')} FROM wide")
