@@ -48,6 +48,18 @@ DIGIT_WORDS = {
 AT_WORDS = ("at", "ät", "klammeraffe", "arobase", "arrobase", "arroba")
 DOT_WORDS = ("dot", "punkt", "point", "punto")
 PLUS_WORDS = ("plus", "más", "mas")
+#: English words that stand before "at" in prose (fixed values), beside those with an ending of ``_PROSE_END``; "look at site.com" is no address.
+BEFORE_AT = frozenset("""
+a all am an and any are arrive arrives as aim aims be been being best better but buy can chat check come comes data day days deal deals else
+even ever everyone find fine first five for free friend from get gets glance go goes good got great guess had happen happens has have he her here
+him his home host hosts i in information is it item items its join just keep last laugh left live lives located look looks made make makes
+me meet meets met mine more most much my new news next no not now of off on one online only open or order other our out over page pages people
+point points post posts price prices read rest sale same sat save see seen sell sells she shop shout shown sign sit sits site sites sold
+some someone soon spent stand start starts stay stays still stop store stories stuff that the their them then there they thing things this
+time times to today tomorrow tonight up us use user users visit was watch we website well went were what when where which while who will win
+with work works worth year yet you your
+""".split())
+_PROSE_END = re.compile(r"(?:ed|ing|ly|able|ible|ness|tion|ment)\Z")
 #: Spelled digits that a run needs in the second reading; the first one undoes all of them.
 LEAST_SPELLED = 4
 _INVISIBLE = "­​‌‍⁠﻿"
@@ -80,7 +92,7 @@ _DOT = rf"(?:\s++{_DOT_WORD}\s++|\s*+{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}\s*+)"
 # The separators of a domain may be plain, spelled or bracketed.  Of "x at y.com at z.com" the last "at" counts.
 _RULES = re.compile(
     rf"(?P<gone>[{_INVISIBLE}]+)"
-    rf"|(?P<at>{_GAP}{_OPEN}{_AT}{_CLOSE}\s*+|(?<=[A-Za-z0-9_])\s++{_AT}\s++(?=(?P<domain>{_LABEL}(?:(?:\.|{_DOT}){_LABEL})++)(?!\s++{_AT}\s++{_LABEL}(?:{_DOT}[A-Za-z0-9]|(?:\.{_LABEL})*\.[A-Za-z]{{2,}}\b))))"
+    rf"|(?P<at>{_GAP}{_OPEN}(?:{_AT}|@){_CLOSE}\s*+|&#(?:0*64|x0*40);|(?<=[A-Za-z0-9_])\s++(?P<word>{_AT}|@)\s++(?=(?P<domain>{_LABEL}(?:(?:\.|{_DOT}){_LABEL})++)(?!\s++(?:{_AT}|@)\s++{_LABEL}(?:{_DOT}[A-Za-z0-9]|(?:\.{_LABEL})*\.[A-Za-z]{{2,}}\b))))"
     rf"|(?P<dot>{_GAP}{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}\s*+|(?<=[A-Za-z0-9])\s++{_DOT_WORD}\s++(?=[A-Za-z0-9]))"
     rf"|(?P<digits>(?:\b{_PLUS}[\s-]++)?\b(?:{_WORD}|[0-9]++)(?:[\s,-]*+(?:{_WORD}|[0-9]++))*\b)",
     re.IGNORECASE,
@@ -92,6 +104,15 @@ _PIECE_WORD = re.compile(_WORD, re.IGNORECASE)
 _PIECE = re.compile(rf"{_WORD}|{_PLUS}|[0-9]", re.IGNORECASE)
 
 
+def prose_before(text: str, end: int) -> bool:
+    """Whether what ends before ``end`` is a word of prose rather than the local part of an address."""
+    start = end
+    while start and text[start - 1] in _LOCAL:
+        start -= 1
+    word = text[start:end].lower()
+    return word in BEFORE_AT or _PROSE_END.search(word) is not None
+
+
 def undisguised(text: str, least: int = LEAST_SPELLED) -> tuple[str, np.ndarray, np.ndarray]:
     """The normalised text, and for each of its characters the source range (start, end) that it stands for.
 
@@ -124,7 +145,7 @@ def undisguised(text: str, least: int = LEAST_SPELLED) -> tuple[str, np.ndarray,
             for p in pieces:
                 write(DIGIT_WORDS.get(p[0].lower(), "+" if p[0].lower() in PLUS_WORDS else p[0]), m.start() + p.start(), m.start() + p.end())
         else:
-            if m["domain"] and _PLAIN_DOMAIN.fullmatch(m["domain"]) and not _PLAIN_END.search(m["domain"]):
+            if m["domain"] and _PLAIN_DOMAIN.fullmatch(m["domain"]) and (not _PLAIN_END.search(m["domain"]) or prose_before(flat, m.start())):
                 continue
             copy(at, m.start())
             if kind != "gone":
@@ -177,11 +198,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _longer(text: str, kind: int, p: int, q: int, fixed: tuple[int, int, int]) -> bool:
+    """Whether an address goes beyond a fixed one without any white space."""
+    k, s, e = fixed
+    return k == kind == 0 and p <= s and e <= q and (p, q) != (s, e) and not re.search(r"\s", text[p:s] + text[e:q])
+
+
+def _half_spelled(text: str, starts: np.ndarray, ends: np.ndarray, s: int, plain: str) -> bool:
+    """Whether some dots of an IP address are words and others plain, as in "version 1.2.3 dot four"."""
+    dots = [text[starts[s + i] : ends[s + i]].strip() for i, c in enumerate(plain) if c == "."]
+    return any(d == "." for d in dots) and any(d[:1].isalpha() for d in dots)
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """What is found only after the disguises are undone, in source positions.
 
-    A fixed match inside a longer one of its kind is part of it, as where a look-alike cuts an address short, and the longer one is
-    added.  What overlaps fixed matches in any other way is not.  All spelled digits are undone first, and the patterns decide.  A number word beside an identifier may spoil it then, so what
+    A fixed address inside a longer one is part of it, as where a look-alike cuts it short, and the longer one is added; words never
+    make a fixed match longer.  What overlaps fixed matches in any other way is not added.  All spelled digits are undone first, and the patterns decide.  A number word beside an identifier may spoil it then, so what
     is found while short runs of them stay as they are is added where nothing else was.
     """
     first = undisguised(text, 1)
@@ -197,7 +230,9 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         new = []
         for kind, s, e in base_spans(plain):
             p, q = int(starts[s]), int(ends[e - 1])
-            clear = all(q <= bs or p >= be for bs, be in taken) and all(q <= bs or p >= be or (k == kind and p <= bs and be <= q and (p, q) != (bs, be)) for k, bs, be in base)
+            clear = all(q <= bs or p >= be for bs, be in taken) and all(q <= b[1] or p >= b[2] or _longer(text, kind, p, q, b) for b in base)
+            if kind == 1 and _half_spelled(text, starts, ends, s, plain[s:e]):
+                continue
             if text[p:q] != plain[s:e] and clear:
                 new.append((kind, p, q))
         out += new
@@ -288,6 +323,11 @@ def suspects(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
         at_domain = plain_domains(data, offs, wide) if at.any() else False
         dots = np.bincount(own[np.isin(h, _hashes_of(DOT_WORDS))], minlength=len(offs) - 1) > 0
         signs = (has(_B == 64) > 0) & (has(np.isin(_B, (40, 60, 91, 123))) > 0)
+        # A sign between spaces, and one written as a character reference.
+        sign = np.flatnonzero(data == 64)
+        signs |= np.bincount(_text.owner(sign[(sign > 0) & ((_text.IS_SPACE[data[sign - 1]]) | (data[sign - 1] >= 128) | ((data[sign - 1] >= 0x1C) & (data[sign - 1] <= 0x1F)))], offs), minlength=len(offs) - 1) > 0
+        mark = np.flatnonzero((data[:-1] == 38) & (data[1:] == 35))
+        signs |= np.bincount(_text.owner(mark, offs), minlength=len(offs) - 1) > 0
         digits = has(_DIGIT) > 0
         odd |= few | closed_at | at_domain | (at & dots) | (dots & ((has(_B == 64) > 0) | digits)) | signs
     return base, odd

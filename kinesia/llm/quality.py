@@ -183,8 +183,12 @@ def verdict(crf: Crf | None, data: np.ndarray, offs: np.ndarray) -> list[pa.Arra
 def keep_good(df: DataFrame, crf: Crf | None, *, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that are kept, with all their columns, whatever their names."""
 
-    @_text.batches(text_col)
+    # Made-up names on the way, so that no name of the rows needs quoting.
+    names = [f"c{i}" for i in range(len(df.columns))]
+    safe = df.toDF(*names)
+
+    @_text.batches(names[df.columns.index(text_col)])
     def kernel(batch, data, offs):
         return batch.filter(verdict(crf, data, offs)[6])
 
-    return df.mapInArrow(kernel, df.schema)
+    return safe.mapInArrow(kernel, safe.schema).toDF(*df.columns)

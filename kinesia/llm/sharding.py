@@ -59,8 +59,8 @@ def external_shuffle(
     if n_shards < 1:
         raise ValueError("n_shards must be 1 or more")
     names = [c for c in (df.columns if keep is None else keep) if c not in RESULT]
-    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + F.lit(ROW_BYTES)
-    key, crc = F.col(id_col), F.crc32(F.col(text_col).cast("binary"))
+    size = F.coalesce(F.octet_length(F.col(plain(text_col))), F.lit(0)).cast("long") + F.lit(ROW_BYTES)
+    key, crc = F.col(plain(id_col)), F.crc32(F.col(plain(text_col)).cast("binary"))
     best = shard_of(key, n_shards, seed)
     shard = best["s"]
     sums = dict(df.select(shard.alias("_shard"), size.alias("_size")).groupBy("_shard").agg(F.sum("_size")).collect())
@@ -86,7 +86,7 @@ def external_shuffle(
         *place,
         F.struct(
             key.alias("_id"), size.alias("size"), crc.alias("text_crc32"), grown.alias("grown_shard"),
-            F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
+            F.struct(*[F.col(plain(c)).alias(c) for c in names]).alias("row"),
         ).alias("_row"),
     )
     partitions = min(MAX_TASKS, sum(n_buckets))
@@ -101,7 +101,7 @@ def external_shuffle(
     )
     dealt = buckets.join(first, ["_shard", "_bucket"]).select("_shard", "_first", F.posexplode("_rows").alias("_at", "_row"))
     return dealt.select(
-        *[F.col(f"_row.row.`{c}`").alias(c) for c in names],
+        *[F.col(f"_row.row.{plain(c)}").alias(c) for c in names],
         F.col("_row.size").alias("size"),
         F.col("_row.text_crc32").alias("text_crc32"),
         F.lit("key").alias("law"),

@@ -249,3 +249,55 @@ def test_scores_whose_products_pass_64_bits(spark_, monkeypatch):
 
 def test_collocations_of_an_empty_table(spark_):
     assert phrases.collocations(spark_.createDataFrame([], "text string, lang string")).collect() == []
+
+
+# ---------------------------------------------------------------- names of columns, prose without personal data
+
+NAMES = ["a.b", "tick`s", "_mix", "_row", "row", "count", "_shard", "_bucket", "size", "x0", "c0", "Text2", "_c", "h", "r", "gone"]
+
+
+def test_sharding_and_quality_take_columns_of_any_name(spark_):
+    from kinesia.llm import quality, sharding
+
+    rows = [(i, f"words of text number {i} " * 9, *range(len(NAMES))) for i in range(30)]
+    df = spark_.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"`{n.replace('`', '``')}` int" for n in NAMES]]))
+    out = sharding.external_shuffle(df, 3, bucket_bytes=500)
+    assert out.columns == [*[c for c in df.columns if c not in sharding.RESULT], *sharding.RESULT]
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert len(got) == 30 and all(r["a.b"] == 0 and r["tick`s"] == 1 and r["_row"] == 3 for r in got.values())
+    kept = quality.keep_good(df, None)
+    assert kept.columns == df.columns and [tuple(r)[2:] for r in kept.limit(1).collect()] in ([tuple(range(len(NAMES)))], [])
+
+
+CLEAN = """
++49 30 1234567 acht Uhr|+33 1 23 45 67 89 un appel|+34 912 345 678 dos veces|+1 (848) 555-1373 one more time|Call +44 20 7946 0958 two times
+Karte 4111 1111 1111 1111 eins von zwei|card 4111 1111 1111 1111 one of mine|+49 170 1234567 neun Tage|une fois +33 1 23 45 67 89 deux|+34 600 123 456 tres
+Look at github.com for code|available at amazon.com today|we met at work.com|you at cafe.de|Sign up at example.org now|Find us at shop.example.com
+He looked at news.org|She is working at startup.io|More information at python.org|Visit them at museum.fr|prices at market.es fell|Available only at books.com
+version 1.2.3 dot four|release 10.0.2 dot one|Kapitel 1.2.3 Punkt vier|la version 4.5.6 point sept|seccion 1.2.3 punto cuatro|It is at 10.30 and at 12.99
+The two of them sat at one table|Zwei plus drei sind fünf|un deux trois|uno dos tres cuatro cinco|from nine to five|at six dot|one point five million|drei Punkt fünf Prozent
+Meet us @ cafe.de|Order now @ shop.com|Nummer 12 acht Tage|room 101 one floor up|12 345 678 neuf|page 9 of 10 at most|posted at blog.example.com yesterday
+""".strip().replace("\n", "|").split("|")
+
+DISGUISED = [
+    ("john[@]example[.]com", "john[@]example[.]com"), ("john @ example.com", "john @ example.com"), ("john&#64;example.com", "john&#64;example.com"), ("j.doe&#x40;example.org", "j.doe&#x40;example.org"),
+    ("write to anna at example.com", "anna at example.com"), ("john.doe at mail.example.com", "john.doe at mail.example.com"), ("mary7 at work dot com", "mary7 at work dot com"), ("sales ( at ) firm (dot) de", "sales ( at ) firm (dot) de"),
+]
+
+
+@pytest.mark.parametrize("text", CLEAN)
+def test_prose_with_numbers_and_sites_adds_nothing(text):
+    from kinesia.llm import pii
+
+    for t in (text, f"Yes, {text}.", f"{text}, and so on"):
+        assert pii.added_spans(t, pii.base_spans(t)) == []
+
+
+@pytest.mark.parametrize(("text", "found"), DISGUISED)
+def test_disguised_addresses_are_found(text, found):
+    import pyarrow as pa
+
+    from kinesia.llm import pii
+
+    assert [text[a:b] for _, a, b in pii.added_spans(text, pii.base_spans(text))] == [found]
+    assert pii.suspects(*tx.texts(pa.array([text])))[1].tolist() == [True]
