@@ -7,11 +7,15 @@ stage's result to the shared folder and reads it again for the next one.
 An empty table passes through as an empty one.  Rows with a null text fail the
 quality rules.  A row without an id is never anyone's copy and never contaminated.
 Ties and repeated rows are settled as the operators' docstrings say; texts of any
-length are read whole; columns beside those of ``documents`` pass through.
+length are read whole; columns beside those of ``documents`` pass through, whatever
+their names (those that sharding adds replace columns of their name).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,14 +25,32 @@ from kinesia.llm._shared import dropped, plain, ship, stored, table
 #: The mixture takes nine tenths of the tokens that are left, and no document twice.
 BUDGET_SHARE = (9, 10)
 SHARDS = 40
+#: Columns that stages read.
+READ = ("doc_id", "text", "lang", "source")
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def any_names(stage: Stage) -> Stage:
+    """The stage on columns with made-up names beside those in ``READ``; the result has the real ones again."""
+
+    @wraps(stage)
+    def run_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        out = stage(spark, docs.toDF(*[c if c in READ else f"other{i}" for i, c in enumerate(names)]), sf_dir)
+        return out.toDF(*names, *out.columns[len(names) :])
+
+    return run_
 
 
+@any_names
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the quality rules go."""
     ship(spark)
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@any_names
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays.
 
@@ -44,6 +66,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return out
 
 
+@any_names
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with a benchmark item go."""
     ship(spark)
@@ -51,6 +74,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
+@any_names
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents beyond their source's share of the budget go."""
     ship(spark)
@@ -61,7 +85,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document gets its shard and its slot there."""
     ship(spark)
-    return sharding.external_shuffle(docs, SHARDS)
+    return any_names(lambda _, rows, __: sharding.external_shuffle(rows, SHARDS))(spark, docs.drop(*sharding.RESULT), sf_dir)
 
 
 STAGES = [
