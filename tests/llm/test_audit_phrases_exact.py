@@ -301,3 +301,21 @@ def test_disguised_addresses_are_found(text, found):
 
     assert [text[a:b] for _, a, b in pii.added_spans(text, pii.base_spans(text))] == [found]
     assert pii.suspects(*tx.texts(pa.array([text])))[1].tolist() == [True]
+
+
+def test_pipeline_passes_columns_of_any_name_through(spark_, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    words = [f"wort{k}" for k in range(300)]
+    texts = ["\n".join(" ".join(rng.choice(words) for _ in range(12)) + "." for _ in range(6)) for _ in range(24)]
+    rows = [(i, t, "de", f"src{i % 3}", len(t), *range(len(NAMES))) for i, t in enumerate([*texts, texts[0]])]
+    schema = ", ".join(["doc_id long", "text string", "lang string", "source string", "n_chars long", *[f"`{n.replace('`', '``')}` int" for n in NAMES]])
+    spark_.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark_.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark_.createDataFrame([(1, " ".join(texts[3].split()[:30]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark_, str(tmp_path))
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and [c for c in out.columns if c in NAMES] == [n for n in NAMES if n != "size"] + ["size"]
+    assert 24 not in got and 3 not in got and len(got) >= 18
+    assert all((r["a.b"], r["tick`s"], r["_mix"], r["count"], r["gone"]) == (0, 1, 2, 5, 15) for r in got.values())
