@@ -9,28 +9,31 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinesia.functions.ranks import exact_quantiles
-from kinesia.operators.qc import require_none
 
 PITCH_LOW, PITCH_HIGH, FORMANT_HIGH, HARMONICITY_LOW = 60.0, 600.0, 5500.0, -200.0
 
 
 def one_to_one(df: DataFrame, *keys: str) -> DataFrame:
-    require_none(df.groupBy(*keys).count().where("count > 1"), f"{', '.join(keys)} is not unique")
-    return df
+    """``df`` whose rows raise when they are reached if their keys are not unique; the check shares the shuffle of a join on these keys."""
+    held = max(["_n", *df.columns], key=len) + "_"
+    named = F.concat_ws(" / ", *[F.col(k).cast("string") for k in keys])
+    stop = F.raise_error(F.concat(F.lit(f"{', '.join(keys)} is not unique: "), named)).cast("boolean")
+    return df.withColumn(held, F.count(F.lit(1)).over(W.partitionBy(*keys))).where(F.when(F.col(held) > 1, stop).otherwise(True)).drop(held)
 
 
 def final_frames(frames: DataFrame, metadata: DataFrame, clips: DataFrame) -> DataFrame:
     """Frame features with the frame's metadata (one row each) and the clip's fields (one row a clip), for matched clips only."""
     keys = ["id", "people_id", "frame"]
-    return frames.join(clips.select("id"), "id", "left_semi").join(one_to_one(metadata, *keys), keys, "left").join(one_to_one(clips, "id"), "id", "left")
+    return frames.join(one_to_one(metadata, *keys), keys, "left").join(one_to_one(clips, "id"), "id")
 
 
 def final_videos(sequences: DataFrame, annotations: DataFrame, clips: DataFrame) -> DataFrame:
-    """Sequence features with labels and clip fields; a clip with labels may have one person only."""
-    s = sequences.join(clips.select("id"), "id", "left_semi")
-    labelled = s.join(annotations.select("id"), "id", "left_semi")
-    require_none(labelled.groupBy("id").count().where("count > 1"), "labels are by clip, but a clip has several persons")
-    return s.join(one_to_one(annotations, "id"), "id", "left").join(one_to_one(clips, "id"), "id", "left").withColumn("people_id", F.col("people_id").cast("long"))
+    """Sequence features with labels and clip fields; a clip with labels may have one person only, else its rows raise."""
+    stop = F.raise_error(F.concat(F.lit("labels are by clip, but a clip has several persons: "), F.col("id"))).cast("boolean")
+    several = F.count(F.lit(1)).over(W.partitionBy("id")) > 1
+    s = sequences.withColumn("_several", several).join(one_to_one(annotations, "id").withColumn("_labelled", F.lit(True)), "id", "left")
+    s = s.join(one_to_one(clips, "id"), "id").where(F.when(F.col("_several") & F.col("_labelled"), stop).otherwise(True))
+    return s.drop("_several", "_labelled").withColumn("people_id", F.col("people_id").cast("long"))
 
 
 def clock_disagreements(frames: DataFrame, metadata: DataFrame, tolerance: float = 1e-6) -> DataFrame:

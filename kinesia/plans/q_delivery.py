@@ -243,16 +243,20 @@ def outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.outliers(pose_long(spark, sf_dir))
 
 
-_COLUMNS = ("right_speed_p50", "left_speed", "n_frames", "nx_std", "age", "other", "left_speed_p95", "right_n_speed", "speed_std")
 _RULES = (("speed", "speed"), ("speed_*", "any speed"), ("speed_p*", "quantile"), ("n_*", "count"), ("*_std", "spread"), ("age", "age"))
+#: Names of delivered columns that the rows of lineitem stand for: a hand, a measure and a statistic.
+_PARTS = (("", "right_", "left_"), ("speed", "n_speed", "nx", "age", "other", "n_frames"), ("", "_p50", "_std", "_p95"))
+_NAME_SQL = " || ".join(f"list_extract({list(p)}, 1 + {k} % {len(p)})" for p, k in zip(_PARTS, ("l_orderkey", "l_partkey", "l_suppkey"), strict=True))
 
 
-@register("documentation", f"""WITH c AS (SELECT unnest({list(_COLUMNS)}) AS "column"), b AS (SELECT *, regexp_replace("column", '^(right|left)_', '') AS bare FROM c), r AS (SELECT * FROM (VALUES {", ".join(map(str, _RULES))}) v(pattern, text)),
-hits AS (SELECT "column", pattern, text, CASE WHEN pattern IN ("column", bare) THEN 3 WHEN pattern LIKE '%*' AND starts_with(bare, rtrim(pattern, '*')) THEN 2 WHEN pattern LIKE '*%' AND ends_with(bare, ltrim(pattern, '*')) THEN 1 END AS k FROM b, r)
-SELECT "column", arg_max(pattern, k * 1000 + length(pattern)) FILTER (WHERE k IS NOT NULL) AS pattern, arg_max(text, k * 1000 + length(pattern)) FILTER (WHERE k IS NOT NULL) AS text FROM hits GROUP BY ALL""")
+@register("documentation", f"""WITH c AS (SELECT {_NAME_SQL} AS "column", count(*) AS n FROM lineitem GROUP BY ALL), b AS (SELECT *, regexp_replace("column", '^(right|left)_', '') AS bare FROM c), r AS (SELECT * FROM (VALUES {", ".join(map(str, _RULES))}) v(pattern, text)),
+hits AS (SELECT "column", n, pattern, text, CASE WHEN pattern IN ("column", bare) THEN 3 WHEN pattern LIKE '%*' AND starts_with(bare, rtrim(pattern, '*')) THEN 2 WHEN pattern LIKE '*%' AND ends_with(bare, ltrim(pattern, '*')) THEN 1 END AS k FROM b, r)
+SELECT "column", n, arg_max(pattern, k * 1000 + length(pattern)) FILTER (WHERE k IS NOT NULL) AS pattern, arg_max(text, k * 1000 + length(pattern)) FILTER (WHERE k IS NOT NULL) AS text FROM hits GROUP BY ALL""")
 def documentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = spark.createDataFrame([(c,) for c in _COLUMNS], "column string")
-    return delivery.documented(columns, spark.createDataFrame(list(_RULES), "pattern string, text string"))
+    pick = lambda parts, key: F.get(F.array(*[F.lit(p) for p in parts]), (F.col(key) % len(parts)).cast("int"))
+    name = F.concat(*[pick(p, k) for p, k in zip(_PARTS, ("l_orderkey", "l_partkey", "l_suppkey"), strict=True)])
+    columns = table(spark, sf_dir, "lineitem").groupBy(name.alias("column")).agg(F.count(F.lit(1)).alias("n"))
+    return columns.join(delivery.documented(columns, spark.createDataFrame(list(_RULES), "pattern string, text string")), "column")
 
 
 _FAMILIES = (("event_id", "number", "identity"), ("user_id", "person", "identity"), ("event_*", "kind", "identity"), ("late", "late value", "NULL rules"), ("value", "value", "measure of time"))

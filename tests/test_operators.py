@@ -41,8 +41,8 @@ def test_guards(spark):
     qc.require_none(ok.limit(0), "none")
     with pytest.raises(qc.DataError, match="a clip"):
         qc.require_none(ok, "a clip")
-    with pytest.raises(qc.DataError):
-        delivery.one_to_one(ok.union(ok), "id")
+    with pytest.raises(Exception, match="id is not unique"):
+        delivery.one_to_one(ok.union(ok), "id").collect()
 
 
 def test_visibility_limit_is_inclusive(spark):
@@ -218,3 +218,23 @@ def test_pivot_refuses_conflicts(spark):
     for bad in ((row(4, 1.0),), (off, row(4, 1.0))):
         with pytest.raises(qc.DataError, match="neck"):
             qc.require_origin(frame(spark, schema, *bad))
+
+
+def test_delivered_videos_refuse_what_is_not_unique(spark):
+    sequences = frame(spark, "id string, people_id double, v int", ("a", 1.0, 1), ("b", 1.0, 2), ("b", 2.0, 3), ("c", 1.0, 4))
+    notes = lambda *ids: frame(spark, "id string, label string", *[(i, "x") for i in ids])
+    clips = frame(spark, "id string, programme string", ("a", "p"), ("b", "q"))
+    got = delivery.final_videos(sequences, notes("a", "c"), clips).collect()
+    assert sorted((r.id, r.people_id, r.v, r.label, r.programme) for r in got) == [("a", 1, 1, "x", "p"), ("b", 1, 2, None, "q"), ("b", 2, 3, None, "q")]
+    for labels_, clips_, message in ((notes("b"), clips, "several persons: b"), (notes("a", "a"), clips, "id is not unique: a"), (notes("a"), clips.union(clips), "id is not unique")):
+        with pytest.raises(Exception, match=message):
+            delivery.final_videos(sequences, labels_, clips_).collect()
+
+
+def test_delivered_frames_refuse_what_is_not_unique(spark):
+    frames = frame(spark, "id string, people_id double, frame long", ("a", 1.0, 1), ("a", 1.0, 2), ("z", 1.0, 1))
+    metadata = frame(spark, "id string, people_id double, frame long, pitch double", ("a", 1.0, 1, 5.0))
+    clips = frame(spark, "id string, programme string", ("a", "p"))
+    assert sorted((r.frame, r.pitch, r.programme) for r in delivery.final_frames(frames, metadata, clips).collect()) == [(1, 5.0, "p"), (2, None, "p")]
+    with pytest.raises(Exception, match="frame is not unique"):
+        delivery.final_frames(frames, metadata.union(metadata), clips).collect()
