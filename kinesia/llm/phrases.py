@@ -39,7 +39,7 @@ GAPS = np.zeros(256, bool)
 GAPS[[0x20, 0x09]] = True
 
 #: Bytes of text in a shard; a longer text makes a shard of its own, or several cut between pieces.
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 1_000_000
 #: Rows of a batch that goes to Spark, and bytes that are compared at a time.
 PART_ROWS, PART_BYTES = 20_000, 1 << 18
 #: Bits of the filter for each key, and at most (a fuller filter only lets more through).
@@ -182,8 +182,10 @@ def _shards(source: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[Auto
                     if b > a:
                         yield built([(part[a:b], np.array([0, b - a]), lang[i : i + 1])])
                 continue
-            held.append((part, offs[i : j + 1] - offs[i], lang[i:j]))
+            # A copy, so that a batch is free once its texts are dealt.
+            held.append((part.copy(), offs[i : j + 1] - offs[i], lang[i:j]))
             n += len(part)
+        del batch, data, offs
     if held:
         yield built(held)
 
