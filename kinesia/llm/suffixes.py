@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from kinesia.llm import _text
-from kinesia.llm._shared import stored
+from kinesia.llm._shared import dropped, stored
 
 LEAST = 50
 GRAM = 8
@@ -79,7 +79,7 @@ def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffix_heads(df: DataFrame) -> DataFrame:
-    """(id, head) for each distinct head of each row of df(id, text)."""
+    """(id, t, head) for each distinct head of each row of df(id, t, text)."""
 
     @_text.batches("text")
     def kernel(batch, data, offs):
@@ -90,9 +90,10 @@ def suffix_heads(df: DataFrame) -> DataFrame:
         head, text = head[order], text[order]
         first = np.ones(len(head), bool)
         first[1:] = (head[1:] != head[:-1]) | (text[1:] != text[:-1])
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[first])), pa.array(head[first].view(np.int64))], ["id", "head"])
+        rows = pa.array(text[first])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(head[first].view(np.int64))], ["id", "t", "head"])
 
-    return df.mapInArrow(kernel, "id long, head long")
+    return df.select("id", "t", "text").mapInArrow(kernel, "id long, t binary, head long")
 
 
 def _flat(rows: np.ndarray) -> pa.Array:
@@ -103,7 +104,7 @@ def _flat(rows: np.ndarray) -> pa.Array:
 
 
 def suffix_rows(df: DataFrame) -> DataFrame:
-    """(head, after, before, id, at, words) for the suffixes of df(id, text, heads) whose head is listed.
+    """(head, after, before, id, at, words, t) for the suffixes of df(id, t, text, heads) whose head is listed.
 
     after and before hold ``SIDE`` words beyond the head and to the left, nearest first, 0 beyond the text's edge.  Suffixes of a
     document that agree in all three are one row; ``at`` has their positions.
@@ -114,7 +115,7 @@ def suffix_rows(df: DataFrame) -> DataFrame:
         h, own = _words(data, offs)
         p = minimisers(h, own)
         head, text = heads(h, p).view(np.int64), own[p]
-        wanted = batch.column(2)
+        wanted = batch.column(3)
         listed, owner = wanted.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), wanted.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
         salt = _text.mix(np.arange(batch.num_rows, dtype=_U64) + _U64(1)).view(np.int64)
         keep = np.isin(head ^ salt[text], listed ^ salt[owner])
@@ -139,14 +140,14 @@ def suffix_rows(df: DataFrame) -> DataFrame:
         new[1:] = (text[o[1:]] != text[o[:-1]]) | (head[o[1:]] != head[o[:-1]]) | (all_of[o[1:]] != all_of[o[:-1]])
         one, bounds = o[new], np.append(np.flatnonzero(new), len(o)).astype(np.int32)
         at = pa.ListArray.from_arrays(pa.array(bounds if len(o) else np.zeros(1, np.int32)), pa.array((p - start[text])[o].astype(np.int32)))
-        ids = batch.column(0).take(pa.array(text[one]))
+        ids, texts = batch.column(0).take(pa.array(text[one])), batch.column(1).take(pa.array(text[one]))
         count = np.diff(start)[text[one]].astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(head[one]), _flat(after[one]), _flat(before[one]), ids, at, pa.array(count)], ["head", "after", "before", "id", "at", "words"])
+        return pa.RecordBatch.from_arrays([pa.array(head[one]), _flat(after[one]), _flat(before[one]), ids, at, pa.array(count), texts], ["head", "after", "before", "id", "at", "words", "t"])
 
-    return df.select("id", "text", "heads").mapInArrow(kernel, ROW)
+    return df.select("id", "t", "text", "heads").mapInArrow(kernel, ROW)
 
 
-ROW = "head long, after binary, before binary, id long, at array<int>, words long"
+ROW = "head long, after binary, before binary, id long, at array<int>, words long, t binary"
 
 
 def _sides(column: pa.Array) -> np.ndarray:
@@ -158,7 +159,7 @@ def _sides(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, ">u4", n * SIDE, int(first)).reshape(n, SIDE)
 
 
-BOTH = "id long, words long, s int, e int, key long, o int, at array<int>"
+BOTH = "id long, t binary, words long, s int, e int, key long, o int, at array<int>"
 
 
 def _ids(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -201,9 +202,10 @@ def _spread(part: pa.Table, who: np.ndarray, left: np.ndarray, right: np.ndarray
     count = at.value_lengths().to_numpy(zero_copy_only=False)
     p, row = at.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(who)), count)
     ids, words = part.column(3).to_numpy()[who][row], part.column(5).to_numpy()[who][row]
+    texts = part.column(6).combine_chunks().take(pa.array(who[row]))
     null = lambda t: pa.nulls(len(row), t)
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(words, pa.int64()), pa.array((p - left[row]).astype(np.int32)), pa.array((p + right[row]).astype(np.int32)), null(pa.int64()), null(pa.int32()), null(pa.list_(pa.int32()))],
+        [pa.array(ids, pa.int64()), texts, pa.array(words, pa.int64()), pa.array((p - left[row]).astype(np.int32)), pa.array((p + right[row]).astype(np.int32)), null(pa.int64()), null(pa.int32()), null(pa.list_(pa.int32()))],
         [c.split()[0] for c in BOTH.split(", ")],
     )
 
@@ -212,7 +214,7 @@ def _keyed(part: pa.Table, rows: np.ndarray, o: int, keys: np.ndarray, with_plac
     take = lambda c: part.column(c).combine_chunks().take(pa.array(rows))
     null, kind = pa.nulls(len(rows), pa.int32()), pa.list_(pa.int32())
     at = take(4).cast(kind) if with_places else pa.nulls(len(rows), kind)
-    return pa.RecordBatch.from_arrays([take(3), take(5), null, null, pa.array(keys[rows].view(np.int64)), pa.array(np.full(len(rows), o, np.int32)), at], [c.split()[0] for c in BOTH.split(", ")])
+    return pa.RecordBatch.from_arrays([take(3), take(6), take(5), null, null, pa.array(keys[rows].view(np.int64)), pa.array(np.full(len(rows), o, np.int32)), at], [c.split()[0] for c in BOTH.split(", ")])
 
 
 def _compared(source: Iterator[pa.RecordBatch], size: int = PIECE) -> Iterator[pa.RecordBatch]:
@@ -278,30 +280,34 @@ def _compared(source: Iterator[pa.RecordBatch], size: int = PIECE) -> Iterator[p
 
 
 def repeated_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE) -> DataFrame:
-    """(doc_id, n_words, n_repeat_words, n_passages, passages): a row for each document that shares a passage of ``LEAST`` words or more.
+    """(doc_id, n_words, n_repeat_words, n_passages, passages, text_md5): a row for each document that shares a passage of ``LEAST`` words or more.
 
     passages: start:end of each, in words (runs of other characters than space and 0x09-0x0D), comma-joined.  A passage counts
-    only if another id has it too; what repeats within one document does not.  Null and short texts have no passage; rows without
-    an id are left out; rows of one id and one text are one document.  Rows that tie in their words are sorted by id.  Texts of any
-    length are read whole; an empty table gives an empty one; other columns, whatever their names, are not read.
+    only if another id has it too; what repeats within one document, or in several texts of one id, does not.  Rows of one id and
+    one text are one document; each other text of an id has a row of its own, told apart by text_md5.  Null and short texts have
+    no passage; rows without an id are left out.  Rows that tie in their words are sorted by id and text.  Texts of any length are
+    read whole; an empty table gives an empty one; other columns, whatever their names, are not read.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    text_of = F.col(text_col)
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text_of)).alias("t"), text_of.alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     found = stored(suffix_heads(docs))
     shared = stored(found.groupBy("head").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("head"))
-    listed = found.join(shared, "head").groupBy("id").agg(F.collect_set("head").alias("heads"))
-    rows = stored(suffix_rows(docs.join(listed, "id")))
-    order = ["head", "after", "before", "id"]
+    listed = found.join(shared, "head").groupBy("id", "t").agg(F.collect_set("head").alias("heads"))
+    rows = stored(suffix_rows(docs.join(listed, ["id", "t"])))
+    dropped(found, shared)
+    order = ["head", "after", "before", "id", "t"]
     compared = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(partial(_compared, size=piece), BOTH))
-    inner = compared.where("s IS NOT NULL").select("id", "words", "s", "e")
+    dropped(rows)
+    inner = compared.where("s IS NOT NULL").select("id", "t", "words", "s", "e")
     keyed = compared.where("key IS NOT NULL")
     over = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    edges = keyed.where("at IS NOT NULL").join(over, "key").select("id", "words", "o", F.explode("at").alias("p")).select("id", "words", (F.col("p") - F.col("o")).alias("s"), (F.col("p") - F.col("o") + LEAST).alias("e"))
+    edges = keyed.where("at IS NOT NULL").join(over, "key").select("id", "t", "words", "o", F.explode("at").alias("p")).select("id", "t", "words", (F.col("p") - F.col("o")).alias("s"), (F.col("p") - F.col("o") + LEAST).alias("e"))
     spans = inner.union(edges)
 
-    in_doc = W.partitionBy("id").orderBy("s", "e")
+    in_doc = W.partitionBy("id", "t").orderBy("s", "e")
     reach = F.max("e").over(in_doc.rowsBetween(W.unboundedPreceding, -1))
     isles = spans.distinct().withColumn("new", F.when(reach >= F.col("s"), 0).otherwise(1)).withColumn("k", F.sum("new").over(in_doc))
-    passages = isles.groupBy("id", "k").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max("words").alias("words"))
-    out = passages.groupBy("id").agg(F.max("words").alias("n_words"), F.sum(F.col("e") - F.col("s")).alias("n_repeat_words"), F.count(F.lit(1)).alias("n_passages"), F.sort_array(F.collect_list(F.struct("s", "e"))).alias("p"))
+    passages = isles.groupBy("id", "t", "k").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max("words").alias("words"))
+    out = passages.groupBy("id", "t").agg(F.max("words").alias("n_words"), F.sum(F.col("e") - F.col("s")).alias("n_repeat_words"), F.count(F.lit(1)).alias("n_passages"), F.sort_array(F.collect_list(F.struct("s", "e"))).alias("p"))
     text = F.concat_ws(",", F.transform("p", lambda x: F.concat(x["s"].cast("string"), F.lit(":"), x["e"].cast("string"))))
-    return out.select(F.col("id").alias("doc_id"), "n_words", "n_repeat_words", "n_passages", text.alias("passages"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_repeat_words", "n_passages", text.alias("passages"), F.lower(F.hex("t")).alias("text_md5"))

@@ -435,6 +435,16 @@ def test_passages_over_partition_edges(spark):
     assert got.keys() == expect.keys() and all((got[i] == expect[i]).all() for i in got)
 
 
+def test_passages_of_an_id_with_several_texts(spark):
+    """Each text of an id is a document of its own, and none of them is another document for the others."""
+    r = random.Random(14)
+    shared, own = prose(r, 80), prose(r, 70)
+    rows = [(1, prose(r, 30) + " " + shared + " " + own), (1, shared + " " + prose(r, 90)), (1, own + " " + prose(r, 9)), (2, shared), (2, shared)]
+    got = sorted((x.doc_id, x.n_words, x.n_repeat_words, x.passages, x.text_md5) for x in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    digest = lambda i: hashlib.md5(rows[i][1].encode()).hexdigest()
+    assert got == [(1, 170, 80, "0:80", digest(1)), (1, 180, 80, "30:110", digest(0)), (2, 80, 80, "0:80", digest(3))]
+
+
 @pytest.mark.parametrize("piece", [1, 7, 40])
 def test_passages_of_a_head_that_fills_many_pieces(spark, piece):
     r = random.Random(13)
@@ -854,7 +864,7 @@ def test_repeated_rows_extra_columns_and_long_texts(spark):
 
 
 def test_queries_are_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
 
 
