@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinesia.sources import blocks
+
 POINTS = 25
 FRAME_NAMES = ("frame", "Frame", "frame_id")
 POSE = "struct<people:array<struct<pose_keypoints_2d:array<variant>>>>"
@@ -130,8 +132,7 @@ def media(spark: SparkSession, path: str, probes: DataFrame | None = None) -> Da
 
     Spark passes over files without a byte; those are the ones that only the probes name.
     """
-    head = F.substring("content", 1, 5).cast("string")
-    x = spark.read.format("binaryFile").load(path).select("path", "length", head.alias("head"))
+    x = blocks.heads(blocks.files(spark, path), 5).withColumn("head", F.col("head").cast("string"))
     if probes is not None:
         x = x.join(probes, "path", "full").fillna(0, ["length"])
     else:

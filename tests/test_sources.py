@@ -125,3 +125,64 @@ def test_streams(spark, tmp_path):
     assert (r.n_frames, r.n_trusted, r.last_frame) == (10, 9, 9) and r.path_length == pytest.approx(0.7)
     s = spark.range(8).select(F.lit("c").alias("id"), F.timestamp_millis(F.col("id") * 50 + F.when(F.col("id") > 4, 1000).otherwise(0)).alias("at"), F.lit(100.0).alias("pitch"))
     assert [r.n for r in voice_sessions(s).orderBy("start").collect()] == [5, 3]
+
+
+def test_large_files_are_read_in_blocks(spark, tmp_path):
+    """A sparse file of 3 GB, more than a row can hold: its head and its digest, in bounded memory."""
+    import hashlib
+    import resource
+
+    big = tmp_path / "big one.mp4"
+    with open(big, "wb") as out:
+        out.write(b"<html>")
+        out.truncate(3 << 30)
+    (tmp_path / "small.mp4").write_bytes(b"\0\0\0 ftyp")
+    expect = hashlib.sha256(b"<html>")
+    zeros = bytes(1 << 20)
+    for _ in range((3 << 10) - 1):
+        expect.update(zeros)
+    expect.update(bytes((1 << 20) - 6))
+    assert {(r.length, r.status) for r in R.media(spark, str(tmp_path)).collect()} == {(3 << 30, "NOTMP4"), (8, "OK")}
+    got = {r.name: (r.bytes, r.sha256) for r in sinks.digests(spark, str(tmp_path)).collect()}
+    assert got == {"big one.mp4": (3 << 30, expect.hexdigest()), "small.mp4": (8, hashlib.sha256(b"\0\0\0 ftyp").hexdigest())}
+
+    def peak(batches):
+        yield from batches
+        assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 300 << 10
+
+    from kinesia.sources import blocks
+
+    x = blocks.hashed(blocks.files(spark, str(tmp_path)))
+    assert x.mapInArrow(peak, x.schema).count() == 2
+
+
+def test_of_many_publishers_one_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def race(publisher, n=6):
+        def one(k):
+            try:
+                publisher(k)
+            except FileExistsError:
+                return None
+            return k
+
+        with ThreadPoolExecutor(n) as pool:
+            won = [k for k in pool.map(one, range(n)) if k is not None]
+        assert len(won) == 1
+        return won[0]
+
+    folder, file = tmp_path / "out", tmp_path / "report.json"
+    df = spark.createDataFrame([(1,)], "id long")
+    k = race(lambda k: sinks.publish(spark, str(folder), {"t": df}, {"k": k}))
+    assert json.loads((folder / "manifest.json").read_text())["settings"] == {"k": k}
+    k = race(lambda k: sinks.publish_text(spark, str(file), str(k)))
+    assert file.read_text() == str(k)
+    sinks.publish_text(spark, str(file), "new", replace=True)
+    assert file.read_text() == "new"
+    broken = df.select(F.raise_error(F.lit("broken")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.publish(spark, str(tmp_path / "other"), {"t": broken}, {})
+    with pytest.raises(FileExistsError):
+        sinks.publish_text(spark, str(folder), "x")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out", "report.json"]
