@@ -39,13 +39,25 @@ def words_on_frames(frames: DataFrame, words: DataFrame, width: float = 1.0) ->
     return x.groupBy("id", "frame").agg(ordered.alias("w")).select("id", "frame", F.concat_ws(", ", "w.r_word").alias("words"), F.concat_ws(", ", F.transform("w.r_score", lambda s: s.cast("string"))).alias("scores"))
 
 
-def voice_activity(frames: DataFrame, segments: DataFrame, measured: DataFrame, width: float = 1.0) -> DataFrame:
-    """frames(id, frame, t) with vad: whether a segment(id, start, end) holds t; null for clips that are not in measured(id)."""
-    points = frames.withColumn("_bin", F.floor(F.col("t") / width))
-    s = segments.withColumn("_bin", bins(F.col("start"), F.col("end"), width))
-    hits = points.join(s, ["id", "_bin"]).where(F.col("t").between(F.col("start"), F.col("end"))).select("id", "frame").distinct().withColumn("_hit", F.lit(True))
-    x = frames.join(hits, ["id", "frame"], "left").join(measured.select("id").distinct().withColumn("_known", F.lit(True)), "id", "left")
-    return x.withColumn("vad", F.when(F.col("_known"), F.coalesce("_hit", F.lit(False)))).drop("_hit", "_known")
+def voice_activity(frames: DataFrame, segments: DataFrame, measured: DataFrame, width: float = 600.0) -> DataFrame:
+    """frames(id, frame, t, ...) with vad: whether a segment(id, start, end) holds t; null for clips that are not in measured(id).
+
+    Frames and starts of segments lie in one order of time, with the greatest end so far: it is at t or later just if a segment
+    holds t.  The order is cut into slices of ``width`` seconds, and a slice begins with the greatest end of those before it, so
+    a segment is one row however long it is, and a long clip spreads over tasks.  A frame without a time is in no segment.
+    """
+    slice_of = lambda t: F.floor(F.col(t) / width)
+    s = segments.where("start IS NOT NULL AND end IS NOT NULL").select("id", slice_of("start").alias("_slice"), F.col("start").alias("_t"), F.col("end").alias("_end"))
+    points = frames.select(F.col("id"), slice_of("t").alias("_slice"), F.col("t").alias("_t"), F.struct(*frames.columns).alias("_row"))
+    each = points.select("id", "_slice", F.lit(None).cast("double").alias("_end")).union(s.select("id", "_slice", "_end")).groupBy("id", "_slice").agg(F.max("_end").alias("_end"))
+    before = F.max("_end").over(W.partitionBy("id").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))
+    begun = each.select("id", "_slice", F.lit(float("-inf")).alias("_t"), before.alias("_end")).where("_end IS NOT NULL")
+    events = points.unionByName(s, allowMissingColumns=True).unionByName(begun, allowMissingColumns=True)
+    # A RANGE frame takes in the segments that start at the very time of a frame.
+    reach = F.max("_end").over(W.partitionBy("id", "_slice").orderBy("_t").rangeBetween(W.unboundedPreceding, W.currentRow))
+    x = events.withColumn("_hit", F.coalesce(reach >= F.col("_t"), F.lit(False))).where("_row IS NOT NULL").select("id", "_row", "_hit")
+    x = x.join(measured.select("id").distinct().withColumn("_known", F.lit(True)), "id", "left")
+    return x.select("_row.*", F.when(F.col("_known"), F.col("_hit")).alias("vad"))
 
 
 def silence_to_null(pitch: Column) -> Column:

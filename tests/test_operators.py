@@ -238,3 +238,24 @@ def test_delivered_frames_refuse_what_is_not_unique(spark):
     assert sorted((r.frame, r.pitch, r.programme) for r in delivery.final_frames(frames, metadata, clips).collect()) == [(1, 5.0, "p"), (2, None, "p")]
     with pytest.raises(Exception, match="frame is not unique"):
         delivery.final_frames(frames, metadata.union(metadata), clips).collect()
+
+
+def test_intervals_of_all_lengths(spark):
+    """A segment of a day among frames and words of any length: the pairs and flags of brute force."""
+    import random
+
+    r = random.Random(5)
+    span = lambda n, longest: [(r.choice("ab"), i, s, s + r.choice([0.0, 0.25, 1.0, r.random() * longest])) for i in range(n) for s in [r.choice([r.random() * 5000, float(r.randrange(40))])]]
+    kind = "id string, k long, start double, end double"
+    left = [*span(150, 3), ("a", 900, 0.0, 86400.0), ("a", 901, 5.0, None)]
+    right = [*span(120, 700), ("a", 900, 0.0, 86400.0), ("b", 901, None, 4.0), ("c", 902, 0.0, 1.0)]
+    l, rr = spark.createDataFrame(left, kind), spark.createDataFrame(right, kind)  # noqa: E741
+    fine = lambda rows: [x for x in rows if None not in x]
+    expect = sorted((a[0], a[1], b[1]) for a in fine(left) for b in fine(right) if a[0] == b[0] and a[2] <= b[3] and b[2] <= a[3])
+    assert sorted((x.id, x.k, x.r_k) for x in align.overlap_join(l, rr).collect()) == expect
+
+    times = [(i, f, t) for i in "abc" for f, t in enumerate([None, 0.0, 5.0, 599.999, 600.0, 4000.0, 86400.0, 86400.5, *(r.random() * 5000 for _ in range(60))])]
+    got = align.voice_activity(spark.createDataFrame(times, "id string, frame long, t double"), rr.select("id", "start", "end"), spark.createDataFrame([("a",), ("b",), ("b",)], "id string"))
+    assert got.columns == ["id", "frame", "t", "vad"]
+    held = lambda i, t: None if i == "c" else t is not None and any(x[0] == i and x[2] is not None and x[3] is not None and x[2] <= t <= x[3] for x in right)
+    assert {(x.id, x.frame): x.vad for x in got.collect()} == {(i, f): held(i, t) for i, f, t in times}
