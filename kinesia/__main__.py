@@ -1,6 +1,6 @@
 """Operators on files: ``python -m kinesia COMMAND INPUT... OUTPUT``; inputs and output are folders or files that Spark can reach.
 
-Nothing is overwritten.  A command that checks ends with 1 if something is wrong.
+Nothing is overwritten, and an output is there whole or not at all.  A command that checks ends with 1 if something is wrong.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ COMMANDS: dict[str, Command] = {
     "prescreen": ("scores and ranks of detections", 1, lambda s, p: qc.rank_clips(qc.prescreen(_pq(s, p))), None),
     "coverage": ("wrist coverage of a long keypoint table", 1, lambda s, p: qc.wrist_coverage(_pq(s, p)), None),
     "clocks": ("rows, frames and wrists without a clock", 1, lambda s, p: qc.clock_stats(_pq(s, p)), None),
+    "gate": ("decision on each clip of a long keypoint table by expected(id, n_frames)", 2, lambda s, a, b: qc.visibility_gate(_pq(s, a), _pq(s, b)), lambda x: x.where("decision = 'data_error'")),
+    "clean": ("those of candidates(id, frame, person, n_reliable, nose, shoulders, black) that stay", 1, lambda s, p: qc.prune_ghosts(_pq(s, p)).where("kept"), None),
+    "align": ("samples(id, seq, t, v) on the times of grid(id, frame, t)", 2, lambda s, a, b: align.align_track(_pq(s, a), _pq(s, b)), None),
     "merge": ("keypoints with prosody and words by frame", 3, lambda s, a, b, c: align.merge_clip(_pq(s, a), _pq(s, b), _pq(s, c)), None),
     "annotations": ("how many of annotations(error) are good", 1, lambda s, p: labels.gate(labels.annotation_counts(_pq(s, p))), lambda x: x.where("NOT passes")),
     "media": ("status of media files", 1, lambda s, p: readers.media(s, p), lambda x: x.where("status <> 'OK'")),
@@ -50,9 +53,8 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> i
     asked = parser.parse_args(words)
     spark = spark or SparkSession.builder.appName("kinesia").getOrCreate()
     _, _, build, faults = COMMANDS[asked.command]
-    if sinks.exists(spark, asked.output):
-        raise FileExistsError(asked.output)
-    build(spark, *asked.inputs).write.parquet(asked.output)
+    with sinks.staged(spark, asked.output) as staging:
+        build(spark, *asked.inputs).write.parquet(staging)
     return int(faults is not None and faults(spark.read.parquet(asked.output)).limit(1).count() > 0)
 
 

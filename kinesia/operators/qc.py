@@ -269,6 +269,7 @@ def prune_ghosts(candidates: DataFrame, criterion: str = "todo", persistence: fl
     """
     thin = (F.col("n_reliable") < 6) & ~F.col("shoulders")
     dark = F.coalesce(F.col("black") > 0.5, F.lit(False))
+    # The names of the criteria.
     droppable = {"todo": thin | dark, "torso": thin, "negro": dark, "nada": F.lit(False)}[criterion]
     frame = W.partitionBy("id", "frame")
     x = candidates.withColumn("droppable", droppable)

@@ -122,4 +122,29 @@ def test_command_line(spark, tmp_path):
     assert main(["digests", path("notes"), path("digests")], spark) == 0
     (tmp_path / "tab.tsv").write_text("2016-b.txt\td\t20\t0\t12\t0\n")
     assert main(["check-tab", path("tab.tsv"), path("tab")], spark) == 1
-    assert len(COMMANDS) == 14
+    assert len(COMMANDS) == 17
+
+
+def test_gate_clean_and_align_on_files(spark, tmp_path):
+    path = lambda name: str(tmp_path / name)
+    write = lambda name, schema, *rows: spark.createDataFrame(list(rows), schema).write.parquet(path(name))
+    body = "id string, people_id double, frame long, points long, nx double, ny double, c double, type_points string"
+    write("long", body, *[("a", 0.0, f, p, 0.1, 0.2, 0.9, "pose_keypoints") for f in range(1, 5) for p in range(25)])
+    write("expected", "id string, n_frames long", ("a", 4), ("b", 4))
+    assert main(["gate", path("long"), path("expected"), path("gate")], spark) == 0
+    assert {r.id: r.decision for r in spark.read.parquet(path("gate")).collect()} == {"a": "accepted", "b": "low_coverage"}
+    write("few", "id string, n_frames long", ("a", 3))
+    assert main(["gate", path("long"), path("few"), path("fault")], spark) == 1
+
+    write("candidates", "id string, frame long, person long, n_reliable long, nose double, shoulders boolean, black double", *[("a", f, 0, 20, 0.9, True, 0.0) for f in range(1, 9)], ("a", 1, 1, 3, 0.1, False, 0.0))
+    assert main(["clean", path("candidates"), path("clean")], spark) == 0
+    assert {(r.frame, r.person) for r in spark.read.parquet(path("clean")).collect()} == {(f, 0) for f in range(1, 9)}
+
+    write("samples", "id string, seq long, t double, v double", ("a", 0, 0.0, 1.0), ("a", 1, 0.1, 3.0))
+    write("grid", "id string, frame long, t double", ("a", 1, 0.05), ("a", 2, 0.2))
+    assert main(["align", path("samples"), path("grid"), path("track")], spark) == 0
+    assert {r.frame: r.value and round(r.value, 6) for r in spark.read.parquet(path("track")).collect()} == {1: 2.0, 2: None}
+    before = sorted(p.name for p in tmp_path.iterdir())
+    with pytest.raises(FileExistsError):
+        main(["align", path("samples"), path("grid"), path("track")], spark)
+    assert sorted(p.name for p in tmp_path.iterdir()) == before
