@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -89,42 +91,97 @@ def points(people: Column) -> Column:
     return F.transform(people, lambda b: F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), lambda i: F.struct(F.get(b, i * 3).alias("x"), F.get(b, i * 3 + 1).alias("y"), F.get(b, i * 3 + 2).alias("c"))))
 
 
-def _praat(spark: SparkSession, path: str) -> DataFrame:
-    number = lambda key: F.regexp_extract("value", rf"(?m)^{key} = (\S+)", 1).try_cast("double")
-    return spark.read.text(path, wholetext=True).select(file_stem().alias("id"), number("x1").alias("x1"), number("dx").alias("dx"), "value")
-
-
-def _frames_of(x: DataFrame) -> DataFrame:
-    """The blocks that begin with ``frames [k]:``, and their times."""
-    blocks = x.select("id", "x1", "dx", F.posexplode(F.slice(F.split("value", r"frames \[[0-9]+\]:"), 2, 2**30)).alias("i", "block"))
-    return blocks.withColumn("t", F.col("x1") + F.col("i") * F.col("dx"))
+def _number(text: str) -> float | None:
+    """A decimal number, or null for what is none (a text format's mark of an undefined value)."""
+    try:
+        return float(text)
+    except ValueError:
+        return None
+
+
+def _entries(lines: Iterator[str]) -> Iterator[tuple[str, str | None]]:
+    """(key, value) of the lines ``key = value`` and (heading, None) of the lines ``heading:``."""
+    for line in lines:
+        key, sign, value = line.partition(" = ")
+        if sign:
+            yield key.strip(), value.strip()
+        elif (key := key.strip()).endswith(":"):
+            yield key[:-1], None
+
+
+def _frames(lines: Iterator[str]) -> Iterator[tuple[float | None, dict[str, str]]]:
+    """(time, entries) of each block ``frames [k]:``; an entry's key names its heading, as in ``candidates [1] frequency``."""
+    start = step = time = found = None
+    heading, i = "", 0
+    for key, value in _entries(lines):
+        if value is None and key.startswith("frames [") and key != "frames []":
+            if found is not None:
+                yield time, found
+            time = None if start is None or step is None else start + i * step
+            found, heading, i = {}, "", i + 1
+        elif value is None:
+            heading = key
+        elif found is not None:
+            found.setdefault(f"{heading} {key}", value)
+        elif key == "x1":
+            start = _number(value)
+        elif key == "dx":
+            step = _number(value)
+    if found is not None:
+        yield time, found
 
 
-def _value(block: str, pattern: str, k: int = 1) -> Column:
-    return F.regexp_extract(block, pattern, k).try_cast("double")
+def praat_pitch(spark: SparkSession, path: str) -> DataFrame:
+    """(id, t, pitch, strength): each frame's first candidate.  Here and below a file is read line by line, whatever its length."""
 
+    def rows(lines: Iterator[str]) -> Iterator[tuple]:
+        for time, found in _frames(lines):
+            first = lambda k: next((_number(found[n]) for n in (f"candidates [1] {k}", f"candidate [1] {k}") if n in found), None)
+            yield time, first("frequency"), first("strength")
 
-def praat_pitch(spark: SparkSession, path: str) -> DataFrame:
-    """(id, t, pitch, strength): each frame's first candidate."""
-    first = r"candidates? \[1\]:\s*frequency = (\S+)\s*strength = (\S+)"
-    return _frames_of(_praat(spark, path)).select("id", "t", _value("block", first).alias("pitch"), _value("block", first, 2).alias("strength"))
+    return blocks.parsed(blocks.files(spark, path), rows, "t double, pitch double, strength double")
 
 
 def praat_track(spark: SparkSession, path: str, name: str) -> DataFrame:
     """(id, t, name): an intensity or harmonicity track, one value for each step."""
-    x = _praat(spark, path).select("id", "x1", "dx", F.posexplode(F.regexp_extract_all("value", F.lit(r"z \[1\] \[[0-9]+\] = (\S+)"), F.lit(1))).alias("i", "v"))
-    return x.select("id", (F.col("x1") + F.col("i") * F.col("dx")).alias("t"), F.col("v").try_cast("double").alias(name))
+
+    def rows(lines: Iterator[str]) -> Iterator[tuple]:
+        start = step = None
+        i = 0
+        for key, value in _entries(lines):
+            if value is None:
+                continue
+            if key.startswith("z [1] ["):
+                yield None if start is None or step is None else start + i * step, _number(value)
+                i += 1
+            elif key == "x1":
+                start = _number(value)
+            elif key == "dx":
+                step = _number(value)
+
+    return blocks.parsed(blocks.files(spark, path), rows, f"t double, `{name}` double")
 
 
 def praat_formants(spark: SparkSession, path: str, n: int = 5) -> DataFrame:
-    """(id, t, formant1.. and bandwidth1..)."""
-    pattern = lambda k: rf"formant \[{k}\]:\s*frequency = (\S+)\s*bandwidth = (\S+)"
-    return _frames_of(_praat(spark, path)).select("id", "t", *[_value("block", pattern(k), g).alias(f"{c}{k}") for k in range(1, n + 1) for g, c in ((1, "formant"), (2, "bandwidth"))])
+    """(id, t, formant1, bandwidth1, ...)."""
+    places = [f"formant [{k}] {c}" for k in range(1, n + 1) for c in ("frequency", "bandwidth")]
+
+    def rows(lines: Iterator[str]) -> Iterator[tuple]:
+        for time, found in _frames(lines):
+            yield time, *(_number(found[p]) if p in found else None for p in places)
+
+    return blocks.parsed(blocks.files(spark, path), rows, "t double, " + ", ".join(f"{c}{k} double" for k in range(1, n + 1) for c in ("formant", "bandwidth")))
 
 
 def praat_points(spark: SparkSession, path: str) -> DataFrame:
-    x = spark.read.text(path, wholetext=True)
-    return x.select(file_stem().alias("id"), F.explode(F.regexp_extract_all("value", F.lit(r"t \[[0-9]+\] = (\S+)"), F.lit(1))).alias("t")).select("id", F.col("t").try_cast("double").alias("t"))
+    """(id, t): the times of a point process."""
+
+    def rows(lines: Iterator[str]) -> Iterator[tuple]:
+        for key, value in _entries(lines):
+            if value is not None and key.startswith("t ["):
+                yield (_number(value),)
+
+    return blocks.parsed(blocks.files(spark, path), rows, "t double")
 
 
 def media(spark: SparkSession, path: str, probes: DataFrame | None = None) -> DataFrame:

@@ -33,6 +33,15 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _hadoop(spark, path)
+    source = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+
+
 def _moved(spark: SparkSession, source: str, target: str, replace: bool = False) -> None:
     """Give a file or folder its final name in one step; FileExistsError if that is taken and ``replace`` doesn't allow it.
 
