@@ -113,16 +113,40 @@ def test_tolerant_csv_and_counts(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    from kinesia.streaming.sequences import running_summary, voice_sessions
-
-    frames = spark.createDataFrame([("c", 0.0, i, 0.1 * i, 0.0, 0.9 if i != 5 else 0.1) for i in range(10)], "id string, people_id double, frame long, nx_4 double, ny_4 double, c_4 double")
-    frames.coalesce(1).write.parquet(str(tmp_path / "f"))
-    stream = spark.readStream.schema(frames.schema).parquet(str(tmp_path / "f"))
-    q = running_summary(stream).writeStream.outputMode("update").format("memory").queryName("summary").option("checkpointLocation", str(tmp_path / "k1")).start()
-    q.processAllAvailable()
-    q.stop()
-    r = spark.table("summary").first()
-    assert (r.n_frames, r.n_trusted, r.last_frame) == (10, 9, 9) and r.path_length == pytest.approx(0.7)
+    """A sequence's summary grows, ends when nothing comes any more, and then leaves no state."""
+    import time
+
+    from kinesia.streaming.sequences import PROVIDER, running_summary, voice_sessions
+
+    schema = "id string, people_id double, frame long, nx_4 double, ny_4 double, c_4 double"
+    frame = lambda i: ("c", 0.0, i, 0.1 * i, 0.0, 0.9 if i != 5 else 0.1)
+    write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "f"))
+    write([frame(i) for i in range(8)])
+    time.sleep(1)  # files are taken in the order of their times
+    write([frame(9), frame(8), frame(3)])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "f"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, PROVIDER)
+    seen = lambda: [(r.id, r.n_frames, r.n_trusted, r.last_frame, round(r.path_length, 6), r.finished) for r in spark.table("summary").collect()]
+    try:
+        q = running_summary(stream, idle_seconds=12).writeStream.outputMode("update").format("memory").queryName("summary").option("checkpointLocation", str(tmp_path / "k1")).trigger(processingTime="1 second").start()
+
+        def await_rows(n):
+            end = time.time() + 60
+            while len(seen()) < n and time.time() < end and q.isActive:
+                time.sleep(0.2)
+            assert q.exception() is None
+            return seen()
+
+        assert await_rows(3) == [("c", 8, 7, 7, 0.5, False), ("c", 11, 10, 9, 0.7, False), ("c", 11, 10, 9, 0.7, True)]
+        write([("d", 0.0, 0, 0.0, 0.0, 0.9)])
+        assert await_rows(4)[3] == ("d", 1, 1, 0, 0.0, False)
+        q.stop()
+        left = spark.read.format("statestore").option("stateVarName", "sums").load(str(tmp_path / "k1"))
+        assert [r.key.id for r in left.collect()] == ["d"]
+    finally:
+        spark.conf.set(key, before)
     s = spark.range(8).select(F.lit("c").alias("id"), F.timestamp_millis(F.col("id") * 50 + F.when(F.col("id") > 4, 1000).otherwise(0)).alias("at"), F.lit(100.0).alias("pitch"))
     assert [r.n for r in voice_sessions(s).orderBy("start").collect()] == [5, 3]
 
