@@ -25,26 +25,29 @@ FAR, FAR_FROM_CENTRE = {"3p5": 3.5, "4p0": 4.0}, 3.0
 #: Frames whose points are reduced to their hull's corners together.
 SLICE = 4096
 
-# What each score takes the norms of, with their weights, and the constant that is added.
+# The published names of the scores, what each takes the norms of, with their weights, the constant that is added,
+# what keeps a norm's divisor from 0, and what the movement score is made of.
+EPS = 1e-10
+MOVEMENT = ("energy_sum", "right_speed_mean", "left_speed_mean")
 SCORES: dict[str, tuple[float, dict[str, float]]] = {
-    "polar_extremity": (0.0, dict.fromkeys(["right_radius_max", "right_frac_radius_over_3p5", "left_radius_max", "left_frac_radius_over_3p5"], 1 / 4)),
-    "separation_extremity": (0.0, dict.fromkeys(["distance_max", "frac_distance_over_3p5"], 1 / 2)),
-    "cog_extremity": (0.0, dict.fromkeys(["right_cog_distance_max", "right_frac_cog_far", "left_cog_distance_max", "left_frac_cog_far"], 1 / 4)),
-    "velocity_intensity": (0.0, dict.fromkeys(["right_speed_mean", "right_frac_fast", "left_speed_mean", "left_frac_fast"], 1 / 4)),
-    "acceleration_intensity": (0.0, dict.fromkeys([f"{h}_accel_{k}" for h in HANDS for k in ("mean", "iqr", "sign_changes")], 0.33 / 2)),
-    "energy_intensity": (0.0, dict.fromkeys(["energy_sum", "energy_max"], 1 / 2)),
+    "polar_extremity_score": (0.0, dict.fromkeys(["right_radius_max", "right_frac_radius_over_3p5", "left_radius_max", "left_frac_radius_over_3p5"], 1 / 4)),
+    "separation_extremity_score": (0.0, dict.fromkeys(["distance_max", "frac_distance_over_3p5"], 1 / 2)),
+    "cog_extremity_score": (0.0, dict.fromkeys(["right_cog_distance_max", "right_frac_cog_far", "left_cog_distance_max", "left_frac_cog_far"], 1 / 4)),
+    "velocity_intensity_score": (0.0, dict.fromkeys(["right_speed_mean", "right_frac_fast", "left_speed_mean", "left_frac_fast"], 1 / 4)),
+    "acceleration_intensity_score": (0.0, dict.fromkeys([f"{h}_accel_{k}" for h in HANDS for k in ("mean", "iqr", "sign_changes")], 0.33 / 2)),
+    "energy_intensity_score": (0.0, dict.fromkeys(["energy_sum", "energy_max"], 1 / 2)),
     "coordination_score": (0.0, dict.fromkeys(["coordination_mean", "coordination_max", "frac_coordinated"], 1 / 3)),
-    "symmetry": (1.0, dict.fromkeys(["symmetry_y_mean", "symmetry_x_mean"], -1 / 2)),
-    "zone_diversity": (0.0, dict.fromkeys(["right_zone_entropy", "left_zone_entropy"], 1 / 2)),
-    "quadrant_diversity": (0.0, dict.fromkeys(["right_quadrant_entropy", "left_quadrant_entropy"], 1 / 2)),
-    "trajectory_complexity": (0.0, dict.fromkeys([f"{h}_{k}" for h in HANDS for k in ("path_ratio", "hull_area", "ellipse_area", "velocity_sign_changes")], 1 / 8)),
-    "time_to_extreme": (2 / 3, {"right_frames_to_far": -1 / 6, "left_frames_to_far": -1 / 6, "right_frames_to_peak": -1 / 3}),
-    "velocity_trend": (0.0, dict.fromkeys(["right_speed_early", "right_speed_late", "left_speed_early", "left_speed_late"], 1 / 4)),
+    "symmetry_score": (1.0, dict.fromkeys(["symmetry_y_mean", "symmetry_x_mean"], -1 / 2)),
+    "zone_diversity_score": (0.0, dict.fromkeys(["right_zone_entropy", "left_zone_entropy"], 1 / 2)),
+    "quadrant_diversity_score": (0.0, dict.fromkeys(["right_quadrant_entropy", "left_quadrant_entropy"], 1 / 2)),
+    "trajectory_complexity_score": (0.0, dict.fromkeys([f"{h}_{k}" for h in HANDS for k in ("path_ratio", "hull_area", "ellipse_area", "velocity_sign_changes")], 1 / 8)),
+    "time_to_extreme_score": (2 / 3, {"right_frames_to_far": -1 / 6, "left_frames_to_far": -1 / 6, "right_frames_to_peak": -1 / 3}),
+    "velocity_trend_score": (0.0, dict.fromkeys(["right_speed_early", "right_speed_late", "left_speed_early", "left_speed_late"], 1 / 4)),
 }
 GLOBAL_SCORES: dict[str, tuple[float, dict[str, float]]] = {
-    "global_intensity": (0.0, dict.fromkeys(["polar_extremity", "separation_extremity", "velocity_intensity", "acceleration_intensity", "energy_intensity"], 1 / 5)),
-    "global_complexity": (0.0, dict.fromkeys(["trajectory_complexity", "zone_diversity", "coordination_score", "symmetry"], 1 / 4)),
-    "global_dynamics": (0.0, dict.fromkeys(["time_to_extreme", "velocity_trend", "frac_near_centre"], 1 / 3)),
+    "global_ext_intensity_score": (0.0, dict.fromkeys(["polar_extremity_score", "separation_extremity_score", "velocity_intensity_score", "acceleration_intensity_score", "energy_intensity_score"], 1 / 5)),
+    "global_complexity_coordination_score": (0.0, dict.fromkeys(["trajectory_complexity_score", "zone_diversity_score", "coordination_score", "symmetry_score"], 1 / 4)),
+    "global_temporal_dynamics_score": (0.0, dict.fromkeys(["time_to_extreme_score", "velocity_trend_score", "frac_near_centre"], 1 / 3)),
 }
 # End of the fixed values.
 
@@ -272,12 +275,31 @@ def polar_histograms(frames: DataFrame) -> DataFrame:
     return out
 
 
+def _edges(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with the least and greatest value of each column in the whole table: one aggregate, a row that is joined back."""
+    return df.join(F.broadcast(df.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for f, n in ((F.min, "lo"), (F.max, "hi"))])))
+
+
+def _without_edges(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith(("_lo_", "_hi_"))])
+
+
+def _norms(columns: list[str]) -> dict[str, Column]:
+    return {f"{c}_norm": (F.col(c) - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}") + EPS) for c in columns}
+
+
+def _movement() -> dict[str, Column]:
+    return {"movement_score": reduce(lambda a, b: a + b, [F.col(c) / (F.col(f"_hi_{c}") + EPS) for c in MOVEMENT]) / len(MOVEMENT)}
+
+
 def minmax(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Each column set between its least and greatest value of the whole table (0 without spread): one aggregate, joined back."""
-    edges = df.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for f, n in ((F.min, "lo"), (F.max, "hi"))])
-    x = df.join(F.broadcast(edges))
-    norm = lambda c: F.when(F.col(f"_hi_{c}") > F.col(f"_lo_{c}"), (F.col(c) - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}"))).otherwise(F.when(F.col(c).isNotNull(), 0.0))
-    return x.withColumns({f"{c}_norm": norm(c) for c in columns}).drop(*edges.columns)
+    """Each column set between its least and greatest value of the whole table (0 without spread)."""
+    return _without_edges(_edges(df, columns).withColumns(_norms(columns)))
+
+
+def movement_score(clips: DataFrame) -> DataFrame:
+    """``sequence_features`` with the mean of energy and speeds, each as a share of the table's greatest; null if one of them is."""
+    return _without_edges(_edges(clips, list(MOVEMENT)).withColumns(_movement()))
 
 
 def score(df: DataFrame, columns: list[str], name: str) -> DataFrame:
@@ -285,16 +307,21 @@ def score(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     return minmax(df, columns).withColumn(name, reduce(lambda a, b: a + b, [F.col(f"{c}_norm") for c in columns]) / len(columns))
 
 
-def _weighed(df: DataFrame, scores: dict[str, tuple[float, dict[str, float]]]) -> DataFrame:
-    x = minmax(df, list(dict.fromkeys(c for _, parts in scores.values() for c in parts)))
-    return x.withColumns({name: reduce(lambda a, b: a + b, [F.col(f"{c}_norm") * k for c, k in parts.items()], F.lit(constant)) for name, (constant, parts) in scores.items()})
+def _weighed(df: DataFrame, scores: dict[str, tuple[float, dict[str, float]]], movement: bool = False) -> DataFrame:
+    inputs = list(dict.fromkeys(c for _, parts in scores.values() for c in parts))
+    x = _edges(df, list(dict.fromkeys([*inputs, *(MOVEMENT if movement else ())]))).withColumns(_norms(inputs) | (_movement() if movement else {}))
+    weighed = {name: reduce(lambda a, b: a + b, [F.col(f"{c}_norm") * k for c, k in parts.items()], F.lit(constant)) for name, (constant, parts) in scores.items()}
+    return _without_edges(x).withColumns(weighed)
 
 
 def composite_scores(frames: DataFrame) -> DataFrame:
-    """All features of each clip with the norms over the table and the scores made of them; a norm without value makes its scores null."""
-    x = sequence_features(frames).join(extra_features(frames), "id").join(zone_histograms(frames), "id")
+    """All features of each clip with the norms over the table and the scores made of them; a norm without value makes its scores null.
+
+    The clip's features are rounded to six decimals before, as published; ``rounded`` gives the delivered form of the rest.
+    """
+    x = rounded(sequence_features(frames)).join(extra_features(frames), "id").join(zone_histograms(frames), "id")
     x = x.withColumns({f"{h}_velocity_sign_changes": F.col(f"{h}_vx_sign_changes") + F.col(f"{h}_vy_sign_changes") for h in HANDS})
-    return _weighed(_weighed(x, SCORES), GLOBAL_SCORES)
+    return _weighed(_weighed(x, SCORES, movement=True), GLOBAL_SCORES)
 
 
 def rank_quartiles(df: DataFrame, v: str, by: str) -> DataFrame:

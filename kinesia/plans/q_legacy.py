@@ -141,10 +141,11 @@ def zone_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scores_sql() -> str:
     zones = f"""zones0 AS (SELECT id, {", ".join(f"avg(({h}_{kind} = {k})::INT) AS {h}_{kind}_{k}" for h, kind, n in _ZONES for k in range(1, n + 1))} FROM frames GROUP BY id),
 zones AS (SELECT id, {", ".join(f"{_entropy([f'{h}_{kind}_{k}' for k in range(1, n + 1)])} AS {h}_{kind}_entropy" for h, kind, n in _ZONES)} FROM zones0)"""
-    norm = lambda c: f"CASE WHEN max({c}) OVER () > min({c}) OVER () THEN ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) WHEN {c} IS NOT NULL THEN 0 END"
+    norm = lambda c: f"({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER () + 1e-10)"
     weighed = lambda scores: ", ".join(f"{constant!r}::DOUBLE + " + " + ".join(f"({k!r}::DOUBLE) * ({norm(c)})" for c, k in parts.items()) + f" AS {name}" for name, (constant, parts) in scores.items())
     return f"""WITH {AGG_SQL}, {_extra_sql()}, {zones},
-clip AS MATERIALIZED (SELECT *, {", ".join(f"{h}_vx_sign_changes + {h}_vy_sign_changes AS {h}_velocity_sign_changes" for h in L.HANDS)} FROM agg JOIN extra USING (id) JOIN zones USING (id)),
+agg6 AS (SELECT * REPLACE ({", ".join(f"round({c}, 6) AS {c}" for c in _AGG_DOUBLES)}) FROM agg),
+clip AS MATERIALIZED (SELECT *, {", ".join(f"{h}_vx_sign_changes + {h}_vy_sign_changes AS {h}_velocity_sign_changes" for h in L.HANDS)} FROM agg6 JOIN extra USING (id) JOIN zones USING (id)),
 one AS MATERIALIZED (SELECT id, frac_near_centre, {weighed(L.SCORES)} FROM clip), two AS (SELECT *, {weighed(L.GLOBAL_SCORES)} FROM one) SELECT id, {rounded_sql(" ".join([*L.SCORES, *L.GLOBAL_SCORES]))} FROM two"""
 
 
@@ -178,11 +179,16 @@ def polar_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCORED = ["right_speed_mean", "left_speed_mean", "energy_sum", "distance_mean"]
 
 
-@register("minmax_scores", f"WITH {AGG_SQL}, n AS (SELECT id, {', '.join(f'({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) AS {c}_norm' for c in _SCORED)} FROM agg) SELECT id, {rounded_sql(' '.join(f'{c}_norm' for c in _SCORED))}, round(({' + '.join(f'{c}_norm' for c in _SCORED)}) / 4 + 1e-9, 6) + 0.0 AS movement FROM n")
+@register("minmax_scores", f"WITH {AGG_SQL}, n AS (SELECT id, {', '.join(f'({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER () + 1e-10) AS {c}_norm' for c in _SCORED)} FROM agg) SELECT id, {rounded_sql(' '.join(f'{c}_norm' for c in _SCORED))}, round(({' + '.join(f'{c}_norm' for c in _SCORED)}) / 4 + 1e-9, 6) + 0.0 AS movement FROM n")
 def minmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.score(L.sequence_features(frames(spark, sf_dir)), _SCORED, "movement").select("id", *[f"{c}_norm" for c in _SCORED], "movement"))
 
 
+@register("movement_score", f"WITH {AGG_SQL}, r AS (SELECT id, round(energy_sum, 6) AS e, round(right_speed_mean, 6) AS a, round(left_speed_mean, 6) AS b FROM agg), m AS (SELECT id, (e / (max(e) OVER () + 1e-10) + a / (max(a) OVER () + 1e-10) + b / (max(b) OVER () + 1e-10)) / 3 AS movement_score FROM r) SELECT id, {rounded_sql('movement_score')} FROM m")
+def movement_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(L.movement_score(L.rounded(L.sequence_features(frames(spark, sf_dir)))).select("id", "movement_score"))
+
+
 @register("rank_quartiles", "WITH r AS (SELECT c_custkey AS id, c_mktsegment AS label, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) SELECT id, label, CASE WHEN n < 4 THEN 1 ELSE 1 + (r > 1 + (n - 1) * 0.25)::INT + (r > 1 + (n - 1) * 0.5)::INT + (r > 1 + (n - 1) * 0.75)::INT END::INT AS quartile FROM r")
 def rank_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"), "c_acctbal")

@@ -153,7 +153,7 @@ def test_legacy_gradient_and_scores(spark):
     assert np.allclose(got, np.gradient(x))
     s = legacy.sequence_features(legacy.centre_of_gravity(legacy.frame_features(df, 1.0))).first()
     assert s.right_step_sum == pytest.approx(np.abs(np.diff(x)).sum()) and s.distance_max == pytest.approx(math.hypot(8, 2))
-    assert [r.v_norm for r in legacy.minmax(frame(spark, "v double", (1.0,), (3.0,), (2.0,)), ["v"]).collect()] == [0.0, 1.0, 0.5]
+    assert [r.v_norm for r in legacy.minmax(frame(spark, "v double", (1.0,), (3.0,), (2.0,)), ["v"]).collect()] == pytest.approx([0.0, 1.0, 0.5])
     q = legacy.rank_quartiles(frame(spark, "id int, v double, label string", *[(i, float(i), "a") for i in range(8)], (9, 1.0, "b")), "v", "label")
     assert [r.quartile for r in q.orderBy("label", "id").collect()] == [1, 1, 2, 2, 3, 3, 4, 4, 1]
 
@@ -190,8 +190,9 @@ def test_legacy_extra_and_scores(spark):
     assert (x["b"].right_path_ratio, x["b"].right_speed_early, x["b"].right_hull_area, x["b"].right_theta_std) == (0.0, 0.0, 0.0, 0.0)
     assert (x["c"].right_path_ratio, x["c"].right_speed_late, x["c"].right_span) == (None, None, 0.0)
     s = {r.id: r for r in legacy.composite_scores(frames).collect()}
-    assert s["a"].separation_extremity == 1.0 and s["b"].separation_extremity == 0.0
-    assert s["a"].time_to_extreme is None and s["c"].velocity_trend is None
+    assert s["a"].separation_extremity_score == pytest.approx(1.0) and s["b"].separation_extremity_score == 0.0
+    assert s["a"].time_to_extreme_score is None and s["c"].velocity_trend_score is None
+    assert s["b"].movement_score == 0.0 and 0 < s["a"].movement_score <= 1
     names = [*legacy.SCORES, *legacy.GLOBAL_SCORES]
     assert all(s[k][c] is None or -1e-9 <= s[k][c] <= 1 + 1e-9 for k in s for c in names)
     assert legacy.composite_scores(frames.limit(0)).count() == 0
