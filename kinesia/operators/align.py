@@ -23,13 +23,14 @@ def overlap_join(left: DataFrame, right: DataFrame, width: float = 1.0) -> DataF
     """Pairs of left(id, start, end, ...) and right(id, start, end, ...) that overlap, ends included.
 
     Intervals meet in bins of ``width``, so the join is on equal keys; each pair counts in the first bin they share.  The right
-    side's columns other than id get the prefix r_.
+    side's columns other than id get the prefix r_.  The join is a sort-merge join whatever the sizes look like: Spark takes a
+    table of clips for small before its frames are made, and would broadcast all frames.
     """
     l = left.withColumn("_bin", bins(F.col("start"), F.col("end"), width))  # noqa: E741
     r = right.select("id", *[F.col(c).alias(f"r_{c}") for c in right.columns if c != "id"])
     r = r.withColumn("_bin", bins(F.col("r_start"), F.col("r_end"), width))
     first = F.floor(F.greatest("start", "r_start") / width)
-    return l.join(r, ["id", "_bin"]).where((F.col("r_start") <= F.col("end")) & (F.col("r_end") >= F.col("start")) & (F.col("_bin") == first)).drop("_bin")
+    return l.join(r.hint("merge"), ["id", "_bin"]).where((F.col("r_start") <= F.col("end")) & (F.col("r_end") >= F.col("start")) & (F.col("_bin") == first)).drop("_bin")
 
 
 def words_on_frames(frames: DataFrame, words: DataFrame, width: float = 1.0) -> DataFrame:

@@ -260,3 +260,14 @@ def test_intervals_of_all_lengths(spark):
     assert got.columns == ["id", "frame", "t", "vad"]
     held = lambda i, t: None if i == "c" else t is not None and any(x[0] == i and x[2] is not None and x[3] is not None and x[2] <= t <= x[3] for x in right)
     assert {(x.id, x.frame): x.vad for x in got.collect()} == {(i, f): held(i, t) for i, f, t in times}
+
+
+def test_frames_are_not_broadcast_to_their_words(spark):
+    clips = spark.range(8).withColumn("k", F.col("id") % 2).groupBy("k").agg(F.lit(50).alias("n_frames"), F.lit(2.0).alias("fps")).withColumnRenamed("k", "id")
+    words = spark.range(300).select((F.col("id") % 2).alias("id"), F.lit("w").alias("word"), (F.col("id") / 100).alias("start"), (F.col("id") / 100 + 1).alias("end"), F.lit(1.0).alias("score"))
+    got = align.words_on_frames(align.frame_intervals(clips), words.repartition(2))
+    # The plan that ran: adaptive execution changes joins by what it measured.
+    query = got._jdf.queryExecution()
+    query.executedPlan().execute().count()
+    plan = query.executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
