@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -268,9 +269,9 @@ def _cos() -> Column:
     return F.when((sr > S.MOVEMENT_SPEED) & (sl > S.MOVEMENT_SPEED), dot / (sr * sl))
 
 
-def _ring(ps) -> list[tuple[float, float]]:
+def _ring(xs: np.ndarray, ys: np.ndarray) -> list[tuple[float, float]]:
     """The corners of the convex hull in order, of collinear points the outer ones; all different points if there are fewer than three."""
-    xy = sorted({(p["x"], p["y"]) for p in ps})
+    xy = sorted(set(zip(xs.tolist(), ys.tolist(), strict=True)))
     if len(xy) < 3:
         return xy
 
@@ -285,22 +286,34 @@ def _ring(ps) -> list[tuple[float, float]]:
     return chain(xy)[:-1] + chain(xy[::-1])[:-1]
 
 
-@F.pandas_udf(T.DoubleType())
-def hull_area(points: pd.Series) -> pd.Series:
+def _rings(points: pa.Array) -> Iterator[np.ndarray | None]:
+    """The corners of each list of (x, y), an array of two columns; null for null.  Only one list at a time becomes Python's numbers."""
+    xy = points.values
+    xs, ys = (xy.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    ends = points.offsets.to_numpy()
+    for known, a, b in zip(points.is_valid().to_numpy(zero_copy_only=False), ends[:-1], ends[1:], strict=True):
+        yield np.array(_ring(xs[a:b], ys[a:b]), dtype=float).reshape(-1, 2) if known else None
+
+
+@F.arrow_udf(T.DoubleType())
+def hull_area(points: pa.Array) -> pa.Array:
     """Area of the convex hull of each list of (x, y); 0 for fewer than three distinct or collinear points."""
 
-    def area(ps) -> float:
-        ring = np.array(_ring(ps)).reshape(-1, 2)
+    def area(ring: np.ndarray) -> float:
         x, y = ring[:, 0], ring[:, 1]
         return 0.5 * abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1)))
 
-    return points.map(area, na_action="ignore")
+    return pa.array([None if ring is None else area(ring) for ring in _rings(points)], pa.float64())
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
-def hull_corners(points: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
+def hull_corners(points: pa.Array) -> pa.Array:
     """The corners of each list's hull: the hull of several lists is that of their corners, so a long clip goes through in slices."""
-    return points.map(lambda ps: [{"x": x, "y": y} for x, y in _ring(ps)], na_action="ignore")
+    rings = list(_rings(points))
+    ends = np.concatenate([[0], np.cumsum([0 if r is None else len(r) for r in rings])]).astype(np.int32)
+    xy = np.concatenate([np.empty((0, 2)), *[r for r in rings if r is not None]])
+    corners = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(ends), corners, mask=pa.array([r is None for r in rings], pa.bool_()))
 
 
 def _extended(d: DataFrame) -> tuple[DataFrame, dict[str, Column], list[dict[str, Column]]]:

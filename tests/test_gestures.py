@@ -242,3 +242,25 @@ def test_equal_rows_count_once(spark):
 def test_infinite_coordinates_are_not_measured(spark):
     df, found = fault(spark, nx_4=[0.1, float("inf"), float("nan"), 0.4])
     assert found == [] and gesture_frames(df, GestureConfig(max_gap=0)).where("right_observed").count() == 2
+
+
+def test_hulls_hold_one_list_as_numbers_at_a_time():
+    """A batch of lists stays Arrow: what the hulls take beside it is that of one list."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from kinesia.operators import gestures as G
+
+    n, size = 1000, 200
+    turn = np.linspace(0, 2 * np.pi, n * size)
+    points = pa.ListArray.from_arrays(np.arange(0, n * size + 1, size, dtype=np.int32), pa.StructArray.from_arrays([pa.array(np.cos(turn)), pa.array(np.sin(turn))], ["x", "y"]))
+    points = pa.concat_arrays([points, pa.array([None, [], [{"x": 1.0, "y": 2.0}]], points.type)])
+    tracemalloc.start()
+    areas, corners = G.hull_area.func(points), G.hull_corners.func(points.slice(n - 1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # As dictionaries the points would be more than 50 MB.
+    assert peak < 4e6
+    assert areas[n:].to_pylist() == [None, 0.0, 0.0] and len(areas) == n + 3
+    assert corners[1:].to_pylist() == [None, [], [{"x": 1.0, "y": 2.0}]] and len(corners[0]) == size
