@@ -57,7 +57,11 @@ def conflicts(long: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 def duplicate_rows(long: DataFrame, keys: tuple[str, ...], values: tuple[str, ...]) -> DataFrame:
     """For each key with several rows: how many, and how many different ones; more than one different row is a conflict."""
-    return long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.struct(*values)).alias("n_different")).where("n_rows > 1")
+    # Nearly every key is its own, so hash tables would hold the whole input, three times over for a distinct count; one sort spills
+    # instead, and a key's last row has its numbers.
+    w = W.partitionBy(*keys).orderBy(*values)
+    x = long.withColumns({"n_rows": F.row_number().over(w).cast("long"), "n_different": F.dense_rank().over(w).cast("long"), "_last": F.lead(F.lit(1)).over(w).isNull()})
+    return x.where("_last AND n_rows > 1").select(*keys, "n_rows", "n_different")
 
 
 def require_none(bad: DataFrame, message: str) -> None:

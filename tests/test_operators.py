@@ -271,3 +271,11 @@ def test_frames_are_not_broadcast_to_their_words(spark):
     query.executedPlan().execute().count()
     plan = query.executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_duplicate_rows_need_no_hash_table(spark):
+    rows = [(1, 1, 2.0, "a"), (1, 1, 2.0, "a"), (1, 1, 3.0, "a"), (1, 2, 2.0, "a"), (2, 1, None, None), (2, 1, None, None), (2, 1, 0.0, None), (2, 1, -0.0, None), (None, 1, 1.0, "b"), (None, 1, 1.0, "c")]
+    got = qc.duplicate_rows(frame(spark, "k int, l int, v double, f string", *rows), ("k", "l"), ("v", "f"))
+    assert {tuple(r) for r in got.collect()} == {(1, 1, 3, 2), (2, 1, 4, 2), (None, 1, 2, 2)}
+    assert got.dtypes == [("k", "int"), ("l", "int"), ("n_rows", "bigint"), ("n_different", "bigint")]
+    assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
