@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from kinesia.functions.ranks import exact_quantiles
 from kinesia.operators.gestures import hull_area, hull_corners
+from kinesia.operators.sequence import norm
 
 HANDS = ("right", "left")
 ZONE = 0.5
@@ -93,7 +94,7 @@ def frame_features(hands: DataFrame, fps: float = 30.0) -> DataFrame:
     dt, w, d = 1 / fps, W.partitionBy("id").orderBy("frame"), hands
     rx, ry, lx, ly = (F.col(f"{h}_{a}") for h in HANDS for a in "xy")
     d = d.withColumns({
-        "distance": F.hypot(rx - lx, ry - ly), "distance_manhattan": F.abs(rx - lx) + F.abs(ry - ly), "angle_deg": F.degrees(F.atan2(ly - ry, lx - rx)),
+        "distance": norm(rx - lx, ry - ly), "distance_manhattan": F.abs(rx - lx) + F.abs(ry - ly), "angle_deg": F.degrees(F.atan2(ly - ry, lx - rx)),
         "symmetry_y": F.abs(ry + ly), "symmetry_x": F.abs(rx + lx), "centroid_x": (rx + lx) / 2, "centroid_y": (ry + ly) / 2, "area_box": F.abs(rx - lx) * F.abs(ry - ly),
     }).withColumn("area_circle", F.pi() * F.pow(F.col("distance") / 2, 2))
     for h in HANDS:
@@ -101,23 +102,24 @@ def frame_features(hands: DataFrame, fps: float = 30.0) -> DataFrame:
         column = F.when(x < -ZONE, 0).when(x > ZONE, 2).otherwise(1)
         row = F.when(y < -ZONE, 7).when(y > ZONE, 1).otherwise(4)
         d = d.withColumns({
-            f"{h}_radius": F.hypot(x, y), f"{h}_angle_deg": F.degrees(F.atan2(y, x)), f"{h}_above": y < 0, f"{h}_side": F.signum(x),
+            f"{h}_radius": norm(x, y), f"{h}_angle_deg": F.degrees(F.atan2(y, x)), f"{h}_above": y < 0, f"{h}_side": F.signum(x),
             f"{h}_quadrant": F.when((x >= 0) & (y >= 0), 1).when((x < 0) & (y >= 0), 2).when((x < 0) & (y < 0), 3).when((x >= 0) & (y < 0), 4),
             f"{h}_zone": F.coalesce(F.when(x.isNotNull() & y.isNotNull(), row + column), F.lit(5)),
-            f"{h}_vx": gradient(x, dt), f"{h}_vy": gradient(y, dt), f"{h}_step": F.coalesce(F.hypot(x - F.lag(x).over(w), y - F.lag(y).over(w)), F.lit(0.0)),
+            f"{h}_vx": gradient(x, dt), f"{h}_vy": gradient(y, dt), f"{h}_step": F.coalesce(norm(x - F.lag(x).over(w), y - F.lag(y).over(w)), F.lit(0.0)),
         })
-        d = d.withColumns({f"{h}_speed": F.hypot(f"{h}_vx", f"{h}_vy"), f"{h}_ax": gradient(F.col(f"{h}_vx"), dt), f"{h}_ay": gradient(F.col(f"{h}_vy"), dt)})
-        d = d.withColumns({f"{h}_accel": F.hypot(f"{h}_ax", f"{h}_ay"), f"{h}_energy": F.pow(f"{h}_speed", F.lit(2)) / 2})
+        d = d.withColumns({f"{h}_speed": norm(F.col(f"{h}_vx"), F.col(f"{h}_vy")), f"{h}_ax": gradient(F.col(f"{h}_vx"), dt), f"{h}_ay": gradient(F.col(f"{h}_vy"), dt)})
+        d = d.withColumns({f"{h}_accel": norm(F.col(f"{h}_ax"), F.col(f"{h}_ay")), f"{h}_energy": F.pow(f"{h}_speed", F.lit(2)) / 2})
     rv, lv = F.col("right_speed"), F.col("left_speed")
     return d.withColumns({"energy": F.col("right_energy") + F.col("left_energy"), "coordination": rv * lv / (F.sqrt(rv * rv + lv * lv) + 1e-6)})
 
 
 def centre_of_gravity(frames: DataFrame) -> DataFrame:
     """Add each hand's distance and angle from the clip's mean position."""
-    w = W.partitionBy("id")
+    # In the order of frames, so that the mean's last bit does not depend on where rows come from.
+    w = W.partitionBy("id").orderBy("frame").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     for h in HANDS:
         x, y = F.col(f"{h}_x") - F.avg(f"{h}_x").over(w), F.col(f"{h}_y") - F.avg(f"{h}_y").over(w)
-        frames = frames.withColumns({f"{h}_cog_distance": F.hypot(x, y), f"{h}_cog_angle": F.atan2(y, x)})
+        frames = frames.withColumns({f"{h}_cog_distance": norm(x, y), f"{h}_cog_angle": F.atan2(y, x)})
     return frames
 
 
@@ -135,7 +137,7 @@ def sequence_features(frames: DataFrame) -> DataFrame:
     changed = lambda v: (F.signum(v) != F.lag(F.signum(v)).over(w)).cast("int")
     d, flips = frames, [f"{h}_{v}" for h in HANDS for v in ("vx", "vy", "ax", "ay", "accel")]
     d = d.withColumns({f"_{c}": changed(F.coalesce(c, F.lit(0.0))) for c in flips})
-    d = d.withColumn("centroid_radius", F.hypot("centroid_x", "centroid_y"))
+    d = d.withColumn("centroid_radius", norm(F.col("centroid_x"), F.col("centroid_y")))
     aggs: list[Column] = []
     for h in HANDS:
         aggs += _named(f"{h}_radius", f"{h}_radius", "min max mean median std") + _named(f"{h}_x", f"{h}_x", "range") + _named(f"{h}_y", f"{h}_y", "range")
@@ -172,14 +174,14 @@ def extra_features(frames: DataFrame) -> DataFrame:
         c = lambda v, h=h: F.col(f"{h}_{v}")
         x, y, turn = c("x"), c("y"), F.atan2(c("y"), c("x"))
         mean_sin, mean_cos = F.avg(F.sin(turn)), F.avg(F.cos(turn))
-        ends = F.hypot(F.max_by(x, "frame") - F.min_by(x, "frame"), F.max_by(y, "frame") - F.min_by(y, "frame"))
+        ends = norm(F.max_by(x, "frame") - F.min_by(x, "frame"), F.max_by(y, "frame") - F.min_by(y, "frame"))
         aggs += _named(f"{h}_radius", f"{h}_radius", "iqr") + _named(f"{h}_cog_distance", f"{h}_cog_distance", "iqr")
         for name, far in FAR.items():
             aggs += [F.count_if(c("radius") > far).alias(f"{h}_n_radius_over_{name}"), share(c("radius") > far).alias(f"{h}_frac_radius_over_{name}")]
         aggs += [
             F.degrees(F.atan2(mean_sin, mean_cos)).alias(f"{h}_theta_mean"),
-            F.degrees(F.sqrt(F.greatest(-2 * F.log(F.hypot(mean_sin, mean_cos) + 1e-8), F.lit(0.0)))).alias(f"{h}_theta_std"),
-            F.hypot(F.max(x) - F.min(x), F.max(y) - F.min(y)).alias(f"{h}_span"),
+            F.degrees(F.sqrt(F.greatest(-2 * F.log(norm(mean_sin, mean_cos) + 1e-8), F.lit(0.0)))).alias(f"{h}_theta_std"),
+            norm(F.max(x) - F.min(x), F.max(y) - F.min(y)).alias(f"{h}_span"),
             F.when(F.count(F.lit(1)) > 1, F.sum(c("step")) / (ends + 1e-8)).alias(f"{h}_path_ratio"),
             F.count_if(c("cog_distance") > FAR_FROM_CENTRE).alias(f"{h}_n_cog_far"), share(c("cog_distance") > FAR_FROM_CENTRE).alias(f"{h}_frac_cog_far"),
             F.when(F.count(F.lit(1)) > 1, F.avg(F.when(early, c("speed")))).alias(f"{h}_speed_early"),

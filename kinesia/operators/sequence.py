@@ -53,6 +53,11 @@ def first_of(part: Column, bits: int) -> Column:
     return F.try_subtract(F.shiftleft(part, bits), F.lit(1 << (bits - 1)))
 
 
+def norm(x: Column, y: Column) -> Column:
+    """The root of the sum of squares as SQL has it; ``hypot`` can differ in the last bit, which shows where values meet an edge."""
+    return F.sqrt(x * x + y * y)
+
+
 def reach_of(max_gap: int, window: int, extended: bool = False) -> int:
     """How many frames before and after it a frame's features depend on.
 
@@ -208,7 +213,8 @@ def _fit(points: Column, at: Column, x: str, order: int) -> Column:
     def add(s: Column, p: Column) -> Column:
         h = p["t"] - at
         v = p[x]
-        terms = (h, h * h, h * h * h, h * h * h * h, v, v * h, v * h * h)
+        # Powers of one rounding: near-equal times make the system so ill-conditioned that another order of products shows in the jerk.
+        terms = (h, h * h, F.pow(h, F.lit(3.0)), F.pow(h, F.lit(4.0)), v, v * h, v * (h * h))
         return F.struct(*[(s[k] + t).alias(k) for k, t in zip(names, terms, strict=True)])
 
     def solve(s: Column) -> Column:

@@ -279,3 +279,11 @@ def test_duplicate_rows_need_no_hash_table(spark):
     assert {tuple(r) for r in got.collect()} == {(1, 1, 3, 2), (2, 1, 4, 2), (None, 1, 2, 2)}
     assert got.dtypes == [("k", "int"), ("l", "int"), ("n_rows", "bigint"), ("n_different", "bigint")]
     assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_measures_have_the_last_bit_that_sql_gives(spark):
+    x, y = 0.20800000000000018, -1.3999999999999995
+    assert math.hypot(x, y) != math.sqrt(x * x + y * y)
+    df = frame(spark, "id string, frame long, right_x double, right_y double, left_x double, left_y double", ("a", 0, x, y, 0.0, 0.0))
+    r = legacy.frame_features(df).first()
+    assert r.distance == r.right_radius == math.sqrt(x * x + y * y)
