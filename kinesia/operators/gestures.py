@@ -16,11 +16,14 @@ from kinesia import schema as S
 from kinesia.config import GestureConfig
 from kinesia.functions.ranks import group_quantiles
 from kinesia.operators import sequence as Q
-from kinesia.operators.guards import any_long, checked_slices
+from kinesia.operators.guards import checked_slices, extent
 
 DEFAULT = GestureConfig()
 #: Measures whose whole distribution is described.
 SPREAD = ("speed", "accel_magnitude", "jerk_magnitude", "neck_distance")
+#: Frames of the extended features for a task.  Spark sizes tasks by the few columns that are shuffled, but the windows take some 4 KB
+#: for a frame (528 MB for 123,454 rows, measured), so it would give a task too many.
+TASK_FRAMES = 25_000
 
 
 def gesture_frames(wide: DataFrame, config: GestureConfig = DEFAULT, extended: bool = False, slice_bits: int = Q.SLICE_BITS) -> DataFrame:
@@ -32,12 +35,12 @@ def gesture_frames(wide: DataFrame, config: GestureConfig = DEFAULT, extended: b
     return frames_in_slices(wide, config, extended, slice_bits).where("_own").select(*(S.EXTENDED_FRAME_COLUMNS if extended else S.FRAME_COLUMNS))
 
 
-def frames_in_slices(wide: DataFrame, config: GestureConfig = DEFAULT, extended: bool = False, slice_bits: int = Q.SLICE_BITS, only_long: bool = False) -> DataFrame:
+def frames_in_slices(wide: DataFrame, config: GestureConfig = DEFAULT, extended: bool = False, slice_bits: int = Q.SLICE_BITS, only_long: bool = False, parts: int | None = None) -> DataFrame:
     """``gesture_frames`` with ``_slice``, the rows beyond a slice's edges (not ``_own``; right for the two frames next to it), and what is
     known of the whole sequence: ``_long`` (it has several slices), ``_start_t`` and ``_end_t``.
     """
     reach, bits = _slicing(config, extended, slice_bits)
-    rows = checked_slices(wide, bits, reach)
+    rows = checked_slices(wide, bits, reach, parts)
     with Q.sliced():
         d = _measured(Q.expand_grid(rows.where("_long") if only_long else rows), config, extended)
     return d.withColumn("_own", F.col("_slice") == Q.slice_of(F.col("frame"), bits))
@@ -52,15 +55,17 @@ def sequence_features(wide: DataFrame, config: GestureConfig = DEFAULT, extended
     """``gesture_sequences(gesture_frames(wide))`` without a second shuffle of the frames and without a task that holds a long sequence.
 
     Windows stay within slices; what they cannot see across an edge is added up from one small record for each slice.  Quantiles and
-    hulls of sequences of several slices take passes of their own; whether there are any is asked first (a scan of keys and frames).
+    hulls of sequences of several slices take passes of their own; whether there are any, and how many frames, is asked first (a scan of keys and frames).
     """
-    frames = frames_in_slices(wide, config, extended, slice_bits)
-    several = extended and any_long(wide, _slicing(config, extended, slice_bits)[1])
+    several, n = extent(wide, _slicing(config, extended, slice_bits)[1]) if extended else (False, 0)
+    # Few frames are left to Spark, which may need no shuffle at all for them.
+    parts = -(-n // TASK_FRAMES) if n > 8 * TASK_FRAMES else None
+    frames = frames_in_slices(wide, config, extended, slice_bits, parts=parts)
     with Q.sliced():
         out = _summed(frames if several or not extended else frames.withColumn("_long", F.lit(False)), extended)
     if not several:
         return out.select(*(S.EXTENDED_SEQUENCE_COLUMNS if extended else S.SEQUENCE_COLUMNS))
-    long = frames_in_slices(wide, config, extended, slice_bits, only_long=True).where("_own")
+    long = frames_in_slices(wide, config, extended, slice_bits, only_long=True, parts=parts).where("_own")
     more = long_hulls(long).join(long_quantiles(long), list(S.KEYS))
     theirs = [c for c in more.columns if c not in S.KEYS]
     both = out.join(more.select(*S.KEYS, *[F.col(c).alias(f"_l_{c}") for c in theirs]), list(S.KEYS), "left")
@@ -101,7 +106,7 @@ def _measured(grid: DataFrame, config: GestureConfig, extended: bool) -> DataFra
     d = d.withColumns({k: v for hand in S.HANDS for k, v in _geometry(hand).items()})
     both = F.col("right_valid") & F.col("left_valid")
     rx, ry, lx, ly = (F.col(f"{h}_{a}_smooth") for h in ("right", "left") for a in ("nx", "ny"))
-    apart = F.hypot(rx - lx, ry - ly)
+    apart = Q.norm(rx - lx, ry - ly)
     pair = {
         "both_hands_valid": both, "pair_separation": F.when(both, apart), "pair_angle": F.when(both & (apart > 0), F.atan2(ry - ly, rx - lx)),
         "centroid_x": F.when(both, (rx + lx) / 2), "centroid_y": F.when(both, (ry + ly) / 2),
@@ -125,7 +130,7 @@ def _motion(d: DataFrame, hand: str, config: GestureConfig, extended: bool) -> D
         deeper = {a: f"_{hand}_{kind}_{a}" for a in source}
         d = d.withColumns({deeper[a]: Q.derivative(source[a], ok, run) for a in source})
         out |= {name(f"{kind}_{a}"): F.when(n >= least, F.col(c)) for a, c in deeper.items()}
-        out[name({"velocity": "speed"}.get(kind, f"{kind}_magnitude"))] = F.when(n >= least, F.hypot(*deeper.values()))
+        out[name({"velocity": "speed"}.get(kind, f"{kind}_magnitude"))] = F.when(n >= least, Q.norm(*map(F.col, deeper.values())))
         source = deeper
         raw += deeper.values()
     return d.withColumns(out).drop("_n", "_t1", "_t2", "_u1", "_u2", *raw)
@@ -134,9 +139,9 @@ def _motion(d: DataFrame, hand: str, config: GestureConfig, extended: bool) -> D
 def _geometry(hand: str) -> dict[str, Column]:
     name = lambda m: f"{hand}_{m}"
     x, y, w = F.col(name("nx_smooth")), F.col(name("ny_smooth")), Q.by_frame()
-    distance = F.hypot(x, y)
+    distance = Q.norm(x, y)
     return {
-        name("step_distance"): F.when(F.col(name("valid")) & F.lag(name("valid")).over(w), F.hypot(x - F.lag(x).over(w), y - F.lag(y).over(w))),
+        name("step_distance"): F.when(F.col(name("valid")) & F.lag(name("valid")).over(w), Q.norm(x - F.lag(x).over(w), y - F.lag(y).over(w))),
         name("neck_distance"): distance, name("neck_angle"): F.when(distance > 0, F.atan2(y, x)), name("above_neck"): y > 0,
     }
 
@@ -173,7 +178,7 @@ def _summed(d: DataFrame, extended: bool) -> DataFrame:
     for hand in S.HANDS:
         c = lambda m, hand=hand: F.col(f"{hand}_{m}")
         mean_cos, mean_sin = F.avg(F.cos(c("neck_angle"))), F.avg(F.sin(c("neck_angle")))
-        length = F.least(F.hypot(mean_cos, mean_sin), F.lit(1.0))
+        length = F.least(Q.norm(mean_cos, mean_sin), F.lit(1.0))
         directed = length > S.ZERO_RESULTANT
         aggs |= {f"{hand}_{k}": v for k, v in {
             "n_observed": count(c("observed")), "n_interpolated": count(c("interpolated")), "n_valid": count(c("valid")),

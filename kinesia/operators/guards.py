@@ -108,18 +108,21 @@ def _passes() -> Column:
     return F.when(F.col("problem").isNull(), ~F.col("repeat")).otherwise(stop)
 
 
-def any_long(wide: DataFrame, bits: int) -> bool:
-    """Whether any sequence has several slices; one row comes to the driver."""
+def extent(wide: DataFrame, bits: int) -> tuple[bool, int]:
+    """Whether any sequence has several slices, and how many frames the grids have; one row comes to the driver."""
     frame = F.col("frame")
     spans = prepared(wide).where("_broken IS NULL").groupBy(*S.KEYS).agg(F.min(frame).alias("a"), F.max(frame).alias("b"))
-    return spans.where(Q.slice_of(F.col("a"), bits) < Q.slice_of(F.col("b"), bits)).limit(1).count() > 0
+    frames = F.least(F.col("b").cast("double") - F.col("a").cast("double") + 1, F.lit(float(LARGEST_SPAN)))
+    row = spans.agg(F.max(Q.slice_of(F.col("a"), bits) < Q.slice_of(F.col("b"), bits)).alias("long"), F.sum(frames).alias("n")).first()
+    return bool(row["long"]), int(row["n"] or 0)
 
 
-def checked_slices(wide: DataFrame, bits: int, reach: int) -> DataFrame:
+def checked_slices(wide: DataFrame, bits: int, reach: int, parts: int | None = None) -> DataFrame:
     """``checked``'s rows in their slices (``_slice``), with the rows beyond the edges and the ends of the slices' grids (``_end``).
 
     An end where the source has a row of its own is left out.  Only sequences of several slices (``_long``) have ends, so others cost
     no more rows.  ``_start_t`` and ``_end_t``: the first and last known time of the whole sequence.
+    ``parts`` deals the slices into so many tasks.
     """
     d = prepared(wide)
     # Rows without a usable key have no slice; they raise below.
@@ -128,6 +131,9 @@ def checked_slices(wide: DataFrame, bits: int, reach: int) -> DataFrame:
     ends = Q.slice_ends(d.where("_broken IS NULL"), bits, reach, LARGEST_SPAN).withColumns({"_end": F.lit(True), "_own": F.lit(False)})
     both = rows.unionByName(lost).withColumn("_end", F.lit(False)).unionByName(ends, allowMissingColumns=True)
     with Q.sliced():
+        if parts:
+            # Not by the person: windows compare numbers made regular, which a plain number's shuffle does not serve.
+            both = both.repartition(parts, "id", "_slice")
         out = _compared(both)
         whole = W.partitionBy(*Q.parted())
         order = whole.orderBy("frame", F.desc("_end"))

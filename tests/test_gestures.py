@@ -264,3 +264,17 @@ def test_hulls_hold_one_list_as_numbers_at_a_time():
     assert peak < 4e6
     assert areas[n:].to_pylist() == [None, 0.0, 0.0] and len(areas) == n + 3
     assert corners[1:].to_pylist() == [None, [], [{"x": 1.0, "y": 2.0}]] and len(corners[0]) == size
+
+
+def test_extended_features_of_many_frames_are_dealt_by_their_number(spark, monkeypatch):
+    from kinesia.operators import gestures as G
+
+    rows = [(f"c{i % 40}", 1.0, i // 40, i / 40, 0.1, 0.2, 0.9, 0.3, 0.4, 0.9) for i in range(40 * 12)]
+    wide = spark.createDataFrame(rows, WIDE)
+    few = sorted(map(str, G.sequence_features(wide, extended=True).select("id", "right_n_speed", "coactivity_bout_n").collect()))
+    monkeypatch.setattr(G, "TASK_FRAMES", 20)
+    got = G.sequence_features(wide, extended=True).select("id", "right_n_speed", "coactivity_bout_n")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # 480 frames in 24 parts, and no shuffle of another kind between these and the windows.
+    assert "24), REPARTITION_BY_NUM" in plan and plan.count("_slice#") and not [x for x in plan.splitlines() if "ENSURE_REQUIREMENTS" in x and "_slice#" in x]
+    assert sorted(map(str, got.collect())) == few
